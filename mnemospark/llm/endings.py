@@ -334,17 +334,17 @@ def text_language(texts: list[str], scores: WordScores) -> list[str]:
     return [scores.model.languages[j] if j >= 0 else "" for j in which]
 
 
-def train(texts: DataFrame, samples: DataFrame, max_texts: int = MAX_TEXTS) -> tuple[EndModel, CharModel]:
+def train(texts: DataFrame, samples: DataFrame, max_texts: int = MAX_TEXTS, rows: int | None = None) -> tuple[EndModel, CharModel]:
     """The end model with its thresholds, and the language models, from a bounded sample of texts (tbl, content).
 
     Texts with a sign of a cut, or that stop inside a block, don't teach where texts end. Every fifth text is left out
     of training and calibrates the thresholds.
     """
-    rows = language._bounded(texts, ["tbl", "content"], max_texts, by=["tbl", "id"])
+    chosen = language._bounded(texts, ["tbl", "content"], max_texts, by=["tbl", "id"], rows=rows)
     languages = language.train_calibrated(language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES))
-    languages = language.adapt(languages, language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES), [r[1] for r in rows[: language.MAX_TEXTS]])
+    languages = language.adapt(languages, language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES), [r[1] for r in chosen[: language.MAX_TEXTS]])
     clean = []
-    for tbl, text in rows:
+    for tbl, text in chosen:
         bare, signed = strip_sign(text)
         if not signed and bare and not inside_block(bare):
             clean.append((tbl, bare))
@@ -378,7 +378,7 @@ def find_cut(texts: DataFrame, samples: DataFrame, extra: tuple[str, ...] = ())
     is bounded by MAX_TEXTS.
     """
     usable = texts.where(~is_blank(F.col("content")))
-    blob = texts.sparkSession.sparkContext.broadcast(pickle.dumps(train(usable, samples)))
+    blob = texts.sparkSession.sparkContext.broadcast(pickle.dumps(train(usable, samples, rows=texts.count())))
     keep = ["tbl", "id", *extra]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
