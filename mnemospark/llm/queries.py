@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.functions.text import is_blank
-from mnemospark.llm import conversations, endings, language, pairs
+from mnemospark.llm import conversations, endings, language, neardup, pairs, secrets
 from mnemospark.storage import table
 
 
@@ -52,6 +51,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.pair_defects(table(spark, sf_dir, "turns"), table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "sessions")).distinct()
 
 
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = secrets.find_secrets(table(spark, sf_dir, "turns").where("id IS NOT NULL"), ["content", "tool_summary"], ["id"])
+    facts = secrets.find_secrets(table(spark, sf_dir, "facts").where("id IS NOT NULL"), ["content"], ["id"])
+    return turns.select(F.lit("turns").alias("tbl"), "*").unionByName(facts.select(F.lit("facts").alias("tbl"), "*"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, id, field, secret: each credential of a field once."""
+    return _secrets(spark, sf_dir).select("tbl", "id", "field", F.explode("secrets").alias("secret")).distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold credentials, with nothing but the credentials replaced."""
+    rows = _secrets(spark, sf_dir).select("tbl", "id", "field", "redacted", F.size("secrets").alias("credentials"))
+    return rows.dropDuplicates(["tbl", "id", "field"])
+
+
+#: Problem 7's own case: shingles of three words, overlap of 0.6, texts of 40 words or more.
+P7 = {"size": 3, "threshold": 0.6, "min_words": 40}
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, id_a, id_b of contents that are similar enough."""
+    return neardup.similar_pairs(_texts(spark, sf_dir), **P7)
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every content of 40 words or more with its class, number of links and group."""
+    return neardup.duplicate_groups(_texts(spark, sf_dir), **P7)
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
@@ -74,6 +104,10 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
+    "p7_found": p7_found,
+    "p7_groups": p7_groups,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }
