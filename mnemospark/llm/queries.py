@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import conversations, endings, language, neardup, pairs, secrets
-from mnemospark.storage import table
+from mnemospark.llm import conversations, endings, language, leakage, mixing, neardup, neighbours, pairs, secrets
+from mnemospark.storage import materialize, table
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,29 @@ def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(table(spark, sf_dir, "turns"), table(spark, sf_dir, "sessions"))
 
 
+def _repeated(spark: SparkSession, sf_dir: str, vectors: str, rows: str) -> DataFrame:
+    """row_id of the vectors whose id has a vector with a smaller row_id: repeated rows of one id count once."""
+    named = table(spark, sf_dir, vectors).select("row_id").join(table(spark, sf_dir, rows).where("id IS NOT NULL").select("row_id", "id"), "row_id")
+    grouped = named.groupBy("id").agg(F.min("row_id").alias("first"), F.collect_list("row_id").alias("rows")).where(F.size("rows") > 1)
+    return grouped.select("first", F.explode("rows").alias("row_id")).where("row_id <> first").select("row_id")
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, vectors: str, rows: str) -> DataFrame:
+    skip = materialize(_repeated(spark, sf_dir, vectors, rows), "repeated")
+    return neighbours.nearest(table(spark, sf_dir, vectors), skip=skip).select(F.lit(vectors).alias("tbl"), "*")
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, row_id, other, similarity: up to ten most similar vectors of each, from a similarity of 0.6."""
+    return _neighbours(spark, sf_dir, "vec_turns", "turns").unionByName(_neighbours(spark, sf_dir, "vec_facts", "facts"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tbl, row_a < row_b, of which at least one is among the ten most similar of the other."""
+    rows = p3_neighbours(spark, sf_dir)
+    return rows.select("tbl", F.least("row_id", "other").alias("row_a"), F.greatest("row_id", "other").alias("row_b")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """answer_id, defect of every pair with a defect."""
     return pairs.pair_defects(table(spark, sf_dir, "turns"), table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "sessions")).distinct()
@@ -82,6 +105,32 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(_texts(spark, sf_dir), **P7)
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, case_id of documents with at least 24 words of a passage in a row."""
+    return _leaks(spark, sf_dir).where("exact_windows > 0").select("doc_id", "case_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every item: how many documents hold a part of it word for word, how many something similar."""
+    found = _leaks(spark, sf_dir).groupBy("case_id").agg(F.count_if(F.col("exact_windows") > 0).alias("documents"), F.count("*").alias("similar_documents"))
+    items = table(spark, sf_dir, "eval_cases").where("id IS NOT NULL").select(F.col("id").alias("case_id")).distinct()
+    return items.join(found, "case_id", "left").na.fill(0)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, tokens, repeats of the documents that are combined."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's target and actual share of all tokens."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
@@ -103,11 +152,17 @@ QUERIES = {
     "p1_shares": p1_shares,
     "p2_found": p2_found,
     "p2_conversations": p2_conversations,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_redacted": p5_redacted,
     "p7_found": p7_found,
     "p7_groups": p7_groups,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }
