@@ -2,10 +2,11 @@
 
 Every text is the set of its word shingles, hashed by one function. One global order of the hashes, rarest first by a
 counting sketch of all texts and then by value, decides which a text retains: its first ones, as many as guarantee that
-any two texts of the threshold's overlap share one. Inverted lists of the retained values give the candidates, the
-union of two sketches estimates the overlap of large ones, the sets themselves verify it. Texts with the same set are
-one class, and only classes are compared. No list is capped: frequent values come last in the order, so no text
-retains them while it has rarer ones.
+any two texts of the threshold's overlap share one. Inverted lists of the retained values give the candidates; a bound from
+the places of the shared value and from a bitmap of each set drops most of them in the join; the union of two sketches
+estimates the overlap of large ones, the sets themselves verify it. The bounds are exact, so they lose nothing. Texts
+with the same set are one class, and only classes are compared. No list is capped: frequent values come last in the
+order, so no text retains them while it has rarer ones.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from mnemospark.storage import materialize
 
 #: The counting sketch has 2**SKETCH_BITS counters of 16 bits, whatever the input; collisions cost time, never a pair.
 SKETCH_BITS, CHUNKS = 22, 32
+#: Bits of a shingle's hash: two sets of a thousand shingles have a false match in one of 10**8 pairs.
+HASH_BITS = 48
 #: Values of a bottom-k sketch for the estimate, and standard deviations below the threshold at which a pair is left.
 SKETCH, SIGMAS = 256, 6.0
 #: All pairs among the first so many copies of one set; each further copy is paired with the first.
@@ -63,7 +66,7 @@ class Shingler:
             for k in range(self.size):
                 h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(32)
-            return h * np.uint64(0xD6E8FEB86659FD93)
+            return h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - HASH_BITS)
 
 
 def shingle_sets(texts: DataFrame, size: int, min_words: int) -> DataFrame:
@@ -122,28 +125,40 @@ def count_sketch(sets: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return out
 
 
+def _bitmaps(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Two numbers of 64 bits for each set, with the bit of every hash set."""
+    bits = (grams >> np.uint64(HASH_BITS - 7)).astype(np.int64)
+    flags = np.zeros((n, 128), np.uint8)
+    flags[owner, bits] = 1
+    return np.packbits(flags, axis=1).view(np.int64)
+
+
 def retained(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """gram, cls, n for every value that a text retains and another text may hold."""
+    """gram, cls, n, place, map1, map2 for every value that a text retains and another text may hold."""
     blob = sets.sparkSession.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))
     mask = np.uint64(len(counts) - 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.frombuffer(zlib.decompress(blob.value), np.uint16)
         for batch in batches:
-            gram, cls, size = [], [], []
-            for c, n, raw in zip(batch["cls"], batch["n"], batch["grams"], strict=True):
-                grams = np.frombuffer(raw, np.uint64)
-                k = n - ceil(threshold * n - 1e-9) + 1
-                often = seen[(grams & mask).astype(np.int64)]
-                first = np.lexsort((grams, often))[:k]
-                first = first[often[first] > 1]
-                gram.append(grams[first])
-                cls.append(np.full(len(first), c, np.int64))
-                size.append(np.full(len(first), n, np.int32))
-            if gram:
-                yield pd.DataFrame({"gram": np.concatenate(gram).view(np.int64), "cls": np.concatenate(cls), "n": np.concatenate(size)})
-
-    return sets.select("cls", "n", "grams").mapInPandas(run, "gram long, cls long, n int")
+            if not len(batch):
+                continue
+            n = batch["n"].to_numpy().astype(np.int64)
+            grams = np.frombuffer(b"".join(batch["grams"]), np.uint64)
+            owner = np.repeat(np.arange(len(n)), n)
+            often = seen[(grams & mask).astype(np.int64)]
+            order = np.lexsort((grams, often, owner))
+            place = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
+            keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            order, place = order[place < keep[owner]], place[place < keep[owner]]
+            order, place = order[often[order] > 1], place[often[order] > 1]
+            maps = _bitmaps(grams, owner, len(n))
+            of = owner[order]
+            yield pd.DataFrame(
+                {"gram": grams[order].view(np.int64), "cls": batch["cls"].to_numpy()[of], "n": n[of].astype(np.int32), "place": place.astype(np.int32), "map1": maps[of, 0], "map2": maps[of, 1]}
+            )
+
+    return sets.select("cls", "n", "grams").mapInPandas(run, "gram long, cls long, n int, place int, map1 long, map2 long")
 
 
 def overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -159,13 +174,15 @@ def overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """cls_a < cls_b and similarity of every two different sets that overlap by the threshold. sets must be written."""
-    posts = retained(sets, count_sketch(sets), threshold).distinct()
-    posts = materialize(posts, "retained")
-    a = posts.select("gram", F.col("cls").alias("cls_a"), F.col("n").alias("n_a"))
-    b = posts.select("gram", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
-    sized = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
-    pairs = a.join(b, "gram").where((F.col("cls_a") < F.col("cls_b")) & sized).select("cls_a", "cls_b").distinct()
-    pairs = materialize(pairs, "candidates")
+    posts = retained(sets, count_sketch(sets), threshold).repartition("gram")
+    a, b = posts.alias("a"), posts.alias("b")
+    sizes = F.col("a.n") + F.col("b.n")
+    # The overlap that the threshold asks for; what the places after the shared value, and bits that only one set has, leave of it.
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * sizes - 1e-9)
+    apart = F.bit_count(F.col("a.map1").bitwiseXOR(F.col("b.map1"))) + F.bit_count(F.col("a.map2").bitwiseXOR(F.col("b.map2")))
+    fits = (F.col("a.n") - F.col("a.place") >= least) & (F.col("b.n") - F.col("b.place") >= least) & (sizes - apart >= 2 * least)
+    joined = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.cls") < F.col("b.cls")) & fits)
+    pairs = materialize(joined.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct(), "candidates")
     # Only the sets that some candidate needs are moved, each once.
     needed = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     bodies = sets.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("grams").alias("grams"))
