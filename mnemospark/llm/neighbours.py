@@ -26,7 +26,7 @@ MIN_PIVOTS, MAX_PIVOTS, MAX_SAMPLE = 32, 4096, 8192
 #: Nearest pivots in a vector's representation; it is posted to each of them.
 LENGTH = 5
 #: Vectors that a block of an inverted file should hold, and rows whose postings are packed together.
-BLOCK, PACK = 6_000, 20_000
+BLOCK, PACK = 6_000, 10_000
 #: Rows dropped by the caller go with the tasks up to this number, beyond it by a join on both sides.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -45,8 +45,12 @@ def valid(values: np.ndarray) -> np.ndarray:
 
 
 def units(values: np.ndarray) -> np.ndarray:
-    wide = values.astype(np.float64)
-    return (wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]).astype(np.float32)
+    """Rows of length 1, in blocks to bound memory."""
+    out = np.empty_like(values)
+    for i in range(0, len(values), 1024):
+        wide = values[i : i + 1024].astype(np.float64)
+        out[i : i + 1024] = wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
+    return out
 
 
 def permutation(u: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
@@ -86,12 +90,14 @@ def _matrix(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _hashes(values: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each row; 0.0 and -0.0 are the same."""
-    raw = (values + np.float32(0)).view(np.uint32).astype(np.uint64)
-    mult = (np.arange(1, values.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    out = np.empty(len(values), np.uint64)
     with np.errstate(over="ignore"):
-        h = ((raw * np.uint64(0xBF58476D1CE4E5B9)) ^ (raw >> np.uint64(13))) * mult
-        h = (h ^ (h >> np.uint64(29))).sum(1, dtype=np.uint64)
-    return h
+        mult = (np.arange(1, values.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        for i in range(0, len(values), 1024):
+            raw = (values[i : i + 1024] + np.float32(0)).view(np.uint32).astype(np.uint64)
+            h = ((raw * np.uint64(0xBF58476D1CE4E5B9)) ^ (raw >> np.uint64(13))) * mult
+            out[i : i + 1024] = (h ^ (h >> np.uint64(29))).sum(1, dtype=np.uint64)
+    return out
 
 
 def _first_copies(ids: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -103,18 +109,41 @@ def _first_copies(ids: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return order[place < n]
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Numbers as bytes of equal place next to each other, compressed: nothing is lost."""
-    import zstandard
+class Packer:
+    """Rows of vectors as compressed bytes; nothing is lost.
+
+    Where the numbers have few bits, as in half precision or whole steps, every number is the place of its upper half in
+    a table of at most 256; otherwise bytes of equal place lie next to each other.
+    """
+
+    def __init__(self, values: np.ndarray):
+        import zstandard
+
+        self.zip = zstandard.ZstdCompressor(level=1)
+        raw = np.ascontiguousarray(values).view(np.uint32)
+        self.table, self.rows = b"", raw
+        if not (raw & np.uint32(0xFFFF)).any():
+            high = (raw >> np.uint32(16)).astype(np.uint16)
+            used = np.flatnonzero(np.bincount(high.ravel(), minlength=1 << 16))
+            if len(used) <= 256:
+                place = np.zeros(1 << 16, np.uint8)
+                place[used] = np.arange(len(used))
+                self.table, self.rows = used.astype(np.uint16).tobytes(), place[high]
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 4).T.tobytes())
+    def rows_of(self, members: np.ndarray) -> bytes:
+        part = self.rows[members]
+        body = part.tobytes() if self.table else part.view(np.uint8).reshape(-1, 4).T.tobytes()
+        return len(self.table).to_bytes(2, "little") + self.table + self.zip.compress(body)
 
 
 def _unpack(raw: bytes, rows: int) -> np.ndarray:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.float32).reshape(rows, -1)
+    size = int.from_bytes(raw[:2], "little")
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[2 + size :]), np.uint8)
+    if size:
+        return (np.frombuffer(raw[2 : 2 + size], np.uint16)[body].astype(np.uint32) << np.uint32(16)).view(np.float32).reshape(rows, -1)
+    return np.ascontiguousarray(body.reshape(4, -1).T).view(np.float32).reshape(rows, -1)
 
 
 def fit(vectors: DataFrame, dims: int, rows: int) -> Pivots:
@@ -148,7 +177,7 @@ def _postings(vectors: DataFrame, pivots: Pivots, dims: int, copies: int) -> Dat
         keep = _first_copies(ids, _hashes(values), copies)
         ids, values = ids[keep], values[keep]
         perms = permutation(units(values), index.units, LENGTH)
-        length = perms.shape[1]
+        packer, length = Packer(values), perms.shape[1]
         owner, pivot = np.repeat(np.arange(len(ids)), length), perms.ravel().astype(np.int64)
         blocks = index.blocks[pivot]
         block = (ids[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % blocks
@@ -158,7 +187,7 @@ def _postings(vectors: DataFrame, pivots: Pivots, dims: int, copies: int) -> Dat
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             members = owner[order[a:b]]
             p, k = int(pivot[order[a]]), int(block[order[a]])
-            parts = (ids[members].tobytes(), perms[members].tobytes(), _pack(values[members]))
+            parts = (ids[members].tobytes(), perms[members].tobytes(), packer.rows_of(members))
             for other in range(int(index.blocks[p])):
                 rows.append((p, min(k, other), max(k, other), k, len(members), *parts))
         if rows:
@@ -194,8 +223,8 @@ def compare(ids: np.ndarray, block: np.ndarray, perms: np.ndarray, values: np.nd
     """(row, other, similarity): for each row of a file its k best among the rows it meets here."""
     u = units(values)
     left, right, n = [], [], len(ids)
-    for i in range(0, n, 1024):
-        s = u[i : i + 1024] @ u[i:].T
+    for i in range(0, n, 512):
+        s = u[i : i + 512] @ u[i:].T
         a, b = np.nonzero(s >= floor - 1e-5)
         keep = b > a
         a, b = a[keep] + i, b[keep] + i
@@ -221,9 +250,9 @@ def compare(ids: np.ndarray, block: np.ndarray, perms: np.ndarray, values: np.nd
         a, b = a[both], b[both]
     sim = np.empty(len(a))
     norm = np.sqrt(np.einsum("ij,ij->i", values, values, dtype=np.float64))
-    for i in range(0, len(a), 16384):
-        x, y = a[i : i + 16384], b[i : i + 16384]
-        sim[i : i + 16384] = np.einsum("ij,ij->i", values[x], values[y], dtype=np.float64) / (norm[x] * norm[y])
+    for i in range(0, len(a), 4096):
+        x, y = a[i : i + 4096], b[i : i + 4096]
+        sim[i : i + 4096] = np.einsum("ij,ij->i", values[x], values[y], dtype=np.float64) / (norm[x] * norm[y])
     sim = np.round(sim, digits)
     keep = sim >= floor
     a, b, sim = a[keep], b[keep], sim[keep]
