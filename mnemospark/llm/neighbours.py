@@ -16,6 +16,7 @@ from math import ceil, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _matrix(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(row_ids, vectors) of the rows of a batch that have dims numbers, all finite and not all 0."""
     column, ids = batch.column("embedding"), batch.column("row_id")
-    good = np.asarray(pa.compute.equal(pa.compute.list_value_length(column), dims).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
+    good = np.asarray(pc.equal(pc.list_value_length(column), dims).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
     good &= np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
     rows = column.filter(pa.array(good))
     values = rows.flatten().cast(pa.float32())
@@ -296,16 +297,15 @@ def nearest(vectors: DataFrame, k: int = 10, dims: int = 384, floor: float = 0.6
     found = posts.repartition(parts, "pivot", "low", "high").groupBy("pivot", "low", "high").applyInPandas(run, "row_id long, other long, similarity double")
     best = Window.partitionBy("row_id").orderBy(F.desc("similarity"), "other")
     top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
-    # Copies beyond the posted ones.
-    same = vectors.where(F.size("embedding") == dims).select("row_id", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
+    # Copies beyond the posted ones. The numbers are looked at only where many vectors are equal.
+    same = vectors.where(F.size("embedding") == dims).select("row_id", "embedding", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
     many = materialize(same.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h1", "h2"), "copies")
     if many.isEmpty():
         return top
-    copies = same.join(many, ["h1", "h2"], "left_semi")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    copies = same.join(many, ["h1", "h2"], "left_semi").where(finite).select("row_id", "h1", "h2")
     place = Window.partitionBy("h1", "h2").orderBy("row_id")
     firsts = materialize(copies.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1), "first-copies")
-    # What is no vector with a direction has no neighbours, however often it occurs.
-    usable = firsts.join(top.select("row_id").distinct(), "row_id", "left_semi")
     later = copies.join(firsts.select("row_id"), "row_id", "left_anti")
-    rest = later.join(usable.where(F.col("place") <= k).select("h1", "h2", F.col("row_id").alias("other")), ["h1", "h2"])
+    rest = later.join(firsts.where(F.col("place") <= k).select("h1", "h2", F.col("row_id").alias("other")), ["h1", "h2"])
     return top.unionByName(rest.select("row_id", "other", F.lit(1.0).alias("similarity")))
