@@ -106,7 +106,7 @@ def redact_text(text: str, rules: list[tuple[Rule, re.Pattern]]) -> tuple[str, d
     return text, counts
 
 
-def redact(df: DataFrame, column: str, custom: Sequence[Rule] = (), enabled: bool = True) -> DataFrame:
+def redact(df: DataFrame, column: str, custom: Sequence[Rule] = (), enabled: bool = True, rules: Sequence[Rule] = RULES) -> DataFrame:
     """df with column redacted, and redactions (count) and by_rule (map) added; columns of those names are replaced.
 
     Null and empty texts stay, with 0 redactions. Rows without any hint never leave the JVM. custom rules, ids
@@ -115,7 +115,7 @@ def redact(df: DataFrame, column: str, custom: Sequence[Rule] = (), enabled: boo
     rest = df.drop(*({"redactions", "by_rule"} & set(df.columns)))
     if not enabled:
         return rest.withColumns({"redactions": F.lit(0), "by_rule": F.create_map().cast("map<string,int>")})
-    rules = [*RULES, *(Rule(f"custom:{r.id}", r.pattern, r.group, r.checked, r.ignore_case) for r in custom)]
+    rules = [*rules, *(Rule(f"custom:{r.id}", r.pattern, r.group, r.checked, r.ignore_case) for r in custom)]
 
     @F.pandas_udf("text string, redactions int, by_rule map<string,int>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
