@@ -29,6 +29,8 @@ MAX_TEXTS = 16_000
 ORDERS = (1, 2, 3, 4, 6, 8, 11, 15, 20, 26)
 #: Contexts seen less often are left to the next shorter one: a text's own end must not vouch for itself.
 LEAST_SEEN = 2
+#: What the end of a text without a final mark counts: some of those are cut.
+UNMARKED = 0.5
 #: Weight of the shorter context, in observations.
 BACK = 0.7
 #: Characters of a context that are read; more than the longest order takes.
@@ -42,8 +44,10 @@ LEAST_CASES = 200
 
 #: What agents and imports put behind a text they cut.
 CUT_WORDS = r"truncat|cut|clip|omit|trimm|shorten|abbreviat|limit reached|continu|remaining|more char|gekürzt|abgeschnitten|tronqu|coupé|recort|cortad|truncad|afgekapt|ingekort|обрез|сокращ"
+#: What a transfer leaves that broke off, on a line of its own between marks.
+BROKEN = r"connection|transfer|stream|lost|interrupt|abort|disconnect|time-?out|timed out|reset by|unexpected eof|end of (?:buffer|input|stream)|killed|incomplete|partial|verbindung|connexion|conexi|conex|verbinding|соединен"
 CUT_SIGN = re.compile(
-    rf"\s*(?:[\[(<{{]\s*(?:\.{{3}}|…)\s*[\])>}}]|[\[(<{{][^\[\](){{}}<>\n]{{0,60}}(?:{CUT_WORDS})[^\[\](){{}}<>\n]{{0,60}}[\])>}}]|…|\.{{3,}})\s*$", re.I
+    rf"\s*(?:(?<=\n)[-=*#~_<>\[(!]{{2,}} ?[^\n]{{0,50}}(?:{CUT_WORDS}|{BROKEN})[^\n]{{0,50}}[-=*#~_<>\])!]{{2,}}|[\[(<{{]\s*(?:\.{{3}}|…)\s*[\])>}}]|[\[(<{{][^\[\](){{}}<>\n]{{0,60}}(?:{CUT_WORDS})[^\[\](){{}}<>\n]{{0,60}}[\])>}}]|…|\.{{3,}})\s*$", re.I
 )
 CLOSERS = "\"'»”’)]}*_`"
 #: Symbols: a name, path or code phrase; a closed code block; the start of a text; a word that isn't common.
@@ -101,7 +105,7 @@ def strip_sign(text: str) -> tuple[str, int]:
         if not m or not m[0]:
             return text.rstrip(), sign
         mark = m[0].strip()
-        text, sign = text[: m.start()], max(sign, 3 if mark[0] in "[(<{" else 2 if mark[0] == "…" else 1)
+        text, sign = text[: m.start()], max(sign, 3 if mark[0] in "[(<{-=*#~_!" else 2 if mark[0] == "…" else 1)
 
 
 def inside_block(text: str) -> bool:
@@ -121,8 +125,8 @@ def inside_block(text: str) -> bool:
 LIST_LINE = re.compile(r"^\s*(?:[-*+•→>]|\d{1,3}[.)])\s")
 
 
-#: Last lines that are code by their form: an assignment, a link or image.
-CODE_LINE = re.compile(r"^\s*[\w.$\[\]\"'-]+\s*(?:=|:=|=>|: ?[\"'])\s*\S.*$|!?\[[^\]]*\]\([^()]*\)$")
+#: Last lines that are code by their form: an assignment, a link or image, the end of a key, a hash or other long string at the end.
+CODE_LINE = re.compile(r"^\s*[\w.$\[\]\"'-]+\s*(?:=|:=|=>|: ?[\"'])\s*\S.*$|!?\[[^\]]*\]\([^()]*\)$|-----END [^\n]*-----$|(?:^|[\s=:\"'`/-])(?=[^\s]*\d)[A-Za-z0-9+/=_-]{24,}[`\"')\]}]*$")
 #: Shift of the log-odds by what stands behind the text: nothing, dots, one character of three dots, a phrase in brackets.
 SHIFT = (0.0, 0.0, -2.0, -6.0)
 
@@ -211,21 +215,21 @@ def _events(texts: list[str], cuts: list[str]) -> tuple[np.ndarray, np.ndarray,
         if not n:
             continue
         ok = np.ones(n, dtype=bool)
-        end = np.zeros(n, dtype=bool)
+        end = np.zeros(n, dtype=np.float32)
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         for ch in " \n.!?…":
             ok[raw == ord(ch)] = False
         for m in _END.finditer(text):
             ok[m.start() : m.end()] = False
             if m.start():
-                end[m.start() - 1] = True
+                end[m.start() - 1] = 1
         last = n - 1
         while last >= 0 and not ok[last]:
             last -= 1
         if last >= 0:
-            end[last] = True
+            end[last] = max(end[last], UNMARKED)
         breaks = np.flatnonzero(raw == 10)
-        end[breaks[breaks > 0] - 1] = True
+        end[breaks[breaks > 0] - 1] = 1
         codes.append(raw)
         allowed.append(ok)
         ended.append(end)
@@ -234,11 +238,11 @@ def _events(texts: list[str], cuts: list[str]) -> tuple[np.ndarray, np.ndarray,
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         codes.append(raw)
         allowed.append(np.arange(len(raw)) == len(raw) - 1)
-        ended.append(np.zeros(len(raw), dtype=bool))
+        ended.append(np.zeros(len(raw), dtype=np.float32))
         place.append(np.arange(1, len(raw) + 1))
     if not codes:
         z = np.zeros(0)
-        return z.astype(np.uint64), z.astype(bool), z.astype(bool), z.astype(np.int64)
+        return z.astype(np.uint64), z.astype(bool), z.astype(np.float32), z.astype(np.int64)
     return np.concatenate(codes).astype(np.uint64), np.concatenate(allowed), np.concatenate(ended), np.concatenate(place)
 
 
@@ -340,7 +344,10 @@ def train(texts: DataFrame, samples: DataFrame, max_texts: int = MAX_TEXTS, rows
     Texts with a sign of a cut, or that stop inside a block, don't teach where texts end. Every fifth text is left out
     of training and calibrates the thresholds.
     """
-    chosen = language._bounded(texts, ["tbl", "content"], max_texts, by=["tbl", "id"], rows=rows)
+    chosen = language._bounded(texts, ["tbl", "id", "content"], max_texts, by=["tbl", "id"], rows=rows)
+    # Repeated rows, and copies of a longer text, would vouch for their own ends.
+    once = {(tbl, id_ if len(text.split()) <= SHORT else text): text for tbl, id_, text in chosen}
+    chosen = [(tbl, text) for (tbl, _), text in once.items()]
     languages = language.train_calibrated(language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES))
     languages = language.adapt(languages, language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES), [r[1] for r in chosen[: language.MAX_TEXTS]])
     clean = []
@@ -385,6 +392,8 @@ def find_cut(texts: DataFrame, samples: DataFrame, extra: tuple[str, ...] = ())
         model, languages = pickle.loads(blob.value)
         scores = WordScores(languages)
         for batch in batches:
+            if not len(batch):
+                continue
             cut, odds = judge(batch["content"].tolist(), batch["tbl"].tolist(), model, scores)
             yield batch[keep].assign(cut=cut, log_odds=pd.Series(odds, index=batch.index, dtype="float64"))
 

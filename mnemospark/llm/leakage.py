@@ -205,6 +205,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 24, size: i
             index, shingler = pickle.loads(blob.value), Shingler(size)
             for batch in batches:
                 found = scan(batch["__text"].tolist(), index, shingler, threshold)
+                if not found:
+                    continue
                 yield pd.DataFrame(
                     {
                         key: batch[key].iloc[[f[0] for f in found]].tolist(),

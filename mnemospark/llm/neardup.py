@@ -193,6 +193,8 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if not len(batch):
+                continue
             found = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(batch["grams_a"], batch["grams_b"], strict=True)]
             out = batch[["cls_a", "cls_b"]].assign(similarity=found)
             yield out[out["similarity"] >= threshold - 1e-12]

@@ -208,6 +208,8 @@ def find_secrets(df: DataFrame, columns: list[str], keep: list[str], vocabulary:
         for batch in batches:
             where = [spans(t, subwords) for t in batch["text"]]
             hit = [bool(w) for w in where]
+            if not any(hit):
+                continue
             texts = batch["text"][hit].tolist()
             found = [w for w in where if w]
             yield batch.loc[hit, [*keep, "field"]].assign(

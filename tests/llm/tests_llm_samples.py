@@ -1,0 +1 @@
+from test_language import SAMPLES  # noqa: F401
