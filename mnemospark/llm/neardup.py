@@ -39,8 +39,8 @@ class Shingler:
 
     LIMIT = 1_000_000
 
-    def __init__(self, size: int, seed: int = 0):
-        self.size, self.seed, self.known = size, seed, {}
+    def __init__(self, size: int, seed: int = 0, bits: int = 64):
+        self.size, self.seed, self.bits, self.known = size, seed, bits, {}
 
     def words(self, text: str) -> np.ndarray:
         found = WORD.findall(text.lower())
@@ -66,7 +66,7 @@ class Shingler:
             for k in range(self.size):
                 h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(32)
-            return h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - HASH_BITS)
+            return h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)
 
 
 def shingle_sets(texts: DataFrame, size: int, min_words: int) -> DataFrame:
@@ -83,7 +83,7 @@ def shingle_sets(texts: DataFrame, size: int, min_words: int) -> DataFrame:
             for tbl, id_, text in zip(batch["tbl"], batch["id"], batch["content"], strict=True):
                 s = shinglers.get(tbl)
                 if s is None:
-                    s = shinglers[tbl] = Shingler(size, zlib.crc32(tbl.encode()))
+                    s = shinglers[tbl] = Shingler(size, zlib.crc32(tbl.encode()), HASH_BITS)
                 words = s.words(text)
                 if len(words) >= max(min_words, size):
                     grams = np.unique(s.shingles(words))

@@ -90,6 +90,13 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.find_leaks(df.limit(0), cases).count() == 0 and leakage.find_leaks(df, cases.limit(0)).count() == 0
 
 
+def test_fingerprints_spread_over_all_blocks():
+    index = leakage.build([(f"e{i}", " ".join(f"a{i}b{k}" for k in range(60))) for i in range(40)], 24, 5)
+    for b in range(leakage.RADIUS + 1):
+        value = (index.prints >> leakage.np.uint64(16 * b)) & leakage.np.uint64(0xFFFF)
+        assert len(set(value.tolist())) > 100
+
+
 def test_blocks_find_every_near_fingerprint():
     rng = np.random.default_rng(2)
     index = leakage.build([(f"e{i}", " ".join(f"a{i}b{k}" for k in range(40))) for i in range(20)], 24, 5)
