@@ -7,12 +7,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark import params as P
 from mnemospark.functions.rules import INJECTED_PREFIX, clip, content_hash, kind_of, self_referential, strip
 from mnemospark.operators.knn import knn
+from mnemospark.operators.sequence import beside
 
 
 def near_class(new: DataFrame, facts: DataFrame, vectors: DataFrame, merge: float = P.MERGE_SIMILARITY, near: float = P.NEAR_SIMILARITY) -> DataFrame:
@@ -100,13 +101,12 @@ def distill_candidates(
 
 def pair_context(turns: DataFrame) -> DataFrame:
     """turns with context: an answer with the start of its question, anything else with the start of its answer."""
-    w = Window.partitionBy("session_id").orderBy("row_id")
-    after = F.first(F.when(F.col("role") == "assistant", F.col("content")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     own = F.col("content")
-    answer = F.concat(F.lit("Q: "), F.substring(before, 1, 400), F.lit("\nA: "), own)
-    question = F.concat(F.lit("Q: "), own, F.lit("\nA: "), F.substring(after, 1, 1200))
-    return turns.withColumn("context", F.when(F.col("role") == "assistant", F.coalesce(answer, own)).otherwise(F.coalesce(question, own)))
+    rows = beside(turns, F.when(F.col("role") == "assistant", F.substring(own, 1, 1200)), F.when(F.col("role") == "user", F.substring(own, 1, 400)))
+    answer = F.concat(F.lit("Q: "), F.col("__before"), F.lit("\nA: "), own)
+    question = F.concat(F.lit("Q: "), own, F.lit("\nA: "), F.col("__after"))
+    context = F.when(F.col("role") == "assistant", F.coalesce(answer, own)).otherwise(F.coalesce(question, own))
+    return rows.withColumn("context", context).drop("__after", "__before")
 
 
 def parse_summary(raw: str) -> dict | None:

@@ -44,15 +44,13 @@ def sweep(cases: DataFrame, items: DataFrame, thresholds: list[float], limit: in
     The items are read once: an item counts for every threshold up to its score. As scores may not fall with the rank
     after penalties, the place among the items above a threshold is counted for each threshold.
     """
-    spark = cases.sparkSession
-    steps = F.broadcast(spark.createDataFrame([(t,) for t in thresholds], "threshold double"))
-    rows = items.join(steps, F.col("score") >= F.col("threshold"))
+    steps = cases.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
+    rows = items.withColumn("threshold", F.explode(F.filter(F.array(*(F.lit(t) for t in thresholds)), lambda t: t <= F.col("score"))))
     w = Window.partitionBy("threshold", "case_id").orderBy("rank")
     shown = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
     by_case = shown.groupBy("threshold", "case_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("h"), F.count_if("forbidden").alias("f"))
     total = by_case.groupBy("threshold").agg(F.count("*").alias("showing"), F.count_if(F.col("h") > 0).alias("with_hit"), F.sum("n").alias("injected"), F.sum("h").alias("hits"), F.sum("f").alias("bad"))
-    n = cases.agg(F.greatest(F.lit(1), F.count("*")).alias("cases"))
-    full = steps.join(total, "threshold", "left").na.fill(0).crossJoin(F.broadcast(n))  # n is a single row
+    full = steps.join(total, "threshold", "left").na.fill(0).withColumn("cases", F.lit(max(1, cases.count())))
     precision = F.when(F.col("injected") > 0, F.col("hits") / F.col("injected")).otherwise(F.lit(1.0))
     found = F.col("with_hit") / F.col("cases")
     full = full.withColumns({"precision": precision, "case_hit_rate": found})

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from mnemospark import params as P
 
 #: Queries of one pass: their vectors take this many times 4 bytes a dimension in every task.
-QUERIES_A_PASS = 4096
+QUERIES_A_PASS = 2048
 
 
 def matrix(column: pa.Array, keys: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,10 +54,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int = P.DIMS, digi
             best_s, best_r = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
             for batch in batches:
                 keys, v = matrix(batch.column("embedding"), batch.column("row_id"), dims)
-                for a in range(0, len(keys), 4096):
-                    s = np.round(q @ v[a : a + 4096].T, digits)
+                for a in range(0, len(keys), 1024):
+                    s = np.round(q @ v[a : a + 1024].T, digits)
                     s = np.concatenate((best_s, s), 1)
-                    r = np.concatenate((best_r, np.broadcast_to(keys[a : a + 4096].astype(np.int64), (len(ids), len(keys[a : a + 4096])))), 1)
+                    r = np.concatenate((best_r, np.broadcast_to(keys[a : a + 1024].astype(np.int64), (len(ids), len(keys[a : a + 1024])))), 1)
                     if s.shape[1] > k:
                         # Everything at least as good as the k-th stays until ties are broken by row_id.
                         limit = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]

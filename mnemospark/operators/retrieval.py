@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mnemospark import params as P
 from mnemospark.functions.rules import asks_about_memory, clip, self_referential
 from mnemospark.operators.knn import knn
+from mnemospark.operators.sequence import beside
 
 
 def _rank(*order: Column) -> Column:
@@ -51,19 +52,14 @@ def candidates(queries: DataFrame, vectors: DataFrame, turns: DataFrame, session
 def paired(turns: DataFrame) -> DataFrame:
     """turns with text: a user's turn with the next answer of its session, any other with the question before it.
 
-    The counterpart is taken by order of arrival. A session is one group of the window, sorted and spilled by Spark;
-    only the first or last counterpart is kept while it runs.
+    The counterpart is taken by order of arrival; only its clipped start is moved.
     """
-    w = Window.partitionBy("session_id").orderBy("row_id")
-    after = F.first(F.when(F.col("role") == "assistant", F.col("content")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return _pair_text(turns.withColumns({"__after": after, "__before": before}))
-
-
-def _pair_text(rows: DataFrame) -> DataFrame:
+    after = F.when(F.col("role") == "assistant", clip(F.col("content"), P.PAIR_ANSWER_CLIP, True))
+    before = F.when(F.col("role") == "user", clip(F.col("content"), P.PAIR_QUESTION_CLIP, True))
+    rows = beside(turns, after, before)
     own = F.col("content")
-    question = F.concat(F.lit("Q: "), own, F.lit("\nA: "), clip(F.col("__after"), P.PAIR_ANSWER_CLIP, True))
-    answer = F.concat(F.lit("Q: "), clip(F.col("__before"), P.PAIR_QUESTION_CLIP, True), F.lit("\nA: "), own)
+    question = F.concat(F.lit("Q: "), own, F.lit("\nA: "), F.col("__after"))
+    answer = F.concat(F.lit("Q: "), F.col("__before"), F.lit("\nA: "), own)
     text = F.when(F.col("role") == "user", F.coalesce(question, own)).otherwise(F.coalesce(answer, own))
     return rows.withColumn("text", text).drop("__after", "__before")
 
@@ -74,18 +70,9 @@ def snippets(found: DataFrame, turns: DataFrame, limit: int = P.LIMIT, min_score
     w = Window.partitionBy("query_id", "session_id").orderBy(*order)
     one = found.where(F.col("score") >= min_score).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     top = one.withColumn("position", _rank(*order)).where(F.col("position") <= limit)
-    # Only sessions that some result belongs to are read for counterparts, and only the turn right before or after counts.
-    wanted = top.select("session_id", "row_id", "role").distinct()
-    other = turns.select("session_id", F.col("row_id").alias("o_row"), F.col("role").alias("o_role"), F.col("content").alias("o_content"))
-    near = wanted.join(other, "session_id").where(
-        ((F.col("role") == "user") & (F.col("o_role") == "assistant") & (F.col("o_row") > F.col("row_id")))
-        | (~F.coalesce(F.col("role") == "user", F.lit(False)) & (F.col("o_role") == "user") & (F.col("o_row") < F.col("row_id")))
-    )
-    pick = near.groupBy("row_id").agg(
-        F.min_by("o_content", F.when(F.col("o_role") == "assistant", F.col("o_row"))).alias("__after"),
-        F.max_by("o_content", F.when(F.col("o_role") == "user", F.col("o_row"))).alias("__before"),
-    )
-    return _pair_text(top.join(pick, "row_id", "left"))
+    # Only sessions that some result belongs to are read for counterparts.
+    wanted = turns.join(top.select("session_id").distinct(), "session_id", "left_semi")
+    return top.join(paired(wanted).select("row_id", "text"), "row_id")
 
 
 def label_net(labels: DataFrame) -> DataFrame:

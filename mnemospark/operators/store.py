@@ -79,6 +79,6 @@ def cascade(sessions: DataFrame, turns: DataFrame, vectors: DataFrame, gone: Dat
 
 
 def retained_log(log: DataFrame, key: str, keep: int = P.LOG_KEEP) -> DataFrame:
-    """The rows whose key isn't more than keep below the greatest; the greatest is one row, so it goes with the tasks."""
-    top = log.agg(F.max(key).alias("__top"))
-    return log.crossJoin(F.broadcast(top)).where(F.col(key) >= F.col("__top") - keep).drop("__top")
+    """The rows whose key isn't more than keep below the greatest. An empty log stays empty."""
+    top = log.agg(F.max(key)).first()[0]
+    return log if top is None else log.where(F.col(key) >= top - keep)

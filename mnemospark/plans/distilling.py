@@ -11,7 +11,7 @@ from mnemospark.operators import curation
 from mnemospark.plans.base import FACTS_SQL, TURNS_SQL, knn_sql, stored_facts, stored_turns, vectors_sql
 from mnemospark.storage import table
 
-#: Turns whose recurrence is asked for: every twentieth row.
+#: Turns whose recurrence is asked for, and those that earlier runs left to be distilled: every twentieth row.
 STEP = 20
 
 
@@ -29,12 +29,12 @@ def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth fact of the feed's rows as a new one with the vector of its row, against the facts of other rows."""
+    """Every twentieth fact of the feed's rows as a new one with the vector of its row, against the facts of other rows."""
     facts = stored_facts(spark, sf_dir)
     v = table(spark, sf_dir, "vec_facts")
-    new = facts.where("row_id % 5 = 0").join(v, "row_id").select(F.col("row_id").alias("query_id"), F.when(F.col("row_id") % 2 == 0, F.col("content")).otherwise(F.concat(F.col("content"), F.lit(" (new)"))).alias("content"), "embedding")
-    store = facts.where("row_id % 5 <> 0")
-    out = curation.near_class(new, store, v.where("row_id % 5 <> 0"), P.MERGE_SIMILARITY, P.NEAR_SIMILARITY)
+    new = facts.where("row_id % 20 = 0").join(v, "row_id").select(F.col("row_id").alias("query_id"), F.when(F.col("row_id") % 40 == 0, F.col("content")).otherwise(F.concat(F.col("content"), F.lit(" (new)"))).alias("content"), "embedding")
+    store = facts.where("row_id % 20 <> 0")
+    out = curation.near_class(new, store, v.where("row_id % 20 <> 0"), P.MERGE_SIMILARITY, P.NEAR_SIMILARITY)
     return out
 
 
@@ -50,7 +50,7 @@ def cited_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
     t, v = stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns")
-    done = t.where("row_id % 3 = 0").select("row_id")
+    done = t.where(F.col("row_id") % STEP != 0).select("row_id")
     return curation.distill_candidates(t, v, table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), done, limit)
 
 
@@ -112,7 +112,7 @@ rc AS (SELECT k.query_id AS row_id, count(DISTINCT t.session_id) AS sessions FRO
 _CAND = f"""WITH {TURNS_SQL}, {FACTS_SQL}, {vectors_sql('vec_turns', 'vt')},
 cited AS (SELECT DISTINCT unnest(source_turn_ids) AS id FROM f),
 d0 AS (SELECT t.*, s.project, {_KIND} AS kind FROM t JOIN (SELECT row_id FROM vec_turns) ve USING (row_id) JOIN sessions s ON s.id = t.session_id
-  WHERE length(content) BETWEEN {P.DISTILL_MIN} AND {P.DISTILL_MAX} AND t.row_id % 3 <> 0
+  WHERE length(content) BETWEEN {P.DISTILL_MIN} AND {P.DISTILL_MAX} AND t.row_id % {STEP} = 0
     AND NOT (regexp_matches(content, '{_MARK}') OR len(regexp_extract_all(content, '(?i)\\brecall\\b')) >= 3)
     AND NOT regexp_matches(regexp_replace(content, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '^(Base directory for this skill|<command-|<system-reminder|<local-command)')),
 d AS (SELECT *, {_STRONG} AS strong FROM d0 WHERE kind IS NOT NULL AND id NOT IN (SELECT id FROM cited WHERE id IS NOT NULL)),
@@ -135,8 +135,8 @@ QUERIES = {
 SQL = {
     "detect_kind": f"WITH {TURNS_SQL}, x AS (SELECT role, {_KIND} AS kind FROM t) SELECT role, kind, count(*) AS n, count_if({_STRONG})::BIGINT AS strong FROM x GROUP BY 1, 2",
     "content_hash_dedup": f"SELECT {_HASH} AS hash, count(*) AS rows, min(row_id) AS first FROM facts WHERE content IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "near_duplicate_class": f"""WITH {FACTS_SQL}, {vectors_sql('vec_facts', 'vf')}, n AS (SELECT f.row_id AS query_id, CASE WHEN f.row_id % 2 = 0 THEN content ELSE content || ' (new)' END AS content FROM f JOIN (SELECT row_id FROM vec_facts) e USING (row_id) WHERE f.row_id % 5 = 0),
-q AS (SELECT vf.row_id AS query_id, vf.v FROM vf WHERE row_id IN (SELECT query_id FROM n)), vs AS (SELECT * FROM vf WHERE row_id % 5 <> 0), st AS (SELECT * FROM f WHERE row_id % 5 <> 0), {knn_sql('vs', 'q', 3)},
+    "near_duplicate_class": f"""WITH {FACTS_SQL}, {vectors_sql('vec_facts', 'vf')}, n AS (SELECT f.row_id AS query_id, CASE WHEN f.row_id % 40 = 0 THEN content ELSE content || ' (new)' END AS content FROM f JOIN (SELECT row_id FROM vec_facts) e USING (row_id) WHERE f.row_id % 20 = 0),
+q AS (SELECT vf.row_id AS query_id, vf.v FROM vf WHERE row_id IN (SELECT query_id FROM n)), vs AS (SELECT * FROM vf WHERE row_id % 20 <> 0), st AS (SELECT * FROM f WHERE row_id % 20 <> 0), {knn_sql('vs', 'q', 3)},
 ex AS (SELECT content_hash AS h, arg_min(id, row_id) AS exact FROM st GROUP BY 1),
 nh AS (SELECT query_id, sha256(regexp_replace(lower(substring(regexp_replace(content, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 1, {P.FACT_CLIP})), '{_SPACE}+', ' ', 'g')) AS h FROM n),
 cl AS (SELECT k.query_id, arg_min(st.id, k.rank) AS id, arg_min(k.similarity, k.rank) AS similarity FROM k JOIN st USING (row_id) WHERE NOT coalesce(st.archived, false) AND k.similarity >= {P.NEAR_SIMILARITY}::DOUBLE GROUP BY 1)

@@ -50,8 +50,8 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hook_stats_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the last seven days of the log, by source: searches, those that showed something, the average best score, the rate."""
     log = _log(spark, sf_dir)
-    last = log.agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("since"))
-    rows = log.crossJoin(F.broadcast(last)).where("ts >= since")
+    last = log.agg(F.max("ts")).first()[0]
+    rows = log.where(F.col("ts") >= F.lit(last) - F.expr("INTERVAL 7 DAYS"))
     showing = F.count_if(F.col("n_injected") > 0)
     return rows.groupBy("source").agg(
         F.count("*").alias("total"), showing.alias("injecting"), F.when(F.avg("top_score") != 0, F.round(F.avg("top_score"), 3)).alias("avg_top"), F.round(showing * 100 / F.count("*")).cast("long").alias("rate")
@@ -68,9 +68,9 @@ def recent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and share of the busiest session, for every session, stored or not."""
     n = stored_turns(spark, sf_dir).where("session_id IS NOT NULL").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("turns"))
-    top = n.agg(F.max("turns").alias("most"))
-    s = table(spark, sf_dir, "sessions").select("id", "project").join(n, "id", "left").crossJoin(F.broadcast(top))
-    return s.select("id", "project", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"), F.round(F.coalesce("turns", F.lit(0)) / F.col("most"), 6).alias("bar"))
+    most = n.agg(F.max("turns")).first()[0]
+    s = table(spark, sf_dir, "sessions").select("id", "project").join(n, "id", "left")
+    return s.select("id", "project", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"), F.round(F.coalesce("turns", F.lit(0)) / F.lit(most), 6).alias("bar"))
 
 
 def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +123,14 @@ def member_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds between the first and last turn of each session, times compared as instants, and the longest pause."""
     t = stored_turns(spark, sf_dir).where("session_id IS NOT NULL").select("session_id", F.unix_micros(instant(F.col("ts"))).alias("at"), "row_id").where("at IS NOT NULL")
-    w = Window.partitionBy("session_id").orderBy("at", "row_id")
-    gaps = t.withColumn("gap", F.col("at") - F.lag("at").over(w))
-    return gaps.groupBy("session_id").agg(((F.max("at") - F.min("at")) / 1e6).alias("seconds"), (F.coalesce(F.max("gap"), F.lit(0)) / 1e6).alias("pause"), F.count("*").alias("turns"))
+    # Pauses within an hour of a session, then those between its hours: no group holds a whole session.
+    hour = F.floor(F.col("at") / 3_600_000_000).alias("hour")
+    w = Window.partitionBy("session_id", "hour").orderBy("at", "row_id")
+    gaps = t.select("*", hour).withColumn("gap", F.col("at") - F.lag("at").over(w))
+    hours = gaps.groupBy("session_id", "hour").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("gap").alias("gap"), F.count("*").alias("n"))
+    edge = F.col("first") - F.lag("last").over(Window.partitionBy("session_id").orderBy("hour"))
+    hours = hours.withColumn("gap", F.greatest(F.coalesce("gap", F.lit(0)), F.coalesce(edge, F.lit(0))))
+    return hours.groupBy("session_id").agg(((F.max("last") - F.min("first")) / 1e6).alias("seconds"), (F.max("gap") / 1e6).alias("pause"), F.sum("n").alias("turns"))
 
 
 def session_join(spark: SparkSession, sf_dir: str) -> DataFrame:

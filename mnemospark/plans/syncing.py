@@ -43,16 +43,16 @@ def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records made of the sessions of each agent: linked by the hash of the record before, some broken on purpose."""
+    """Records made of sessions, a team for each first digit of their ids: linked by the hash of the record before, some broken on purpose."""
     from pyspark.sql import Window
 
-    s = table(spark, sf_dir, "sessions").where("id IS NOT NULL")
-    w = Window.partitionBy("source_agent").orderBy("id")
-    rows = s.select(F.col("source_agent").alias("team"), F.row_number().over(w).cast("long").alias("n"), "id")
-    rows = rows.withColumn("seq", F.when(F.col("n") % 97 == 0, F.col("n") + 1000000).otherwise(F.col("n")))
+    s = table(spark, sf_dir, "sessions").where("id IS NOT NULL").withColumn("team", F.substring("id", 1, 1))
+    w = Window.partitionBy("team").orderBy("id")
+    rows = s.select("team", F.row_number().over(w).cast("long").alias("n"), "id")
+    rows = rows.withColumn("seq", F.when(F.col("n") % 9 == 0, F.col("n") + 1000000).otherwise(F.col("n")))
     rows = rows.withColumn("hash", R.record_hash(F.col("team"), F.col("n"), F.lit("member_add"), F.lit(""), F.col("id")))
     before = F.coalesce(F.lag("hash").over(Window.partitionBy("team").orderBy("seq")), F.lit(R.GENESIS))
-    rows = rows.withColumn("prev_hash", F.when(F.col("n") % 41 == 0, F.sha2(before, 256)).otherwise(before))
+    rows = rows.withColumn("prev_hash", F.when(F.col("n") % 7 == 0, F.sha2(before, 256)).otherwise(before))
     return R.chain_links(rows.select("team", "seq", "prev_hash", "hash"))
 
 
@@ -89,10 +89,10 @@ SELECT fact_id, action, CASE WHEN action IN ('applied', 'conflict') THEN rv ELSE
   CASE WHEN action = 'conflict' THEN substring('[conflict] ' || lc, 1, 500) END AS copy FROM b""",
     "pending_push": f"WITH {FACTS_SQL} SELECT row_id, 'here:' || id || ':' || version AS op_id, CASE WHEN coalesce(archived, false) THEN 'fact_archive' ELSE 'fact_put' END AS kind FROM f WHERE shared > 0 AND version > synced_version",
     "sync_counts": f"WITH {FACTS_SQL} SELECT count_if(shared > 0)::BIGINT AS shared, count_if(shared > 0 AND version > synced_version)::BIGINT AS pending FROM f",
-    "chain_links": f"""WITH a AS (SELECT source_agent AS team, row_number() OVER (PARTITION BY source_agent ORDER BY id) AS n, id FROM sessions WHERE id IS NOT NULL),
-b AS (SELECT *, CASE WHEN n % 97 = 0 THEN n + 1000000 ELSE n END AS seq, sha256(team || '|rec|' || n || '|member_add||' || id) AS hash FROM a),
+    "chain_links": f"""WITH a AS (SELECT substring(id, 1, 1) AS team, row_number() OVER (PARTITION BY substring(id, 1, 1) ORDER BY id) AS n, id FROM sessions WHERE id IS NOT NULL),
+b AS (SELECT *, CASE WHEN n % 9 = 0 THEN n + 1000000 ELSE n END AS seq, sha256(team || '|rec|' || n || '|member_add||' || id) AS hash FROM a),
 c AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY team ORDER BY seq), '{R.GENESIS}') AS before FROM b),
-d AS (SELECT *, CASE WHEN n % 41 = 0 THEN sha256(before) ELSE before END AS prev_hash FROM c)
+d AS (SELECT *, CASE WHEN n % 7 = 0 THEN sha256(before) ELSE before END AS prev_hash FROM c)
 SELECT team, seq, CASE WHEN seq <> coalesce(lag(seq) OVER (PARTITION BY team ORDER BY seq), 0) + 1 THEN 'gap' WHEN prev_hash <> coalesce(lag(hash) OVER (PARTITION BY team ORDER BY seq), '{R.GENESIS}') THEN 'fork' ELSE 'ok' END AS state FROM d""",
     "membership_fold": """WITH k AS (SELECT seq, CASE WHEN op_kind = 'fact_archive' THEN 'member_revoke' WHEN pinned THEN 'rotate' ELSE 'member_add' END AS kind, factid AS member FROM wire_facts)
 SELECT member, CASE WHEN arg_max(kind, seq) = 'member_revoke' THEN 'revoked' ELSE 'active' END AS status, min(seq) AS since FROM k WHERE kind <> 'rotate' AND member IS NOT NULL GROUP BY 1""",

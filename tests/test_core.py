@@ -12,6 +12,7 @@ from mnemospark.functions import redaction, rules
 from mnemospark.functions.text import instant, is_blank, speaker
 from mnemospark.operators import curation, evaluation, replication, retrieval, store
 from mnemospark.operators.knn import knn
+from mnemospark.operators.sequence import beside
 
 TURNS = "row_id long, id string, session_id string, role string, content string, tool_summary string, ts string, redaction_count int"
 
@@ -151,6 +152,22 @@ def test_pairing_and_budget(spark):
     assert [(r.query_id, r.position) for r in retrieval.within_budget(rows, "piece", 10).collect()] == [(1, 1)]
 
 
+@pytest.mark.parametrize("bucket", [1, 3, 1000])
+def test_beside_across_buckets(spark, bucket):
+    import random
+
+    rng = random.Random(bucket)
+    rows = [(i * 2, rng.choice(["s", "s", "t", None]), rng.choice(["u", "a", "n"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, session_id string, role string")
+    name = F.concat("role", F.col("row_id").cast("string"))
+    got = {r.row_id: (r["__after"], r["__before"]) for r in beside(df, F.when(F.col("role") == "a", name), F.when(F.col("role") == "u", name), bucket=bucket).collect()}
+    for i, s, _ in rows:
+        same = [(j, r) for j, t, r in rows if t == s]
+        after = next((f"a{j}" for j, r in same if j > i and r == "a"), None)
+        before = next((f"u{j}" for j, r in reversed(same) if j < i and r == "u"), None)
+        assert got[i] == (after, before)
+
+
 def test_facts_in_order():
     store_ = {}
     sim = lambda a, b: float(np.dot(a["vector"], b["vector"]))
