@@ -24,7 +24,7 @@ from mnemospark.llm.charlm import CharModel, WordScores
 from mnemospark.llm.prose import prose_words, sentences
 
 #: At most so many texts train the model, those with the smallest hashes.
-MAX_TEXTS = 16_000
+MAX_TEXTS = 12_000
 #: Lengths of the contexts, shortest first.
 ORDERS = (1, 2, 3, 4, 6, 8, 11, 15, 20, 26)
 #: Contexts seen less often are left to the next shorter one: a text's own end must not vouch for itself.
@@ -33,6 +33,8 @@ LEAST_SEEN = 2
 UNMARKED = 0.5
 #: Weight of the shorter context, in observations.
 BACK = 0.7
+#: Places handled at once.
+PART = 1 << 18
 #: Characters of a context that are read; more than the longest order takes.
 WINDOW = 160
 #: Places inside words at which each training text is cut to show how such a cut looks.
@@ -233,17 +235,17 @@ def _events(texts: list[str], cuts: list[str]) -> tuple[np.ndarray, np.ndarray,
         codes.append(raw)
         allowed.append(ok)
         ended.append(end)
-        place.append(np.arange(1, n + 1))
+        place.append(np.arange(1, n + 1, dtype=np.int32))
     for text in cuts:  # only where they stop
         raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         codes.append(raw)
         allowed.append(np.arange(len(raw)) == len(raw) - 1)
         ended.append(np.zeros(len(raw), dtype=np.float32))
-        place.append(np.arange(1, len(raw) + 1))
+        place.append(np.arange(1, len(raw) + 1, dtype=np.int32))
     if not codes:
         z = np.zeros(0)
-        return z.astype(np.uint64), z.astype(bool), z.astype(np.float32), z.astype(np.int64)
-    return np.concatenate(codes).astype(np.uint64), np.concatenate(allowed), np.concatenate(ended), np.concatenate(place)
+        return z.astype(np.uint32), z.astype(bool), z.astype(np.float32), z.astype(np.int32)
+    return np.concatenate(codes), np.concatenate(allowed), np.concatenate(ended), np.concatenate(place)
 
 
 def fit(texts: list[str], seed: int = 5) -> EndModel:
@@ -253,31 +255,37 @@ def fit(texts: list[str], seed: int = 5) -> EndModel:
         words = [m.span() for m in _LETTERS.finditer(text) if m.end() - m.start() > 1]
         for k in rng.integers(0, len(words), CUTS) if words else ():
             a, b = words[k]
-            cuts.append(coarse(text[max(0, b - WINDOW) : int(rng.integers(a + 1, b))], vocabulary))
+            cuts.append(coarse(text[max(0, b - WINDOW) : int(rng.integers(a + 1, b))], vocabulary)[-ORDERS[-1] :])
     codes, allowed, ended, place = _events([coarse(t, vocabulary) for t in texts], cuts)
-    with np.errstate(over="ignore"):
-        n = len(codes)
-        powers = _powers(max(ORDERS) + 1)
-        # A polynomial hash of the last k symbols, built by adding one symbol further back at a time.
-        rolling = np.zeros(n, np.uint64)
-        at = np.flatnonzero(allowed)
-        prior = float(ended[at].mean()) if len(at) else 0.5
-        tables, done = [], 0
-        for order in ORDERS:
-            for k in range(done, order):
-                back = at - k
-                rolling[at] += np.where(back >= 0, (codes[np.maximum(back, 0)] + np.uint64(1)) * powers[k], np.uint64(0))
-            done = order
-            at = at[place[at] >= order]
-            h = _mix(rolling[at], order)
-            keys, inverse = np.unique(h, return_inverse=True)
-            total = np.bincount(inverse).astype(np.float32) if len(h) else np.zeros(0, np.float32)
-            ends = np.bincount(inverse, weights=ended[at]).astype(np.float32) if len(h) else np.zeros(0, np.float32)
-            tables.append((keys, ends, total))
-            if len(at):
-                at = at[((ends > 0) & (total >= LEAST_SEEN))[inverse]]
-            kept = total >= LEAST_SEEN
-            tables[-1] = (keys[kept], ends[kept], total[kept])
+    del cuts
+    powers = _powers(max(ORDERS) + 1)
+    at = np.flatnonzero(allowed).astype(np.int32)
+    prior = float(ended[at].mean()) if len(at) else 0.5
+    # A polynomial hash of the last symbols, built by adding one symbol further back at a time; in parts, to bound memory.
+    rolling = np.zeros(len(at), np.uint64)
+    tables, done = [], 0
+    for order in ORDERS:
+        keep = place[at] >= order
+        at, rolling = at[keep], rolling[keep]
+        parts = [slice(i, i + PART) for i in range(0, len(at), PART)]
+        with np.errstate(over="ignore"):
+            for part in parts:
+                for k in range(done, order):
+                    rolling[part] += (codes[at[part] - k].astype(np.uint64) + np.uint64(1)) * powers[k]
+        done = order
+        h = _mix(rolling, order)
+        keys = np.unique(h)
+        ends, total = np.zeros(len(keys), np.float32), np.zeros(len(keys), np.float32)
+        for part in parts:
+            k = np.searchsorted(keys, h[part])
+            total += np.bincount(k, minlength=len(keys)).astype(np.float32)
+            ends += np.bincount(k, weights=ended[at[part]], minlength=len(keys)).astype(np.float32)
+        kept = total >= LEAST_SEEN
+        tables.append((keys[kept], ends[kept], total[kept]))
+        if len(at):
+            longer = kept & (ends > 0)
+            go = np.concatenate([longer[np.searchsorted(keys, h[part])] for part in parts])
+            at, rolling = at[go], rolling[go]
     return EndModel(tables, min(max(prior, 1e-4), 0.5), {}, vocabulary)
 
 
