@@ -11,11 +11,11 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import is_blank
@@ -137,6 +137,22 @@ SHIFT = (0.0, 0.0, -2.0, -6.0)
 SHORT, SHORT_SHIFT = 6, 5.0
 
 
+#: A length is a limit of its column if so large a share of all texts has it, and so many times as many as have each of
+#: the NEAR lengths around it. A text of just that length that the model is asked about, as it has no final mark, ends there by chance
+#: hardly ever: shift of its log-odds.
+#: Limits of texts aren't shorter than LEAST_LIMIT.
+LIMIT_SHARE, LIMIT_TIMES, NEAR, LEAST_LIMIT, LIMIT_SHIFT = 0.0003, 5, 8, 100, -30.0
+
+
+def limits(texts: DataFrame) -> set[tuple[str, int]]:
+    """(tbl, length) of the lengths at which different contents pile up, counted over all texts; at most 1 / LIMIT_SHARE a table."""
+    n = texts.where("content IS NOT NULL").groupBy("tbl", F.length("content").alias("size")).agg(F.count_distinct(F.xxhash64("content")).alias("n"))
+    around = Window.partitionBy("tbl").orderBy("size").rangeBetween(-NEAR, NEAR)
+    seen = n.withColumns({"others": F.sum("n").over(around) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("tbl"))})
+    high = seen.where((F.col("size") >= LEAST_LIMIT) & (F.col("n") >= 10) & (F.col("n") >= LIMIT_SHARE * F.col("all")) & (F.col("n") >= LIMIT_TIMES * (F.col("others") / (2 * NEAR) + 1)))
+    return {(x[0], x[1]) for x in high.select("tbl", "size").collect()}
+
+
 def question(text: str) -> tuple[str, bool | None, int]:
     """(context, verdict, sign): verdict is False for what is complete, True for what is cut, None where the model decides."""
     bare, signed = strip_sign(text)
@@ -165,6 +181,7 @@ class EndModel:
     prior: float
     thresholds: dict[tuple[str, str], float]
     vocabulary: set[str]
+    limits: set[tuple[str, int]] = field(default_factory=set)
 
     def log_odds(self, contexts: list[str]) -> np.ndarray:
         """Natural log of end against continuation after each context of symbols."""
@@ -347,9 +364,11 @@ def text_language(texts: list[str], scores: WordScores) -> list[str]:
 
 
 def train(texts: DataFrame, samples: DataFrame, max_texts: int = MAX_TEXTS, rows: int | None = None) -> tuple[EndModel, CharModel]:
-    """The end model with its thresholds, and the language models, from a bounded sample of texts (tbl, content).
+    """The end model with its thresholds and limits, and the language models, from texts (tbl, id, content).
+
+    All but the limits, which are counted over all texts, comes from a bounded sample.
 
-    Texts with a sign of a cut, or that stop inside a block, don't teach where texts end. Every fifth text is left out
+    Texts with a sign of a cut other than three dots, or that stop inside a block, don't teach where texts end. Every fifth text is left out
     of training and calibrates the thresholds.
     """
     chosen = language._bounded(texts, ["tbl", "id", "content"], max_texts, by=["tbl", "id"], rows=rows)
@@ -361,12 +380,13 @@ def train(texts: DataFrame, samples: DataFrame, max_texts: int = MAX_TEXTS, rows
     clean = []
     for tbl, text in chosen:
         bare, signed = strip_sign(text)
-        if not signed and bare and not inside_block(bare):
+        if signed <= 1 and bare and not inside_block(bare):
             clean.append((tbl, bare))
     held = [x for i, x in enumerate(clean) if i % 5 == 4]
     model = fit([symbols(t) for i, (_, t) in enumerate(clean) if i % 5 != 4])
     langs = text_language([t for _, t in held], WordScores(languages))
     model.thresholds = _calibrate(model, [(lang, tbl, t) for lang, (tbl, t) in zip(langs, held, strict=True)])
+    model.limits = limits(texts)
     return model, languages
 
 
@@ -380,7 +400,7 @@ def judge(texts: list[str], columns: list[str], model: EndModel, scores: WordSco
         value = model.log_odds([asked[i][0] for i in open_])
         lang = text_language([texts[i] for i in open_], scores)
         for i, x, g in zip(open_, value, lang, strict=True):
-            x += SHIFT[asked[i][2]] + (SHORT_SHIFT if not asked[i][2] and len(asked[i][0].split()) <= SHORT and "\n" not in asked[i][0] else 0)
+            x += (LIMIT_SHIFT if (columns[i], len(texts[i])) in model.limits else 0) + SHIFT[asked[i][2]] + (SHORT_SHIFT if asked[i][2] <= 1 and len(asked[i][0].split()) <= SHORT and "\n" not in asked[i][0] else 0)
             limit = model.thresholds.get((g, columns[i]), model.thresholds[("", "")])
             odds[i], cut[i] = float(x), bool(x < limit)
     return cut, odds
