@@ -51,24 +51,31 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int = P.DIMS, digi
 
         def run(batches: Iterator[pa.RecordBatch], blob=blob) -> Iterator[pa.RecordBatch]:
             ids, q = blob.value
-            best_s, best_r = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+            n = len(ids)
+            query, row, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            worst = np.full(n, -np.inf)  # of the k best of each query so far
             for batch in batches:
                 keys, v = matrix(batch.column("embedding"), batch.column("row_id"), dims)
                 for a in range(0, len(keys), 1024):
                     s = np.round(q @ v[a : a + 1024].T, digits)
-                    s = np.concatenate((best_s, s), 1)
-                    r = np.concatenate((best_r, np.broadcast_to(keys[a : a + 1024].astype(np.int64), (len(ids), len(keys[a : a + 1024])))), 1)
-                    if s.shape[1] > k:
-                        # Everything at least as good as the k-th stays until ties are broken by row_id.
-                        limit = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        width = int((s >= limit[:, None]).sum(1).max())
-                        order = np.argsort(-s, axis=1, kind="stable")[:, :width]
-                        s, r = np.take_along_axis(s, order, 1), np.take_along_axis(r, order, 1)
-                        order = np.lexsort((r, -s), axis=1)[:, :k]
-                        s, r = np.take_along_axis(s, order, 1), np.take_along_axis(r, order, 1)
-                    best_s, best_r = s, r
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_r.ravel()), pa.array(best_s.ravel())], names=["query_id", "row_id", "similarity"])
+                    floor = worst
+                    if s.shape[1] > k and np.isneginf(worst).any():
+                        floor = np.maximum(worst, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+                    # Only what is as good as the worst of the best so far can change them; ties go by row_id.
+                    x, y = np.nonzero(s >= floor[:, None])
+                    if not len(x):
+                        continue
+                    query = np.concatenate((query, x))
+                    row = np.concatenate((row, keys[a : a + 1024].astype(np.int64)[y]))
+                    score = np.concatenate((score, s[x, y]))
+                    order = np.lexsort((row, -score, query))
+                    first = np.searchsorted(query[order], np.arange(n))
+                    place = np.arange(len(order)) - first[query[order]]
+                    order, place = order[place < k], place[place < k]
+                    query, row, score = query[order], row[order], score[order]
+                    full = place == k - 1
+                    worst[query[full]] = score[full]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(row), pa.array(score)], names=["query_id", "row_id", "similarity"])
 
         found = vectors.select(F.col("row_id").cast("long").alias("row_id"), "embedding").mapInArrow(run, "query_id long, row_id long, similarity double")
         out = found if out is None else out.unionByName(found)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark import params as P
-from mnemospark.functions.rules import kind_of
+from mnemospark.functions.rules import content_hash, kind_of, self_markers
 from mnemospark.operators import curation
 from mnemospark.plans.base import FACTS_SQL, TURNS_SQL, knn_sql, stored_facts, stored_turns, vectors_sql
 from mnemospark.storage import table
@@ -22,8 +22,6 @@ def detect_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.functions.rules import content_hash
-
     f = table(spark, sf_dir, "facts").where("content IS NOT NULL")
     return f.groupBy(content_hash(F.col("content")).alias("hash")).agg(F.count("*").alias("rows"), F.min("row_id").alias("first")).where("rows > 1")
 
@@ -100,7 +98,7 @@ _KIND = r"""CASE WHEN regexp_matches(content, '(?i)\b(decided|decision|we(''ll|
   WHEN regexp_matches(content, '(?i)\b(always|never|prefer|convention|from now on|by default|rule of thumb)\b') THEN 'preference'
   WHEN regexp_matches(content, '(?i)\b(the (command|url|endpoint|path|port|token|config|file) (is|lives)|located at|listens on|port [0-9]{2,5})\b') THEN 'reference' END"""
 _HASH = rf"sha256(regexp_replace(lower(regexp_replace(content, '^{_SPACE}+|{_SPACE}+$', '', 'g')), '{_SPACE}+', ' ', 'g'))"
-_MARK = r"(?i)auto-recalled|userpromptsubmit|prompt-hook|stop-hook|recalld|recall-mcp|recall daemon|recall store|recall hook"
+_MARK = self_markers()
 
 
 def _recurrence(asked: str) -> str:

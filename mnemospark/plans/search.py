@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark import params as P
-from mnemospark.functions.rules import clip
+from mnemospark.functions.rules import clip, self_markers
 from mnemospark.operators import retrieval
 from mnemospark.operators.knn import knn
 from mnemospark.plans.base import FACTS_SQL, QUERY_STEP, TURNS_SQL, knn_sql, stored_facts, stored_turns, vectors_sql
@@ -39,7 +39,7 @@ s AS (SELECT id AS session_id, project FROM sessions),
 q AS (SELECT v.row_id AS query_id, v.v, t0.content AS query, t0.session_id AS exclude_session_id, CASE WHEN v.row_id % {3 * QUERY_STEP} = 0 THEN s.project END AS project
   FROM vt v JOIN turns t0 USING (row_id) LEFT JOIN s ON s.session_id = t0.session_id WHERE v.row_id % {QUERY_STEP} = 0),
 ti AS (SELECT * REPLACE (content || {INJECT} AS content) FROM t)"""
-_MARK = r"(?i)auto-recalled|userpromptsubmit|prompt-hook|stop-hook|recalld|recall-mcp|recall daemon|recall store|recall hook"
+_MARK = self_markers()
 
 
 def _candidates_sql(pool: int) -> str:

@@ -191,7 +191,7 @@ SELECT coalesce(st.id, n.id) AS id, coalesce(st.source_agent, n.source_agent) AS
   CASE WHEN st.source_agent IS NULL THEN n.ts ELSE st.started_at END AS started_at, coalesce(n.ts, st.last_seen_at) AS last_seen_at, st.title FROM st FULL OUTER JOIN n ON st.id = n.id""",
     "ensure_session": "SELECT id, source_agent, project FROM sessions UNION ALL SELECT DISTINCT session_id, 'codex', NULL FROM turns WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT id FROM sessions)",
     "insert_or_ignore": "SELECT row_id, id FROM turns WHERE row_id % 2 = 1 AND (id IS NULL OR id NOT IN (SELECT id FROM turns WHERE row_id % 2 = 0 AND id IS NOT NULL)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id) = 1",
-    "self_reference": f"""WITH {TURNS_SQL}, x AS (SELECT row_id, {_TOOL} AS c FROM t) SELECT row_id, coalesce(regexp_matches(c, '(?i)auto-recalled|userpromptsubmit|prompt-hook|stop-hook|recalld|recall-mcp|recall daemon|recall store|recall hook') OR len(regexp_extract_all(c, '(?i)\\brecall\\b')) >= 3, false) AS about_tool,
+    "self_reference": f"""WITH {TURNS_SQL}, x AS (SELECT row_id, {_TOOL} AS c FROM t) SELECT row_id, coalesce(regexp_matches(c, '{rules.self_markers()}') OR len(regexp_extract_all(c, '(?i)\\brecall\\b')) >= 3, false) AS about_tool,
 coalesce(regexp_matches(c, '(?i)recall|memor(y|ies)|past session|userpromptsubmit|hook'), false) AS about_memory FROM x""",
     "injected": f"""WITH {TURNS_SQL}, x AS (SELECT row_id, CASE row_id % 5 WHEN 0 THEN '<environment_context>' WHEN 1 THEN '  <system-reminder>' WHEN 2 THEN '<b>' ELSE '' END || content AS content FROM t WHERE content IS NOT NULL)
 SELECT row_id, regexp_matches(content, '(?i)^<(environment_context|user_instructions|permissions|apps_instructions|ide_|turn_context|collaboration_mode)') OR (length(content) > 6000 AND starts_with(content, '<')) AS context,
