@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import ceil, sqrt
+from math import sqrt
 
 import numpy as np
 import pandas as pd

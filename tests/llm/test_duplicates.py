@@ -163,6 +163,9 @@ def test_neighbours_recall_against_brute_force(spark):
         assert all(abs(s[i, j] - x) < 1e-8 for j, x in got.get(i, []))
         hit, total = hit + len(mine & set(want)), total + len(want)
     assert hit / total >= 0.9 and max(got) < 2000
+    pairs = lambda **x: sorted((r.row_id, r.other) for r in neighbours.nearest(df, 5, 32, 0.6, skip, **x).collect())
+    every, few = pairs(), pairs(candidates=8)
+    assert pairs(candidates=10**6) == every and len(few) > 0.5 * len(every)
     assert neighbours.nearest(df.limit(0), 5, 32).count() == 0
 
 

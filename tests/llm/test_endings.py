@@ -1,7 +1,8 @@
 import random
 
+from language_samples import SAMPLES
+
 from mnemospark.llm import endings
-from tests_llm_samples import SAMPLES  # noqa: F401
 
 SENTENCES = ["the queue waits {n} ms before the next step is touched again", "we decided to keep gate_{n} because the older path lost {n} rows", "nobody has touched lib/x_{n}.py since the build was changed", "it took {n} seconds to rebuild the index from scratch", "please note that the value was renamed in revision {n}"]
 
