@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark import params as P
 from mnemospark.functions.text import instant
 from mnemospark.operators.store import retained_log
 from mnemospark.plans.base import FACTS_SQL, TURNS_SQL, stored_facts, stored_turns
