@@ -40,3 +40,16 @@ def embed(rows: DataFrame, text: str, make: Callable[[], Embedder] = lambda: wor
             yield pd.Series([v for p in parts for v in p])
 
     return rows.select("row_id", run(F.col(text)).alias("embedding"))
+
+
+def prepared(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id and embedding of queries (query_id, query) from vectors (key, embedding) made before.
+
+    The key is the start of the hash of the query's text. A query without a vector is an error, as a search without it
+    would look like one without results.
+    """
+    keyed = queries.select("query_id", F.substring(F.sha2("query", 256), 1, 16).alias("key"))
+    missing = keyed.join(vectors, "key", "left_anti").orderBy("query_id").first()
+    if missing:
+        raise KeyError(f"no vector for query {missing['query_id']}")
+    return keyed.join(vectors, "key").select("query_id", "embedding")

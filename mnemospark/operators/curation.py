@@ -158,3 +158,38 @@ def latest_labels(labels: DataFrame) -> DataFrame:
     """fact_id, member, verdict, ts, version: each member's last verdict on a fact, the version counts the changes."""
     order = F.struct("ts", "seq")
     return labels.groupBy("fact_id", "member").agg(F.max_by("verdict", order).alias("verdict"), F.max("ts").alias("ts"), (F.count("*") - 1).alias("version"))
+
+
+def apply_changes(facts: DataFrame, changes: DataFrame, now: str) -> DataFrame:
+    """facts after changes (id, content, pinned, archived; null leaves a value as it is), at most one for each fact.
+
+    A new content is clipped, hashed again and marks the fact as edited. Whatever changes raises the version by one and
+    sets updated_at, so that the fact is sent again; merging sources doesn't, and isn't done here.
+    """
+    n = changes.select("id", F.col("content").alias("n_content"), F.col("pinned").alias("n_pinned"), F.col("archived").alias("n_archived"))
+    rows = facts.join(n, "id", "left")
+    text = clip(strip(F.col("n_content")), P.FACT_CLIP)
+    edited = F.coalesce(text != "", F.lit(False))
+    moved = edited | F.coalesce(F.col("n_pinned") != F.coalesce("pinned", F.lit(False)), F.lit(False)) | F.coalesce(F.col("n_archived") != F.coalesce("archived", F.lit(False)), F.lit(False))
+    new = {
+        "content": F.when(edited, text).otherwise(F.col("content")),
+        "content_hash": F.when(edited, content_hash(text)).otherwise(F.col("content_hash")),
+        "edited": F.when(edited, F.lit(True)).otherwise(F.col("edited")),
+        "pinned": F.coalesce("n_pinned", "pinned"),
+        "archived": F.coalesce("n_archived", "archived"),
+        "version": F.when(moved, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")),
+        "updated_at": F.when(moved, F.lit(now)).otherwise(F.col("updated_at")),
+    }
+    return rows.select(*(new[c].cast(facts.schema[c].dataType).alias(c) if c in new else F.col(c) for c in facts.columns))
+
+
+def set_labels(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """labels (fact_id, member, verdict, ts, version) after new ones (fact_id, member, verdict, ts), one for each pair.
+
+    A first label has version 0, each later one raises it by one.
+    """
+    n = new.select("fact_id", "member", F.col("verdict").alias("n_verdict"), F.col("ts").alias("n_ts"))
+    both = labels.join(n, ["fact_id", "member"], "full_outer")
+    again = F.col("n_verdict").isNotNull() & F.col("verdict").isNotNull()
+    version = F.when(again, F.col("version") + 1).otherwise(F.coalesce("version", F.lit(0)))
+    return both.select("fact_id", "member", F.coalesce("n_verdict", "verdict").alias("verdict"), F.coalesce("n_ts", "ts").alias("ts"), version.cast("long").alias("version"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark import params as P
+from mnemospark.functions.redaction import redact
 from mnemospark.functions.rules import low_signal, project_of
 
 
@@ -82,3 +83,32 @@ def retained_log(log: DataFrame, key: str, keep: int = P.LOG_KEEP) -> DataFrame:
     """The rows whose key isn't more than keep below the greatest. An empty log stays empty."""
     top = log.agg(F.max(key)).first()[0]
     return log if top is None else log.where(F.col(key) >= top - keep)
+
+
+def redact_stored(turns: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, worklist): stored turns redacted again, their counts added up, and the rows whose vector must be made anew.
+
+    Only turns that change and have a vector are on the worklist. The caller writes the turns to a new place and removes
+    the old files, which is what removes the plain text.
+    """
+    done = redact(turns, "content").drop("by_rule")
+    out = done.withColumn("redaction_count", (F.coalesce("redaction_count", F.lit(0)) + F.col("redactions")).cast("int"))
+    work = done.where("redactions > 0").select("row_id").join(vectors.select("row_id"), "row_id", "left_semi")
+    return out.select(*turns.columns), work
+
+
+def log_entries(queries: DataFrame, results: DataFrame, source: str, now: str) -> DataFrame:
+    """One row of the activity log for each query, those without results too.
+
+    queries has query_id and query, results query_id, position, id, source and score. The query's text is clipped and
+    redacted before it is kept; scores have four places.
+    """
+    found = results.select("query_id", F.struct("position", "id", F.col("source").alias("kind"), F.round("score", 4).alias("score")).alias("r"))
+    by = found.groupBy("query_id").agg(F.array_sort(F.collect_list("r")).alias("results"))
+    asked = redact(queries.select("query_id", F.substring("query", 1, P.LOG_QUERY_CLIP).alias("query")), "query").drop("redactions", "by_rule")
+    rows = asked.join(by, "query_id", "left")
+    empty = F.array().cast("array<struct<position:bigint,id:string,kind:string,score:double>>")
+    rows = rows.withColumn("results", F.coalesce(F.col("results").cast("array<struct<position:bigint,id:string,kind:string,score:double>>"), empty))
+    return rows.select(
+        "query_id", F.lit(now).alias("ts"), F.lit(source).alias("source"), "query", "results", F.size("results").cast("long").alias("n_injected"), F.array_max(F.transform("results", lambda x: x["score"])).alias("top_score")
+    )

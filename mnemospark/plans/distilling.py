@@ -91,6 +91,29 @@ def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("content_hash", F.array_join(ids, ",").alias("sources"), F.size(ids).cast("long").alias("n"))
 
 
+def fact_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth fact gets a new content, others are pinned or archived or left alone."""
+    f = stored_facts(spark, sf_dir)
+    c = f.where("row_id % 3 <> 0").select(
+        "id",
+        F.when(F.col("row_id") % 10 == 0, F.concat(F.lit("  New: "), "content")).alias("content"),
+        F.when(F.col("row_id") % 4 == 0, F.lit(True)).alias("pinned"),
+        F.when(F.col("row_id") % 5 == 0, F.lit(True)).alias("archived"),
+    )
+    out = curation.apply_changes(f, c, "2025-10-01T00:00:00Z")
+    return out.select("row_id", "content_hash", "edited", "pinned", "archived", F.col("version").cast("long").alias("version"), "updated_at")
+
+
+def label_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the first half of the feed, then those of the second half as new ones."""
+    w = table(spark, sf_dir, "wire_facts").where("factid IS NOT NULL")
+    cut = (w.agg(F.max("seq")).first()[0] or 0) // 2
+    rows = w.select(F.col("factid").alias("fact_id"), F.col("device").alias("member"), F.when(F.col("pinned"), "useful").otherwise("noise").alias("verdict"), F.col("updatedat").alias("ts"), "seq")
+    last = lambda d: d.groupBy("fact_id", "member").agg(F.max_by("verdict", "seq").alias("verdict"), F.max_by("ts", "seq").alias("ts"))
+    old = last(rows.where(F.col("seq") <= cut)).withColumn("version", F.lit(0))
+    return curation.set_labels(old, last(rows.where(F.col("seq") > cut)))
+
+
 _STRONG = "coalesce(role = 'assistant' AND kind IN ('decision', 'gotcha'), false)"
 _SPACE = r"[ \t\n\x0B\f\r\x{00A0}]"
 _KIND = r"""CASE WHEN regexp_matches(content, '(?i)\b(decided|decision|we(''ll| will) go with|went with|chose|instead of|rather than|settled on)\b') THEN 'decision'
@@ -128,6 +151,8 @@ QUERIES = {
     "pair_context": pair_context,
     "label_net_boost": label_net_boost,
     "label_lww": label_lww,
+    "fact_edit": fact_edit,
+    "label_upsert": label_upsert,
     "source_union": source_union,
 }
 SQL = {
@@ -151,6 +176,14 @@ SELECT row_id, length(context) AS chars, md5(context) AS context FROM c""",
     "label_net_boost": f"SELECT factid AS fact_id, sum(CASE WHEN pinned THEN 1 ELSE -1 END)::BIGINT AS net, round({P.LABEL_WEIGHT}::DOUBLE * greatest({P.LABEL_MIN}, least({P.LABEL_MAX}, sum(CASE WHEN pinned THEN 1 ELSE -1 END))), 6) AS boost FROM wire_facts WHERE factid IS NOT NULL GROUP BY 1",
     "label_lww": """WITH l AS (SELECT factid AS fact_id, device AS member, CASE WHEN pinned THEN 'useful' ELSE 'noise' END AS verdict, epoch_us(CAST(CASE WHEN regexp_matches(updatedat, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN updatedat ELSE updatedat || 'Z' END AS TIMESTAMPTZ)) AS ts, seq FROM wire_facts WHERE factid IS NOT NULL)
 SELECT fact_id, member, arg_max(verdict, (ts, seq)) AS verdict, max(ts) AS ts, count(*) - 1 AS version FROM l GROUP BY 1, 2""",
+    "fact_edit": f"""WITH {FACTS_SQL}, c AS (SELECT id, CASE WHEN row_id % 10 = 0 THEN '  New: ' || content END AS nc, CASE WHEN row_id % 4 = 0 THEN true END AS np, CASE WHEN row_id % 5 = 0 THEN true END AS na FROM f WHERE row_id % 3 <> 0),
+x AS (SELECT f.*, substring(regexp_replace(c.nc, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 1, {P.FACT_CLIP}) AS nc, c.np, c.na FROM f LEFT JOIN c USING (id)),
+y AS (SELECT *, coalesce(nc <> '', false) AS e, coalesce(nc <> '', false) OR coalesce(np <> coalesce(pinned, false), false) OR coalesce(na <> coalesce(archived, false), false) AS m FROM x)
+SELECT row_id, CASE WHEN e THEN sha256(regexp_replace(lower(nc), '{_SPACE}+', ' ', 'g')) ELSE content_hash END AS content_hash, CASE WHEN e THEN true ELSE edited END AS edited, coalesce(np, pinned) AS pinned, coalesce(na, archived) AS archived,
+  (CASE WHEN m THEN coalesce(version, 0) + 1 ELSE version END)::BIGINT AS version, CASE WHEN m THEN '2025-10-01T00:00:00Z' ELSE updated_at END AS updated_at FROM y""",
+    "label_upsert": """WITH r AS (SELECT factid AS fact_id, device AS member, CASE WHEN pinned THEN 'useful' ELSE 'noise' END AS verdict, updatedat AS ts, seq, seq > (SELECT max(seq) // 2 FROM wire_facts WHERE factid IS NOT NULL) AS late FROM wire_facts WHERE factid IS NOT NULL),
+l AS (SELECT fact_id, member, late, arg_max(verdict, seq) AS verdict, arg_max(ts, seq) AS ts FROM r GROUP BY 1, 2, 3)
+SELECT fact_id, member, arg_max(verdict, late) AS verdict, arg_max(ts, late) AS ts, count(*) - 1 AS version FROM l GROUP BY 1, 2""",
     "source_union": """WITH u AS (SELECT content_hash, row_id, unnest(source_turn_ids) AS id, generate_subscripts(source_turn_ids, 1) AS i FROM facts WHERE content_hash IS NOT NULL),
 d AS (SELECT content_hash, id, min((row_id, i)) AS o FROM u GROUP BY 1, 2), g AS (SELECT content_hash FROM facts WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
 SELECT g.content_hash, coalesce(string_agg(d.id, ',' ORDER BY d.o), '') AS sources, count(d.id) AS n FROM g LEFT JOIN d USING (content_hash) GROUP BY 1""",

@@ -123,6 +123,13 @@ def redact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(t, "content", rules=PLAIN).select(F.explode("by_rule").alias("rule", "n")).groupBy("rule").agg(F.sum("n").cast("long").alias("n"))
 
 
+def redact_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns whose vector must be made anew after stored text was redacted again, with their added-up counts."""
+    t = stored_turns(spark, sf_dir)
+    turns, work = store.redact_stored(t, table(spark, sf_dir, "vec_turns"))
+    return work.join(turns.select("row_id", "redaction_count", F.md5("content").alias("text")), "row_id")
+
+
 def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule, those with groups and checks too, on turns: the text, the number of redactions and their rules."""
     t = stored_turns(spark, sf_dir).select("row_id", "content")
@@ -174,6 +181,7 @@ QUERIES = {
     "redact_rules": redact_rules,
     "redact_counts": redact_counts,
     "redact_all": redact_all,
+    "redact_backfill": redact_backfill,
 }
 SQL = {
     "derive_project": f"SELECT id, cwd, {_LABEL} AS label FROM sessions",

@@ -213,3 +213,53 @@ def test_store_joins_on_empty_tables(spark):
     empty = spark.createDataFrame([], TURNS)
     vectors = spark.createDataFrame([], "row_id long, embedding array<float>")
     assert store.to_embed(empty, vectors).count() == 0 and store.prune_noise(empty, vectors).count() == 0 and store.insert_new(empty, empty, "row_id").count() == 0
+
+
+def test_facts_change_and_labels(spark):
+    facts = spark.createDataFrame([("a", "x", "h", False, None, False, 1, "t"), ("b", "y", "h", True, False, False, None, "t")], "id string, content string, content_hash string, pinned boolean, archived boolean, edited boolean, version int, updated_at string")
+    changes = spark.createDataFrame([("a", " New ", None, None), ("b", None, True, False), ("zzz", "q", None, None)], "id string, content string, pinned boolean, archived boolean")
+    got = {r.id: r for r in curation.apply_changes(facts, changes, "now").collect()}
+    assert (got["a"].content, got["a"].edited, got["a"].version, got["a"].updated_at) == ("New", True, 2, "now")
+    assert (got["b"].version, got["b"].updated_at, len(got)) == (None, "t", 2)  # nothing changed
+    labels = spark.createDataFrame([("f", "m", "useful", "1", 0)], "fact_id string, member string, verdict string, ts string, version long")
+    new = spark.createDataFrame([("f", "m", "noise", "2"), ("g", "m", "useful", "2")], "fact_id string, member string, verdict string, ts string")
+    assert {tuple(r) for r in curation.set_labels(labels, new).collect()} == {("f", "m", "noise", "2", 1), ("g", "m", "useful", "2", 0)}
+
+
+def test_backfill_log_and_prepared_vectors(spark):
+    from mnemospark.functions.embedding import prepared, word_hashes
+
+    secret = POSITIVE["npm-token"]
+    t = spark.createDataFrame([(1, "a", "s", "user", f"key {secret}", None, None, 2), (2, "b", "s", "user", f"key {secret}", None, None, None), (3, "c", "s", "user", None, None, None, 0)], TURNS)
+    turns, work = store.redact_stored(t, spark.createDataFrame([(1, [1.0])], "row_id long, embedding array<float>"))
+    assert {r.row_id: r.redaction_count for r in turns.collect()} == {1: 3, 2: 1, 3: 0} and [r.row_id for r in work.collect()] == [1]
+    queries = spark.createDataFrame([(1, f"where is {secret}"), (2, "x" * 3000)], "query_id long, query string")
+    results = spark.createDataFrame([(1, 1, "t1", "turn", 0.123456), (1, 2, "f1", "fact", 0.05)], "query_id long, position long, id string, source string, score double")
+    log = {r.query_id: r for r in store.log_entries(queries, results, "hook", "now").collect()}
+    assert log[1].query == "where is [REDACTED:npm-token]" and (log[1].n_injected, log[1].top_score) == (2, 0.1235) and [x.id for x in log[1].results] == ["t1", "f1"]
+    assert (len(log[2].query), log[2].n_injected, log[2].top_score) == (2000, 0, None)
+    made = spark.createDataFrame([(hashlib.sha256(b"q").hexdigest()[:16], [1.0])], "key string, embedding array<float>")
+    one_query = spark.createDataFrame([(7, "q")], "query_id long, query string")
+    assert prepared(one_query, made).first().query_id == 7
+    with pytest.raises(KeyError, match="query 8"):
+        prepared(one_query.unionByName(spark.createDataFrame([(8, "missing")], "query_id long, query string")), made)
+    v = word_hashes(["one two", "", "two one"])
+    assert np.allclose(v[0], v[2]) and np.isclose(np.linalg.norm(v[0]), 1) and not v[1].any()
+
+
+def test_rendered_results(spark):
+    from mnemospark.functions import render
+
+    rows = [
+        (1, 1, "fact", "use **one** queue", 0.91, "proj", "2025-03-04T10:00:00Z", "decision", "ANN"),
+        (1, 2, "turn", "Q: a\nA: " + "b" * 900, 0.8, None, None, None, None),
+        (2, 1, "turn", "short", 0.5, None, "2025-12-31", None, None),
+    ]
+    df = spark.createDataFrame(rows, "query_id long, position long, source string, text string, score double, project string, ts string, kind string, via string")
+    context = {r.query_id: r.context for r in render.context(df).collect()}
+    assert context[1].startswith("- 📌 [decision · via ANN] (2025-03-04 · proj, 0.91) use **one** queue\n- (, 0.80) Q: a") and context[1].endswith("…\n")
+    assert context[2] == "- (2025-12-31, 0.50) short\n"
+    assert {r.query_id for r in render.context(df, 40).collect()} == {2}  # the first piece overflows, later ones don't come back
+    said = {r.query_id: r.answer for r in render.answer(df).collect()}
+    assert said[1].startswith("From March 4 in proj: use one queue ... From an earlier session: Q: a A: bbb") and len(said[1]) <= 600 + len(" ... ")
+    assert said[2] == "From December 31: short"
