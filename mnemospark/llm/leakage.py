@@ -2,8 +2,9 @@
 
 Passages and documents are cut into windows of an item's size, one at every word, and every window gets a SimHash of
 its weighted shingles. The fingerprints of the items are indexed by RADIUS + 1 blocks of bits: two fingerprints that
-differ in at most RADIUS bits agree in a whole block, so the index misses none of them. What it finds is verified on
-the windows themselves: word for word, and by the weighted overlap of their shingles.
+differ in at most RADIUS bits agree in a whole block, so the index misses none of them. An edited word moves a
+fingerprint further than that, so every window that could reach the threshold is also looked up by its shingles. What
+is found is verified on the windows themselves: word for word, and by the weighted overlap of their shingles.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log
 
 import numpy as np
@@ -29,6 +30,8 @@ ITEMS_A_PASS = 20_000
 WORDS_AT_ONCE = 60_000
 #: Weights of shingles are whole numbers, so that sums don't depend on the order of addition.
 MAX_WEIGHT = 8
+#: Windows of a document compared with one item at once: bounds memory.
+WINDOWS_AT_ONCE = 256
 
 
 @dataclass
@@ -43,6 +46,10 @@ class Index:
     order: np.ndarray
     keys: np.ndarray  # shingles of the items, sorted, and their weights
     weights: np.ndarray
+    grams: list[np.ndarray] = field(default_factory=list)  # the shingles of each item with windows
+    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # the first window of each of them
+    post_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # for each key, where its postings start
+    posts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # places in grams of the items with the key
 
 
 def _weigh(grams: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -85,6 +92,7 @@ def build(items: list[tuple[str, str]], window: int, size: int) -> Index:
             rows.append(np.lib.stride_tricks.sliding_window_view(w, window))
             item.append(np.full(len(fp), k, np.int32))
             prints.append(fp)
+    held = [g for g in grams_of if len(g) >= run]
     names = [i for i, _ in words]
     if not rows:
         z = np.zeros(0, np.uint64)
@@ -95,7 +103,11 @@ def build(items: list[tuple[str, str]], window: int, size: int) -> Index:
         value = ((fp >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
         order.append(np.argsort(value, kind="stable"))
         starts.append(np.searchsorted(value[order[-1]], np.arange(65537)))
-    return Index(window, size, names, np.concatenate(rows), np.concatenate(item), fp, np.stack(starts), np.stack(order), keys, weights)
+    first = np.cumsum([0, *(len(g) - run + 1 for g in held)])[:-1]
+    key = np.concatenate([np.searchsorted(keys, np.unique(g)) for g in held])
+    of = np.repeat(np.arange(len(held)), [len(np.unique(g)) for g in held])
+    by = np.argsort(key, kind="stable")
+    return Index(window, size, names, np.concatenate(rows), np.concatenate(item), fp, np.stack(starts), np.stack(order), keys, weights, held, first, np.searchsorted(key[by], np.arange(len(keys) + 1)), of[by])
 
 
 def near(index: Index, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +131,56 @@ def near(index: Index, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
+def alike(index: Index, grams: np.ndarray, inside: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(first shingle, indexed window) of all windows whose weighted overlap may reach the threshold; none that does is missed.
+
+    inside has the first shingles of windows that lie in one text. The overlap is at most the weight of the shingles
+    that are found in the other window, over the weight of the heavier window.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(inside) or not len(index.keys) or not len(index.grams):
+        return none
+    run = index.window - index.size + 1
+    at = np.minimum(np.searchsorted(index.keys, grams), len(index.keys) - 1)
+    known = index.keys[at] == grams
+    w = np.where(known, index.weights[at], MAX_WEIGHT).astype(np.int64)
+    total, shared = np.concatenate(([0], np.cumsum(w))), np.concatenate(([0], np.cumsum(w * known)))
+    weight = total[inside + run] - total[inside]
+    # Shingles of no item are in no item's window.
+    live = shared[inside + run] - shared[inside] >= threshold * weight - 1e-9
+    inside, weight = inside[live], weight[live]
+    left, right = [], []
+    for a in range(0, len(inside), WINDOWS_AT_ONCE):
+        first, heavy = inside[a : a + WINDOWS_AT_ONCE], weight[a : a + WINDOWS_AT_ONCE]
+        places = first[:, None] + np.arange(run)
+        window, place = np.nonzero(known[places])
+        key = at[places[window, place]]
+        n = index.post_starts[key + 1] - index.post_starts[key]
+        owner = index.posts[np.repeat(index.post_starts[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pair, inverse = np.unique(np.repeat(window, n) * len(index.grams) + owner, return_inverse=True)
+        common = np.bincount(inverse, weights=np.repeat(index.weights[key], n))
+        pair = pair[common >= threshold * heavy[pair // len(index.grams)] - 1e-9]
+        for item in np.unique(pair % len(index.grams)).tolist():
+            mine = pair[pair % len(index.grams) == item] // len(index.grams)
+            have = index.grams[item]
+            distinct, number = np.unique(have, return_inverse=True)
+            windows = np.lib.stride_tricks.sliding_window_view(number, run)
+            holds = np.zeros((len(distinct) + 1, len(windows)), bool)
+            holds[windows.T, np.arange(len(windows))] = True
+            asked = grams[places[mine]]
+            where = np.minimum(np.searchsorted(distinct, asked), len(distinct) - 1)
+            where = np.where(distinct[where] == asked, where, len(distinct))
+            most = np.zeros((len(mine), len(windows)), np.int64)
+            for k in range(run):
+                most += w[places[mine, k]][:, None] * holds[where[:, k]]
+            own = _weigh(have, index.keys, index.weights).astype(np.int64)
+            own = np.lib.stride_tricks.sliding_window_view(own, run).sum(1)
+            x, y = np.nonzero(most >= threshold * np.maximum(heavy[mine][:, None], own[None, :]) - 1e-9)
+            left.append(first[mine[x]])
+            right.append(index.owner[item] + y)
+    return (np.concatenate(left), np.concatenate(right)) if left else none
+
+
 def _similarity(shingler: Shingler, a: np.ndarray, b: np.ndarray, index: Index) -> float:
     """Weighted overlap of the shingles of two windows, with their multiplicity."""
     x, y = Counter(shingler.shingles(a).tolist()), Counter(shingler.shingles(b).tolist())
@@ -151,7 +213,9 @@ def scan(texts: list[str], index: Index, shingler: Shingler, threshold: float) -
         owner = np.searchsorted(ends, np.arange(len(fp)), side="right")
         inside = np.flatnonzero(np.arange(len(fp)) + index.window <= ends[np.minimum(owner, len(ends) - 1)])
         query, other = near(index, fp[inside])
-        query = inside[query]
+        more, windows = alike(index, grams, inside, threshold)
+        pairs = np.unique(np.concatenate((inside[query] << 32 | other, more << 32 | windows)))
+        query, other = pairs >> 32, pairs & 0xFFFFFFFF
         if len(query):
             rows = words[query[:, None] + np.arange(index.window)]
             same = (rows == index.words[other]).all(1)

@@ -109,6 +109,32 @@ def test_blocks_find_every_near_fingerprint():
     assert set(zip(q.tolist(), o.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(apart <= leakage.RADIUS)), strict=True))
 
 
+def test_edited_passages_equal_brute_force(spark):
+    rng = random.Random(6)
+    items = [(f"e{i}", " ".join(rng.choice(WORDS) for _ in range(rng.choice([24, 30, 50])))) for i in range(5)]
+    items.append(("again", "a b c d e f g h i j " * 4))
+    docs = []
+    for d in range(24):
+        p = rng.choice(items)[1].split()
+        s = rng.randrange(len(p) - 23)
+        part = p[s : s + rng.choice([22, 23, 24, 30])]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            part[rng.choice([0, 1, len(part) - 2, len(part) - 1, len(part) // 2])] = rng.choice(WORDS)
+        docs.append((d, " ".join([rng.choice(WORDS) for _ in range(rng.randint(0, 30))] + part + [rng.choice(WORDS) for _ in range(5)])))
+    index, shingler = leakage.build(sorted(items), 24, 5), neardup.Shingler(5)
+    want = {}
+    for d, text in docs:
+        words = shingler.words(text)
+        for q in range(len(words) - 23):
+            for o in range(len(index.words)):
+                score = leakage._similarity(shingler, words[q : q + 24], index.words[o], index)
+                if score >= 0.8:
+                    k = (d, index.items[index.item[o]])
+                    want[k] = max(want.get(k, 0), score)
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "id string, passage string")).collect()
+    assert {(r.doc_id, r.case_id): r.similarity for r in got} == want and sum(r.exact_windows == 0 for r in got) > 5
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(6)
     docs = [(i, "word " * rng.randint(1, 30), rng.choice(["a", "A ", "b-c", "b_c", "b c", "d", None])) for i in range(3000)]
