@@ -220,9 +220,47 @@ def _best(row: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.nda
     return order[place < k]
 
 
-def compare(ids: np.ndarray, block: np.ndarray, perms: np.ndarray, values: np.ndarray, pivot: int, across: bool, k: int, floor: float, candidates: int | None, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other, similarity): for each row of a file its k best among the rows it meets here."""
+def _best_of_all(u: np.ndarray, ids: np.ndarray, block: np.ndarray, perms: np.ndarray, values: np.ndarray, across: bool, k: int, candidates: int | None, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, similarity): the k best of each row, however far they are."""
+    n = len(u)
+    norm = np.sqrt(np.einsum("ij,ij->i", values, values, dtype=np.float64))
+    rows, others, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    # The k-th of the greatest of groups is no more than the k-th of all.
+    wide = max(1, min(16, n // (4 * k)))
+    for i in range(0, n, 512):
+        s = u[i : i + 512] @ u.T
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
+        if across:
+            s[block[i : i + 512, None] == block[None, :]] = -np.inf
+        low = np.full(len(s), -2, np.float32)
+        if candidates is None and n // wide > k:
+            most = s[:, : n // wide * wide].reshape(len(s), wide, -1).max(1)
+            low = np.maximum(low, np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k] - np.float32(1e-5))
+        a, b = np.nonzero(s >= low[:, None])
+        a += i
+        if candidates is not None and len(a):
+            few = _best(a, b, -footrule(perms[a], perms[b]).astype(np.float64), candidates)
+            a, b = a[few], b[few]
+        sim = np.empty(len(a))
+        for j in range(0, len(a), 4096):
+            x, y = a[j : j + 4096], b[j : j + 4096]
+            sim[j : j + 4096] = np.einsum("ij,ij->i", values[x], values[y], dtype=np.float64) / (norm[x] * norm[y])
+        sim = np.round(sim, digits)
+        best = _best(a, ids[b], sim, k)
+        rows.append(ids[a[best]])
+        others.append(ids[b[best]])
+        sims.append(sim[best])
+    return np.concatenate(rows), np.concatenate(others), np.concatenate(sims)
+
+
+def compare(ids: np.ndarray, block: np.ndarray, perms: np.ndarray, values: np.ndarray, pivot: int, across: bool, k: int, floor: float | None, candidates: int | None, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other, similarity): for each row of a file its k best among the rows it meets here.
+
+    Without a floor a pair may be given in each file that it meets in.
+    """
     u = units(values)
+    if floor is None:
+        return _best_of_all(u, ids, block, perms, values, across, k, candidates, digits)
     left, right, n = [], [], len(ids)
     for i in range(0, n, 512):
         s = u[i : i + 512] @ u[i:].T
@@ -262,12 +300,12 @@ def compare(ids: np.ndarray, block: np.ndarray, perms: np.ndarray, values: np.nd
     return row[best], other[best], both[best]
 
 
-def nearest(vectors: DataFrame, k: int = 10, dims: int = 384, floor: float = 0.6, skip: DataFrame | None = None, candidates: int | None = None, digits: int = 9) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, dims: int = 384, floor: float | None = 0.6, skip: DataFrame | None = None, candidates: int | None = None, digits: int = 9) -> DataFrame:
     """row_id, other and similarity: the k most similar vectors of every vector of vectors (row_id, embedding).
 
     Similarity is the cosine, rounded to digits; ties go to the smaller row_id. Rows of skip, null vectors, vectors of
     another length, with nulls or numbers that aren't finite, and all zeros take no part; no usable vectors give no
-    rows. Neighbours below floor aren't given. candidates, if set, keeps only so many of each row's candidates of a
+    rows. Neighbours below floor aren't given; None gives the k most similar however far they are. candidates, if set, keeps only so many of each row's candidates of a
     file, those with the smallest footrule distance; by default all are ranked by the exact cosine.
 
     Of equal vectors only the k + 1 with the smallest row_id are posted: each further copy has the first k as its
@@ -296,7 +334,10 @@ def nearest(vectors: DataFrame, k: int = 10, dims: int = 384, floor: float = 0.6
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(pivots.blocks.sum() / 32))
     found = posts.repartition(parts, "pivot", "low", "high").groupBy("pivot", "low", "high").applyInPandas(run, "row_id long, other long, similarity double")
     best = Window.partitionBy("row_id").orderBy(F.desc("similarity"), "other")
-    top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
+    # Without a floor a pair may come from several files; the copies share a rank.
+    top = found.withColumn("place", (F.row_number() if floor is not None else F.dense_rank()).over(best)).where(F.col("place") <= k).drop("place")
+    if floor is None:
+        top = top.dropDuplicates(["row_id", "other"])
     # Copies beyond the posted ones. The numbers are looked at only where many vectors are equal.
     same = vectors.where(F.size("embedding") == dims).select("row_id", "embedding", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
     many = materialize(same.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("h1", "h2"), "copies")

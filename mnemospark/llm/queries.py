@@ -53,19 +53,23 @@ def _repeated(spark: SparkSession, sf_dir: str, vectors: str, rows: str) -> Data
     return grouped.select("first", F.explode("rows").alias("row_id")).where("row_id <> first").select("row_id")
 
 
-def _neighbours(spark: SparkSession, sf_dir: str, vectors: str, rows: str) -> DataFrame:
+def _neighbours(spark: SparkSession, sf_dir: str, vectors: str, rows: str, floor: float | None) -> DataFrame:
     skip = materialize(_repeated(spark, sf_dir, vectors, rows), "repeated")
-    return neighbours.nearest(table(spark, sf_dir, vectors), skip=skip).select(F.lit(vectors).alias("tbl"), "*")
+    return neighbours.nearest(table(spark, sf_dir, vectors), floor=floor, skip=skip).select(F.lit(vectors).alias("tbl"), "*")
+
+
+def _all_neighbours(spark: SparkSession, sf_dir: str, floor: float | None) -> DataFrame:
+    return _neighbours(spark, sf_dir, "vec_turns", "turns", floor).unionByName(_neighbours(spark, sf_dir, "vec_facts", "facts", floor))
 
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tbl, row_id, other, similarity: up to ten most similar vectors of each, from a similarity of 0.6."""
-    return _neighbours(spark, sf_dir, "vec_turns", "turns").unionByName(_neighbours(spark, sf_dir, "vec_facts", "facts"))
+    """tbl, row_id, other, similarity: the ten most similar vectors of each, however far they are."""
+    return _all_neighbours(spark, sf_dir, None)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tbl, row_a < row_b, of which at least one is among the ten most similar of the other."""
-    rows = p3_neighbours(spark, sf_dir)
+    """tbl, row_a < row_b, from a similarity of 0.6, of which at least one is among the ten most similar of the other."""
+    rows = _all_neighbours(spark, sf_dir, 0.6)
     return rows.select("tbl", F.least("row_id", "other").alias("row_a"), F.greatest("row_id", "other").alias("row_b")).distinct()
 
 

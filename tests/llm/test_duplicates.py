@@ -195,6 +195,25 @@ def test_neighbours_recall_against_brute_force(spark):
     assert neighbours.nearest(df.limit(0), 5, 32).count() == 0
 
 
+def test_ten_neighbours_without_a_floor(spark):
+    v = np.random.default_rng(5).normal(size=(300, 384)).astype("f4")  # hardly any pair reaches 0.6
+    v[7] = v[8]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(300)], "row_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, 10, floor=None).collect():
+        got.setdefault(r.row_id, []).append(r.other)
+    assert set(got) == set(range(300)) and all(len(x) == len(set(x)) == 10 and i not in x for i, x in got.items())
+    # One file that all are in gives the exact ten; so do two blocks of it and each by itself.
+    u = v.astype("f8") / np.linalg.norm(v.astype("f8"), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    ids, block, perms = np.arange(300), np.arange(300) % 2, np.zeros((300, 1), np.int16)
+    for across in (False, True):
+        row, other, _ = neighbours.compare(ids, block, perms, v, 0, across, 10, None, None, 9)
+        for i in range(300):
+            want = sorted((j for j in range(300) if j != i and not (across and block[i] == block[j])), key=lambda j: (-s[i, j], j))[:10]
+            assert set(other[row == i].tolist()) == set(want)
+
+
 def test_a_third_of_the_vectors_are_equal(spark):
     v = clustered(120, 8)
     rows = [(i, [float(x) for x in v[i]]) for i in range(120)] + [(1000 + i, [1.0] * 16 + [2.0] * 16) for i in range(60)] + [(3000 + i, [0.0] * 32) for i in range(60)]
