@@ -14,6 +14,7 @@ from mnemospark import params as P
 from mnemospark.functions.rules import INJECTED_PREFIX, clip, content_hash, kind_of, self_referential, strip
 from mnemospark.operators.knn import knn
 from mnemospark.operators.sequence import beside
+from mnemospark.storage import materialize
 
 
 def near_class(new: DataFrame, facts: DataFrame, vectors: DataFrame, merge: float = P.MERGE_SIMILARITY, near: float = P.NEAR_SIMILARITY) -> DataFrame:
@@ -94,7 +95,9 @@ def distill_candidates(
     rows = rows.where(~self_referential(F.col("content"), tool) & ~strip(F.col("content")).rlike(INJECTED_PREFIX))
     rows = uncited(rows, facts).withColumn("kind", kind_of(F.col("content"))).where("kind IS NOT NULL")
     strong = F.coalesce((F.col("role") == "assistant") & F.col("kind").isin("decision", "gotcha"), F.lit(False))
-    rows = rows.withColumn("strong", strong).join(recurrence(rows, vectors, turns, floor), "row_id")
+    # Each pass of the search reads the candidates again.
+    rows = materialize(rows.withColumn("strong", strong), "candidates")
+    rows = rows.join(recurrence(rows, vectors, turns, floor), "row_id")
     rows = rows.where(F.col("strong") | (F.col("sessions") >= P.RECURRENCE_SESSIONS)).select("row_id", "id", "session_id", "role", "content", "project", "kind", "sessions", "strong")
     return rows if limit is None else rows.orderBy("row_id").limit(limit)
 

@@ -46,6 +46,13 @@ def cited_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.uncited(stored_turns(spark, sf_dir), stored_facts(spark, sf_dir)).select("row_id", "id")
 
 
+def distill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates among all turns, as a first run finds them: nothing was processed before."""
+    t, v = stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns")
+    c = curation.distill_candidates(t, v, table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), None, None)
+    return c.select("row_id", "id", "project", "kind", "sessions", "strong")
+
+
 def _candidates(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
     t, v = stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns")
     done = t.where(F.col("row_id") % STEP != 0).select("row_id")
@@ -147,6 +154,7 @@ QUERIES = {
     "recurrence": recurrence,
     "cited_antijoin": cited_antijoin,
     "distill_candidates": distill_candidates,
+    "distill_all": distill_all,
     "distill_first": distill_first,
     "pair_context": pair_context,
     "label_net_boost": label_net_boost,

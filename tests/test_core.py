@@ -263,3 +263,20 @@ def test_rendered_results(spark):
     said = {r.query_id: r.answer for r in render.answer(df).collect()}
     assert said[1].startswith("From March 4 in proj: use one queue ... From an earlier session: Q: a A: bbb") and len(said[1]) <= 600 + len(" ... ")
     assert said[2] == "From December 31: short"
+
+
+def test_distilling_looks_at_every_turn(spark, tmp_path):
+    n = 60
+    text = "We decided to keep the older path of the index, because the newer one lost rows of a session at every restart."
+    turn = lambda i: (i, f"t{i}", f"s{i % 4}", "assistant" if i % 2 else "user", f"{text} Case {i}.", [float(i % 3 == k) + 0.01 * i / n for k in range(384)])
+    rows = spark.createDataFrame([turn(i) for i in range(n)], "row_id long, id string, session_id string, role string, content string, embedding array<float>")
+    rows.drop("embedding").write.parquet(f"{tmp_path}/turns.parquet")
+    rows.select("row_id", "embedding").write.parquet(f"{tmp_path}/vec_turns.parquet")
+    spark.createDataFrame([(f"s{i}", "p") for i in range(4)], "id string, project string").write.parquet(f"{tmp_path}/sessions.parquet")
+    spark.createDataFrame([(1, "f1", ["t3"])], "row_id long, id string, source_turn_ids array<string>").write.parquet(f"{tmp_path}/facts.parquet")
+    from mnemospark.plans.distilling import QUERIES
+
+    got = {r.row_id: r for r in QUERIES["distill_all"](spark, str(tmp_path)).collect()}
+    assert {i for i, r in got.items() if r.strong} == set(range(1, n, 2)) - {3}
+    few = {r.row_id: r for r in QUERIES["distill_candidates"](spark, str(tmp_path)).collect()}
+    assert set(few) <= {0, 20, 40} and all(got[i] == r for i, r in few.items())
