@@ -38,18 +38,18 @@ _NAME = (
     r"|access[_-]?key(?:[_-]?id)?|private[_-]?key|signing[_-]?key|encryption[_-]?key|account[_-]?key|secret[_-]?key|auth(?:orization)?|credentials?|bearer|key)"
 )
 ASSIGNED = re.compile(
-    rf"{_NAME}[\"'`]?\]?\s{{0,3}}(?:=>|:=|\?=|==?|:)\s{{0,3}}(?:[frb](?=[\"'`]))?(?:(?P<quote>[\"'`])(?P<quoted>[^\"'`\n]{{6,400}})(?P=quote)|(?P<plain>[^\s\"'`]{{6,400}}))", re.I
+    rf"{_NAME}[\"'`]?\]?\s{{0,3}}(?:=>|:=|\?=|==?|:)\s{{0,3}}(?:[frb](?=[\"'`]))?(?:(?P<quote>[\"'`])(?P<quoted>[^\"'`\n]{{6,}})(?P=quote)|(?P<plain>[^\s\"'`]{{6,}}))", re.I
 )
-OPTION = re.compile(rf"(?<!\S)--?(?P<name>[a-z-]*{_NAME})[ =](?:[\"'](?P<quoted>[^\"'\n]{{6,400}})[\"']|(?P<plain>[^\s\"'`=]{{6,400}}))", re.I)
+OPTION = re.compile(rf"(?<!\S)--?(?P<name>[a-z-]*{_NAME})[ =](?:[\"'](?P<quoted>[^\"'\n]{{6,}})[\"']|(?P<plain>[^\s\"'`=]{{6,}}))", re.I)
 LOGIN = re.compile(r"(?<=[a-z0-9])://[^\s:@/'\"`<>]{0,100}:(?P<plain>[^\s'\"`<>]{3,400})@(?=[\w\[])", re.I)
-HEADER = re.compile(r"\b(?:Bearer|Basic|Token|ApiKey|Digest)[ \t]+(?P<plain>[A-Za-z0-9+/=_.~\-]{12,2000})", re.I)
+HEADER = re.compile(r"\b(?:Bearer|Basic|Token|ApiKey|Digest)[ \t]+(?P<plain>[A-Za-z0-9+/=_.~\-]{12,})", re.I)
 _PREFIX = re.compile(r"[A-Za-z0-9_.\-]*$")
-CLIENT = re.compile(r"\b(?:mysql\w*|mariadb|sshpass|redis-cli|mongo(?:sh|dump)?|ldapsearch|smbclient|sqlcmd)\b[^\n]*?\s-(?:p|a|w|P|W)[ =]?[\"']?(?P<plain>[^\s\"']{6,200})")
-USERPASS = re.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?[^\s:\"']{1,64}:(?P<plain>[^\s\"']{6,200})")
+CLIENT = re.compile(r"\b(?:mysql\w*|mariadb|sshpass|redis-cli|mongo(?:sh|dump)?|ldapsearch|smbclient|sqlcmd)\b[^\n]*?\s-(?:p|a|w|P|W)[ =]?[\"']?(?P<plain>[^\s\"']{6,})")
+USERPASS = re.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?[^\s:\"']{1,64}:(?P<plain>[^\s\"']{6,})")
 #: Words for a password in seven languages, and what stands between one and the password itself.
 SPOKEN = re.compile(
     r"\b(?:pass(?:word|code|phrase)|passwort|kennwort|zugangscode|mot de passe|contrase[ñn]a|clave|senha|palavra-passe|wachtwoord|парол\w*|secret|token|api[- ]?key)(?:\s+(?:for\s+\S+|für\s+\S+|de\s+\S+|para\s+\S+|voor\s+\S+|account))?"
-    r"(?:\s+|(?=[:=—–-]))(?:(?:is(?: now| currently| still)?|was|to|ist(?: jetzt)?|lautet|est|es|é|fue|foi|wordt|were|will be|of)\s|[:=—–-])?\s*[\"'`«„“]?(?P<plain>[^\s\"'`«»„“”]{8,200})",
+    r"(?:\s+|(?=[:=—–-]))(?:(?:is(?: now| currently| still)?|was|to|ist(?: jetzt)?|lautet|est|es|é|fue|foi|wordt|were|will be|of)\s|[:=—–-])?\s*[\"'`«„“]?(?P<plain>[^\s\"'`«»„“”]{8,})",
     re.I,
 )
 

@@ -278,6 +278,14 @@ def test_credentials(subwords):
         assert secrets.spans(text, subwords) == [], text
 
 
+def test_long_credentials(subwords):
+    rng = random.Random(3)
+    value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(2500))
+    for text in (f"api_key = {value} end", f'api_key = "{value}" end', f"Authorization: Bearer {value} end"):
+        cut = secrets.redact_spans(text, secrets.spans(text, subwords))
+        assert value[:20] not in cut and value[-20:] not in cut and cut.endswith(" end"), text[:40]
+
+
 def test_secret_frame(spark):
     rows = [(str(i), t, None if i % 2 else t) for i, (t, _) in enumerate(FOUND)] + [("nul", None, None), ("long", "x " * 100_000 + FOUND[0][0], ""), ("0", FOUND[0][0], FOUND[0][0])]
     df = spark.createDataFrame(rows, "id string, content string, tool_summary string").selectExpr("*", "'x' AS field", "'y' AS text")
