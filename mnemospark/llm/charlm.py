@@ -16,6 +16,19 @@ import numpy as np
 from mnemospark.llm.prose import prose_words, sentences
 
 START, END = 2, 3
+#: Everyday words of each language. A few dozen samples lack most of what a short question is made of, and
+#: what a model has never seen in its own language may look like a neighbouring one.
+EVERYDAY = {
+    "en": "how what why when where which who does did is are can could should would the this that it with from have not you we they but and",
+    "de": "wie was warum wann wo welche wer ist sind kann könnte soll würde der die das es mit von habe nicht du ich wir sie aber und noch mache",
+    "fr": "comment quoi pourquoi quand où quel qui est sont peut pourrait doit le la les ce avec après dans pas vous je nous ils mais et fais",
+    "es": "cómo qué por cuándo dónde cuál quién es son puede podría debe el la los esto con después tengo no usted yo ellos pero y hago hay",
+    "pt": "como que porquê quando onde qual quem é são pode poderia deve o os isto com depois tenho não você eu nós eles mas e faço há",
+    "nl": "hoe wat waarom wanneer waar welke wie is zijn kan zou moet de het dit met van heb niet je ik we zij maar en nog doe",
+    "ru": "как что почему когда где какой кто есть это может должен после от имею не вы я мы они но и ещё делаю",
+}
+#: How often each of them counts as seen.
+EVERYDAY_COUNT = 4
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,6 +157,15 @@ def count_words(texts: list[str]) -> Counter:
     return found
 
 
+def language_words(lang: str, texts: list[str]) -> Counter:
+    """The words of texts of a language, with its everyday words if they are known."""
+    found = count_words(texts)
+    for word in EVERYDAY.get(lang, "").split():
+        for form in {word, without_accents(word)}:
+            found[form] += EVERYDAY_COUNT if form == word else 1
+    return found
+
+
 def cross_entropy(model: CharModel, words: list[str]) -> np.ndarray:
     """Nats a character of the words together, by language."""
     return -model.score(words).sum(0) / max(1, sum(len(w) + 1 for w in words))
@@ -159,13 +181,13 @@ def train_calibrated(samples: list[tuple[str, str]], order: int = 5, folds: int
     for lang, text in samples:
         if lang and text:
             by.setdefault(lang, []).append(text)
-    model = CharModel.train({lang: count_words(texts) for lang, texts in by.items()}, order)
+    model = CharModel.train({lang: language_words(lang, texts) for lang, texts in by.items()}, order)
     worst = np.zeros(len(model.languages))
     for fold in range(folds):
         kept = {lang: [t for i, t in enumerate(texts) if i % folds != fold] for lang, texts in by.items()}
         if not all(kept.values()):
             continue
-        part = CharModel.train({lang: count_words(texts) for lang, texts in kept.items()}, order)
+        part = CharModel.train({lang: language_words(lang, texts) for lang, texts in kept.items()}, order)
         for j, lang in enumerate(part.languages):
             for i, text in enumerate(by[lang]):
                 words = [w for _, _, s, _ in sentences(text) for w in prose_words(s)]
@@ -197,7 +219,7 @@ def adapt(model: CharModel, samples: list[tuple[str, str]], texts: list[str], ro
         whole = np.stack([np.bincount(of, weights=logp[:, j], minlength=len(texts)) for j in range(logp.shape[1])], 1)
         ranked = np.sort(whole, 1)
         main, sure = whole.argmax(1), ranked[:, -1] - ranked[:, -2] >= text_lead
-        words_of = {lang: count_words([t for x, t in samples if x == lang and t]) for lang in model.languages}
+        words_of = {lang: language_words(lang, [t for x, t in samples if x == lang and t]) for lang in model.languages}
         for k, group in enumerate(groups):
             j = main[of[k]]
             if sure[of[k]] and (turn == 0 or logp[k].max() - logp[k, j] < sentence_lead):
