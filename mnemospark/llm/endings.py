@@ -3,12 +3,17 @@
 A backward character model says, for the last characters of a text, how often texts of this corpus end there and how
 often they go on. Names of programs, paths and numbers count as one symbol each, so the model learns the language
 around them. What ends inside a fenced block or a key block is cut without asking the model.
+
+Words, contexts and thresholds are counted over all texts: words by partial aggregation, contexts in arrays of fixed
+size that tasks add up, thresholds from histograms of the held-out texts. What comes to the driver is as large for a
+thousand texts as for a billion.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,23 +26,27 @@ from pyspark.sql import functions as F
 from mnemospark.functions.text import is_blank
 from mnemospark.llm import language
 from mnemospark.llm.charlm import CharModel, WordScores
-from mnemospark.llm.prose import prose_words, sentences
+from mnemospark.llm.prose import ProseWords, prose_words
+from mnemospark.storage import materialize
 
-#: At most so many texts train the model, those with the smallest hashes.
-MAX_TEXTS = 12_000
 #: Lengths of the contexts, shortest first.
 ORDERS = (1, 2, 3, 4, 6, 8, 11, 15, 20, 26)
 #: Contexts seen less often are left to the next shorter one: a text's own end must not vouch for itself.
 LEAST_SEEN = 2
+#: Contexts of an order are counted in 2**BUCKET_BITS counters by their hash, summed in CHUNKS parts. A counter counts
+#: only from NOISE times the mean of the counters below that on, so that what shares it by chance doesn't decide.
+BUCKET_BITS, CHUNKS, NOISE = 20, 16, 4
+#: Every HELD_OUT-th text, by the hash of its content, calibrates and doesn't train. Log-odds are counted in steps.
+HELD_OUT, STEP, LOW, HIGH = 5, 0.05, -14.0, 14.0
+#: The highest threshold: what only ever ends texts, and always without a mark, has even odds and isn't cut.
+EVEN = -0.25
 #: What the end of a text without a final mark counts: some of those are cut.
 UNMARKED = 0.5
 #: Weight of the shorter context, in observations.
 BACK = 0.7
-#: Places handled at once.
-PART = 1 << 18
 #: Characters of a context that are read; more than the longest order takes.
 WINDOW = 160
-#: Places inside words at which each training text is cut to show how such a cut looks.
+#: Words of each training text that are cut to show how such a cut looks.
 CUTS = 4
 #: Weight of all cases beside those of a language and column.
 SHRINK = 0.5
@@ -51,21 +60,21 @@ BROKEN = r"connection|transfer|stream|lost|interrupt|abort|disconnect|time-?out|
 CUT_SIGN = re.compile(
     rf"\s*(?:(?<=\n)[-=*#~_<>\[(!]{{2,}} ?[^\n]{{0,50}}(?:{CUT_WORDS}|{BROKEN})[^\n]{{0,50}}[-=*#~_<>\])!]{{2,}}|[\[(<{{]\s*(?:\.{{3}}|…)\s*[\])>}}]|[\[(<{{][^\[\](){{}}<>\n]{{0,60}}(?:{CUT_WORDS})[^\[\](){{}}<>\n]{{0,60}}[\])>}}]|…|\.{{3,}})\s*$", re.I
 )
+SIGN_LENGTH = 240
 CLOSERS = "\"'»”’)]}*_`"
 #: Symbols: a name, path or code phrase; a closed code block; the start of a text; a word that isn't common.
 NAME, BLOCK, BEGIN, RARE = "\x01", "\x02", "\x03", "\x04"
 _FENCED = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})[^\n]*\n.*?^[ \t]{0,3}\1[`~]*[^\w\n]*$", re.M | re.S)
 _OPEN_FENCE = re.compile(r"^[ \t]{0,3}(?:`{3,}|~{3,})", re.M)
 _KEY_BLOCK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]+-----")
-_TOKEN = re.compile(r"\S+")
+_PHRASE = re.compile(r"`[^`\n]+`")
 _NAMELIKE = re.compile(r"[\d_/\\@#=<>{}\[\]|$%^+~]|\w[.:(-]\w|[a-zа-яß-öø-ÿ][A-ZА-Я]|\(\)|--?\w")
 _MARKED = re.compile(r"[.!?。！？]+[\"'»”’)\]}*_`]*(?:\s*[^\w\s.,;:!?…\"'`(){}\[\]<>/\\|=+*#&%$@~^-]+)?\s*$")
 _TAIL = re.compile(r"[\s.!?…\"'»”’)\]}*_`]+$")
 _END = re.compile(r"[.!?…]+[\"'»”’)\]}*_`]*(?=\s|$)")
 
 
-def _symbol(m: re.Match) -> str:
-    token = m[0]
+def _symbol(token: str) -> str:
     head = token.lstrip("([{<«„“\"'¿¡*")
     core = head.rstrip(".,;:!?…\"'»”’)]}*")
     if not core:
@@ -76,22 +85,71 @@ def _symbol(m: re.Match) -> str:
     return f"{front}{NAME}{back}" if _NAMELIKE.search(core) else token.lower()
 
 
+class Reader(dict):
+    """Tokens as the model reads them, each worked out once.
+
+    Without a vocabulary names and numbers become one symbol each; with one, so does every word outside it, and the
+    front part of a cut word.
+    """
+
+    LIMIT = 300_000
+
+    def __init__(self, vocabulary: set[str] | None = None):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, token: str) -> str:
+        out = _symbol(token)
+        if self.vocabulary is not None:
+            out = coarse(out, self.vocabulary)
+        if len(self) > self.LIMIT:
+            self.clear()
+        self[token] = out
+        return out
+
+    def read(self, text: str) -> str:
+        lines = (" ".join([self[t] for t in line.split()]) for line in without_code(text).split("\n"))
+        out = BEGIN + "\n".join([line for line in lines if line])
+        # Where a language writes a space before its marks.
+        for mark in "?!»…":
+            if " " + mark in out:
+                out = out.replace(" " + mark, mark)
+        return out
+
+
+def without_code(text: str) -> str:
+    """Closed code blocks and code phrases as one symbol each."""
+    if "```" in text or "~~~" in text:
+        text = _FENCED.sub(BLOCK, text)
+    return _PHRASE.sub(NAME, text) if "`" in text else text
+
+
 def symbols(text: str) -> str:
     """The text as the model reads it: closed code blocks, code phrases, names and numbers are one symbol each."""
-    text = _FENCED.sub(BLOCK, text)
-    text = re.sub(r"`[^`\n]+`", NAME, text)
-    lines = (" ".join(_TOKEN.sub(_symbol, line).split()) for line in text.split("\n"))
-    return BEGIN + "\n".join(line for line in lines if line)
+    return Reader().read(text)
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: What may be cut inside in a text of symbols: words, those outside the vocabulary too, and names.
+_WORDS = re.compile(rf"[^\W\d_]+|{RARE}|{NAME}")
 
 
-def common(texts: list[str], share: float = 0.0005, least: int = 5) -> set[str]:
-    """The words that occur often enough in texts of symbols for contexts with them to be counted by the word."""
-    counts = Counter(w for t in texts for w in _LETTERS.findall(t))
-    limit = max(least, share * len(texts))
-    return {w for w, n in counts.items() if n >= limit}
+def frequent(counts: dict[str, int], n: int, share: float = 0.0005, least: int = 5) -> set[str]:
+    """The words that occur often enough in n texts for contexts with them to be counted by the word."""
+    limit = max(least, share * n)
+    return {w for w, k in counts.items() if k >= limit}
+
+
+def word_counts(texts: list[str]) -> Counter:
+    """How often each word occurs in texts, names and numbers aside."""
+    tokens: Counter = Counter()
+    for text in texts:
+        tokens.update(without_code(text).split())
+    found: Counter = Counter()
+    for token, n in tokens.items():
+        for word in _LETTERS.findall(_symbol(token)):
+            found[word] += n
+    return found
 
 
 def coarse(text: str, vocabulary: set[str]) -> str:
@@ -101,13 +159,15 @@ def coarse(text: str, vocabulary: set[str]) -> str:
 
 def strip_sign(text: str) -> tuple[str, int]:
     """The text without the signs of a cut at its end, and the strongest of them, as a place in SHIFT."""
-    sign = 0
+    sign, text = 0, text.rstrip()
     while True:
-        m = CUT_SIGN.search(text)
+        # A sign is shorter than what is looked at.
+        at = max(0, len(text) - SIGN_LENGTH)
+        m = CUT_SIGN.search(text, at)
         if not m or not m[0]:
-            return text.rstrip(), sign
+            return text, sign
         mark = m[0].strip()
-        text, sign = text[: m.start()], max(sign, 3 if mark[0] in "[(<{-=*#~_!" else 2 if mark[0] == "…" else 1)
+        text, sign = text[: m.start()].rstrip(), max(sign, 3 if mark[0] in "[(<{-=*#~_!" else 2 if mark[0] == "…" else 1)
 
 
 def inside_block(text: str) -> bool:
@@ -193,12 +253,14 @@ class EndModel:
             if not live.any() or not len(keys):
                 break
             at = np.flatnonzero(live)
-            h = _hash_tails([contexts[i][-order:] for i in at], order)
+            h = _bucket(_hash_tails([contexts[i][-order:] for i in at], order))
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[k] == h
             live[at[~hit]] = False
             at, k = at[hit], k[hit]
             p[at] = (ends[k] + BACK * p[at]) / (total[k] + BACK)
+            # Where no text ever ended, longer contexts say no more.
+            live[at[ends[k] == 0]] = False
         return np.log(p) - np.log1p(-np.minimum(p, 1 - 1e-9))
 
 
@@ -226,170 +288,325 @@ def _hash_tails(tails: list[str], order: int) -> np.ndarray:
     return _mix(h, order)
 
 
-def _events(texts: list[str], cuts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all texts in a row, where a context may stop, whether text or sentence ends there, place in its text."""
-    codes, allowed, ended, place = [], [], [], []
-    for text in texts:
-        n = len(text)
-        if not n:
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+#: Classes of characters behind the last word of a text: spaces, marks that end, other marks that are stripped.
+_CLASS = np.zeros(0x110000, np.uint8)
+_CLASS[[0, 10, 32]] = 1
+_CLASS[[ord(c) for c in ".!?…"]] = 2
+_CLASS[[ord(c) for c in CLOSERS]] = 3
+_SOFT = np.asarray([ord(c) for c in ",;:"], np.uint32)
+
+
+def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words of the texts in codes, each with a 0 behind it, end, and in halves whether text or sentence ends there."""
+    kind = _CLASS[codes]
+    solid = np.flatnonzero(kind < 2)
+    here, after = solid[:-1], solid[1:]
+    ends = (kind[here] == 0) & (kind[after] == 1)
+    here, after = here[ends], after[ends]
+    marks = np.concatenate(([0], np.cumsum(kind == 2)))
+    marked = marks[after] > marks[here]
+    last = codes[after]
+    # What stands before a comma goes on.
+    soft = here[np.isin(codes[here], _SOFT)] - 1
+    soft = soft[kind[np.maximum(soft, 0)] == 0]
+    ended = np.where(marked | (last == 10), 2, np.where(last == 0, int(2 * UNMARKED), 0)).astype(np.int64)
+    return np.concatenate((here, soft)), np.concatenate((ended, np.zeros(len(soft), np.int64)))
+
+
+def _fronts(text: str, seed: int, vocabulary: set[str]) -> list[str]:
+    """Contexts that end inside CUTS words of a text as the model reads it."""
+    words = [m.span() for m in _WORDS.finditer(text)]
+    out = []
+    for _ in range(CUTS if words else 0):
+        seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
+        a, b = words[(seed >> 8) % len(words)]
+        if text[a] == NAME:  # its front part is a name still, or looks like a word
+            front = NAME if seed >> 20 & 1 else RARE
+        elif text[a] == RARE or b - a > 1:
+            front = text[a : a + 1 + (seed >> 4) % max(1, b - a - 1)]
+            front = front if front in vocabulary else RARE
+        else:
             continue
-        ok = np.ones(n, dtype=bool)
-        end = np.zeros(n, dtype=np.float32)
-        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        for ch in " \n.!?…":
-            ok[raw == ord(ch)] = False
-        for m in _END.finditer(text):
-            ok[m.start() : m.end()] = False
-            if m.start():
-                end[m.start() - 1] = 1
-        last = n - 1
-        while last >= 0 and not ok[last]:
-            last -= 1
-        if last >= 0:
-            end[last] = max(end[last], UNMARKED)
-        breaks = np.flatnonzero(raw == 10)
-        end[breaks[breaks > 0] - 1] = 1
-        codes.append(raw)
-        allowed.append(ok)
-        ended.append(end)
-        place.append(np.arange(1, n + 1, dtype=np.int32))
-    for text in cuts:  # only where they stop
-        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes.append(raw)
-        allowed.append(np.arange(len(raw)) == len(raw) - 1)
-        ended.append(np.zeros(len(raw), dtype=np.float32))
-        place.append(np.arange(1, len(raw) + 1, dtype=np.int32))
-    if not codes:
-        z = np.zeros(0)
-        return z.astype(np.uint32), z.astype(bool), z.astype(np.float32), z.astype(np.int32)
-    return np.concatenate(codes), np.concatenate(allowed), np.concatenate(ended), np.concatenate(place)
-
-
-def fit(texts: list[str], seed: int = 5) -> EndModel:
-    """Count contexts of texts in symbols. A longer context is kept only where the next shorter one ends at times."""
-    vocabulary, rng, cuts = common(texts), np.random.default_rng(seed), []
-    for text in texts:
-        words = [m.span() for m in _LETTERS.finditer(text) if m.end() - m.start() > 1]
-        for k in rng.integers(0, len(words), CUTS) if words else ():
-            a, b = words[k]
-            cuts.append(coarse(text[max(0, b - WINDOW) : int(rng.integers(a + 1, b))], vocabulary)[-ORDERS[-1] :])
-    codes, allowed, ended, place = _events([coarse(t, vocabulary) for t in texts], cuts)
-    del cuts
-    powers = _powers(max(ORDERS) + 1)
-    at = np.flatnonzero(allowed).astype(np.int32)
-    prior = float(ended[at].mean()) if len(at) else 0.5
-    # A polynomial hash of the last symbols, built by adding one symbol further back at a time; in parts, to bound memory.
-    rolling = np.zeros(len(at), np.uint64)
-    tables, done = [], 0
-    for order in ORDERS:
-        keep = place[at] >= order
-        at, rolling = at[keep], rolling[keep]
-        parts = [slice(i, i + PART) for i in range(0, len(at), PART)]
-        with np.errstate(over="ignore"):
-            for part in parts:
+        out.append(text[max(0, a - ORDERS[-1]) : a] + front)
+    return out
+
+
+class EndCounts:
+    """Counters of contexts: how often they occurred, and in halves how often a text or sentence ended after them."""
+
+    def __init__(self, vocabulary: set[str]):
+        self.reader, self.vocabulary = Reader(vocabulary), vocabulary
+        self.total = np.zeros((len(ORDERS), 1 << BUCKET_BITS), np.int32)
+        self.ends = np.zeros((len(ORDERS), 1 << BUCKET_BITS), np.int32)
+
+    def add(self, texts: list[str]) -> None:
+        read = [self.reader.read(t) for t in texts]
+        fronts = [x for raw, t in zip(texts, read, strict=True) for x in _fronts(t, zlib.crc32(raw.encode("utf-8", "surrogatepass")), self.vocabulary)]
+        if not read:
+            return
+        whole = [_codes(t + "\0") for t in read]
+        codes = np.concatenate(whole + [_codes(t + "\0") for t in fronts])
+        size = np.concatenate((np.fromiter(map(len, whole), np.int64, len(whole)), np.fromiter((len(t) + 1 for t in fronts), np.int64, len(fronts))))
+        start = np.cumsum(size) - size
+        edge = int(size[: len(whole)].sum())
+        at, ended = _places(codes[:edge])
+        inside = start[len(whole) :] + size[len(whole) :] - 2
+        at, ended = np.concatenate((at, inside)), np.concatenate((ended, np.zeros(len(inside), np.int64)))
+        place = at - start[np.searchsorted(start, at, side="right") - 1] + 1
+        rolling, done, powers = np.zeros(len(at), np.uint64), 0, _powers(max(ORDERS) + 1)
+        for i, order in enumerate(ORDERS):
+            keep = place >= order
+            at, ended, place, rolling = at[keep], ended[keep], place[keep], rolling[keep]
+            with np.errstate(over="ignore"):
                 for k in range(done, order):
-                    rolling[part] += (codes[at[part] - k].astype(np.uint64) + np.uint64(1)) * powers[k]
-        done = order
-        h = _mix(rolling, order)
-        keys = np.unique(h)
-        ends, total = np.zeros(len(keys), np.float32), np.zeros(len(keys), np.float32)
-        for part in parts:
-            k = np.searchsorted(keys, h[part])
-            total += np.bincount(k, minlength=len(keys)).astype(np.float32)
-            ends += np.bincount(k, weights=ended[at[part]], minlength=len(keys)).astype(np.float32)
-        kept = total >= LEAST_SEEN
-        tables.append((keys[kept], ends[kept], total[kept]))
-        if len(at):
-            longer = kept & (ends > 0)
-            go = np.concatenate([longer[np.searchsorted(keys, h[part])] for part in parts])
-            at, rolling = at[go], rolling[go]
-    return EndModel(tables, min(max(prior, 1e-4), 0.5), {}, vocabulary)
-
-
-def _calibrate(model: EndModel, held: list[tuple[str, str, str]], seed: int = 7) -> dict[tuple[str, str], float]:
-    """Thresholds by language and column from texts left out of training.
-
-    Each held-out text gives a complete case, at the end of one of its sentences without the mark, and a cut one, at a
-    place inside. The threshold makes the fewest errors; between equals it is the one nearest to even odds.
+                    rolling = rolling + (codes[at - k].astype(np.uint64) + np.uint64(1)) * powers[k]
+            done = order
+            bucket = _bucket(_mix(rolling, order))
+            self.total[i] += np.bincount(bucket, minlength=1 << BUCKET_BITS).astype(np.int32)
+            some = ended > 0
+            self.ends[i] += np.bincount(bucket[some], weights=ended[some], minlength=1 << BUCKET_BITS).astype(np.int32)
+
+    def parts(self) -> Iterator[tuple[int, int, bytes]]:
+        """(order, chunk, body) of what was counted."""
+        step = (1 << BUCKET_BITS) // CHUNKS
+        for i in range(len(ORDERS)):
+            for c in range(CHUNKS):
+                total = self.total[i, c * step : (c + 1) * step]
+                if total.any():
+                    yield i, c, _pack(total, self.ends[i, c * step : (c + 1) * step])
+
+    def model(self) -> EndModel:
+        step = (1 << BUCKET_BITS) // CHUNKS
+        parts = [(i, c, *_unpack(body, step)) for i, c, body in self.parts()]
+        return _model(parts, self.vocabulary, {i: _floor(_masses(t)) for i, t in enumerate(self.total)}, _prior(int(self.total[0].sum()), int(self.ends[0].sum())))
+
+
+def _pack(total: np.ndarray, ends: np.ndarray) -> bytes:
+    at = np.flatnonzero(total)
+    return zlib.compress(at.astype(np.uint32).tobytes() + total[at].astype(np.int64).tobytes() + ends[at].astype(np.int64).tobytes(), 1)
+
+
+def _unpack(body: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(body)
+    n = len(raw) // 20
+    at = np.frombuffer(raw, np.uint32, n)
+    total, ends = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    total[at], ends[at] = np.frombuffer(raw, np.int64, n, 4 * n), np.frombuffer(raw, np.int64, n, 12 * n)
+    return total, ends
+
+
+def _masses(total: np.ndarray) -> np.ndarray:
+    """Occurrences in counters of each size, by powers of two."""
+    return np.bincount(np.frexp(total)[1], weights=total, minlength=64).astype(np.int64)
+
+
+def _floor(masses: np.ndarray) -> int:
+    """Occurrences from which a counter of an order counts, by the order's masses."""
+    for top in range(63, 0, -1):
+        noise = -(-NOISE * int(masses[: top + 1].sum()) // (1 << BUCKET_BITS))
+        if noise >= 1 << (top - 1):
+            return max(LEAST_SEEN, noise)
+    return LEAST_SEEN
+
+
+def _model(parts: list[tuple[int, int, np.ndarray, np.ndarray]], vocabulary: set[str], floors: dict[int, int], prior: float) -> EndModel:
+    """The model of the counters in parts (order, chunk, total, ends)."""
+    step, tables = (1 << BUCKET_BITS) // CHUNKS, []
+    for i in range(len(ORDERS)):
+        keys, ends, totals = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.float32)]
+        for _, c, total, end in sorted((x for x in parts if x[0] == i), key=lambda x: x[1]):
+            at = np.flatnonzero(total >= floors[i])
+            keys.append(at + c * step)
+            ends.append((end[at] / 2).astype(np.float32))
+            totals.append(total[at].astype(np.float32))
+        tables.append((np.concatenate(keys), np.concatenate(ends), np.concatenate(totals)))
+    return EndModel(tables, prior, {}, vocabulary)
+
+
+def _prior(seen: int, ended: int) -> float:
+    return min(max(ended / 2 / seen, 1e-4), 0.5) if seen else 0.5
+
+
+def fit(texts: list[str]) -> EndModel:
+    """The model of texts in memory."""
+    counts = EndCounts(frequent(word_counts(texts), len(texts)))
+    counts.add(texts)
+    return counts.model()
+
+
+def count_contexts(texts: DataFrame, vocabulary: set[str]) -> EndModel:
+    """The model of all texts (content): every task counts into arrays of fixed size, which are added up in parts."""
+    blob = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    step = (1 << BUCKET_BITS) // CHUNKS
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = EndCounts(blob.value)
+        for batch in batches:
+            counts.add(batch["content"].tolist())
+        for part in counts.parts():
+            yield pd.DataFrame([part], columns=["order", "chunk", "body"])
+
+    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        total, ends = np.zeros(step, np.int64), np.zeros(step, np.int64)
+        for body in group["body"]:
+            t, e = _unpack(body, step)
+            total += t
+            ends += e
+        return pd.DataFrame([(*key, _masses(total), int(ends.sum()), _pack(total, ends))], columns=["order", "chunk", "masses", "ended", "body"])
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, c, body in zip(batch["order"], batch["chunk"], batch["body"], strict=True):
+                total, ends = _unpack(body, step)
+                often = total >= floors[i]
+                out.append((i, c, _pack(np.where(often, total, 0), ends)))
+            yield pd.DataFrame(out, columns=["order", "chunk", "body"])
+
+    parts = texts.select("content").mapInPandas(count, "order int, chunk int, body binary")
+    summed = materialize(parts.groupBy("order", "chunk").applyInPandas(add, "order int, chunk int, masses array<long>, ended long, body binary"), "contexts")
+    masses, ended = {i: np.zeros(64, np.int64) for i in range(len(ORDERS))}, 0
+    for i, m, e in summed.select("order", "masses", "ended").collect():  # len(ORDERS) * CHUNKS rows
+        masses[i] += np.asarray(m)
+        ended += e if i == 0 else 0
+    floors = {i: _floor(m) for i, m in masses.items()}
+    rows = summed.select("order", "chunk", "body").mapInPandas(keep, "order int, chunk int, body binary").collect()
+    return _model([(i, c, *_unpack(body, step)) for i, c, body in rows], vocabulary, floors, _prior(int(masses[0].sum()), ended))
+
+
+def _cases(text: str) -> tuple[str, str] | None:
+    """A complete case of a text, at the end of one of its sentences without the mark, and a cut one, at a place inside."""
+    s = symbols(text)
+    stops = [m.start() for m in _END.finditer(s) if m.start() > 10]
+    if not stops or len(s) < 20:
+        return None
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    stop, place = stops[(seed >> 8) % len(stops)], 5 + (seed * 1103515245 + 12345 >> 8) % (len(s) - 5)
+    while place < len(s) and (s[place - 1] in " \n.!?…" or _END.match(s, place) or s[place] == "\n"):
+        place += 1
+    return None if place >= len(s) else (_TAIL.sub("", s[:stop]), _TAIL.sub("", s[:place]))
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.floor((np.clip(values, LOW, HIGH) - LOW) / STEP).astype(np.int64)
+
+
+def case_scores(texts: list[str], columns: list[str], langs: list[str], model: EndModel) -> Counter:
+    """How many cases of (language, column, is cut) have log-odds in each step."""
+    chosen = [(lang, column, case) for text, column, lang in zip(texts, columns, langs, strict=True) if (case := _cases(text))]
+    found: Counter = Counter()
+    if chosen:
+        for cut in (False, True):
+            steps = _steps(model.log_odds([c[cut] for _, _, c in chosen]))
+            found.update((lang, column, cut, int(k)) for (lang, column, _), k in zip(chosen, steps, strict=True))
+    return found
+
+
+def thresholds(found: dict[tuple[str, str, bool, int], int]) -> dict[tuple[str, str], float]:
+    """The threshold of each language and column with enough cases, and of all under ("", "").
+
+    It makes the fewest errors among the pair's cases and, weighted less, among all; between equals it is the one
+    nearest to even odds, and never above EVEN.
     """
-    rng = np.random.default_rng(seed)
-    whole, cut, key = [], [], []
-    for lang, column, text in held:
-        s = symbols(text)
-        stops = [m.start() for m in _END.finditer(s) if m.start() > 10]
-        if not stops or len(s) < 20:
-            continue
-        stop = int(rng.choice(stops))
-        place = int(rng.integers(5, len(s)))
-        while place < len(s) and (s[place - 1] in " \n.!?…" or _END.match(s, place) or s[place] == "\n"):
-            place += 1
-        if place >= len(s):
-            continue
-        whole.append(_TAIL.sub("", s[:stop]))
-        cut.append(_TAIL.sub("", s[:place]))
-        key.append((lang, column))
-    if not whole:
-        return {("", ""): 0.0}
-    good, bad = model.log_odds(whole), model.log_odds(cut)
-
-    def best(rows: np.ndarray) -> float:
-        values = np.concatenate((good[rows], bad[rows]))
-        label = np.concatenate((np.zeros(len(rows)), np.ones(len(rows))))
-        order = np.argsort(values, kind="stable")
-        values, label = values[order], label[order]
+    n = int((HIGH - LOW) / STEP) + 1
+    pairs: dict[tuple[str, str], np.ndarray] = {}
+    every = np.zeros((2, n))
+    for (lang, column, cut, k), count in found.items():
+        pairs.setdefault((lang, column), np.zeros((2, n)))[int(cut), k] += count
+        every[int(cut), k] += count
+    edges = LOW + STEP * np.arange(n + 1)
+
+    def errors(h: np.ndarray) -> np.ndarray:
         # Below the threshold counts as cut: errors are the complete cases below and the cut ones from it on.
-        errors = np.concatenate(([0], np.cumsum(1 - label))) + (label.sum() - np.concatenate(([0], np.cumsum(label))))
-        edges = np.concatenate((values[:1] - 1, values))
-        errors = errors + SHRINK * len(rows) / len(whole) * (np.searchsorted(np.sort(good), edges, side="right") + len(bad) - np.searchsorted(np.sort(bad), edges, side="right"))
-        least = np.flatnonzero(errors == errors.min())
-        low = np.concatenate((values[:1] - 1, values))[least]
-        high = np.concatenate((values, values[-1:] + 1))[least]
-        limits = np.clip(0, low + 1e-6, np.maximum(high - 1e-6, low + 1e-6))
-        return float(limits[np.abs(limits).argmin()])
-
-    out = {("", ""): best(np.arange(len(whole)))}
-    for pair in set(key):
-        rows = np.asarray([i for i, k in enumerate(key) if k == pair])
-        if len(rows) >= LEAST_CASES:
-            out[pair] = best(rows)
+        return np.concatenate(([0], np.cumsum(h[0]))) + h[1].sum() - np.concatenate(([0], np.cumsum(h[1])))
+
+    def best(e: np.ndarray) -> float:
+        e = np.where(edges <= EVEN + 1e-9, e, np.inf)
+        least = edges[np.flatnonzero(e <= e.min() + 1e-9)]
+        return float(least[np.abs(least).argmin()])
+
+    if not every.any():
+        return {("", ""): 0.0}
+    out = {("", ""): best(errors(every))}
+    for pair, h in pairs.items():
+        if h[1].sum() >= LEAST_CASES:
+            out[pair] = best(errors(h) + SHRINK * h.sum() / every.sum() * errors(every))
     return out
 
 
+def calibrate(held: DataFrame, model: EndModel, languages: CharModel) -> dict[tuple[str, str], float]:
+    """Thresholds by language and column from all texts (tbl, content) left out of training."""
+    blob = held.sparkSession.sparkContext.broadcast(pickle.dumps((model, languages)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends, langs = pickle.loads(blob.value)
+        scores = WordScores(langs)
+        for batch in batches:
+            texts = batch["content"].tolist()
+            found = case_scores(texts, batch["tbl"].tolist(), text_language(texts, scores), ends)
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "tbl", "cut", "step", "n"])
+
+    rows = held.select("tbl", "content").mapInPandas(run, "lang string, tbl string, cut boolean, step int, n long")
+    return thresholds({(r[0], r[1], r[2], r[3]): r[4] for r in rows.groupBy("lang", "tbl", "cut", "step").agg(F.sum("n")).collect()})
+
+
 def text_language(texts: list[str], scores: WordScores) -> list[str]:
     """The language of the prose of each text, "" where there is none."""
-    groups = [[w for _, _, s, _ in sentences(t) for w in prose_words(s)] for t in texts]
-    logp, chars, n = scores.sums(groups)
+    words = ProseWords()
+    logp, chars, n = scores.sums([words.of(t) for t in texts])
     which, _ = language.best(scores.model, logp, chars, n)
     return [scores.model.languages[j] if j >= 0 else "" for j in which]
 
 
-def train(texts: DataFrame, samples: DataFrame, max_texts: int = MAX_TEXTS, rows: int | None = None) -> tuple[EndModel, CharModel]:
+def train(texts: DataFrame, samples: DataFrame, rows: int | None = None) -> tuple[EndModel, CharModel]:
     """The end model with its thresholds and limits, and the language models, from texts (tbl, id, content).
 
-    All but the limits, which are counted over all texts, comes from a bounded sample.
-
-    Texts with a sign of a cut other than three dots, or that stop inside a block, don't teach where texts end. Every fifth text is left out
-    of training and calibrates the thresholds.
+    Words, contexts, thresholds and limits are counted over all texts; the language models come from samples and from
+    the words of language.MAX_TEXTS texts. Equal contents count once, those of a few words once an id, so that copies
+    don't vouch for their own ends. Texts with a sign of a cut other than three dots, or that stop inside a block,
+    don't teach where texts end.
     """
-    chosen = language._bounded(texts, ["tbl", "id", "content"], max_texts, by=["tbl", "id"], rows=rows)
-    # Repeated rows, and copies of a longer text, would vouch for their own ends.
-    once = {(tbl, id_ if len(text.split()) <= SHORT else text): text for tbl, id_, text in chosen}
-    chosen = [(tbl, text) for (tbl, _), text in once.items()]
-    languages = language.train_calibrated(language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES))
-    languages = language.adapt(languages, language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES), [r[1] for r in chosen[: language.MAX_TEXTS]])
-    clean = []
-    for tbl, text in chosen:
-        bare, signed = strip_sign(text)
-        if signed <= 1 and bare and not inside_block(bare):
-            clean.append((tbl, bare))
-    held = [x for i, x in enumerate(clean) if i % 5 == 4]
-    model = fit([symbols(t) for i, (_, t) in enumerate(clean) if i % 5 != 4])
-    langs = text_language([t for _, t in held], WordScores(languages))
-    model.thresholds = _calibrate(model, [(lang, tbl, t) for lang, (tbl, t) in zip(langs, held, strict=True)])
+    n = texts.count() if rows is None else rows
+    labelled = language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES)
+    languages = language.adapt(language.train_calibrated(labelled), labelled, [r[2] for r in language._bounded(texts, ["tbl", "id", "content"], language.MAX_TEXTS, by=["tbl", "id"], rows=n)])
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(word_counts(batch["content"].tolist()).items(), columns=["word", "n"])
+
+    counted = texts.select("content").mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    # At most (words a text) / share of them, whatever the number of texts.
+    vocabulary = frequent({r[0]: r[1] for r in counted.where(F.col("n") >= max(5, 0.0005 * n)).collect()}, n)
+    few = F.size(F.split(F.trim("content"), r"\s+", SHORT + 1)) <= SHORT
+    held = F.pmod(F.xxhash64("content"), F.lit(HELD_OUT)) == HELD_OUT - 1
+    once = texts.select("tbl", "content", F.when(few, F.col("id")).alias("of"), held.alias("held")).distinct()
+
+    def teaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bare = [_teaching(t) for t in batch["content"]]
+            yield batch.assign(content=bare)[[t is not None for t in bare]]
+
+    clean = once.select("tbl", "content", "held").mapInPandas(teaching, "tbl string, content string, held boolean")
+    clean = materialize(clean, "teaching")
+    model = count_contexts(clean.where("NOT held"), vocabulary)
+    model.thresholds = calibrate(clean.where("held"), model, languages)
     model.limits = limits(texts)
     return model, languages
 
 
+def _teaching(text: str) -> str | None:
+    bare, signed = strip_sign(text)
+    return bare if signed <= 1 and bare and not inside_block(bare) else None
+
+
 def judge(texts: list[str], columns: list[str], model: EndModel, scores: WordScores) -> tuple[list[bool], list[float | None]]:
     """Whether each text is cut, and the log-odds of an end where the model was asked. Null and blank are no cases."""
     asked = [question(t or "") for t in texts]
@@ -409,8 +626,7 @@ def judge(texts: list[str], columns: list[str], model: EndModel, scores: WordSco
 def find_cut(texts: DataFrame, samples: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """tbl, id, the columns named in extra, cut and log_odds for each row of texts (tbl, id, content).
 
-    Null, blank and empty contents are never cut. One pass without a shuffle; the models go with the tasks, their size
-    is bounded by MAX_TEXTS.
+    Null, blank and empty contents are never cut. The models go with the tasks; their size doesn't grow with the texts.
     """
     usable = texts.where(~is_blank(F.col("content")))
     blob = texts.sparkSession.sparkContext.broadcast(pickle.dumps(train(usable, samples, rows=texts.count())))

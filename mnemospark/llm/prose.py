@@ -16,6 +16,7 @@ SENTENCE = re.compile(r"\S.*?(?:[.!?…]+[\"'»”)\]]*(?=\s|$)|$)", re.S)
 COMPLETE = re.compile(r"[.!?…][\"'»”)\]]*$")
 #: A token of prose: letters only, at most an apostrophe inside, with its punctuation.
 PROSE_TOKEN = re.compile(r"(?<!\S)[(\[¿¡'’*_]*([^\W\d_]+(?:['’][^\W\d_]+)*)[)\]'’*_]*[.,;:!?…]*(?!\S)")
+_QUOTE = re.compile(r"[\"«„“]")
 #: A capital letter after a small one marks a name of a program.
 CAMEL = re.compile(r"[a-zа-яß-öø-ÿ][A-ZА-Я]")
 WORD = re.compile(r"[^\W_]+")
@@ -61,3 +62,30 @@ def sentences(text: str) -> Iterator[tuple[int, int, str, bool]]:
 def prose_words(sentence: str) -> list[str]:
     """The words of a sentence in lower case, without names of programs, numbers and paths."""
     return [w.lower() for w in PROSE_TOKEN.findall(sentence) if not CAMEL.search(w)]
+
+
+class ProseWords(dict):
+    """The prose words of whole texts; what a token gives is worked out once, as tokens come again and again."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, token: str) -> str:
+        m = PROSE_TOKEN.fullmatch(token)
+        word = m[1].lower() if m and not CAMEL.search(m[1]) else ""
+        if len(self) > self.LIMIT:
+            self.clear()
+        self[token] = word
+        return word
+
+    def of(self, text: str) -> list[str]:
+        """The same words, in order, that prose_words gives for the sentences of text."""
+        out: list[str] = []
+        for _, line, heading in plain_lines(text):
+            if heading:
+                continue
+            if "`" in line:
+                line = INLINE_CODE.sub(_blank_out, line)
+            if _QUOTE.search(line):
+                line = QUOTED.sub(_blank_out, line)
+            out += [w for w in [self[t] for t in line.split()] if w]
+        return out

@@ -23,8 +23,10 @@ def test_signs_and_blocks():
 
 def test_held_out_accuracy():
     texts = corpus(1500)
-    model = endings.fit([endings.symbols(t) for t in texts[:1200]])
-    model.thresholds = endings._calibrate(model, [("en", "turns", t) for t in texts[1200:]])
+    model = endings.fit(texts[:1200])
+    held = texts[1200:]
+    model.thresholds = endings.thresholds(endings.case_scores(held, ["turns"] * len(held), ["en"] * len(held), model))
+    assert ("en", "turns") in model.thresholds
     rng = random.Random(3)
     whole = [t.rstrip(".") for t in corpus(200, 9)]
     cut = []
@@ -38,6 +40,28 @@ def test_held_out_accuracy():
     assert (odds(whole) >= limit).mean() >= 0.9 and (odds(cut) < limit).mean() >= 0.9
 
 
+def test_counts_are_the_same_however_the_texts_are_divided(spark):
+    texts = corpus(300, 4) + ["", "é" * 70, "a `b c` d\n```\nx\n```\nso it goes on", "\ud800 odd."]
+    whole = endings.fit(texts)
+    df = spark.createDataFrame([(t,) for t in texts if "\ud800" not in t], "content string").repartition(5)
+    far = endings.count_contexts(df, whole.vocabulary)
+    near = endings.EndCounts(whole.vocabulary)
+    near.add([t for t in texts if "\ud800" not in t])
+    near = near.model()
+    assert far.prior == near.prior and all((a[k] == b[k]).all() for a, b in zip(far.tables, near.tables, strict=True) for k in range(3))
+    empty = endings.count_contexts(df.limit(0), set())
+    assert empty.prior == 0.5 and len(empty.log_odds(["x"])) == 1
+
+
+def test_contexts_by_hand():
+    counts = endings.EndCounts({"go", "on"})
+    counts.add(["go on. go on"])
+    bucket = lambda c: endings._bucket(endings._hash_tails([c], len(c)))[0]
+    i = endings.ORDERS.index(2)
+    assert (counts.total[i][bucket("on")], counts.ends[i][bucket("on")]) == (2, 3)  # one sentence, one text without a mark
+    assert counts.ends[i][bucket("go")] == 0 and counts.total[i][bucket("go")] == 2
+
+
 def test_limits_are_lengths_where_texts_pile_up(spark):
     rows = [("facts", f"i{k}", f"{k:03d}" * (40 + k % 50)) for k in range(400)] + [("facts", f"l{k}", f"{k:02d}" * 250) for k in range(30)] + [("facts", f"c{k}", "copy" * 99) for k in range(50)] + [("turns", f"t{k}", "z" * 500) for k in range(5)] + [("turns", "n", None)]
     assert endings.limits(spark.createDataFrame(rows, "tbl string, id string, content string")) == {("facts", 500)}
