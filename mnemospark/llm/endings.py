@@ -46,6 +46,8 @@ UNMARKED = 0.5
 BACK = 0.7
 #: Characters of a context that are read; more than the longest order takes.
 WINDOW = 160
+#: Characters counted at once.
+PART = 4_000_000
 #: Words of each training text that are cut to show how such a cut looks.
 CUTS = 4
 #: Weight of all cases beside those of a language and column.
@@ -124,14 +126,17 @@ def without_code(text: str) -> str:
     return _PHRASE.sub(NAME, text) if "`" in text else text
 
 
+_PLAIN = Reader()
+
+
 def symbols(text: str) -> str:
     """The text as the model reads it: closed code blocks, code phrases, names and numbers are one symbol each."""
-    return Reader().read(text)
+    return _PLAIN.read(text)
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: What may be cut inside in a text of symbols: words, those outside the vocabulary too, and names.
-_WORDS = re.compile(rf"[^\W\d_]+|{RARE}|{NAME}")
+_WORDS = re.compile(rf"(?<![^\W\d_])[^\W\d_]+|{RARE}|{NAME}")
 
 
 def frequent(counts: dict[str, int], n: int, share: float = 0.0005, least: int = 5) -> set[str]:
@@ -172,12 +177,15 @@ def strip_sign(text: str) -> tuple[str, int]:
 
 def inside_block(text: str) -> bool:
     """True if text stops inside a fenced block or between the marker lines of a key."""
-    rest = _FENCED.sub("", text)
     m = None
-    for m in _OPEN_FENCE.finditer(rest):
-        pass
-    if m and rest[m.end() :].strip():
-        return True
+    if "```" in text or "~~~" in text:
+        rest = _FENCED.sub("", text)
+        for m in _OPEN_FENCE.finditer(rest):
+            pass
+        if m and rest[m.end() :].strip():
+            return True
+    if "-----BEGIN " not in text:
+        return False
     last = None
     for last in _KEY_BLOCK.finditer(text):
         pass
@@ -322,12 +330,14 @@ def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fronts(text: str, seed: int, vocabulary: set[str]) -> list[str]:
-    """Contexts that end inside CUTS words of a text as the model reads it."""
-    words = [m.span() for m in _WORDS.finditer(text)]
+    """Contexts that end inside CUTS words of a text as the model reads it, each the next after some place."""
     out = []
-    for _ in range(CUTS if words else 0):
+    for _ in range(CUTS):
         seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
-        a, b = words[(seed >> 8) % len(words)]
+        m = _WORDS.search(text, (seed >> 8) % len(text))
+        if not m:
+            continue
+        a, b = m.span()
         if text[a] == NAME:  # its front part is a name still, or looks like a word
             front = NAME if seed >> 20 & 1 else RARE
         elif text[a] == RARE or b - a > 1:
@@ -347,18 +357,30 @@ class EndCounts:
         self.total = np.zeros((len(ORDERS), 1 << BUCKET_BITS), np.int32)
         self.ends = np.zeros((len(ORDERS), 1 << BUCKET_BITS), np.int32)
 
+        self.held: list[str] = []
+        self.held_size = 0
+
     def add(self, texts: list[str]) -> None:
-        read = [self.reader.read(t) for t in texts]
-        fronts = [x for raw, t in zip(texts, read, strict=True) for x in _fronts(t, zlib.crc32(raw.encode("utf-8", "surrogatepass")), self.vocabulary)]
+        for text in texts:
+            read = self.reader.read(text)
+            self.held.append(read)
+            self.held_size += len(read)
+            if self.held_size > PART:
+                self.count()
+
+    def count(self) -> None:
+        """Count what is held."""
+        read, self.held, self.held_size = self.held, [], 0
         if not read:
             return
-        whole = [_codes(t + "\0") for t in read]
-        codes = np.concatenate(whole + [_codes(t + "\0") for t in fronts])
-        size = np.concatenate((np.fromiter(map(len, whole), np.int64, len(whole)), np.fromiter((len(t) + 1 for t in fronts), np.int64, len(fronts))))
+        fronts = [x for t in read for x in _fronts(t, zlib.crc32(t.encode("utf-8", "surrogatepass")), self.vocabulary)]
+        every = read + fronts
+        codes = _codes("\0".join(every) + "\0")
+        size = np.fromiter((len(t) + 1 for t in every), np.int64, len(every))
         start = np.cumsum(size) - size
-        edge = int(size[: len(whole)].sum())
+        edge = int(size[: len(read)].sum())
         at, ended = _places(codes[:edge])
-        inside = start[len(whole) :] + size[len(whole) :] - 2
+        inside = start[len(read) :] + size[len(read) :] - 2
         at, ended = np.concatenate((at, inside)), np.concatenate((ended, np.zeros(len(inside), np.int64)))
         place = at - start[np.searchsorted(start, at, side="right") - 1] + 1
         rolling, done, powers = np.zeros(len(at), np.uint64), 0, _powers(max(ORDERS) + 1)
@@ -376,6 +398,7 @@ class EndCounts:
 
     def parts(self) -> Iterator[tuple[int, int, bytes]]:
         """(order, chunk, body) of what was counted."""
+        self.count()
         step = (1 << BUCKET_BITS) // CHUNKS
         for i in range(len(ORDERS)):
             for c in range(CHUNKS):
@@ -385,7 +408,7 @@ class EndCounts:
 
     def model(self) -> EndModel:
         step = (1 << BUCKET_BITS) // CHUNKS
-        parts = [(i, c, *_unpack(body, step)) for i, c, body in self.parts()]
+        parts = [(i, c, *_unpack(body, step)) for i, c, body in self.parts()]  # counts what is held as well
         return _model(parts, self.vocabulary, {i: _floor(_masses(t)) for i, t in enumerate(self.total)}, _prior(int(self.total[0].sum()), int(self.ends[0].sum())))
 
 

@@ -56,6 +56,7 @@ def test_counts_are_the_same_however_the_texts_are_divided(spark):
 def test_contexts_by_hand():
     counts = endings.EndCounts({"go", "on"})
     counts.add(["go on. go on"])
+    counts.count()
     bucket = lambda c: endings._bucket(endings._hash_tails([c], len(c)))[0]
     i = endings.ORDERS.index(2)
     assert (counts.total[i][bucket("on")], counts.ends[i][bucket("on")]) == (2, 3)  # one sentence, one text without a mark
