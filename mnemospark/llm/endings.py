@@ -630,15 +630,18 @@ def _teaching(text: str) -> str | None:
     return bare if signed <= 1 and bare and not inside_block(bare) else None
 
 
-def judge(texts: list[str], columns: list[str], model: EndModel, scores: WordScores) -> tuple[list[bool], list[float | None]]:
-    """Whether each text is cut, and the log-odds of an end where the model was asked. Null and blank are no cases."""
+def judge(texts: list[str], columns: list[str], model: EndModel, scores: WordScores, langs: list[str] | None = None) -> tuple[list[bool], list[float | None]]:
+    """Whether each text is cut, and the log-odds of an end where the model was asked. Null and blank are no cases.
+
+    langs are the texts' languages where they are known already.
+    """
     asked = [question(t or "") for t in texts]
     cut = [bool(v) for _, v, _ in asked]
     odds: list[float | None] = [None] * len(texts)
     open_ = [i for i, (_, v, _) in enumerate(asked) if v is None]
     if open_:
         value = model.log_odds([asked[i][0] for i in open_])
-        lang = text_language([texts[i] for i in open_], scores)
+        lang = text_language([texts[i] for i in open_], scores) if langs is None else [langs[i] for i in open_]
         for i, x, g in zip(open_, value, lang, strict=True):
             x += (LIMIT_SHIFT if (columns[i], len(texts[i])) in model.limits else 0) + SHIFT[asked[i][2]] + (SHORT_SHIFT if asked[i][2] <= 1 and len(asked[i][0].split()) <= SHORT and "\n" not in asked[i][0] else 0)
             limit = model.thresholds.get((g, columns[i]), model.thresholds[("", "")])
