@@ -38,6 +38,8 @@ LEAST_SEEN = 2
 BUCKET_BITS, CHUNKS, NOISE = 20, 16, 4
 #: Every HELD_OUT-th text, by the hash of its content, calibrates and doesn't train. Log-odds are counted in steps.
 HELD_OUT, STEP, LOW, HIGH = 5, 0.05, -14.0, 14.0
+#: Contents that occur more than once go with the tasks up to this number, beyond it by a join.
+MAX_BROADCAST_ROWS = 2_000_000
 #: The highest threshold: what only ever ends texts, and always without a mark, has even odds and isn't cut.
 EVEN = -0.25
 #: What the end of a text without a final mark counts: some of those are cut.
@@ -165,6 +167,9 @@ def coarse(text: str, vocabulary: set[str]) -> str:
 def strip_sign(text: str) -> tuple[str, int]:
     """The text without the signs of a cut at its end, and the strongest of them, as a place in SHIFT."""
     sign, text = 0, text.rstrip()
+    # A single full stop or question mark is no sign, and none can stand before it.
+    if text[-1:] in (".", "?") and text[-2:-1] not in (".", "…"):
+        return text, 0
     while True:
         # A sign is shorter than what is looked at.
         at = max(0, len(text) - SIGN_LENGTH)
@@ -354,27 +359,36 @@ class EndCounts:
 
     def __init__(self, vocabulary: set[str]):
         self.reader, self.vocabulary = Reader(vocabulary), vocabulary
-        self.total = np.zeros((len(ORDERS), 1 << BUCKET_BITS), np.int32)
-        self.ends = np.zeros((len(ORDERS), 1 << BUCKET_BITS), np.int32)
-
+        self.total = np.zeros((len(ORDERS), 1 << BUCKET_BITS))
+        self.ends = np.zeros((len(ORDERS), 1 << BUCKET_BITS))
         self.held: list[str] = []
+        self.weights: list[float] = []
         self.held_size = 0
 
-    def add(self, texts: list[str]) -> None:
-        for text in texts:
-            read = self.reader.read(text)
+    def add(self, texts: list[str], weights: list[float] | None = None) -> None:
+        """weights: how much each text counts, so that n copies of one text count once."""
+        for text, weight in zip(texts, weights if weights is not None else [1.0] * len(texts), strict=True):
+            bare = _teaching(text)
+            if bare is None:
+                continue
+            read = self.reader.read(bare)
             self.held.append(read)
+            self.weights.append(weight)
             self.held_size += len(read)
             if self.held_size > PART:
                 self.count()
 
     def count(self) -> None:
         """Count what is held."""
-        read, self.held, self.held_size = self.held, [], 0
+        read, weight, self.held, self.weights, self.held_size = self.held, self.weights, [], [], 0
         if not read:
             return
-        fronts = [x for t in read for x in _fronts(t, zlib.crc32(t.encode("utf-8", "surrogatepass")), self.vocabulary)]
-        every = read + fronts
+        fronts, of = [], []
+        for i, t in enumerate(read):
+            found = _fronts(t, zlib.crc32(t.encode("utf-8", "surrogatepass")), self.vocabulary)
+            fronts += found
+            of += [i] * len(found)
+        every, each = read + fronts, np.concatenate((np.asarray(weight), np.asarray(weight)[np.asarray(of, np.int64)]))
         codes = _codes("\0".join(every) + "\0")
         size = np.fromiter((len(t) + 1 for t in every), np.int64, len(every))
         start = np.cumsum(size) - size
@@ -382,19 +396,21 @@ class EndCounts:
         at, ended = _places(codes[:edge])
         inside = start[len(read) :] + size[len(read) :] - 2
         at, ended = np.concatenate((at, inside)), np.concatenate((ended, np.zeros(len(inside), np.int64)))
-        place = at - start[np.searchsorted(start, at, side="right") - 1] + 1
+        text = np.searchsorted(start, at, side="right") - 1
+        place, weigh = at - start[text] + 1, None if (each == 1).all() else each[text]
         rolling, done, powers = np.zeros(len(at), np.uint64), 0, _powers(max(ORDERS) + 1)
         for i, order in enumerate(ORDERS):
             keep = place >= order
             at, ended, place, rolling = at[keep], ended[keep], place[keep], rolling[keep]
+            weigh = weigh if weigh is None else weigh[keep]
             with np.errstate(over="ignore"):
                 for k in range(done, order):
                     rolling = rolling + (codes[at - k].astype(np.uint64) + np.uint64(1)) * powers[k]
             done = order
             bucket = _bucket(_mix(rolling, order))
-            self.total[i] += np.bincount(bucket, minlength=1 << BUCKET_BITS).astype(np.int32)
+            self.total[i] += np.bincount(bucket, weights=weigh, minlength=1 << BUCKET_BITS)
             some = ended > 0
-            self.ends[i] += np.bincount(bucket[some], weights=ended[some], minlength=1 << BUCKET_BITS).astype(np.int32)
+            self.ends[i] += np.bincount(bucket[some], weights=ended[some] if weigh is None else ended[some] * weigh[some], minlength=1 << BUCKET_BITS)
 
     def parts(self) -> Iterator[tuple[int, int, bytes]]:
         """(order, chunk, body) of what was counted."""
@@ -408,21 +424,21 @@ class EndCounts:
 
     def model(self) -> EndModel:
         step = (1 << BUCKET_BITS) // CHUNKS
-        parts = [(i, c, *_unpack(body, step)) for i, c, body in self.parts()]  # counts what is held as well
-        return _model(parts, self.vocabulary, {i: _floor(_masses(t)) for i, t in enumerate(self.total)}, _prior(int(self.total[0].sum()), int(self.ends[0].sum())))
+        parts = [(i, c, *map(np.rint, _unpack(body, step))) for i, c, body in self.parts()]  # counts what is held as well
+        return _model(parts, self.vocabulary, {i: _floor(_masses(np.rint(t))) for i, t in enumerate(self.total)}, _prior(int(np.rint(self.total[0]).sum()), int(np.rint(self.ends[0]).sum())))
 
 
 def _pack(total: np.ndarray, ends: np.ndarray) -> bytes:
     at = np.flatnonzero(total)
-    return zlib.compress(at.astype(np.uint32).tobytes() + total[at].astype(np.int64).tobytes() + ends[at].astype(np.int64).tobytes(), 1)
+    return zlib.compress(at.astype(np.uint32).tobytes() + total[at].astype(np.float64).tobytes() + ends[at].astype(np.float64).tobytes(), 1)
 
 
 def _unpack(body: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     raw = zlib.decompress(body)
     n = len(raw) // 20
     at = np.frombuffer(raw, np.uint32, n)
-    total, ends = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    total[at], ends[at] = np.frombuffer(raw, np.int64, n, 4 * n), np.frombuffer(raw, np.int64, n, 12 * n)
+    total, ends = np.zeros(size), np.zeros(size)
+    total[at], ends[at] = np.frombuffer(raw, np.float64, n, 4 * n), np.frombuffer(raw, np.float64, n, 12 * n)
     return total, ends
 
 
@@ -466,23 +482,24 @@ def fit(texts: list[str]) -> EndModel:
 
 
 def count_contexts(texts: DataFrame, vocabulary: set[str]) -> EndModel:
-    """The model of all texts (content): every task counts into arrays of fixed size, which are added up in parts."""
+    """The model of all texts (content, weight): every task counts into arrays of fixed size, which are added up in parts."""
     blob = texts.sparkSession.sparkContext.broadcast(vocabulary)
     step = (1 << BUCKET_BITS) // CHUNKS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = EndCounts(blob.value)
         for batch in batches:
-            counts.add(batch["content"].tolist())
+            counts.add(batch["content"].tolist(), batch["weight"].tolist())
         for part in counts.parts():
             yield pd.DataFrame([part], columns=["order", "chunk", "body"])
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total, ends = np.zeros(step, np.int64), np.zeros(step, np.int64)
+        total, ends = np.zeros(step), np.zeros(step)
         for body in group["body"]:
             t, e = _unpack(body, step)
             total += t
             ends += e
+        total, ends = np.rint(total), np.rint(ends)  # all copies of a text together are whole
         return pd.DataFrame([(*key, _masses(total), int(ends.sum()), _pack(total, ends))], columns=["order", "chunk", "masses", "ended", "body"])
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -494,7 +511,7 @@ def count_contexts(texts: DataFrame, vocabulary: set[str]) -> EndModel:
                 out.append((i, c, _pack(np.where(often, total, 0), ends)))
             yield pd.DataFrame(out, columns=["order", "chunk", "body"])
 
-    parts = texts.select("content").mapInPandas(count, "order int, chunk int, body binary")
+    parts = texts.select("content", "weight").mapInPandas(count, "order int, chunk int, body binary")
     summed = materialize(parts.groupBy("order", "chunk").applyInPandas(add, "order int, chunk int, masses array<long>, ended long, body binary"), "contexts")
     masses, ended = {i: np.zeros(64, np.int64) for i in range(len(ORDERS))}, 0
     for i, m, e in summed.select("order", "masses", "ended").collect():  # len(ORDERS) * CHUNKS rows
@@ -573,8 +590,9 @@ def calibrate(held: DataFrame, model: EndModel, languages: CharModel) -> dict[tu
         ends, langs = pickle.loads(blob.value)
         scores = WordScores(langs)
         for batch in batches:
-            texts = batch["content"].tolist()
-            found = case_scores(texts, batch["tbl"].tolist(), text_language(texts, scores), ends)
+            bare = [_teaching(t) for t in batch["content"]]
+            texts, columns = [t for t in bare if t], [c for c, t in zip(batch["tbl"], bare, strict=True) if t]
+            found = case_scores(texts, columns, text_language(texts, scores), ends)
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "tbl", "cut", "step", "n"])
 
     rows = held.select("tbl", "content").mapInPandas(run, "lang string, tbl string, cut boolean, step int, n long")
@@ -609,18 +627,12 @@ def train(texts: DataFrame, samples: DataFrame, rows: int | None = None) -> tupl
     # At most (words a text) / share of them, whatever the number of texts.
     vocabulary = frequent({r[0]: r[1] for r in counted.where(F.col("n") >= max(5, 0.0005 * n)).collect()}, n)
     few = F.size(F.split(F.trim("content"), r"\s+", SHORT + 1)) <= SHORT
-    held = F.pmod(F.xxhash64("content"), F.lit(HELD_OUT)) == HELD_OUT - 1
-    once = texts.select("tbl", "content", F.when(few, F.col("id")).alias("of"), held.alias("held")).distinct()
-
-    def teaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bare = [_teaching(t) for t in batch["content"]]
-            yield batch.assign(content=bare)[[t is not None for t in bare]]
-
-    clean = once.select("tbl", "content", "held").mapInPandas(teaching, "tbl string, content string, held boolean")
-    clean = materialize(clean, "teaching")
-    model = count_contexts(clean.where("NOT held"), vocabulary)
-    model.thresholds = calibrate(clean.where("held"), model, languages)
+    hashed = texts.select("tbl", "content", F.xxhash64("content", F.when(few, F.col("id"))).alias("h"), F.pmod(F.xxhash64("content"), F.lit(HELD_OUT)).alias("part"))
+    copies = materialize(hashed.groupBy("tbl", "h").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    few_copies = copies.count() <= MAX_BROADCAST_ROWS
+    weighed = hashed.where(F.col("part") != HELD_OUT - 1).join(F.broadcast(copies) if few_copies else copies, ["tbl", "h"], "left")
+    model = count_contexts(weighed.select("content", (1.0 / F.coalesce("n", F.lit(1))).alias("weight")), vocabulary)
+    model.thresholds = calibrate(hashed.where(F.col("part") == HELD_OUT - 1), model, languages)
     model.limits = limits(texts)
     return model, languages
 

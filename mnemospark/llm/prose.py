@@ -17,6 +17,8 @@ COMPLETE = re.compile(r"[.!?…][\"'»”)\]]*$")
 #: A token of prose: letters only, at most an apostrophe inside, with its punctuation.
 PROSE_TOKEN = re.compile(r"(?<!\S)[(\[¿¡'’*_]*([^\W\d_]+(?:['’][^\W\d_]+)*)[)\]'’*_]*[.,;:!?…]*(?!\S)")
 _QUOTE = re.compile(r"[\"«„“]")
+#: Signs that a text is more than lines of plain prose: code, quotes, headings, indented lines.
+_FORMS = ("`", '"', ">", "~~~", "\n#", "\n ", "\n\t", "«", "„", "“")
 #: A capital letter after a small one marks a name of a program.
 CAMEL = re.compile(r"[a-zа-яß-öø-ÿ][A-ZА-Я]")
 WORD = re.compile(r"[^\W_]+")
@@ -39,6 +41,16 @@ def plain_lines(text: str) -> Iterator[tuple[int, str, bool]]:
         yield start, line, line.lstrip().startswith("#")
 
 
+def formatted(text: str) -> bool:
+    """False only for texts all of whose tokens belong to plain prose."""
+    if text[:1] in ("#", " ", "\t"):
+        return True
+    for form in _FORMS:
+        if form in text:
+            return True
+    return False
+
+
 def _blank_out(m: re.Match) -> str:
     return " " * (m.end() - m.start())
 
@@ -79,6 +91,8 @@ class ProseWords(dict):
 
     def of(self, text: str) -> list[str]:
         """The same words, in order, that prose_words gives for the sentences of text."""
+        if not formatted(text):
+            return [w for w in [self[t] for t in text.split()] if w]
         out: list[str] = []
         for _, line, heading in plain_lines(text):
             if heading:

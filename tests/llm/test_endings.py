@@ -43,7 +43,7 @@ def test_held_out_accuracy():
 def test_counts_are_the_same_however_the_texts_are_divided(spark):
     texts = corpus(300, 4) + ["", "é" * 70, "a `b c` d\n```\nx\n```\nso it goes on", "\ud800 odd."]
     whole = endings.fit(texts)
-    df = spark.createDataFrame([(t,) for t in texts if "\ud800" not in t], "content string").repartition(5)
+    df = spark.createDataFrame([(t, 1 / 3) for t in texts if "\ud800" not in t] * 3, "content string, weight double").repartition(5)
     far = endings.count_contexts(df, whole.vocabulary)
     near = endings.EndCounts(whole.vocabulary)
     near.add([t for t in texts if "\ud800" not in t])
