@@ -208,6 +208,8 @@ SHIFT = (0.0, 0.0, -2.0, -6.0)
 
 #: No limit cuts a text to so few words: shift of the log-odds for one line of at most SHORT words.
 SHORT, SHORT_SHIFT = 6, 5.0
+#: Contents of fewer characters are said again and again: each id's counts as one of its own.
+SHORT_TEXT = 40
 
 
 #: A length is a limit of its column if so large a share of all texts has it, and so many times as many as have each of
@@ -217,9 +219,20 @@ SHORT, SHORT_SHIFT = 6, 5.0
 LIMIT_SHARE, LIMIT_TIMES, NEAR, LEAST_LIMIT, LIMIT_SHIFT = 0.0003, 5, 8, 100, -30.0
 
 
-def limits(texts: DataFrame) -> set[tuple[str, int]]:
-    """(tbl, length) of the lengths at which different contents pile up, counted over all texts; at most 1 / LIMIT_SHARE a table."""
-    n = texts.where("content IS NOT NULL").groupBy("tbl", F.length("content").alias("size")).agg(F.count_distinct(F.xxhash64("content")).alias("n"))
+def contents(texts: DataFrame) -> DataFrame:
+    """tbl, h, size and n of each different content of texts (tbl, id, content), written; short ones differ by their id too."""
+    return materialize(_hashed(texts).groupBy("tbl", "h", "size").agg(F.count("*").alias("n")), "contents")
+
+
+def _hashed(texts: DataFrame) -> DataFrame:
+    """tbl, content, its length, the hash that tells contents apart, and the part of HELD_OUT it belongs to."""
+    rows = texts.where("content IS NOT NULL").select("tbl", "id", "content", F.length("content").alias("size"), F.xxhash64("content").alias("plain"))
+    return rows.select("tbl", "content", "size", F.when(F.col("size") < SHORT_TEXT, F.xxhash64("plain", "id")).otherwise(F.col("plain")).alias("h"), F.pmod("plain", F.lit(HELD_OUT)).alias("part"))
+
+
+def limits(different: DataFrame) -> set[tuple[str, int]]:
+    """(tbl, length) of the lengths at which different contents pile up, over all of contents(); at most 1 / LIMIT_SHARE a table."""
+    n = different.groupBy("tbl", "size").agg(F.count("*").alias("n"))
     around = Window.partitionBy("tbl").orderBy("size").rangeBetween(-NEAR, NEAR)
     seen = n.withColumns({"others": F.sum("n").over(around) - F.col("n"), "all": F.sum("n").over(Window.partitionBy("tbl"))})
     high = seen.where((F.col("size") >= LEAST_LIMIT) & (F.col("n") >= 10) & (F.col("n") >= LIMIT_SHARE * F.col("all")) & (F.col("n") >= LIMIT_TIMES * (F.col("others") / (2 * NEAR) + 1)))
@@ -626,14 +639,13 @@ def train(texts: DataFrame, samples: DataFrame, rows: int | None = None) -> tupl
     counted = texts.select("content").mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # At most (words a text) / share of them, whatever the number of texts.
     vocabulary = frequent({r[0]: r[1] for r in counted.where(F.col("n") >= max(5, 0.0005 * n)).collect()}, n)
-    few = F.size(F.split(F.trim("content"), r"\s+", SHORT + 1)) <= SHORT
-    hashed = texts.select("tbl", "content", F.xxhash64("content", F.when(few, F.col("id"))).alias("h"), F.pmod(F.xxhash64("content"), F.lit(HELD_OUT)).alias("part"))
-    copies = materialize(hashed.groupBy("tbl", "h").agg(F.count("*").alias("n")).where("n > 1"), "copies")
-    few_copies = copies.count() <= MAX_BROADCAST_ROWS
-    weighed = hashed.where(F.col("part") != HELD_OUT - 1).join(F.broadcast(copies) if few_copies else copies, ["tbl", "h"], "left")
+    hashed, different = _hashed(texts), contents(texts)
+    copies = materialize(different.where("n > 1").select("tbl", "h", "n"), "copies")
+    few = copies.count() <= MAX_BROADCAST_ROWS
+    weighed = hashed.where(F.col("part") != HELD_OUT - 1).join(F.broadcast(copies) if few else copies, ["tbl", "h"], "left")
     model = count_contexts(weighed.select("content", (1.0 / F.coalesce("n", F.lit(1))).alias("weight")), vocabulary)
     model.thresholds = calibrate(hashed.where(F.col("part") == HELD_OUT - 1), model, languages)
-    model.limits = limits(texts)
+    model.limits = limits(different)
     return model, languages
 
 

@@ -65,7 +65,7 @@ def test_contexts_by_hand():
 
 def test_limits_are_lengths_where_texts_pile_up(spark):
     rows = [("facts", f"i{k}", f"{k:03d}" * (40 + k % 50)) for k in range(400)] + [("facts", f"l{k}", f"{k:02d}" * 250) for k in range(30)] + [("facts", f"c{k}", "copy" * 99) for k in range(50)] + [("turns", f"t{k}", "z" * 500) for k in range(5)] + [("turns", "n", None)]
-    assert endings.limits(spark.createDataFrame(rows, "tbl string, id string, content string")) == {("facts", 500)}
+    assert endings.limits(endings.contents(spark.createDataFrame(rows, "tbl string, id string, content string"))) == {("facts", 500)}
 
 
 def test_frame(spark):
