@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,29 +24,36 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters a subword below which a string is unnatural: where a name says what it is, and where only a format does.
 NAMED, BARE = 3.4, 2.9
 
+#: No text of fewer characters holds a name or sign of a credential and the credential.
+SHORTEST = 8
 #: Formats of vendors' tokens; lengths are looser than for redaction at ingest, as the string must be unnatural besides.
 VENDOR = re.compile(
-    r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,255}|github_pat_[0-9A-Za-z_]{22,255}|sk-(?:ant-|proj-|svcacct-|admin-|or-)?[A-Za-z0-9_-]{24,}"
+    r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|github_pat_[0-9A-Za-z_]{22,}|sk-(?:ant-|proj-|svcacct-|admin-|or-)?[A-Za-z0-9_-]{24,}"
     r"|xox[abeprs]-[0-9A-Za-z-]{10,}|xapp-\d-[A-Za-z0-9-]{10,}|[srp]k_(?:live|test)_[0-9a-zA-Z]{16,}|whsec_[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_-]{30,}|ya29\.[0-9A-Za-z_-]{20,}|npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{30,}"
     r"|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|SK[a-f0-9]{32}|hf_[A-Za-z0-9]{30,}|glpat-[0-9A-Za-z_-]{18,}|vercel_[A-Za-z0-9]{20,}|nfp_[A-Za-z0-9]{30,}|tskey-[a-z]+-[A-Za-z0-9-]{10,}|dop_v1_[a-f0-9]{40,}|shp(?:at|ss|ca)_[a-fA-F0-9]{32}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_])"
 )
-KEY_BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY( BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 OPEN_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:\s*[A-Za-z0-9+/=:, -]{16,})+")
 #: Names of things that are secret, as the end of an identifier.
 _NAME = (
     r"(?:secret(?:[_-]?(?:access)?[_-]?key)?|client[_-]?secret|token|_authToken|auth[_-]?token|access[_-]?token|refresh[_-]?token|passw(?:or)?d|passwd|pwd|passphrase|passcode|pass|api[_-]?key|apikey|app[_-]?key"
-    r"|access[_-]?key(?:[_-]?id)?|private[_-]?key|signing[_-]?key|encryption[_-]?key|account[_-]?key|secret[_-]?key|auth(?:orization)?|credentials?|bearer|key)"
+    r"|access[_-]?key(?:[_-]?id)?|private[_-]?key|key[_-]?data|signing[_-]?key|encryption[_-]?key|account[_-]?key|secret[_-]?key|auth(?:orization)?|credentials?|bearer|key)"
 )
 ASSIGNED = re.compile(
     rf"{_NAME}[\"'`]?\]?\s{{0,3}}(?:=>|:=|\?=|==?|:)\s{{0,3}}(?:[frb](?=[\"'`]))?(?:(?P<quote>[\"'`])(?P<quoted>[^\"'`\n]{{6,}})(?P=quote)|(?P<plain>[^\s\"'`]{{6,}}))", re.I
 )
 OPTION = re.compile(rf"(?<!\S)--?(?P<name>[a-z-]*{_NAME})[ =](?:[\"'](?P<quoted>[^\"'\n]{{6,}})[\"']|(?P<plain>[^\s\"'`=]{{6,}}))", re.I)
-LOGIN = re.compile(r"(?<=[a-z0-9])://[^\s:@/'\"`<>]{0,100}:(?P<plain>[^\s'\"`<>]{3,400})@(?=[\w\[])", re.I)
+#: An address with its login is looked for within a run of such characters.
+RUN = re.compile(r"[^\s'\"`<>]+")
+USER = re.compile(r"[^:@/]*:")
 HEADER = re.compile(r"\b(?:Bearer|Basic|Token|ApiKey|Digest)[ \t]+(?P<plain>[A-Za-z0-9+/=_.~\-]{12,})", re.I)
 _PREFIX = re.compile(r"[A-Za-z0-9_.\-]*$")
-CLIENT = re.compile(r"\b(?:mysql\w*|mariadb|sshpass|redis-cli|mongo(?:sh|dump)?|ldapsearch|smbclient|sqlcmd)\b[^\n]*?\s-(?:p|a|w|P|W)[ =]?[\"']?(?P<plain>[^\s\"']{6,})")
-USERPASS = re.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?[^\s:\"']{1,64}:(?P<plain>[^\s\"']{6,})")
+#: A client's name, and the option of its line that takes a password.
+CLIENT = re.compile(r"\b(?:mysql\w*|mariadb|sshpass|redis-cli|mongo(?:sh|dump)?|ldapsearch|smbclient|sqlcmd)\b")
+CLIENT_OPTION = re.compile(r"\s-(?:p|a|w|P|W)[ =]?[\"']?(?P<plain>[^\s\"']{6,})")
+USERPASS = re.compile(r"(?:^|\s)(?:-u|--user)[ =][\"']?[^\s:\"']++:(?P<plain>[^\s\"']{6,})")
 #: Words for a password in seven languages, and what stands between one and the password itself.
 SPOKEN = re.compile(
     r"\b(?:pass(?:word|code|phrase)|passwort|kennwort|zugangscode|mot de passe|contrase[ñn]a|clave|senha|palavra-passe|wachtwoord|парол\w*|secret|token|api[- ]?key)(?:\s+(?:for\s+\S+|für\s+\S+|de\s+\S+|para\s+\S+|voor\s+\S+|account))?"
@@ -67,21 +75,35 @@ _SCHEME = re.compile(r"^(?:Bearer|Basic|Token|ApiKey|Digest)$", re.I)
 _OTHER = re.compile(r"(?:public|primary|foreign|sort|partition|cache|object|row|map|dict|hot|short|foreign|idempotency|dedup|translation|lookup|index|max|min|n|num|count|next|page|csrf|eos|bos|pad|unk|sep|cls|mask|by)[_.-]?(?:key|token|pass|auth)s?$", re.I)
 _STRONG = re.compile(r"pass|pwd|secret", re.I)
 
-#: A text without any of these, in lower case, holds no credential; tested on the JVM.
+#: A text without any of these, in lower case, holds no credential.
 HINTS = (
     "private key", "secret", "token", "pass", "pwd", "key", "credential", "auth", "bearer", "basic ", "digest ", "-u ", "--user", "mysql", "mariadb", "redis-cli", "mongo", "ldapsearch", "smbclient", "sqlcmd",
-    "akia", "asia", "abia", "acca", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "xox", "xapp-", "k_live_", "k_test_", "whsec_", "aiza", "ya29.", "npm_", "pypi-", "sg.", "hf_", "glpat-", "vercel_", "nfp_",
-    "tskey-", "dop_v1_", "shpat_", "shpss_", "shpca_", "eyj", "kennwort", "zugangscode", "contrase", "clave", "senha", "wachtwoord", "парол",
+    "akia", "asia", "abia", "acca", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "xox", "xapp-", "k_live_", "k_test_", "whsec_", "aiza", "ya29.", "npm_", "pypi-", "sg.", "sk0", "sk1", "sk2", "sk3", "sk4", "sk5", "sk6", "sk7", "sk8", "sk9",
+    "ska", "skb", "skc", "skd", "ske", "skf", "hf_", "glpat-", "vercel_", "nfp_", "tskey-", "dop_v1_", "shpat_", "shpss_", "shpca_", "eyj", "kennwort", "zugangscode", "contrase", "clave", "senha", "wachtwoord", "парол",
 )
 
 
-def hinted(text: Column) -> Column:
-    """True where text may hold a credential."""
-    low = F.lower(text)
-    out = (low.contains("://") & low.contains("@")) | text.rlike(r"SK[a-f0-9]{32}")
-    for word in HINTS:
-        out = out | low.contains(word)
-    return out
+class Hints:
+    """Whether texts may hold a credential: one scan for all hints at once where the package for it is there."""
+
+    def __init__(self) -> None:
+        try:
+            import ahocorasick
+        except ImportError:
+            self.scan = None
+            return
+        self.scan = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for hint in HINTS:
+            self.scan.add_word(hint)
+        self.scan.make_automaton()
+
+    def __call__(self, text: str) -> bool:
+        if "://" in text and "@" in text:
+            return True
+        low = text.lower()
+        if self.scan is None:
+            return any(hint in low for hint in HINTS)
+        return next(self.scan.iter(low), None) is not None
 
 
 class Subwords:
@@ -119,24 +141,66 @@ def _usable(value: str) -> bool:
     return bool(value) and not (NOT_SECRET.search(value) or _HASHED.search(value) or _WORDS.search(value) or _CALL.search(value)) and len(set(value)) >= 4
 
 
+def _key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """From each marker that begins a private key to the next that ends one."""
+    at = 0
+    while (begin := KEY_BEGIN.search(text, at)) and (end := KEY_END.search(text, begin.end())):
+        yield begin.start(), end.end()
+        at = end.end()
+
+
+def _logins(text: str) -> Iterator[tuple[int, int]]:
+    """The passwords of addresses with a login: from the colon behind the user to the last @ before the next address."""
+    if "://" not in text or "@" not in text:
+        return
+    for run in RUN.finditer(text):
+        part, base = run[0], run.start()
+        at = part.find("://")
+        while at >= 0:
+            after = part.find("://", at + 3)
+            body = part[at + 3 : after if after >= 0 else None]
+            user = USER.match(body)
+            stop = body.rfind("@")
+            while stop > 0 and not (body[stop + 1 : stop + 2].isalnum() or body[stop + 1 : stop + 2] in ("[", "_")):
+                stop = body.rfind("@", 0, stop)
+            if at and part[at - 1].isalnum() and user and stop >= user.end() + 3:
+                yield base + at + 3 + user.end(), base + at + 3 + stop
+            at = after
+
+
+def _client_options(text: str) -> Iterator[re.Match]:
+    """For a client in a line the next option that takes a password."""
+    at = 0
+    while client := CLIENT.search(text, at):
+        line = text.find("\n", client.end())
+        line = len(text) if line < 0 else line
+        option = CLIENT_OPTION.search(text, client.end(), line)
+        if option:
+            yield option
+        at = option.end() if option else line
+
+
 def spans(text: str, subwords: Subwords) -> list[tuple[int, int]]:
     """Where the credentials of text are: (start, end) without overlap, in order. Empty for a text without any."""
     found: list[tuple[int, int, int]] = []
-    for m in KEY_BLOCK.finditer(text):
-        found.append((*m.span(), 0))
     if "PRIVATE KEY" in text:
+        found += [(*block, 0) for block in _key_blocks(text)]
+        blocks, opened = [f[0] for f in found], []
         for m in OPEN_KEY_BLOCK.finditer(text):
-            if not any(a <= m.start() < b for a, b, _ in found):
-                found.append((m.start(), m.start() + len(m[0].rstrip()), 0))
+            # Blocks come in order, so only the last that begins before it can hold it.
+            k = bisect_right(blocks, m.start()) - 1
+            if k < 0 or found[k][1] <= m.start():
+                opened.append((m.start(), m.start() + len(m[0].rstrip()), 0))
+        found += opened
     for m in VENDOR.finditer(text):
         if subwords.ratio(m[0]) <= BARE and not re.search(r"(?i)example|placeholder|xxxx|your", m[0]):
             found.append((*m.span(), 1))
-    for m in LOGIN.finditer(text):
-        value = m["plain"]
-        if not re.search(r"^(?:\$|\{|<|%[A-Za-z_]+%|\*+$|x+$)|(?i:password|passwd|changeme|secret)$|^\[REDACTED", value) and len(value) >= 3:
-            found.append((*m.span("plain"), 1))
+    for a, b in _logins(text):
+        value = text[a:b]
+        if not re.search(r"^(?:\$|\{|<|%[A-Za-z_]+%|\*+$|x+$)|(?i:password|passwd|changeme|secret)$|^\[REDACTED", value):
+            found.append((a, b, 1))
     for pattern, rank in ((ASSIGNED, 2), (OPTION, 2), (HEADER, 2), (USERPASS, 2), (CLIENT, 2), (SPOKEN, 3)):
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if pattern is not CLIENT else _client_options(text):
             groups = m.groupdict()
             kind = "quoted" if groups.get("quoted") else "plain"
             raw = groups.get(kind) or ""
@@ -170,9 +234,10 @@ def spans(text: str, subwords: Subwords) -> list[tuple[int, int]]:
     found.sort(key=lambda x: (x[2], x[0], -x[1]))
     kept: list[tuple[int, int]] = []
     for a, b, _ in found:
-        if all(b <= c or a >= d for c, d in kept):
-            kept.append((a, b))
-    return sorted(kept)
+        k = bisect_right(kept, (a, b))
+        if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
+            kept.insert(k, (a, b))
+    return kept
 
 
 def mask(secret: str) -> str:
@@ -194,19 +259,19 @@ def find_secrets(df: DataFrame, columns: list[str], keep: list[str], vocabulary:
     """One row for each text with credentials: the columns of keep, field, secrets, starts, redacted.
 
     secrets has each credential of the text in order, repeated ones too; redacted has the text's length. Null and empty
-    texts have none. Rows without any hint never leave the JVM; the others go through in Arrow batches, without a
-    shuffle. The vocabulary goes with the tasks; its size doesn't depend on the data.
+    texts have none. The texts go through in Arrow batches, without a shuffle; those without any hint are passed over.
+    The vocabulary goes with the tasks; its size doesn't depend on the data.
     """
     spark = df.sparkSession
     with open(vocabulary, "rb") as f:
         blob = spark.sparkContext.broadcast(f.read())
     fields = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("text")) for c in columns))
-    rows = df.select(*keep, F.explode(F.filter(fields, lambda x: hinted(x["text"]))).alias("__f")).select(*keep, "__f.field", "__f.text")
+    rows = df.select(*keep, F.explode(F.filter(fields, lambda x: F.length(x["text"]) >= SHORTEST)).alias("__f")).select(*keep, "__f.field", "__f.text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        subwords = Subwords(blob.value)
+        subwords, hinted = Subwords(blob.value), Hints()
         for batch in batches:
-            where = [spans(t, subwords) for t in batch["text"]]
+            where = [spans(t, subwords) if hinted(t) else [] for t in batch["text"]]
             hit = [bool(w) for w in where]
             if not any(hit):
                 continue
