@@ -43,17 +43,21 @@ def low_signal(role: Column, content: Column) -> Column:
     return F.when(role == "user", n < P.LOW_USER).otherwise((n < P.LOW_OTHER) | ((n < P.LOW_NARRATION) & text.rlike(NARRATION)))
 
 
-def self_markers(tool: str = "recall") -> str:
+# Phrases by which a text is about the search tool; the caller's name of it stands for {tool}.
+SELF_MARKERS = ("userpromptsubmit", "prompt-hook", "stop-hook", "auto-{tool}ed", "{tool}d", "{tool}-mcp", "{tool} daemon", "{tool} store", "{tool} hook")
+
+
+def self_markers(tool: str) -> str:
     """The pattern of phrases by which a text is about the search tool of that name."""
-    return rf"(?i)auto-{tool}ed|userpromptsubmit|prompt-hook|stop-hook|{tool}d|{tool}-mcp|{tool} daemon|{tool} store|{tool} hook"
+    return "(?i)" + "|".join(SELF_MARKERS).format(tool=tool)
 
 
-def self_referential(text: Column, tool: str = "recall") -> Column:
+def self_referential(text: Column, tool: str) -> Column:
     """True where text is about the search tool: a marker, or its name three times."""
     return text.rlike(self_markers(tool)) | (F.regexp_count(text, F.lit(rf"(?i){EDGE_L}{tool}{EDGE_R}")) >= 3)
 
 
-def asks_about_memory(query: Column, tool: str = "recall") -> Column:
+def asks_about_memory(query: Column, tool: str) -> Column:
     """True where a query is about memory itself, so matches about the tool are welcome."""
     return query.rlike(rf"(?i){tool}|memor(y|ies)|past session|userpromptsubmit|hook")
 

@@ -2,9 +2,11 @@
 
 The state lives in a folder of its own: data files under ``data/bucket=N/``, and one manifest file a version under
 ``manifests/``, which names the folders that make up that version. A change batch is reduced to one winning change a
-key before any shuffle (partial aggregation), routed to its bucket, sort-merged with that bucket's rows only, and
-written as replacement files; untouched buckets keep their files. The new manifest is written last and under a
-name that must not exist yet, so a lost executor, a failed job or a competing writer leaves the old version whole.
+key before any shuffle (partial aggregation), routed to its bucket, merged with that bucket's rows only, and written as
+replacement files; untouched buckets keep their files. Rows of touched buckets that the batch doesn't name are copied
+from file to file without a shuffle as long as the batch's keys can go with the tasks; beyond that both sides are
+sort-merged by bucket. The new manifest is written last, whole and under a name that must not exist yet, so a lost
+executor, a failed job, a driver that dies or a competing writer leaves the old version whole.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of the base one bucket should hold; the number of buckets is fixed when a table is created.
-ROWS_A_BUCKET = 4_000_000
+from mnemospark.storage import commit_file, materialize
+
+#: A batch of at most so many keys goes with the tasks that copy the base.
+MAX_BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -91,13 +95,7 @@ class BucketedTable:
             stream.close()
 
     def _commit(self, manifest: dict, version: int) -> None:
-        jvm, fs = self._fs()
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/v{version:08d}.json")
-        out = fs.create(target, False)  # fails where another writer was first
-        try:
-            out.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            out.close()
+        commit_file(self.spark, f"{self.path}/manifests/v{version:08d}.json", json.dumps(manifest))  # fails where another writer was first
 
     # -- reading and writing ---------------------------------------------------------------------------------------
 
@@ -112,6 +110,22 @@ class BucketedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
 
+    @staticmethod
+    def _merge(base: DataFrame, won: DataFrame, key: str) -> DataFrame:
+        """The rows of the touched buckets after the batch: for each key the greater of base and batch."""
+
+        def greater(rows: DataFrame) -> DataFrame:
+            # By bucket alone, which is even: rows of one bucket are then written by one task.
+            rest = [c for c in rows.columns if c not in ("__bucket", key)]
+            best = rows.repartition("__bucket").groupBy("__bucket", key).agg(F.max_by(F.struct(*rest), F.col("__order")).alias("r"))
+            return best.select("__bucket", key, "r.*")
+
+        if won.count() > MAX_BROADCAST_ROWS:
+            return greater(base.unionByName(won))
+        keys = F.broadcast(won.select(key))
+        named = base.join(keys, key, "left_semi")
+        return base.join(keys, key, "left_anti").unionByName(greater(named.unionByName(won)))
+
     def apply(self, changes: DataFrame, feed: Feed, buckets: int = 64) -> DataFrame:
         """Apply a batch of changes and return the new current rows.
 
@@ -125,20 +139,14 @@ class BucketedTable:
         won = winners(changes, feed).withColumn("__bucket", F.pmod(F.xxhash64(F.col(feed.key)), F.lit(n)).cast("int"))
         schema = won.schema
         if old:
+            won = materialize(won, "change-winners")
             # The touched buckets are at most n small numbers; a bucket's rows never come to the driver.
             touched = [r[0] for r in won.select("__bucket").distinct().collect()]
-            known = self._rows(old, touched)
-            both = known.unionByName(won)
-            order = F.col("__order")
-            merged = both.groupBy("__bucket", feed.key).agg(F.max_by(F.struct(*(c for c in both.columns if c not in ("__bucket", feed.key))), order).alias("r"))
-            won = merged.select(feed.key, "r.*", "__bucket").select(*schema.fieldNames())
+            won = self._merge(self._rows(old, touched), won, feed.key)
+        else:
+            won = won.repartition("__bucket")
         stamp = uuid.uuid4().hex
-        (
-            won.withColumn("__at", F.col("__bucket"))
-            .write.option("compression", "zstd")
-            .partitionBy("__at")
-            .parquet(f"{self.path}/data/{stamp}")
-        )
+        won.select(*schema.fieldNames(), F.col("__bucket").alias("__at")).write.option("compression", "zstd").partitionBy("__at").parquet(f"{self.path}/data/{stamp}")
         jvm, fs = self._fs()
         fresh = {}
         for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/{stamp}")):

@@ -80,7 +80,7 @@ def uncited(turns: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def distill_candidates(
-    turns: DataFrame, vectors: DataFrame, sessions: DataFrame, facts: DataFrame, done: DataFrame | None = None, limit: int | None = P.DISTILL_LIMIT, floor: float = P.RECURRENCE_SIMILARITY, tool: str = "recall"
+    turns: DataFrame, vectors: DataFrame, sessions: DataFrame, facts: DataFrame, tool: str, done: DataFrame | None = None, limit: int | None = P.DISTILL_LIMIT, floor: float = P.RECURRENCE_SIMILARITY
 ) -> DataFrame:
     """row_id, id, session_id, role, content, project, kind, sessions, strong: turns worth keeping as facts.
 

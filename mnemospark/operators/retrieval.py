@@ -19,7 +19,7 @@ def _rank(*order: Column) -> Column:
     return F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")
 
 
-def candidates(queries: DataFrame, vectors: DataFrame, turns: DataFrame, sessions: DataFrame, limit: int = P.LIMIT, pool: int | None = None, tool: str = "recall") -> DataFrame:
+def candidates(queries: DataFrame, vectors: DataFrame, turns: DataFrame, sessions: DataFrame, tool: str, limit: int = P.LIMIT, pool: int | None = None) -> DataFrame:
     """query_id, row_id, turn_id, session_id, role, content, tool_summary, ts, project, raw_score, score, self_penalized.
 
     The nearest turns of each query, joined to their turn and session, without those of the query's own session or of

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from mnemospark.storage import table
 
+#: The name of the search tool that texts may speak about.
+TOOL = "lorekeep"
+#: What is put into every fifth turn, so that rules on the search tool have something to find.
+INJECT = f"(CASE WHEN row_id % 5 = 0 THEN ' {TOOL.capitalize()} found it, {TOOL} was right, so {TOOL} it.' ELSE '' END)"
 #: Every hundredth row is a query of the searches over whole tables.
 QUERY_STEP = 100
 

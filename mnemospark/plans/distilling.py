@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark import params as P
 from mnemospark.functions.rules import content_hash, kind_of, self_markers
 from mnemospark.operators import curation
-from mnemospark.plans.base import FACTS_SQL, TURNS_SQL, knn_sql, stored_facts, stored_turns, vectors_sql
+from mnemospark.plans.base import FACTS_SQL, TOOL, TURNS_SQL, knn_sql, stored_facts, stored_turns, vectors_sql
 from mnemospark.storage import table
 
 #: Turns whose recurrence is asked for, and those that earlier runs left to be distilled: every twentieth row.
@@ -49,14 +49,14 @@ def cited_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates among all turns, as a first run finds them: nothing was processed before."""
     t, v = stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns")
-    c = curation.distill_candidates(t, v, table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), None, None)
+    c = curation.distill_candidates(t, v, table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), TOOL, None, None)
     return c.select("row_id", "id", "project", "kind", "sessions", "strong")
 
 
 def _candidates(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
     t, v = stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns")
     done = t.where(F.col("row_id") % STEP != 0).select("row_id")
-    return curation.distill_candidates(t, v, table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), done, limit)
+    return curation.distill_candidates(t, v, table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), TOOL, done, limit)
 
 
 def distill_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ _KIND = r"""CASE WHEN regexp_matches(content, '(?i)\b(decided|decision|we(''ll|
   WHEN regexp_matches(content, '(?i)\b(always|never|prefer|convention|from now on|by default|rule of thumb)\b') THEN 'preference'
   WHEN regexp_matches(content, '(?i)\b(the (command|url|endpoint|path|port|token|config|file) (is|lives)|located at|listens on|port [0-9]{2,5})\b') THEN 'reference' END"""
 _HASH = rf"sha256(regexp_replace(lower(regexp_replace(content, '^{_SPACE}+|{_SPACE}+$', '', 'g')), '{_SPACE}+', ' ', 'g'))"
-_MARK = self_markers()
+_MARK = self_markers(TOOL)
 
 
 def _recurrence(asked: str) -> str:
@@ -141,7 +141,7 @@ _CAND = f"""WITH {TURNS_SQL}, {FACTS_SQL}, {vectors_sql('vec_turns', 'vt')},
 cited AS (SELECT DISTINCT unnest(source_turn_ids) AS id FROM f),
 d0 AS (SELECT t.*, s.project, {_KIND} AS kind FROM t JOIN (SELECT row_id FROM vec_turns) ve USING (row_id) JOIN sessions s ON s.id = t.session_id
   WHERE length(content) BETWEEN {P.DISTILL_MIN} AND {P.DISTILL_MAX} AND t.row_id % {STEP} = 0
-    AND NOT (regexp_matches(content, '{_MARK}') OR len(regexp_extract_all(content, '(?i)\\brecall\\b')) >= 3)
+    AND NOT (regexp_matches(content, '{_MARK}') OR len(regexp_extract_all(content, '(?i)\\b{TOOL}\\b')) >= 3)
     AND NOT regexp_matches(regexp_replace(content, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '^(Base directory for this skill|<command-|<system-reminder|<local-command)')),
 d AS (SELECT *, {_STRONG} AS strong FROM d0 WHERE kind IS NOT NULL AND id NOT IN (SELECT id FROM cited WHERE id IS NOT NULL)),
 {_recurrence('d')},

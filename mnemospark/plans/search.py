@@ -9,11 +9,9 @@ from mnemospark import params as P
 from mnemospark.functions.rules import clip, self_markers
 from mnemospark.operators import retrieval
 from mnemospark.operators.knn import knn
-from mnemospark.plans.base import FACTS_SQL, QUERY_STEP, TURNS_SQL, knn_sql, stored_facts, stored_turns, vectors_sql
+from mnemospark.plans.base import FACTS_SQL, INJECT, QUERY_STEP, TOOL, TURNS_SQL, knn_sql, stored_facts, stored_turns, vectors_sql
 from mnemospark.storage import table
 
-#: What is put into every fifth turn, so that rules on the search tool have something to find.
-INJECT = "(CASE WHEN row_id % 5 = 0 THEN ' Recall found it, recall was right, so recall it.' ELSE '' END)"
 
 
 def _vectors(spark: SparkSession, sf_dir: str, name: str = "vec_turns") -> DataFrame:
@@ -39,14 +37,14 @@ s AS (SELECT id AS session_id, project FROM sessions),
 q AS (SELECT v.row_id AS query_id, v.v, t0.content AS query, t0.session_id AS exclude_session_id, CASE WHEN v.row_id % {3 * QUERY_STEP} = 0 THEN s.project END AS project
   FROM vt v JOIN turns t0 USING (row_id) LEFT JOIN s ON s.session_id = t0.session_id WHERE v.row_id % {QUERY_STEP} = 0),
 ti AS (SELECT * REPLACE (content || {INJECT} AS content) FROM t)"""
-_MARK = self_markers()
+_MARK = self_markers(TOOL)
 
 
 def _candidates_sql(pool: int) -> str:
     return f"""{knn_sql('vt', 'q', pool)},
 c0 AS (SELECT k.query_id, k.row_id, ti.id AS turn_id, ti.session_id, ti.role, ti.content, ti.ts, s.project, k.similarity AS raw_score,
-    NOT coalesce(regexp_matches(q.query, '(?i)recall|memor(y|ies)|past session|userpromptsubmit|hook'), false)
-      AND coalesce(regexp_matches(ti.content, '{_MARK}') OR len(regexp_extract_all(ti.content, '(?i)\\brecall\\b')) >= 3, false) AS self_penalized
+    NOT coalesce(regexp_matches(q.query, '(?i){TOOL}|memor(y|ies)|past session|userpromptsubmit|hook'), false)
+      AND coalesce(regexp_matches(ti.content, '{_MARK}') OR len(regexp_extract_all(ti.content, '(?i)\\b{TOOL}\\b')) >= 3, false) AS self_penalized
   FROM k JOIN ti USING (row_id) JOIN s ON s.session_id = ti.session_id JOIN q ON q.query_id = k.query_id
   WHERE (q.exclude_session_id IS NULL OR ti.session_id <> q.exclude_session_id) AND (q.project IS NULL OR s.project = q.project)),
 c AS (SELECT *, raw_score - CASE WHEN self_penalized THEN {P.SELF_PENALTY}::DOUBLE ELSE 0::DOUBLE END AS score FROM c0)"""
@@ -106,7 +104,7 @@ def nearest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str, limit: int = P.LIMIT) -> DataFrame:
-    return retrieval.candidates(_queries(spark, sf_dir), _vectors(spark, sf_dir), _turns(spark, sf_dir), table(spark, sf_dir, "sessions"), limit)
+    return retrieval.candidates(_queries(spark, sf_dir), _vectors(spark, sf_dir), _turns(spark, sf_dir), table(spark, sf_dir, "sessions"), TOOL, limit)
 
 
 def candidates_penalized(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from mnemospark import params as P
 from mnemospark.functions import rules
 from mnemospark.functions.redaction import RULES, redact
 from mnemospark.operators import store
-from mnemospark.plans.base import TURNS_SQL, stored_turns
+from mnemospark.plans.base import INJECT, TOOL, TURNS_SQL, stored_turns
 from mnemospark.storage import table
 
 ROOTS = [("/work", "work"), ("/work/kettle-outlet", "kettle"), ("c:/dev", "windows"), ("/home/dev/russet-queue", "russet")]
@@ -73,11 +73,9 @@ def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.plans.search import INJECT
-
     t = stored_turns(spark, sf_dir)
     text = F.concat("content", F.when(F.col("row_id") % 7 == 0, F.lit(" see the prompt-hook")).otherwise(""), F.expr(INJECT))
-    return t.select("row_id", F.coalesce(rules.self_referential(text), F.lit(False)).alias("about_tool"), F.coalesce(rules.asks_about_memory(text), F.lit(False)).alias("about_memory"))
+    return t.select("row_id", F.coalesce(rules.self_referential(text, TOOL), F.lit(False)).alias("about_tool"), F.coalesce(rules.asks_about_memory(text, TOOL), F.lit(False)).alias("about_memory"))
 
 
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,8 +159,7 @@ _JUNK = "(" + " OR ".join(f"contains(lower(coalesce(cwd, '')), '{p.lower()}')" f
 _REPROJECT = f"rp AS (SELECT id, project AS \"from\", {_LABEL} AS \"to\", CASE WHEN {_JUNK} THEN 'prune' WHEN {_LABEL} IS DISTINCT FROM project THEN 'relabel' ELSE 'keep' END AS action FROM sessions)"
 _STRIP = rf"regexp_replace(content, '^{SPACE}+|{SPACE}+$', '', 'g')"
 _LOW = rf"(CASE WHEN role = 'user' THEN length({_STRIP}) < {P.LOW_USER} ELSE length({_STRIP}) < {P.LOW_OTHER} OR (length({_STRIP}) < {P.LOW_NARRATION} AND regexp_matches({_STRIP}, '(?i)^(perfect|great|good|done|fixed|updated|sure|ok(ay)?|yes[.,! \t\n]|now let me|let me|i''?ll|i will|i''?m going to|first,? i|next,? i)\b')) END)"
-_INJ = "(CASE WHEN row_id % 5 = 0 THEN ' Recall found it, recall was right, so recall it.' ELSE '' END)"
-_TOOL = f"content || CASE WHEN row_id % 7 = 0 THEN ' see the prompt-hook' ELSE '' END || {_INJ}"
+_TOOL = f"content || CASE WHEN row_id % 7 = 0 THEN ' see the prompt-hook' ELSE '' END || {INJECT}"
 
 QUERIES = {
     "derive_project": derive_project,
@@ -199,8 +196,8 @@ SELECT coalesce(st.id, n.id) AS id, coalesce(st.source_agent, n.source_agent) AS
   CASE WHEN st.source_agent IS NULL THEN n.ts ELSE st.started_at END AS started_at, coalesce(n.ts, st.last_seen_at) AS last_seen_at, st.title FROM st FULL OUTER JOIN n ON st.id = n.id""",
     "ensure_session": "SELECT id, source_agent, project FROM sessions UNION ALL SELECT DISTINCT session_id, 'codex', NULL FROM turns WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT id FROM sessions)",
     "insert_or_ignore": "SELECT row_id, id FROM turns WHERE row_id % 2 = 1 AND (id IS NULL OR id NOT IN (SELECT id FROM turns WHERE row_id % 2 = 0 AND id IS NOT NULL)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_id) = 1",
-    "self_reference": f"""WITH {TURNS_SQL}, x AS (SELECT row_id, {_TOOL} AS c FROM t) SELECT row_id, coalesce(regexp_matches(c, '{rules.self_markers()}') OR len(regexp_extract_all(c, '(?i)\\brecall\\b')) >= 3, false) AS about_tool,
-coalesce(regexp_matches(c, '(?i)recall|memor(y|ies)|past session|userpromptsubmit|hook'), false) AS about_memory FROM x""",
+    "self_reference": f"""WITH {TURNS_SQL}, x AS (SELECT row_id, {_TOOL} AS c FROM t) SELECT row_id, coalesce(regexp_matches(c, '{rules.self_markers(TOOL)}') OR len(regexp_extract_all(c, '(?i)\\b{TOOL}\\b')) >= 3, false) AS about_tool,
+coalesce(regexp_matches(c, '(?i){TOOL}|memor(y|ies)|past session|userpromptsubmit|hook'), false) AS about_memory FROM x""",
     "injected": f"""WITH {TURNS_SQL}, x AS (SELECT row_id, CASE row_id % 5 WHEN 0 THEN '<environment_context>' WHEN 1 THEN '  <system-reminder>' WHEN 2 THEN '<b>' ELSE '' END || content AS content FROM t WHERE content IS NOT NULL)
 SELECT row_id, regexp_matches(content, '(?i)^<(environment_context|user_instructions|permissions|apps_instructions|ide_|turn_context|collaboration_mode)') OR (length(content) > 6000 AND starts_with(content, '<')) AS context,
 regexp_matches({_STRIP}, '^(Base directory for this skill|<command-|<system-reminder|<local-command)') AS prefix FROM x""",

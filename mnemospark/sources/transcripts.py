@@ -120,12 +120,16 @@ def enabled(configured: dict[str, bool], folders: dict[str, bool]) -> list[Adapt
 
 
 def read_lines(spark: SparkSession, folder: str, glob: str, modified_after: str | None = None) -> DataFrame:
-    """path, offset (the line's number) and line of all files below folder; modified_after limits a catch-up."""
+    """path, offset and line of all files below folder; modified_after limits a catch-up.
+
+    offset is the start of the read split that a line is in and its place among the rows that were read with it. Large
+    files are read in several splits; offsets of a file compare in the order of its lines, however it was split.
+    """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     text = reader.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-    return text.select("path", (F.col("block") * 1_000_000 + F.monotonically_increasing_id() % 1_000_000).alias("offset"), "line")
+    return text.select("path", F.struct("block", F.monotonically_increasing_id().alias("place")).alias("offset"), "line")
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:

@@ -38,6 +38,25 @@ def _remove_at_exit(spark: SparkSession, folder: str) -> None:
     atexit.register(remove)
 
 
+def commit_file(spark: SparkSession, path: str, text: str) -> None:
+    """Put a file of that content where none is yet, at once: it is written beside and renamed without overwriting.
+
+    A writer that dies leaves at most a file of another name; one that comes second gets an error. The folder must lie
+    in a file system whose rename is atomic, as that of a cluster is.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}.tmp")
+    conf = spark._jsc.hadoopConfiguration()
+    out = target.getFileSystem(conf).create(beside, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(beside, target, options)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 

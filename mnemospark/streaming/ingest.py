@@ -16,6 +16,7 @@ from mnemospark.operators.store import ensure_sessions, insert_new, upsert_sessi
 from mnemospark.schemas import SESSIONS, TURNS, VECTORS
 from mnemospark.sources.tail import TailSource
 from mnemospark.sources.transcripts import ADAPTERS, Adapter, Roots
+from mnemospark.storage import commit_file
 
 #: Row ids leave room for so many ids a batch.
 ID_SPACE = 1 << 46
@@ -51,12 +52,7 @@ class Store:
             stream.close()
 
     def commit(self, manifest: dict) -> None:
-        jvm, fs = self._fs()
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/v{manifest['version']:08d}.json"), False)
-        try:
-            out.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            out.close()
+        commit_file(self.spark, f"{self.path}/manifests/v{manifest['version']:08d}.json", json.dumps(manifest))
 
     def read(self, table: str, manifest: dict | None = None) -> DataFrame:
         folders = (manifest or self.manifest())["tables"][table]

@@ -62,3 +62,32 @@ def test_empty_feed(spark, tmp_path):
     table = BucketedTable(spark, f"file://{tmp_path}/t")
     assert table.apply(spark.createDataFrame([], SCHEMA), feed(), 4).count() == 0
     assert winners(spark.createDataFrame([], SCHEMA), feed()).count() == 0
+
+
+def test_the_base_is_not_shuffled_for_a_small_batch(spark, tmp_path):
+    table = BucketedTable(spark, f"file://{tmp_path}/t")
+    table.apply(spark.createDataFrame([(f"k{i}", 1, "a", "x", False, "v") for i in range(200)], SCHEMA), feed(), 4)
+    base = table._rows(table.manifest())
+    won = winners(spark.createDataFrame([("k7", 2, "a", "x", False, "w"), ("new", 1, "a", "x", False, "w")], SCHEMA), feed()).withColumn("__bucket", F.pmod(F.xxhash64("k"), F.lit(4)).cast("int"))
+    plan = table._merge(base, won, "k")._jdf.queryExecution().optimizedPlan().toString()
+    copied = plan[plan.index("LeftAnti") :]
+    assert "Repartition" not in copied[: copied.index("Relation")]
+    assert table._merge(base, won, "k").count() == 201
+
+
+def test_a_manifest_appears_whole_or_not_at_all(spark, tmp_path):
+    from mnemospark.storage import commit_file
+
+    folder = f"file://{tmp_path}/m"
+    commit_file(spark, f"{folder}/v1.json", "{}")
+    try:
+        commit_file(spark, f"{folder}/v1.json", "other")
+        raise AssertionError("a second writer must fail")
+    except Exception as e:
+        assert "already exists" in str(e) or "FileAlreadyExists" in str(e)
+    assert (tmp_path / "m" / "v1.json").read_text() == "{}"
+    # What a writer leaves that died before its rename is no version.
+    table = BucketedTable(spark, f"file://{tmp_path}/t")
+    table.apply(spark.createDataFrame([("a", 1, "a", "x", False, "v")], SCHEMA), feed(), 2)
+    (tmp_path / "t" / "manifests" / ".dead.tmp").write_text("")
+    assert table.version() == 1 and table.read().count() == 1

@@ -107,7 +107,8 @@ def test_rules(spark):
     assert rules.roots_from("C:/One=a;;x; /two=b=c") == [("c:/one", "a"), ("/two=b", "c")]
     for text, want in [("we decided, the root cause", "decision"), ("turns out", "gotcha"), ("always", "preference"), ("port 8080", "reference"), ("nothing", None), ("éprefer", "preference")]:
         assert one(spark, text, rules.kind_of) == want, text
-    assert one(spark, "recall recall", rules.self_referential) is False and one(spark, "Recall, recall; recall", rules.self_referential) is True
+    about = lambda c: rules.self_referential(c, "lorekeep")
+    assert one(spark, "lorekeep lorekeep", about) is False and one(spark, "Lorekeep, lorekeep; lorekeep", about) is True and one(spark, "the stop-hook", about) is True
 
 
 def random_vectors(n, dims, seed):

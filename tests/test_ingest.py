@@ -103,3 +103,20 @@ def test_cases_reader(spark, tmp_path):
             assert str(e) == f"line 2: {why}"
         else:
             raise AssertionError(why)
+
+
+def test_offsets_follow_the_lines_of_files_read_in_many_splits(spark, tmp_path):
+    from mnemospark.sources.transcripts import read_lines
+
+    for name, n in [("a", 3000), ("b", 17), ("c", 5000)]:
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{i:05d} {'x' * (i % 50)}\n" for i in range(n)))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = read_lines(spark, str(tmp_path), "*.jsonl").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert len({(r.path, r.offset.block) for r in rows}) > 10
+    for name, n in [("a", 3000), ("b", 17), ("c", 5000)]:
+        mine = sorted((r.offset, r.line) for r in rows if r.path.endswith(f"/{name}.jsonl"))
+        assert [int(line[:5]) for _, line in mine] == list(range(n))
