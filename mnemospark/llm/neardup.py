@@ -1,19 +1,20 @@
 """Near-duplicate records by bottom-k sketches (problem 7).
 
-Every text is the set of its word shingles, hashed by one function. One global order of the hashes, rarest first by a
-counting sketch of all texts and then by value, decides which a text retains: its first ones, as many as guarantee that
-any two texts of the threshold's overlap share one. Inverted lists of the retained values give the candidates; a bound from
-the places of the shared value and from a bitmap of each set drops most of them in the join; the union of two sketches
-estimates the overlap of large ones, the sets themselves verify it. The bounds are exact, so they lose nothing. Texts
-with the same set are one class, and only classes are compared. No list is capped: frequent values come last in the
-order, so no text retains them while it has rarer ones.
+Every text is the set of its word shingles, hashed by one function; its sketch is the SKETCH smallest hashes. Two sets
+that are similar enough share so many values of their sketches that it is enough to retain some of each: the rarest,
+by counters of all texts, as many as guarantee a shared one. Inverted lists of the retained values give candidates;
+bounds from the places of the shared value and from a bitmap of each set drop most of them in the join. The union of
+two sketches estimates the overlap of a pair, the sets themselves verify it. Sets no greater than their sketch are
+known whole, so that nothing is left to chance; beyond, a pair is lost once in 10**9 (SIGMAS). Texts with the same set
+are one class, and only classes are compared. No list is capped: a long one is cut into blocks, and every two blocks
+are joined by themselves.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import sqrt
+from math import ceil, floor, sqrt
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,15 @@ from mnemospark.llm.conversations import pointer_jump
 from mnemospark.llm.prose import WORD
 from mnemospark.storage import materialize
 
-#: The counting sketch has 2**SKETCH_BITS counters of 16 bits, whatever the input; collisions cost time, never a pair.
-SKETCH_BITS, CHUNKS = 22, 32
+#: There are 2**COUNTER_BITS counters, whatever the input, kept as logarithms in SCALE steps a nat: however full they
+#: are, what many texts hold stands out. Collisions cost time, never a pair.
+COUNTER_BITS, CHUNKS, SCALE = 22, 32, 1500
 #: Bits of a shingle's hash: two sets of a thousand shingles have a false match in one of 10**8 pairs.
 HASH_BITS = 48
-#: Values of a bottom-k sketch for the estimate, and standard deviations below the threshold at which a pair is left.
+#: Values of a bottom-k sketch, and standard deviations below the threshold at which a pair is left.
 SKETCH, SIGMAS = 256, 6.0
+#: Values of a block of an inverted list, and posts a task of the join should get.
+LIST, POSTS_A_TASK = 2_000, 1_000_000
 #: All pairs among the first so many copies of one set; each further copy is paired with the first.
 COPIES = 32
 
@@ -97,8 +101,8 @@ def shingle_sets(texts: DataFrame, size: int, min_words: int) -> DataFrame:
     return texts.where("id IS NOT NULL AND content IS NOT NULL").select("tbl", "id", "content").mapInPandas(run, "tbl string, id string, cls long, n int, grams binary")
 
 
-def count_sketch(sets: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many texts hold a hash, at most, by its lowest bits: one array of fixed size, summed in chunks."""
+def count_values(sets: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
+    """About how many sketches hold a value, at least as many as do, by its lowest bits: logarithms of counters."""
     size = 1 << bits
     step = size // CHUNKS
 
@@ -106,16 +110,17 @@ def count_sketch(sets: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
         total = np.zeros(size, np.uint32)
         for batch in batches:
             if len(batch):
-                grams = np.frombuffer(b"".join(batch["grams"]), np.uint64)
-                total += np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
+                values = np.frombuffer(b"".join(g[: 8 * SKETCH] for g in batch["grams"]), np.uint64)
+                total += np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
         parts = [(i, total[i * step : (i + 1) * step]) for i in range(CHUNKS)]
-        yield pd.DataFrame([(i, zlib.compress(p.astype(np.uint32).tobytes(), 1)) for i, p in parts if p.any()], columns=["chunk", "counts"])
+        yield pd.DataFrame([(i, zlib.compress(p.tobytes(), 1)) for i, p in parts if p.any()], columns=["chunk", "counts"])
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(step, np.uint64)
+        total = np.zeros(step, np.float64)
         for raw in group["counts"]:
             total += np.frombuffer(zlib.decompress(raw), np.uint32)
-        return pd.DataFrame([(key[0], zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1))], columns=["chunk", "counts"])
+        logs = np.minimum(np.ceil(np.log1p(total) * SCALE), 65535).astype(np.uint16)
+        return pd.DataFrame([(key[0], zlib.compress(logs.tobytes(), 1))], columns=["chunk", "counts"])
 
     parts = sets.select("grams").mapInPandas(count, "chunk int, counts binary")
     rows = parts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
@@ -125,6 +130,17 @@ def count_sketch(sets: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return out
 
 
+def shared_at_least(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many values the sketch of a set of n at least shares with that of any set that is similar enough.
+
+    If all values of both fit a sketch, the threshold's share of n; else what SKETCH values of the union have in common
+    but for SIGMAS deviations.
+    """
+    whole = np.ceil(threshold * n - 1e-9)
+    drawn = floor(threshold * SKETCH - SIGMAS * sqrt(threshold * (1 - threshold) * SKETCH))
+    return np.where(n <= threshold * SKETCH, whole, np.minimum(whole, max(1, drawn))).astype(np.int64)
+
+
 def _bitmaps(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """Two numbers of 64 bits for each set, with the bit of every hash set."""
     bits = (grams >> np.uint64(HASH_BITS - 7)).astype(np.int64)
@@ -134,9 +150,14 @@ def _bitmaps(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def retained(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """gram, cls, n, place, map1, map2 for every value that a text retains and another text may hold."""
+    """gram, low, high, block, cls, n, size, place, map1, map2 for every value that a text retains and another may hold.
+
+    size is that of the sketch, place that of the value in it, rarest first. A long list is cut into blocks by the
+    class; a value stands once for every two blocks (low, high) that its own meets.
+    """
+    noise = float(np.expm1(counts / SCALE).mean())
     blob = sets.sparkSession.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))
-    mask = np.uint64(len(counts) - 1)
+    mask, single = np.uint64(len(counts) - 1), int(np.ceil(np.log1p(1) * SCALE))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.frombuffer(zlib.decompress(blob.value), np.uint16)
@@ -144,44 +165,74 @@ def retained(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
             if not len(batch):
                 continue
             n = batch["n"].to_numpy().astype(np.int64)
-            grams = np.frombuffer(b"".join(batch["grams"]), np.uint64)
-            owner = np.repeat(np.arange(len(n)), n)
-            often = seen[(grams & mask).astype(np.int64)]
-            order = np.lexsort((grams, often, owner))
-            place = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
-            keep = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            size = np.minimum(n, SKETCH)
+            values = np.frombuffer(b"".join(g[: 8 * SKETCH] for g in batch["grams"]), np.uint64)
+            owner = np.repeat(np.arange(len(n)), size)
+            often = seen[(values & mask).astype(np.int64)]
+            order = np.lexsort((values, often, owner))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+            keep = size - shared_at_least(n, threshold) + 1
             order, place = order[place < keep[owner]], place[place < keep[owner]]
-            order, place = order[often[order] > 1], place[often[order] > 1]
-            maps = _bitmaps(grams, owner, len(n))
+            order, place = order[often[order] > single], place[often[order] > single]
             of = owner[order]
+            cls = batch["cls"].to_numpy()[of]
+            # Both sides of a pair read the same counter, so they cut its list alike.
+            blocks = np.maximum(1, np.ceil((np.expm1(often[order] / SCALE) - noise) / LIST)).astype(np.int64)
+            block = (cls.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
+            again = np.repeat(np.arange(len(order)), blocks)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            maps = _bitmaps(np.frombuffer(b"".join(batch["grams"]), np.uint64), np.repeat(np.arange(len(n)), n), len(n))
             yield pd.DataFrame(
-                {"gram": grams[order].view(np.int64), "cls": batch["cls"].to_numpy()[of], "n": n[of].astype(np.int32), "place": place.astype(np.int32), "map1": maps[of, 0], "map2": maps[of, 1]}
+                {
+                    "gram": values[order].view(np.int64)[again],
+                    "low": np.minimum(block[again], other).astype(np.int32),
+                    "high": np.maximum(block[again], other).astype(np.int32),
+                    "block": block[again].astype(np.int32),
+                    "cls": cls[again],
+                    "n": n[of][again].astype(np.int32),
+                    "size": size[of][again].astype(np.int32),
+                    "place": place[again].astype(np.int32),
+                    "map1": maps[of, 0][again],
+                    "map2": maps[of, 1][again],
+                }
             )
 
-    return sets.select("cls", "n", "grams").mapInPandas(run, "gram long, cls long, n int, place int, map1 long, map2 long")
+    return sets.select("cls", "n", "grams").mapInPandas(run, "gram long, low int, high int, block int, cls long, n int, size int, place int, map1 long, map2 long")
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets by the union of their sketches; exact where the union fits a sketch."""
+    a, b = a[:SKETCH], b[:SKETCH]
+    union = np.union1d(a, b)[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
 
 
 def overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
-    """Jaccard similarity of two sorted sets; 0 if the estimate from the union of their sketches is far below threshold."""
-    if min(len(a), len(b)) > 2 * SKETCH:
-        union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
-        shared = np.isin(union, a[:SKETCH], assume_unique=True) & np.isin(union, b[:SKETCH], assume_unique=True)
-        if shared.mean() < threshold - SIGMAS * sqrt(threshold * (1 - threshold) / SKETCH):
-            return 0.0
+    """Jaccard similarity of two sorted sets; 0 if the estimate is so far below the threshold that it can't be reached."""
+    if estimate(a, b) < threshold - SIGMAS * sqrt(threshold * (1 - threshold) / SKETCH):
+        return 0.0
     same = len(np.intersect1d(a, b, assume_unique=True))
     return same / (len(a) + len(b) - same)
 
 
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """cls_a < cls_b and similarity of every two different sets that overlap by the threshold. sets must be written."""
-    posts = retained(sets, count_sketch(sets), threshold).repartition("gram")
+    spark = sets.sparkSession
+    most = sets.agg(F.sum(F.least(F.ceil((1 - threshold) * F.col("n")) + 1, F.lit(SKETCH)))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(most / POSTS_A_TASK))
+    posts = retained(sets, count_values(sets), threshold).repartition(parts, "gram", "low", "high")
     a, b = posts.alias("a"), posts.alias("b")
     sizes = F.col("a.n") + F.col("b.n")
-    # The overlap that the threshold asks for; what the places after the shared value, and bits that only one set has, leave of it.
+    # The overlap that the threshold asks for, and what of it the sketches share at least; what the places after the
+    # shared value, and bits that only one set has, leave of it.
     least = F.ceil(F.lit(threshold / (1 + threshold)) * sizes - 1e-9)
+    drawn = max(1, floor(threshold * SKETCH - SIGMAS * sqrt(threshold * (1 - threshold) * SKETCH)))
+    common = F.when(F.greatest("a.n", "b.n") <= threshold * SKETCH, least).otherwise(F.least(least, F.lit(drawn)))
     apart = F.bit_count(F.col("a.map1").bitwiseXOR(F.col("b.map1"))) + F.bit_count(F.col("a.map2").bitwiseXOR(F.col("b.map2")))
-    fits = (F.col("a.n") - F.col("a.place") >= least) & (F.col("b.n") - F.col("b.place") >= least) & (sizes - apart >= 2 * least)
-    joined = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.cls") < F.col("b.cls")) & fits)
+    fits = (F.col("a.size") - F.col("a.place") >= common) & (F.col("b.size") - F.col("b.place") >= common) & (sizes - apart >= 2 * least)
+    meet = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
+    once = (F.col("a.low") == F.col("a.high")) | (F.col("a.block") != F.col("b.block"))
+    joined = a.join(b, meet & (F.col("a.cls") < F.col("b.cls")) & once & fits)
     pairs = materialize(joined.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct(), "candidates")
     # Only the sets that some candidate needs are moved, each once.
     needed = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
@@ -212,16 +263,18 @@ def near_duplicates(texts: DataFrame, size: int = 5, threshold: float = 0.8, min
     return sets.select("tbl", "id", "cls").distinct(), links
 
 
-def similar_pairs(texts: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 0) -> DataFrame:
+def similar_pairs(texts: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 0, copies: int | None = COPIES) -> DataFrame:
     """tbl, id_a < id_b of texts whose sets overlap by the threshold.
 
-    Copies of one set are paired with each other among the first COPIES by id, every further copy with the first, and
-    the first COPIES stand for a class in its links to others. So no link between different texts is lost, and a class
-    that holds a third of all texts gives as many rows as it has members.
+    Copies of one set are paired with each other among the first copies by id, every further copy with the first, and
+    the first copies stand for a class in its links to others. So no link between different texts is lost, and a class
+    that holds a third of all texts gives as many rows as it has members. None gives every pair of texts, however many
+    those are.
     """
     members, links = near_duplicates(texts, size, threshold, min_words)
     members = materialize(members, "members")
-    faces = members.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("place") <= COPIES)
+    faces = members.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("id")))
+    faces = faces if copies is None else faces.where(F.col("place") <= copies)
     faces = materialize(faces, "faces")
     a = faces.select("tbl", F.col("cls").alias("cls_a"), F.col("id").alias("x"))
     b = faces.select(F.col("cls").alias("cls_b"), F.col("id").alias("y"))

@@ -48,10 +48,26 @@ def test_a_third_are_copies(spark):
     inside = {g for g in got if g[1] in copies}
     want = {("turns", a, b) for k, a in enumerate(copies[:32]) for b in copies[k + 1 : 32]} | {("turns", copies[0], b) for b in copies[32:]}
     assert inside == want
+    every = {tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows, "tbl string, id string, content string"), 3, 0.6, copies=None).collect()}
+    assert sum(g[1] in copies and g[2] in copies for g in every) == 100 * 99 // 2 and got <= every
     groups = neardup.duplicate_groups(spark.createDataFrame(rows, "tbl string, id string, content string"), 3, 0.6)
     assert groups.where("id LIKE 'c%'").select("group_id").distinct().count() == 1
 
 
+def test_long_lists_are_cut_into_blocks_and_long_texts_into_sketches(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LIST", 3)
+    rng, rows = random.Random(6), []
+    base = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (40, 200, 700, 1500)]
+    for i in range(60):
+        w = base[i % 4].split()
+        for _ in range(rng.randrange(len(w) // 14)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append(("turns", f"i{i:04d}", " ".join(w)))
+    got = {tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows, "tbl string, id string, content string"), 3, 0.6, 20).collect()}
+    want = brute_pairs(rows, 3, 0.6, 20)
+    assert got == want and len(want) > 200
+
+
 def test_groups_connect(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
