@@ -31,7 +31,7 @@ COUNTER_BITS, CHUNKS, SCALE = 22, 32, 1500
 #: Bits of a shingle's hash: two sets of a thousand shingles have a false match in one of 10**8 pairs.
 HASH_BITS = 48
 #: Values of a bottom-k sketch, and standard deviations below the threshold at which a pair is left.
-SKETCH, SIGMAS = 256, 6.0
+SKETCH, SIGMAS = 512, 6.0
 #: Values of a block of an inverted list, and posts a task of the join should get.
 LIST, POSTS_A_TASK = 2_000, 1_000_000
 #: All pairs among the first so many copies of one set; each further copy is paired with the first.
@@ -203,14 +203,22 @@ def retained(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets by the union of their sketches; exact where the union fits a sketch."""
     a, b = a[:SKETCH], b[:SKETCH]
-    union = np.union1d(a, b)[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
+    same = np.intersect1d(a, b, assume_unique=True)
+    size = len(a) + len(b) - len(same)
+    if size <= SKETCH:
+        return len(same) / size
+    # The last value of the union's sketch; what both hold up to it is in all three sketches.
+    last = np.partition(np.concatenate((a, np.setdiff1d(b, same, assume_unique=True))), SKETCH - 1)[SKETCH - 1]
+    return int(np.searchsorted(same, last, side="right")) / SKETCH
 
 
 def overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     """Jaccard similarity of two sorted sets; 0 if the estimate is so far below the threshold that it can't be reached."""
-    if estimate(a, b) < threshold - SIGMAS * sqrt(threshold * (1 - threshold) / SKETCH):
+    about = estimate(a, b)
+    if about < threshold - SIGMAS * sqrt(threshold * (1 - threshold) / SKETCH):
         return 0.0
+    if max(len(a), len(b)) <= SKETCH and (len(a) + len(b)) / (1 + about) <= SKETCH:  # the union fits
+        return about
     same = len(np.intersect1d(a, b, assume_unique=True))
     return same / (len(a) + len(b) - same)
 
@@ -227,7 +235,7 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     # shared value, and bits that only one set has, leave of it.
     least = F.ceil(F.lit(threshold / (1 + threshold)) * sizes - 1e-9)
     drawn = max(1, floor(threshold * SKETCH - SIGMAS * sqrt(threshold * (1 - threshold) * SKETCH)))
-    common = F.when(F.greatest("a.n", "b.n") <= threshold * SKETCH, least).otherwise(F.least(least, F.lit(drawn)))
+    common = F.when(F.greatest("a.n", "b.n") <= SKETCH, least).otherwise(F.least(least, F.lit(drawn)))
     apart = F.bit_count(F.col("a.map1").bitwiseXOR(F.col("b.map1"))) + F.bit_count(F.col("a.map2").bitwiseXOR(F.col("b.map2")))
     fits = (F.col("a.size") - F.col("a.place") >= common) & (F.col("b.size") - F.col("b.place") >= common) & (sizes - apart >= 2 * least)
     meet = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
