@@ -31,7 +31,7 @@ COUNTER_BITS, CHUNKS, SCALE = 22, 32, 1500
 #: Bits of a shingle's hash: two sets of a thousand shingles have a false match in one of 10**8 pairs.
 HASH_BITS = 48
 #: Values of a bottom-k sketch, and standard deviations below the threshold at which a pair is left.
-SKETCH, SIGMAS = 512, 6.0
+SKETCH, SIGMAS = 2_048, 6.0
 #: Values of a block of an inverted list, and posts a task of the join should get.
 LIST, POSTS_A_TASK = 2_000, 1_000_000
 #: All pairs among the first so many copies of one set; each further copy is paired with the first.
@@ -101,7 +101,7 @@ def shingle_sets(texts: DataFrame, size: int, min_words: int) -> DataFrame:
     return texts.where("id IS NOT NULL AND content IS NOT NULL").select("tbl", "id", "content").mapInPandas(run, "tbl string, id string, cls long, n int, grams binary")
 
 
-def count_values(sets: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
+def count_values(sets: DataFrame, bits: int = COUNTER_BITS, sketch: int = SKETCH) -> np.ndarray:
     """About how many sketches hold a value, at least as many as do, by its lowest bits: logarithms of counters."""
     size = 1 << bits
     step = size // CHUNKS
@@ -110,7 +110,7 @@ def count_values(sets: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
         total = np.zeros(size, np.uint32)
         for batch in batches:
             if len(batch):
-                values = np.frombuffer(b"".join(g[: 8 * SKETCH] for g in batch["grams"]), np.uint64)
+                values = np.frombuffer(b"".join(g[: 8 * sketch] for g in batch["grams"]), np.uint64)
                 total += np.bincount((values & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
         parts = [(i, total[i * step : (i + 1) * step]) for i in range(CHUNKS)]
         yield pd.DataFrame([(i, zlib.compress(p.tobytes(), 1)) for i, p in parts if p.any()], columns=["chunk", "counts"])
@@ -130,15 +130,15 @@ def count_values(sets: DataFrame, bits: int = COUNTER_BITS) -> np.ndarray:
     return out
 
 
-def shared_at_least(n: np.ndarray, threshold: float) -> np.ndarray:
+def shared_at_least(n: np.ndarray, threshold: float, sketch: int = SKETCH) -> np.ndarray:
     """How many values the sketch of a set of n at least shares with that of any set that is similar enough.
 
     If all values of both fit a sketch, the threshold's share of n; else what SKETCH values of the union have in common
     but for SIGMAS deviations.
     """
     whole = np.ceil(threshold * n - 1e-9)
-    drawn = floor(threshold * SKETCH - SIGMAS * sqrt(threshold * (1 - threshold) * SKETCH))
-    return np.where(n <= threshold * SKETCH, whole, np.minimum(whole, max(1, drawn))).astype(np.int64)
+    drawn = floor(threshold * sketch - SIGMAS * sqrt(threshold * (1 - threshold) * sketch))
+    return np.where(n <= threshold * sketch, whole, np.minimum(whole, max(1, drawn))).astype(np.int64)
 
 
 def _bitmaps(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -149,11 +149,12 @@ def _bitmaps(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(flags, axis=1).view(np.int64)
 
 
-def retained(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """gram, low, high, block, cls, n, size, place, map1, map2 for every value that a text retains and another may hold.
+def retained(sets: DataFrame, counts: np.ndarray, threshold: float, sketch: int = SKETCH, block_size: int = LIST) -> DataFrame:
+    """gram, block, cls, n, place, map1, map2 for every value that a text retains and another may hold.
 
-    size is that of the sketch, place that of the value in it, rarest first. A long list is cut into blocks by the
-    class; a value stands once for every two blocks (low, high) that its own meets.
+    place is that of the value in the sketch, rarest first. A long list is cut into blocks by the class; a value then
+    stands once for every two blocks that its own meets, with a gram for each two, and block is its own, or -1 where
+    all of its list is to be compared.
     """
     noise = float(np.expm1(counts / SCALE).mean())
     blob = sets.sparkSession.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))
@@ -165,82 +166,82 @@ def retained(sets: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame
             if not len(batch):
                 continue
             n = batch["n"].to_numpy().astype(np.int64)
-            size = np.minimum(n, SKETCH)
-            values = np.frombuffer(b"".join(g[: 8 * SKETCH] for g in batch["grams"]), np.uint64)
+            size = np.minimum(n, sketch)
+            values = np.frombuffer(b"".join(g[: 8 * sketch] for g in batch["grams"]), np.uint64)
             owner = np.repeat(np.arange(len(n)), size)
             often = seen[(values & mask).astype(np.int64)]
             order = np.lexsort((values, often, owner))
             place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
-            keep = size - shared_at_least(n, threshold) + 1
+            keep = size - shared_at_least(n, threshold, sketch) + 1
             order, place = order[place < keep[owner]], place[place < keep[owner]]
             order, place = order[often[order] > single], place[often[order] > single]
             of = owner[order]
             cls = batch["cls"].to_numpy()[of]
             # Both sides of a pair read the same counter, so they cut its list alike.
-            blocks = np.maximum(1, np.ceil((np.expm1(often[order] / SCALE) - noise) / LIST)).astype(np.int64)
+            blocks = np.maximum(1, np.ceil((np.expm1(often[order] / SCALE) - noise) / block_size)).astype(np.int64)
             block = (cls.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
             again = np.repeat(np.arange(len(order)), blocks)
             other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             maps = _bitmaps(np.frombuffer(b"".join(batch["grams"]), np.uint64), np.repeat(np.arange(len(n)), n), len(n))
+            low, high = np.minimum(block[again], other).astype(np.uint64), np.maximum(block[again], other).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                gram = values[order][again] ^ ((low << np.uint64(20) | high) * np.uint64(0xBF58476D1CE4E5B9))
             yield pd.DataFrame(
                 {
-                    "gram": values[order].view(np.int64)[again],
-                    "low": np.minimum(block[again], other).astype(np.int32),
-                    "high": np.maximum(block[again], other).astype(np.int32),
-                    "block": block[again].astype(np.int32),
+                    "gram": gram.view(np.int64),
+                    "block": np.where(low == high, -1, block[again]).astype(np.int32),
                     "cls": cls[again],
                     "n": n[of][again].astype(np.int32),
-                    "size": size[of][again].astype(np.int32),
                     "place": place[again].astype(np.int32),
                     "map1": maps[of, 0][again],
                     "map2": maps[of, 1][again],
                 }
             )
 
-    return sets.select("cls", "n", "grams").mapInPandas(run, "gram long, low int, high int, block int, cls long, n int, size int, place int, map1 long, map2 long")
+    return sets.select("cls", "n", "grams").mapInPandas(run, "gram long, block int, cls long, n int, place int, map1 long, map2 long")
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
+def estimate(a: np.ndarray, b: np.ndarray, sketch: int = SKETCH) -> float:
     """Jaccard similarity of two sorted sets by the union of their sketches; exact where the union fits a sketch."""
-    a, b = a[:SKETCH], b[:SKETCH]
+    a, b = a[:sketch], b[:sketch]
     same = np.intersect1d(a, b, assume_unique=True)
     size = len(a) + len(b) - len(same)
-    if size <= SKETCH:
+    if size <= sketch:
         return len(same) / size
     # The last value of the union's sketch; what both hold up to it is in all three sketches.
-    last = np.partition(np.concatenate((a, np.setdiff1d(b, same, assume_unique=True))), SKETCH - 1)[SKETCH - 1]
-    return int(np.searchsorted(same, last, side="right")) / SKETCH
+    last = np.partition(np.concatenate((a, np.setdiff1d(b, same, assume_unique=True))), sketch - 1)[sketch - 1]
+    return int(np.searchsorted(same, last, side="right")) / sketch
 
 
-def overlap(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
+def overlap(a: np.ndarray, b: np.ndarray, threshold: float, sketch: int = SKETCH) -> float:
     """Jaccard similarity of two sorted sets; 0 if the estimate is so far below the threshold that it can't be reached."""
-    about = estimate(a, b)
-    if about < threshold - SIGMAS * sqrt(threshold * (1 - threshold) / SKETCH):
+    about = estimate(a, b, sketch)
+    if about < threshold - SIGMAS * sqrt(threshold * (1 - threshold) / sketch):
         return 0.0
-    if max(len(a), len(b)) <= SKETCH and (len(a) + len(b)) / (1 + about) <= SKETCH:  # the union fits
+    if max(len(a), len(b)) <= sketch and (len(a) + len(b)) / (1 + about) <= sketch:  # the union fits
         return about
     same = len(np.intersect1d(a, b, assume_unique=True))
     return same / (len(a) + len(b) - same)
 
 
-def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float, sketch: int = SKETCH, block_size: int = LIST) -> DataFrame:
     """cls_a < cls_b and similarity of every two different sets that overlap by the threshold. sets must be written."""
     spark = sets.sparkSession
-    most = sets.agg(F.sum(F.least(F.ceil((1 - threshold) * F.col("n")) + 1, F.lit(SKETCH)))).first()[0] or 0
+    most = sets.agg(F.sum(F.least(F.ceil((1 - threshold) * F.col("n")) + 1, F.lit(sketch)))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(most / POSTS_A_TASK))
-    posts = retained(sets, count_values(sets), threshold).repartition(parts, "gram", "low", "high")
+    posts = retained(sets, count_values(sets, sketch=sketch), threshold, sketch, block_size).repartition(parts, "gram")
     a, b = posts.alias("a"), posts.alias("b")
     sizes = F.col("a.n") + F.col("b.n")
     # The overlap that the threshold asks for, and what of it the sketches share at least; what the places after the
     # shared value, and bits that only one set has, leave of it.
     least = F.ceil(F.lit(threshold / (1 + threshold)) * sizes - 1e-9)
-    drawn = max(1, floor(threshold * SKETCH - SIGMAS * sqrt(threshold * (1 - threshold) * SKETCH)))
-    common = F.when(F.greatest("a.n", "b.n") <= SKETCH, least).otherwise(F.least(least, F.lit(drawn)))
+    drawn = max(1, floor(threshold * sketch - SIGMAS * sqrt(threshold * (1 - threshold) * sketch)))
+    common = F.when(F.greatest("a.n", "b.n") <= sketch, least).otherwise(F.least(least, F.lit(drawn)))
     apart = F.bit_count(F.col("a.map1").bitwiseXOR(F.col("b.map1"))) + F.bit_count(F.col("a.map2").bitwiseXOR(F.col("b.map2")))
-    fits = (F.col("a.size") - F.col("a.place") >= common) & (F.col("b.size") - F.col("b.place") >= common) & (sizes - apart >= 2 * least)
-    meet = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
-    once = (F.col("a.low") == F.col("a.high")) | (F.col("a.block") != F.col("b.block"))
-    joined = a.join(b, meet & (F.col("a.cls") < F.col("b.cls")) & once & fits)
+    left = [F.least(F.col(f"{x}.n"), F.lit(sketch)) - F.col(f"{x}.place") for x in "ab"]
+    fits = (left[0] >= common) & (left[1] >= common) & (sizes - apart >= 2 * least)
+    once = (F.col("a.block") == -1) | (F.col("a.block") != F.col("b.block"))
+    joined = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.cls") < F.col("b.cls")) & once & fits)
     pairs = materialize(joined.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct(), "candidates")
     # Only the sets that some candidate needs are moved, each once.
     needed = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
@@ -254,24 +255,24 @@ def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            found = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(batch["grams_a"], batch["grams_b"], strict=True)]
+            found = [overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold, sketch) for x, y in zip(batch["grams_a"], batch["grams_b"], strict=True)]
             out = batch[["cls_a", "cls_b"]].assign(similarity=found)
             yield out[out["similarity"] >= threshold - 1e-12]
 
     return both.select("cls_a", "cls_b", "grams_a", "grams_b").mapInPandas(verify, "cls_a long, cls_b long, similarity double")
 
 
-def near_duplicates(texts: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 0) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(texts: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 0, sketch: int = SKETCH, block_size: int = LIST) -> tuple[DataFrame, DataFrame]:
     """(members, links): tbl, id, cls of every text that takes part, and the similar classes.
 
     Repeated rows of an id count once. Texts of different tables aren't compared. Both results are written.
     """
     sets = materialize(shingle_sets(texts, size, min_words), "shingles")
-    links = materialize(similar_classes(sets, threshold), "similar")
+    links = materialize(similar_classes(sets, threshold, sketch, block_size), "similar")
     return sets.select("tbl", "id", "cls").distinct(), links
 
 
-def similar_pairs(texts: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 0, copies: int | None = COPIES) -> DataFrame:
+def similar_pairs(texts: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 0, copies: int | None = COPIES, sketch: int = SKETCH, block_size: int = LIST) -> DataFrame:
     """tbl, id_a < id_b of texts whose sets overlap by the threshold.
 
     Copies of one set are paired with each other among the first copies by id, every further copy with the first, and
@@ -279,7 +280,7 @@ def similar_pairs(texts: DataFrame, size: int = 5, threshold: float = 0.8, min_w
     that holds a third of all texts gives as many rows as it has members. None gives every pair of texts, however many
     those are.
     """
-    members, links = near_duplicates(texts, size, threshold, min_words)
+    members, links = near_duplicates(texts, size, threshold, min_words, sketch, block_size)
     members = materialize(members, "members")
     faces = members.withColumn("place", F.row_number().over(Window.partitionBy("cls").orderBy("id")))
     faces = faces if copies is None else faces.where(F.col("place") <= copies)
@@ -318,10 +319,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return label
 
 
-def duplicate_groups(texts: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 0) -> DataFrame:
+def duplicate_groups(texts: DataFrame, size: int = 5, threshold: float = 0.8, min_words: int = 0, sketch: int = SKETCH, block_size: int = LIST) -> DataFrame:
     """tbl, id, cls, links, group_id for every text that takes part: its class, the number of other classes that are
     similar, and the class that names its group (the smallest of all that links connect)."""
-    members, links = near_duplicates(texts, size, threshold, min_words)
+    members, links = near_duplicates(texts, size, threshold, min_words, sketch, block_size)
     joined = components(links.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))).select(F.col("node").alias("cls"), "component")
     degree = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     return (

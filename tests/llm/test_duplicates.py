@@ -54,8 +54,8 @@ def test_a_third_are_copies(spark):
     assert groups.where("id LIKE 'c%'").select("group_id").distinct().count() == 1
 
 
-def test_long_lists_are_cut_into_blocks_and_long_texts_into_sketches(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LIST", 3)
+@pytest.mark.parametrize(("sketch", "block"), [(2048, 3), (512, 3), (512, 1000)])
+def test_long_lists_are_cut_into_blocks_and_long_texts_into_sketches(spark, sketch, block):
     rng, rows = random.Random(6), []
     base = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (40, 200, 700, 1500)]
     for i in range(60):
@@ -63,7 +63,7 @@ def test_long_lists_are_cut_into_blocks_and_long_texts_into_sketches(spark, monk
         for _ in range(rng.randrange(len(w) // 14)):
             w[rng.randrange(len(w))] = rng.choice(WORDS)
         rows.append(("turns", f"i{i:04d}", " ".join(w)))
-    got = {tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows, "tbl string, id string, content string"), 3, 0.6, 20).collect()}
+    got = {tuple(r) for r in neardup.similar_pairs(spark.createDataFrame(rows, "tbl string, id string, content string"), 3, 0.6, 20, sketch=sketch, block_size=block).collect()}
     want = brute_pairs(rows, 3, 0.6, 20)
     assert got == want and len(want) > 200
 
