@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil, sqrt
+from math import ceil, log10, sqrt
 
 import numpy as np
 import pandas as pd
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from mnemospark.storage import materialize
 
-#: Pivots: twice the root of the number of vectors, within these bounds; the sample that fits the index is at most MAX_SAMPLE vectors.
-MIN_PIVOTS, MAX_PIVOTS, MAX_SAMPLE = 32, 4096, 8192
-#: Nearest pivots in a vector's representation; it is posted to each of them.
-LENGTH = 5
+#: Pivots: so many times the root of the number of vectors, within these bounds; the sample that fits the index is at most MAX_SAMPLE vectors.
+PIVOTS_A_ROOT, MIN_PIVOTS, MAX_PIVOTS, MAX_SAMPLE = 1.2, 32, 16_384, 32_768
+#: Nearest pivots in a vector's representation, to each of which it is posted: LENGTH up to LENGTH_ROWS vectors, one
+#: more for every tenfold number, as pivots that lie denser part more neighbours.
+LENGTH, LENGTH_ROWS = 5, 30_000
 #: Vectors that a block of an inverted file should hold, and rows whose postings are packed together.
 BLOCK, PACK = 6_000, 10_000
 #: Rows dropped by the caller go with the tasks up to this number, beyond it by a join on both sides.
@@ -36,6 +37,7 @@ MAX_BROADCAST_ROWS = 2_000_000
 class Pivots:
     units: np.ndarray  # float32, a row each
     blocks: np.ndarray  # blocks of each pivot's inverted file
+    length: int  # of a vector's permutation
 
 
 def valid(values: np.ndarray) -> np.ndarray:
@@ -147,26 +149,31 @@ def _unpack(raw: bytes, rows: int) -> np.ndarray:
     return np.ascontiguousarray(body.reshape(4, -1).T).view(np.float32).reshape(rows, -1)
 
 
-def fit(vectors: DataFrame, dims: int, rows: int) -> Pivots:
+def permutation_length(rows: int) -> int:
+    """How many pivots represent each of so many vectors."""
+    return LENGTH + max(0, ceil(log10(max(1, rows) / LENGTH_ROWS) - 0.5))
+
+
+def fit(vectors: DataFrame, dims: int, rows: int, pivots_a_root: float = PIVOTS_A_ROOT, length: int | None = None) -> Pivots:
     """Pivots and the sizes of their inverted files, from the vectors with the smallest hashes of row_id."""
-    count = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * sqrt(rows))))
-    wanted = min(MAX_SAMPLE, 4 * count)
+    count = int(min(MAX_PIVOTS, max(MIN_PIVOTS, pivots_a_root * sqrt(rows))))
+    wanted, length = min(MAX_SAMPLE, 4 * count), length or permutation_length(rows)
     h = F.xxhash64("row_id")
     chosen = vectors.where(F.size("embedding") == dims).select("row_id", "embedding", h.alias("h"))
     if rows > 2 * wanted:
         chosen = chosen.where(F.col("h") < F.lit(int(-(2**63) + 2**64 * (2 * wanted / rows))))
     sample = chosen.orderBy("h", "row_id").limit(wanted).select("row_id", "embedding").toArrow()
     if not sample.num_rows:
-        return Pivots(np.zeros((0, dims), np.float32), np.zeros(0, np.int64))
+        return Pivots(np.zeros((0, dims), np.float32), np.zeros(0, np.int64), length)
     _, values = _matrix(sample.combine_chunks().to_batches()[0], dims)
     if not len(values):
-        return Pivots(np.zeros((0, dims), np.float32), np.zeros(0, np.int64))
+        return Pivots(np.zeros((0, dims), np.float32), np.zeros(0, np.int64), length)
     u = units(values)
     _, first = np.unique(_hashes(values), return_index=True)
     distinct = u[np.sort(first)]
     pivots = distinct[:count]
-    posted = np.bincount(permutation(u, pivots, LENGTH).ravel(), minlength=len(pivots)) * (rows / len(u))
-    return Pivots(pivots, np.maximum(1, np.ceil(posted / BLOCK)).astype(np.int64))
+    posted = np.bincount(permutation(u, pivots, length).ravel(), minlength=len(pivots)) * (rows / len(u))
+    return Pivots(pivots, np.maximum(1, np.ceil(posted / BLOCK)).astype(np.int64), length)
 
 
 def _postings(vectors: DataFrame, pivots: Pivots, dims: int, copies: int) -> DataFrame:
@@ -177,7 +184,7 @@ def _postings(vectors: DataFrame, pivots: Pivots, dims: int, copies: int) -> Dat
     def pack(ids: np.ndarray, values: np.ndarray, index: Pivots) -> Iterator[pa.RecordBatch]:
         keep = _first_copies(ids, _hashes(values), copies)
         ids, values = ids[keep], values[keep]
-        perms = permutation(units(values), index.units, LENGTH)
+        perms = permutation(units(values), index.units, index.length)
         packer, length = Packer(values), perms.shape[1]
         owner, pivot = np.repeat(np.arange(len(ids)), length), perms.ravel().astype(np.int64)
         blocks = index.blocks[pivot]
@@ -300,7 +307,7 @@ def compare(ids: np.ndarray, block: np.ndarray, perms: np.ndarray, values: np.nd
     return row[best], other[best], both[best]
 
 
-def nearest(vectors: DataFrame, k: int = 10, dims: int = 384, floor: float | None = 0.6, skip: DataFrame | None = None, candidates: int | None = None, digits: int = 9) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, dims: int = 384, floor: float | None = 0.6, skip: DataFrame | None = None, candidates: int | None = None, digits: int = 9, pivots_a_root: float = PIVOTS_A_ROOT, length: int | None = None) -> DataFrame:
     """row_id, other and similarity: the k most similar vectors of every vector of vectors (row_id, embedding).
 
     Similarity is the cosine, rounded to digits; ties go to the smaller row_id. Rows of skip, null vectors, vectors of
@@ -310,13 +317,13 @@ def nearest(vectors: DataFrame, k: int = 10, dims: int = 384, floor: float | Non
 
     Of equal vectors only the k + 1 with the smallest row_id are posted: each further copy has the first k as its
     neighbours and is nobody's, so a third of all rows may be copies. Some neighbours are missed where two vectors
-    share none of their nearest pivots; see the README for the measured recall.
+    share none of their nearest pivots; see the README for the measured share.
     """
     spark = vectors.sparkSession
     if skip is not None:
         few = skip.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
         vectors = vectors.join(F.broadcast(skip) if few else skip, "row_id", "left_anti")
-    pivots = fit(vectors, dims, vectors.count())
+    pivots = fit(vectors, dims, vectors.count(), pivots_a_root, length)
     if not len(pivots.units):
         return spark.createDataFrame([], "row_id long, other long, similarity double")
 

@@ -184,7 +184,7 @@ def clustered(n, seed, dims=32):
     return (centre[rng.integers(0, len(centre), n)] + rng.normal(size=(n, dims)) * rng.uniform(0.05, 0.6, (n, 1))).astype("f4")
 
 
-def test_neighbours_recall_against_brute_force(spark):
+def test_share_of_neighbours_found_against_brute_force(spark):
     v = clustered(900, 3)
     v[10] = v[11] = v[12]
     rows = [(i, [float(x) for x in v[i]]) for i in range(len(v))]
