@@ -94,7 +94,7 @@ def for_repeats(target: dict[str, float], room: dict[str, float], total: float)
     return at(low)
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, wanted_entropy: float | str | None = None, stretch: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(chosen, shares): doc_id, source, tokens and repeats of the chosen documents; and what each source got.
 
     targets has source, target_share and max_repeats; one row a source, rows without a source or a positive share are
@@ -102,6 +102,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     proportion. total is the number of tokens wanted; by default the most that meets all targets exactly. A larger total
     bends the targets by for_repeats; more than all sources allow is cut to that. A budget is undercut by less than
     one document. Sources are few by definition: their totals come to the driver, one row a target.
+
+    With wanted_entropy the targets' own shares are set aside: the sources' shares of all tokens are tempered to that
+    entropy, or with "targets" to the entropy that the targets have. stretch multiplies the default total, so that from
+    1 on small sources reach their allowed repeats and the exponent of for_repeats is bisected as well.
     """
     wanted = targets.where("source IS NOT NULL AND target_share > 0").groupBy(source_name(F.col("source")).alias("source")).agg(
         F.sum("target_share").alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")
@@ -113,11 +117,14 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     have = {k: float(sums.get(k, (0, 0))[0] or 0) for k in goals}
     whole = sum(s for k, (s, _) in goals.items() if have[k] > 0)
     target = {k: s / whole if have[k] > 0 and whole else 0.0 for k, (s, _) in goals.items()}
+    if wanted_entropy is not None:
+        held = sum(have.values())
+        target = for_entropy({k: v / held if held else 0.0 for k, v in have.items()}, entropy(target) if wanted_entropy == "targets" else float(wanted_entropy))
     room = {k: have[k] * max(0, goals[k][1]) for k in goals}
     most = min((room[k] / s for k, s in target.items() if s > 0), default=0.0)
-    total = min(most if total is None else float(total), sum(room.values()))
+    total = min(most * stretch if total is None else float(total), sum(room.values()))
     weights = for_repeats(target, room, total)
-    plan = [(k, int(weights.get(k, 0.0) * total), int(have[k]), sums.get(k, (0, 0))[1] or 0, *goals[k]) for k in sorted(goals)]
+    plan = [(k, int(weights.get(k, 0.0) * total), int(have[k]), sums.get(k, (0, 0))[1] or 0, goals[k][0] if wanted_entropy is None else target[k], goals[k][1]) for k in sorted(goals)]
     spark = documents.sparkSession
     plans = spark.createDataFrame(plan, "source string, budget long, held long, documents long, target_share double, max_repeats int")
     plans = plans.withColumn("passes", F.when(F.col("held") > 0, F.floor(F.col("budget") / F.col("held"))).otherwise(F.lit(0)).cast("int")).withColumn(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.functions.text import ASSISTANT_ROLES, STAND_INS, USER_ROLES
 from mnemospark.llm import conversations, endings, language, leakage, mixing, neardup, neighbours, pairs, secrets
 from mnemospark.storage import materialize, table
 
@@ -41,6 +42,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.session_defects(ordered, others, table(spark, sf_dir, "sessions")).where("defect IS NOT NULL")
 
 
+def p2_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root-to-leaf paths by explicit parents: row_id, thread, depth, state and leaf of every speaker's turn.
+
+    A turn's parent is the one before it in time; rows divisible by 1000 name the one after them instead, so that the
+    two make a cycle, and those divisible by 1001 a row that isn't there.
+    """
+    ordered, _ = conversations.order_turns(table(spark, sf_dir, "turns"))
+    before = ordered.where("next_row IS NOT NULL").select(F.col("next_row").alias("row_id"), F.col("row_id").alias("before"))
+    n = F.col("row_id")
+    parent = F.when((n % 1000 == 0) & F.col("next_row").isNotNull(), F.col("next_row")).when(n % 1001 == 0, -n - 1).otherwise(F.col("before"))
+    messages = materialize(ordered.select("row_id", "next_row").join(before, "row_id", "left").select("row_id", parent.alias("parent_id")), "parents")
+    found = conversations.threads(messages, "row_id", "parent_id")
+    answered = messages.select(F.col("parent_id").alias("row_id")).where("row_id IS NOT NULL").distinct().withColumn("answered", F.lit(True))
+    return found.join(answered, "row_id", "left").select("row_id", "thread", F.col("depth").cast("long").alias("depth"), "state", F.col("answered").isNull().alias("leaf"))
+
+
 def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations that are kept, a row for each speaker's turn in order."""
     return conversations.conversations(table(spark, sf_dir, "turns"), table(spark, sf_dir, "sessions"))
@@ -135,6 +152,12 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the sources' own shares, tempered to the entropy of the targets, for half as many tokens again as
+    fit: both exponents are bisected."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), wanted_entropy="targets", stretch=1.5)[1]
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
@@ -155,6 +178,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_shares": p1_shares,
     "p2_found": p2_found,
+    "p2_threads": p2_threads,
     "p2_conversations": p2_conversations,
     "p3_found": p3_found,
     "p3_neighbours": p3_neighbours,
@@ -167,7 +191,44 @@ QUERIES = {
     "p8_items": p8_items,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_tempered": p9_tempered,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
 }
-SQL: dict[str, str] = {}
+_TIME = """coalesce(CASE WHEN regexp_matches(x, '^\\d{4}-\\d{2}-\\d{2}[T ]\\d{1,2}:\\d{2}') THEN TRY_CAST(CASE WHEN regexp_matches(x, '([zZ]|UTC|GMT|[+-]\\d{2}:?\\d{2})$') THEN regexp_replace(regexp_replace(x, '\\s*(UTC|GMT)$', 'Z'), '([+-]\\d{2})(\\d{2})$', '\\1:\\2') ELSE x || 'Z' END AS TIMESTAMPTZ)
+    WHEN regexp_matches(x, '^\\d{4}-\\d{2}-\\d{2}$') THEN TRY_CAST(x || ' 00:00:00Z' AS TIMESTAMPTZ) END,
+  CASE WHEN regexp_matches(x, '^\\d{10}(\\.\\d{1,6})?$') THEN to_timestamp(x::DOUBLE) WHEN regexp_matches(x, '^\\d{13}$') THEN to_timestamp(x::DOUBLE / 1000) END)"""
+_STAND = ", ".join("'" + s.replace("'", "''") + "'" for s in STAND_INS)
+_NO_TEXT = rf"""coalesce(NOT regexp_matches(content, '[\p{{L}}\p{{N}}]') OR (length(content) < 60 AND regexp_replace(lower(content), '^[\s\p{{Z}}\p{{Cf}}\[\](){{}}<>"''`*_.:;!-]+|[\s\p{{Z}}\p{{Cf}}\[\](){{}}<>"''`*_.:;!-]+$', '', 'g') IN ({_STAND})), true)"""
+_ROLE = "lower(regexp_replace(role, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
+_USERS, _ANSWERERS = (", ".join(f"'{r}'" for r in names) for names in (USER_ROLES, ASSISTANT_ROLES))
+_WORDS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')"
+
+_ORDERED = f"""o AS (SELECT * FROM turns WHERE session_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY coalesce(id, 'row:' || row_id) ORDER BY row_id) = 1),
+p AS (SELECT row_id, session_id, {_ROLE} AS r, {_NO_TEXT} AS blank, regexp_replace(ts, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS x FROM o),
+t AS (SELECT row_id, session_id, blank, {_TIME} AS tm, CASE WHEN r IN ({_USERS}) THEN 'user' WHEN r IN ({_ANSWERERS}) THEN 'assistant' WHEN r IN ('', 'null', 'none', 'undefined', 'unknown', 'n/a', 'nan') THEN NULL ELSE r END AS who FROM p),
+q AS (SELECT *, CASE WHEN tm IS NOT NULL AND who IN ('user', 'assistant') THEN row_number() OVER (PARTITION BY session_id, (tm IS NOT NULL AND who IN ('user', 'assistant')) ORDER BY tm, row_id) END AS n FROM t)"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_ORDERED},
+s AS (SELECT session_id, bool_or(coalesce(who <> 'note', true)) AS other, bool_or(NOT blank AND (who IS NULL OR who IN ('user', 'assistant'))) AS content, bool_or(who IS NULL OR (who IN ('user', 'assistant') AND n IS NULL)) AS odd,
+  min(CASE WHEN NOT blank AND who = 'assistant' THEN n END) AS a0, min(CASE WHEN NOT blank AND who = 'user' THEN n END) AS u0, max(CASE WHEN NOT blank AND who = 'assistant' THEN n END) AS a1, max(CASE WHEN NOT blank AND who = 'user' THEN n END) AS u1 FROM q GROUP BY 1),
+j AS (SELECT coalesce(s.session_id, e.id) AS session_id, s.* EXCLUDE (session_id) FROM s FULL OUTER JOIN (SELECT DISTINCT id FROM sessions WHERE id IS NOT NULL) e ON e.id = s.session_id),
+d AS (SELECT session_id, CASE WHEN NOT coalesce(content, false) THEN 'empty' WHEN odd OR (a0 IS NOT NULL AND (u0 IS NULL OR a0 < u0)) THEN 'broken' WHEN u1 > coalesce(a1, -1) THEN 'missing_reply' END AS defect FROM j WHERE coalesce(other, true))
+SELECT session_id, defect FROM d WHERE defect IS NOT NULL""",
+    "p2_threads": f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT row_id, lag(row_id) OVER w AS b, lead(row_id) OVER w AS a FROM q WHERE n IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY n)),
+m AS (SELECT row_id, CASE WHEN row_id % 1000 = 0 AND a IS NOT NULL THEN a WHEN row_id % 1001 = 0 THEN -row_id - 1 ELSE b END AS p FROM r),
+s AS (SELECT row_id, row_id AS root, 0 AS depth, CASE WHEN p IS NULL THEN 'ok' ELSE 'orphan' END AS state FROM m WHERE p IS NULL OR p NOT IN (SELECT row_id FROM m)
+  UNION ALL SELECT m.row_id, s.root, s.depth + 1, s.state FROM m JOIN s ON m.p = s.row_id)
+SELECT m.row_id, s.root AS thread, s.depth::BIGINT AS depth, coalesce(s.state, 'cycle') AS state, NOT EXISTS (SELECT 1 FROM m c WHERE c.p = m.row_id) AS leaf FROM m LEFT JOIN s USING (row_id)""",
+    "p7_found": f"""WITH d AS (SELECT DISTINCT 'turns' AS tbl, id, content FROM turns WHERE id IS NOT NULL AND content IS NOT NULL UNION SELECT DISTINCT 'facts', id, content FROM facts WHERE id IS NOT NULL AND content IS NOT NULL),
+w AS (SELECT tbl, id, {_WORDS.format('content')} AS w FROM d), k AS (SELECT * FROM w WHERE len(w) >= 40),
+s AS (SELECT DISTINCT tbl, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM k), n AS (SELECT tbl, id, count(*) AS n FROM s GROUP BY 1, 2),
+c AS (SELECT a.tbl, a.id AS id_a, b.id AS id_b, count(*) AS same FROM s a JOIN s b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id GROUP BY 1, 2, 3)
+SELECT c.tbl, id_a, id_b FROM c JOIN n a ON a.tbl = c.tbl AND a.id = id_a JOIN n b ON b.tbl = c.tbl AND b.id = id_b WHERE same >= 0.6 * (a.n + b.n - same) - 1e-9""",
+    "p8_found": f"""WITH i AS (SELECT DISTINCT id AS case_id, {_WORDS.format('passage')} AS w FROM eval_cases WHERE id IS NOT NULL AND passage IS NOT NULL),
+r AS (SELECT DISTINCT case_id, unnest(list_transform(range(1, len(w) - 22), lambda k: hash(array_to_string(w[k:k + 23], ' ')))) AS h FROM i WHERE len(w) >= 24),
+x AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+v AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 22), lambda k: hash(array_to_string(w[k:k + 23], ' ')))) AS h FROM x WHERE len(w) >= 24)
+SELECT DISTINCT doc_id, case_id FROM v JOIN r USING (h)""",
+}
