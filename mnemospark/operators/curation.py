@@ -7,12 +7,12 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark import params as P
 from mnemospark.functions.rules import INJECTED_PREFIX, clip, content_hash, kind_of, self_referential, strip
-from mnemospark.operators.knn import knn
+from mnemospark.operators.knn import knn, within
 from mnemospark.operators.sequence import beside
 from mnemospark.storage import materialize
 
@@ -21,46 +21,134 @@ def near_class(new: DataFrame, facts: DataFrame, vectors: DataFrame, merge: floa
     """query_id, action and fact_id: what adding each of new (query_id, content, embedding) to a fixed store does.
 
     merged-exact if the content's hash is there, archived or not (the first such fact); else by the three nearest facts
-    that aren't archived: merged-similar from merge on, near-duplicate-inserted from near on, inserted otherwise.
+    that aren't archived: merged-similar from merge on, near-duplicate-inserted from near on, inserted otherwise. A fact
+    of the store whose row_id is the query_id itself is left out.
     """
     text = clip(strip(F.col("content")), P.FACT_CLIP)
     new = new.withColumn("h", content_hash(text))
-    known = facts.groupBy(F.col("content_hash").alias("h")).agg(F.min_by("id", "row_id").alias("exact"))
-    rows = new.select("query_id", "h").join(known, "h", "left")
-    close = knn(vectors, new.select("query_id", "embedding"), 3).join(facts.where("NOT coalesce(archived, false)").select("row_id", "id"), "row_id")
+    w = Window.partitionBy("content_hash").orderBy("row_id")
+    # The first two of each hash: one of them is another row than the new one.
+    known = facts.withColumn("__n", F.row_number().over(w)).where("__n <= 2").select(F.col("content_hash").alias("h"), "row_id", "id")
+    exact = new.select("query_id", "h").join(known, "h").where("row_id <> query_id").groupBy("query_id").agg(F.min_by("id", "row_id").alias("exact"))
+    close = knn(vectors, new.select("query_id", "embedding"), 4).where("row_id <> query_id")
+    close = close.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("rank <= 3")
+    close = close.join(facts.where("NOT coalesce(archived, false)").select("row_id", "id"), "row_id")
     by = close.where(F.col("similarity") >= near).groupBy("query_id").agg(F.min_by(F.struct("id", "similarity"), "rank").alias("n"))
     n = F.col("n.similarity")
     action = F.when(F.col("exact").isNotNull(), "merged-exact").when(n >= merge, "merged-similar").when(n >= near, "near-duplicate-inserted").otherwise("inserted")
-    return rows.join(by, "query_id", "left").select("query_id", action.alias("action"), F.coalesce("exact", F.col("n.id")).alias("fact_id"))
+    return new.select("query_id").join(exact, "query_id", "left").join(by, "query_id", "left").select("query_id", action.alias("action"), F.coalesce("exact", F.col("n.id")).alias("fact_id"))
 
 
-def add_in_order(store: dict[str, dict], new: list[dict], similarity: Callable[[dict, dict], float], now: str) -> list[str]:
-    """Add new facts one after the other to a store by id: each may merge into one that was added before it.
+def add_facts(facts: DataFrame, vectors: DataFrame, new: DataFrame, now: str, merge: float = P.MERGE_SIMILARITY, near: float = P.NEAR_SIMILARITY, dims: int = P.DIMS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcomes, facts, vectors) after adding new ones in order of row_id, each before the next.
 
-    The sequence matters, so this runs on the driver over one batch of candidates, which P.DISTILL_LIMIT bounds. new has
-    id, kind, content, sources, vector; a fact of the store the same and hash, archived. Returns the actions.
+    new has row_id (greater than any stored one), id, kind, content, source_turn_ids, project and embedding; its columns
+    beside those are carried on. outcomes has row_id, action and fact_id. A new fact merges into one with its hash,
+    stored or added before it, else into the most similar one that isn't archived from merge on; else it is added, as a
+    near duplicate from near on. What merges gives its sources to its target, each once in order. Facts without a
+    content are skipped.
+
+    Whether one is added depends on those before it; so all are decided whose similar predecessors are decided, round
+    after round. Only pairs from near on are ever written, and a round looks only at what is open.
+    """
+    text = clip(strip(F.col("content")), P.FACT_CLIP)
+    new = materialize(new.withColumn("content", text).withColumn("content_hash", content_hash(F.col("content"))), "new-facts")
+    full = new.where("content IS NOT NULL AND content <> ''")
+    # By hash: the first of the store, else the first of the batch.
+    known = facts.where("content_hash IS NOT NULL").groupBy("content_hash").agg(F.min_by("id", "row_id").alias("stored"))
+    first = full.groupBy("content_hash").agg(F.min("row_id").alias("head"))
+    rows = full.select("row_id", "id", "content_hash").join(known, "content_hash", "left").join(first, "content_hash")
+    heads = materialize(rows.where("stored IS NULL AND row_id = head").select("row_id", "id"), "heads")
+    asked = full.join(heads.select("row_id"), "row_id").select(F.col("row_id").alias("query_id"), "embedding")
+    live = facts.where("NOT coalesce(archived, false)").select("row_id", "id")
+    old = within(vectors.join(live.select("row_id"), "row_id", "left_semi"), asked, near, dims).join(live, "row_id").select("query_id", "similarity", "row_id", F.col("id").alias("target"))
+    best = F.struct(F.col("similarity"), -F.col("row_id"), F.col("target"))
+    old = materialize(old.groupBy("query_id").agg(F.max(best).alias("o")).select("query_id", "o.similarity", F.col("o.target").alias("target")), "near-stored")
+    pairs = within(asked.withColumnRenamed("query_id", "row_id"), asked, near, dims).where("row_id < query_id")
+    pairs = materialize(pairs, "near-new")
+    state = heads.join(old.where(F.col("similarity") >= merge).select(F.col("query_id").alias("row_id")), "row_id", "left_semi").select("row_id", F.lit(False).alias("added"))
+    state = materialize(state, "decided-0")
+    # Only what lies above merge makes one depend on another.
+    ties = pairs.where(F.col("similarity") >= merge).select("query_id", "row_id")
+    turn = 0
+    while True:
+        open_ = heads.select("row_id").join(state.select("row_id"), "row_id", "left_anti")
+        if open_.isEmpty():
+            break
+        turn += 1
+        before = open_.withColumnRenamed("row_id", "query_id").join(ties, "query_id", "left").join(state, "row_id", "left")
+        of = before.groupBy("query_id").agg(F.max(F.coalesce("added", F.lit(False))).alias("taken"), F.count_if(F.col("row_id").isNotNull() & F.col("added").isNull()).alias("waiting"))
+        # One that an added predecessor takes, or that waits for none, is decided; the first open one always is.
+        decided = of.where("taken OR waiting = 0").select(F.col("query_id").alias("row_id"), (~F.col("taken")).alias("added"))
+        state = materialize(state.unionByName(decided), f"decided-{turn}")
+    names = heads.select("row_id", F.col("id").alias("target")).join(state.where("added").select("row_id"), "row_id")
+    inside = pairs.join(names, "row_id").groupBy("query_id").agg(F.max(best).alias("i")).select("query_id", F.col("i.similarity").alias("s_new"), F.col("i.target").alias("t_new"))
+    judged = heads.withColumnRenamed("row_id", "query_id").join(state.withColumnRenamed("row_id", "query_id"), "query_id").join(old, "query_id", "left").join(inside, "query_id", "left")
+    stored_first = F.coalesce("similarity", F.lit(-1.0)) >= F.coalesce("s_new", F.lit(-1.0))
+    top = F.greatest(F.coalesce("similarity", F.lit(-1.0)), F.coalesce("s_new", F.lit(-1.0)))
+    nearest = F.when(stored_first, F.col("target")).otherwise(F.col("t_new"))
+    judged = judged.select(
+        F.col("query_id").alias("row_id"),
+        F.when(top >= merge, "merged-similar").when(top >= near, "near-duplicate-inserted").otherwise("inserted").alias("action"),
+        F.when(top >= merge, nearest).otherwise(F.col("id")).alias("fact_id"),
+    )
+    judged = materialize(judged, "judged")
+    # Later ones of a hash go where its first went.
+    later = rows.where("stored IS NOT NULL OR row_id <> head").join(judged.select(F.col("row_id").alias("head"), F.col("fact_id").alias("went"), F.col("action").alias("first_action")), "head", "left")
+    same = F.when(F.col("stored").isNull() & (F.col("first_action") == "merged-similar"), "merged-similar").otherwise("merged-exact")
+    later = later.select("row_id", same.alias("action"), F.coalesce("stored", "went").alias("fact_id"))
+    skipped = new.where("content IS NULL OR content = ''").select("row_id", F.lit("skipped").alias("action"), F.lit(None).cast("string").alias("fact_id"))
+    outcomes = materialize(judged.unionByName(later).unionByName(skipped), "outcomes")
+    added = new.join(outcomes.where("action IN ('inserted', 'near-duplicate-inserted')").select("row_id"), "row_id", "left_semi")
+    fixed = {"created_at": F.lit(now), "updated_at": F.lit(now), "pinned": F.lit(False), "archived": F.lit(False), "edited": F.lit(False), "version": F.lit(0)}
+    grown = added.select(*(F.col(c) if c in added.columns else fixed.get(c, F.lit(None)).cast(facts.schema[c].dataType).alias(c) for c in facts.columns))
+    moved = outcomes.where("action IN ('merged-exact', 'merged-similar')").join(new.select("row_id", "source_turn_ids"), "row_id")
+    each = moved.select("fact_id", "row_id", F.posexplode("source_turn_ids").alias("n", "source"))
+    # Each source once before any are gathered, so a fact that many merge into holds no more than it has sources.
+    each = each.groupBy("fact_id", "source").agg(F.min(F.struct("row_id", "n")).alias("at")).groupBy("fact_id").agg(F.array_sort(F.collect_list(F.struct("at", "source"))).alias("s"))
+    gained = moved.select("fact_id").distinct().join(each, "fact_id", "left").select(F.col("fact_id").alias("id"), F.coalesce(F.transform("s", lambda x: x["source"]), F.array().cast("array<string>")).alias("gained"))
+    whole = facts.unionByName(grown).join(gained, "id", "left")
+    sources = F.array_distinct(F.concat(F.coalesce("source_turn_ids", F.array().cast("array<string>")), "gained"))
+    touched = F.col("gained").isNotNull()
+    new_values = {"source_turn_ids": F.when(touched, sources).otherwise(F.col("source_turn_ids")), "updated_at": F.when(touched, F.lit(now)).otherwise(F.col("updated_at"))}
+    after = whole.select(*(new_values.get(c, F.col(c)).alias(c) for c in facts.columns))
+    return outcomes, after, vectors.select("row_id", "embedding").unionByName(added.select("row_id", "embedding"))
+
+
+def delete_facts(facts: DataFrame, vectors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, vectors) without the facts of gone (id); unknown ids change nothing."""
+    dead = facts.join(gone.select("id"), "id", "left_semi").select("row_id")
+    return facts.join(gone.select("id"), "id", "left_anti"), vectors.join(dead, "row_id", "left_anti")
+
+
+def hide(rows: DataFrame, vectors: DataFrame, hidden: DataFrame) -> DataFrame:
+    """vectors without those of the rows of hidden (id): a blocked turn or an archived fact stays but is never found."""
+    return vectors.join(rows.join(hidden.select("id"), "id", "left_semi").select("row_id"), "row_id", "left_anti")
+
+
+def run_distillation(
+    turns: DataFrame, vectors: DataFrame, sessions: DataFrame, facts: DataFrame, fact_vectors: DataFrame, state: DataFrame, tool: str, now: str, embedder: Callable, limit: int | None = P.DISTILL_LIMIT, command: Callable[[str], str | None] | None = None
+) -> dict[str, DataFrame]:
+    """One run of distillation: outcomes, facts, vectors and state after it, and counters.
+
+    Candidates that state (row_id, outcome) doesn't hold are summarized, embedded and added. outcomes has row_id,
+    action, outcome and fact_id; outcome is promoted, merged or rejected, where nothing of a candidate is kept. A dry
+    run reads outcomes and counters and writes nothing; applying means to write facts, vectors and state.
     """
-    actions = []
-    import hashlib
-
-    for fact in new:
-        text = fact["content"].strip()[: P.FACT_CLIP]
-        h = hashlib.sha256(re.sub(r"\s+", " ", text.lower()).encode()).hexdigest()
-        exact = next((f for f in store.values() if f["hash"] == h), None)
-        ranked = sorted(((similarity(fact, f), i) for i, f in store.items()), key=lambda x: (-x[0], x[1]))[:3]
-        live = [(s, store[i]) for s, i in ranked if not store[i].get("archived")]
-        target, action = exact, "merged-exact"
-        if target is None:
-            target, action = next(((f, "merged-similar") for s, f in live if s >= P.MERGE_SIMILARITY), (None, "inserted"))
-        if target is not None:
-            target["sources"] = list(dict.fromkeys([*target["sources"], *fact.get("sources", [])]))
-            target["updated_at"] = now
-        else:
-            if any(s >= P.NEAR_SIMILARITY for s, _ in live):
-                action = "near-duplicate-inserted"
-            store[fact["id"]] = {**fact, "content": text, "hash": h, "sources": list(fact.get("sources", [])), "archived": False, "updated_at": now}
-        actions.append(action)
-    return actions
+    found = materialize(distill_candidates(turns, vectors, sessions, facts, tool, state, limit), "distilled")
+    context = pair_context(turns.join(found.select("session_id").distinct(), "session_id", "left_semi")).select("row_id", "context")
+    kept = summarize(found.join(context, "row_id"), command).select("row_id", F.col("kind").alias("k"), F.col("content").alias("c"))
+    kept = materialize(found.select("row_id", "id", "project").join(kept, "row_id"), "summaries")
+    base = facts.agg(F.max("row_id")).first()[0] or 0
+    new = kept.select((F.lit(base + 1) + F.col("row_id")).alias("row_id"), F.concat(F.lit("fact:"), "id").alias("id"), F.col("k").alias("kind"), F.col("c").alias("content"), F.array("id").alias("source_turn_ids"), "project", F.lit("distill").alias("origin"))
+    vectors_of = embedder(new.where("content <> ''").select("row_id", "content"), "content")
+    outcomes, after, fact_vectors = add_facts(facts, fact_vectors, new.join(vectors_of, "row_id", "left"), now)
+    outcome = F.when(F.col("action") == "skipped", "rejected").when(F.startswith("action", F.lit("merged")), "merged").otherwise("promoted")
+    rows = outcomes.select((F.col("row_id") - base - 1).alias("row_id"), "action", outcome.alias("outcome"), "fact_id")
+    counters = rows.agg(
+        F.count("*").alias("examined"), F.count_if(F.col("outcome") == "promoted").alias("promoted"), F.count_if(F.col("outcome") == "merged").alias("merged"), F.count_if(F.col("outcome") == "rejected").alias("skipped"), F.count_if(F.col("action") == "near-duplicate-inserted").alias("near_duplicate")
+    )
+    return {"outcomes": rows, "facts": after, "vectors": fact_vectors, "state": state.select("row_id", "outcome").unionByName(rows.select("row_id", "outcome")), "counters": counters}
 
 
 def recurrence(candidates: DataFrame, vectors: DataFrame, turns: DataFrame, floor: float = P.RECURRENCE_SIMILARITY, k: int = P.RECURRENCE_K) -> DataFrame:

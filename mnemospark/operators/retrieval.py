@@ -13,6 +13,7 @@ from mnemospark import params as P
 from mnemospark.functions.rules import asks_about_memory, clip, self_referential
 from mnemospark.operators.knn import knn
 from mnemospark.operators.sequence import beside
+from mnemospark.storage import materialize
 
 
 def _rank(*order: Column) -> Column:
@@ -69,7 +70,8 @@ def snippets(found: DataFrame, turns: DataFrame, limit: int = P.LIMIT, min_score
     order = (F.desc("score"), "row_id")
     w = Window.partitionBy("query_id", "session_id").orderBy(*order)
     one = found.where(F.col("score") >= min_score).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    top = one.withColumn("position", _rank(*order)).where(F.col("position") <= limit)
+    # Read twice below: written once, so the search runs once.
+    top = materialize(one.withColumn("position", _rank(*order)).where(F.col("position") <= limit), "best-turns")
     # Only sessions that some result belongs to are read for counterparts.
     wanted = turns.join(top.select("session_id").distinct(), "session_id", "left_semi")
     return top.join(paired(wanted).select("row_id", "text"), "row_id")
@@ -105,6 +107,7 @@ def merged(found: DataFrame, matches: DataFrame, turns: DataFrame, limit: int =
     """
     facts = matches.where(F.col("score") >= max(0.0, min_score - P.FACT_RELIEF))
     facts = facts.withColumn("position", _rank(F.desc("score"), F.desc("similarity"), "row_id")).where(F.col("position") <= max(0, limit - 1))
+    facts = materialize(facts, "best-facts")
     used = facts.select("query_id", F.explode("source_turn_ids").alias("turn_id")).distinct()
     rest = snippets(found.join(used, ["query_id", "turn_id"], "left_anti"), turns, limit, min_score)
     a = facts.select("query_id", F.lit("fact").alias("source"), F.col("fact_id").alias("id"), F.concat(F.lit("fact:"), F.col("fact_id")).alias("session_id"), F.col("content").alias("text"), "score", "position")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark import params as P
+from mnemospark.functions.embedding import embed
 from mnemospark.functions.rules import content_hash, kind_of, self_markers
 from mnemospark.operators import curation
-from mnemospark.plans.base import FACTS_SQL, TOOL, TURNS_SQL, knn_sql, stored_facts, stored_turns, vectors_sql
+from mnemospark.plans.base import FACTS_SQL, QUERY_STEP, TOOL, TURNS_SQL, knn_sql, stored_facts, stored_turns, vectors_sql
 from mnemospark.storage import table
 
-#: Turns whose recurrence is asked for, and those that earlier runs left to be distilled: every twentieth row.
-STEP = 20
+#: What is added to a turn's row_id where it stands for a new fact.
+NEW = 10**12
 
 
 def detect_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +28,17 @@ def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth fact of the feed's rows as a new one with the vector of its row, against the facts of other rows."""
+    """Every hundredth fact as a new one with the vector of its row, half of them reworded, against all other facts."""
     facts = stored_facts(spark, sf_dir)
     v = table(spark, sf_dir, "vec_facts")
-    new = facts.where("row_id % 20 = 0").join(v, "row_id").select(F.col("row_id").alias("query_id"), F.when(F.col("row_id") % 40 == 0, F.col("content")).otherwise(F.concat(F.col("content"), F.lit(" (new)"))).alias("content"), "embedding")
-    store = facts.where("row_id % 20 <> 0")
-    out = curation.near_class(new, store, v.where("row_id % 20 <> 0"), P.MERGE_SIMILARITY, P.NEAR_SIMILARITY)
-    return out
+    reworded = F.concat(F.col("content"), F.lit(" (new)"))
+    new = facts.where(F.col("row_id") % QUERY_STEP == 0).join(v, "row_id").select(F.col("row_id").alias("query_id"), F.when(F.col("row_id") % (2 * QUERY_STEP) == 0, F.col("content")).otherwise(reworded).alias("content"), "embedding")
+    return curation.near_class(new, facts, v)
 
 
 def recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, v = stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns")
-    asked = t.where(F.col("row_id") % STEP == 0).join(v, "row_id")
+    asked = t.where(F.col("row_id") % QUERY_STEP == 0).join(v, "row_id")
     return curation.recurrence(asked.select("row_id", "embedding"), v, t)
 
 
@@ -46,17 +46,10 @@ def cited_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.uncited(stored_turns(spark, sf_dir), stored_facts(spark, sf_dir)).select("row_id", "id")
 
 
-def distill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidates among all turns, as a first run finds them: nothing was processed before."""
-    t, v = stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns")
-    c = curation.distill_candidates(t, v, table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), TOOL, None, None)
-    return c.select("row_id", "id", "project", "kind", "sessions", "strong")
-
-
 def _candidates(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
+    """The candidates among all turns, as a first run finds them: nothing was processed before."""
     t, v = stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns")
-    done = t.where(F.col("row_id") % STEP != 0).select("row_id")
-    return curation.distill_candidates(t, v, table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), TOOL, done, limit)
+    return curation.distill_candidates(t, v, table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), TOOL, None, limit)
 
 
 def distill_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +62,47 @@ def distill_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.summarize(c).select("row_id", "kind", "content", "extractive")
 
 
+def _new_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of some kind that has a vector, as a new fact with that vector."""
+    t = stored_turns(spark, sf_dir).withColumn("kind", kind_of(F.col("content"))).where("kind IS NOT NULL AND id IS NOT NULL")
+    sessions = table(spark, sf_dir, "sessions").select(F.col("id").alias("session_id"), "project")
+    rows = t.join(table(spark, sf_dir, "vec_turns"), "row_id").join(sessions, "session_id", "left")
+    return rows.select((F.col("row_id") + NEW).alias("row_id"), F.concat(F.lit("fact:"), "id").alias("id"), "kind", "content", F.array("id").alias("source_turn_ids"), "project", "embedding")
+
+
+def fact_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What adding them one after the other does to the stored facts."""
+    return curation.add_facts(stored_facts(spark, sf_dir), table(spark, sf_dir, "vec_facts"), _new_facts(spark, sf_dir), "2025-10-01T00:00:00Z")[0]
+
+
+def distill_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a whole run over all turns, without a summarizer and without a limit."""
+    state = spark.createDataFrame([], "row_id long, outcome string")
+    run = curation.run_distillation(
+        stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns"), table(spark, sf_dir, "sessions"), stored_facts(spark, sf_dir), table(spark, sf_dir, "vec_facts"), state, TOOL, "2025-10-01T00:00:00Z", embed, None
+    )
+    return run["counters"]
+
+
+def fact_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of facts and their vectors after every seventh fact was deleted."""
+    f, v = stored_facts(spark, sf_dir), table(spark, sf_dir, "vec_facts")
+    facts, vectors = curation.delete_facts(f, v, f.where("row_id % 7 = 0").select("id"))
+    return facts.select(F.lit("fact").alias("kind"), "row_id").unionByName(vectors.select(F.lit("vector").alias("kind"), "row_id"))
+
+
+def turn_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors that stay after every ninth turn was blocked: turns stay, what finds them doesn't."""
+    t, v = stored_turns(spark, sf_dir), table(spark, sf_dir, "vec_turns")
+    return curation.hide(t, v, t.where("row_id % 9 = 0").select("id")).select("row_id")
+
+
+def fact_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of facts that aren't archived."""
+    f, v = stored_facts(spark, sf_dir), table(spark, sf_dir, "vec_facts")
+    return curation.hide(f, v, f.where("archived").select("id")).select("row_id")
+
+
 def pair_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.pair_context(stored_turns(spark, sf_dir)).select("row_id", F.length("context").cast("long").alias("chars"), F.md5("context").alias("context"))
 
@@ -93,9 +127,14 @@ def label_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts with the same hash merged: the sources of all in order of arrival, each once."""
     f = table(spark, sf_dir, "facts").where("content_hash IS NOT NULL")
-    rows = f.groupBy("content_hash").agg(F.array_sort(F.collect_list(F.struct("row_id", "source_turn_ids"))).alias("r"), F.count("*").alias("n")).where("n > 1")
-    ids = F.array_distinct(F.flatten(F.transform("r", lambda x: F.coalesce(x["source_turn_ids"], F.array().cast("array<string>")))))
-    return rows.select("content_hash", F.array_join(ids, ",").alias("sources"), F.size(ids).cast("long").alias("n"))
+    many = f.groupBy("content_hash").agg(F.count("*").alias("n")).where("n > 1").select("content_hash")
+    each = f.select("content_hash", "row_id", F.posexplode("source_turn_ids").alias("i", "source"))
+    # Each source once, at its first place, before any are gathered: a repeated hash costs no more than its sources.
+    first = each.groupBy("content_hash", "source").agg(F.min(F.struct("row_id", "i")).alias("at"))
+    by = first.groupBy("content_hash").agg(F.array_sort(F.collect_list(F.struct("at", "source"))).alias("r"))
+    ids = F.transform("r", lambda x: x["source"])
+    rows = many.join(by, "content_hash", "left")
+    return rows.select("content_hash", F.coalesce(F.array_join(ids, ","), F.lit("")).alias("sources"), F.coalesce(F.size("r"), F.lit(0)).cast("long").alias("n"))
 
 
 def fact_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +179,7 @@ rc AS (SELECT k.query_id AS row_id, count(DISTINCT t.session_id) AS sessions FRO
 _CAND = f"""WITH {TURNS_SQL}, {FACTS_SQL}, {vectors_sql('vec_turns', 'vt')},
 cited AS (SELECT DISTINCT unnest(source_turn_ids) AS id FROM f),
 d0 AS (SELECT t.*, s.project, {_KIND} AS kind FROM t JOIN (SELECT row_id FROM vec_turns) ve USING (row_id) JOIN sessions s ON s.id = t.session_id
-  WHERE length(content) BETWEEN {P.DISTILL_MIN} AND {P.DISTILL_MAX} AND t.row_id % {STEP} = 0
+  WHERE length(content) BETWEEN {P.DISTILL_MIN} AND {P.DISTILL_MAX}
     AND NOT (regexp_matches(content, '{_MARK}') OR len(regexp_extract_all(content, '(?i)\\b{TOOL}\\b')) >= 3)
     AND NOT regexp_matches(regexp_replace(content, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '^(Base directory for this skill|<command-|<system-reminder|<local-command)')),
 d AS (SELECT *, {_STRONG} AS strong FROM d0 WHERE kind IS NOT NULL AND id NOT IN (SELECT id FROM cited WHERE id IS NOT NULL)),
@@ -154,7 +193,11 @@ QUERIES = {
     "recurrence": recurrence,
     "cited_antijoin": cited_antijoin,
     "distill_candidates": distill_candidates,
-    "distill_all": distill_all,
+    "fact_add": fact_add,
+    "distill_run": distill_run,
+    "fact_delete": fact_delete,
+    "fact_archive": fact_archive,
+    "turn_block": turn_block,
     "distill_first": distill_first,
     "pair_context": pair_context,
     "label_net_boost": label_net_boost,
@@ -166,14 +209,17 @@ QUERIES = {
 SQL = {
     "detect_kind": f"WITH {TURNS_SQL}, x AS (SELECT role, {_KIND} AS kind FROM t) SELECT role, kind, count(*) AS n, count_if({_STRONG})::BIGINT AS strong FROM x GROUP BY 1, 2",
     "content_hash_dedup": f"SELECT {_HASH} AS hash, count(*) AS rows, min(row_id) AS first FROM facts WHERE content IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "near_duplicate_class": f"""WITH {FACTS_SQL}, {vectors_sql('vec_facts', 'vf')}, n AS (SELECT f.row_id AS query_id, CASE WHEN f.row_id % 40 = 0 THEN content ELSE content || ' (new)' END AS content FROM f JOIN (SELECT row_id FROM vec_facts) e USING (row_id) WHERE f.row_id % 20 = 0),
-q AS (SELECT vf.row_id AS query_id, vf.v FROM vf WHERE row_id IN (SELECT query_id FROM n)), vs AS (SELECT * FROM vf WHERE row_id % 20 <> 0), st AS (SELECT * FROM f WHERE row_id % 20 <> 0), {knn_sql('vs', 'q', 3)},
-ex AS (SELECT content_hash AS h, arg_min(id, row_id) AS exact FROM st GROUP BY 1),
+    "near_duplicate_class": f"""WITH {FACTS_SQL}, {vectors_sql('vec_facts', 'vf')}, n AS (SELECT f.row_id AS query_id, CASE WHEN f.row_id % {2 * QUERY_STEP} = 0 THEN content ELSE content || ' (new)' END AS content FROM f JOIN (SELECT row_id FROM vec_facts) e USING (row_id) WHERE f.row_id % {QUERY_STEP} = 0),
+q AS (SELECT vf.row_id AS query_id, vf.v FROM vf WHERE row_id IN (SELECT query_id FROM n)), {knn_sql('vf', 'q', 4, 'k0')}, k AS (SELECT query_id, row_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM k0 WHERE row_id <> query_id QUALIFY rank <= 3),
 nh AS (SELECT query_id, sha256(regexp_replace(lower(substring(regexp_replace(content, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 1, {P.FACT_CLIP})), '{_SPACE}+', ' ', 'g')) AS h FROM n),
-cl AS (SELECT k.query_id, arg_min(st.id, k.rank) AS id, arg_min(k.similarity, k.rank) AS similarity FROM k JOIN st USING (row_id) WHERE NOT coalesce(st.archived, false) AND k.similarity >= {P.NEAR_SIMILARITY}::DOUBLE GROUP BY 1)
+ex AS (SELECT nh.query_id, arg_min(f.id, f.row_id) AS exact FROM nh JOIN f ON f.content_hash = nh.h AND f.row_id <> nh.query_id GROUP BY 1),
+cl AS (SELECT k.query_id, arg_min(st.id, k.rank) AS id, arg_min(k.similarity, k.rank) AS similarity FROM k JOIN f st USING (row_id) WHERE NOT coalesce(st.archived, false) AND k.similarity >= {P.NEAR_SIMILARITY}::DOUBLE GROUP BY 1)
 SELECT nh.query_id, CASE WHEN ex.exact IS NOT NULL THEN 'merged-exact' WHEN cl.similarity >= {P.MERGE_SIMILARITY}::DOUBLE THEN 'merged-similar' WHEN cl.similarity >= {P.NEAR_SIMILARITY}::DOUBLE THEN 'near-duplicate-inserted' ELSE 'inserted' END AS action,
-  coalesce(ex.exact, cl.id) AS fact_id FROM nh LEFT JOIN ex USING (h) LEFT JOIN cl USING (query_id)""",
-    "recurrence": f"WITH {TURNS_SQL}, {vectors_sql('vec_turns', 'vt')}, asked AS (SELECT t.row_id FROM t JOIN (SELECT row_id FROM vec_turns) e USING (row_id) WHERE t.row_id % {STEP} = 0), {_recurrence('asked')} SELECT asked.row_id, coalesce(rc.sessions, 0)::BIGINT AS sessions FROM asked LEFT JOIN rc USING (row_id)",
+  coalesce(ex.exact, cl.id) AS fact_id FROM nh LEFT JOIN ex USING (query_id) LEFT JOIN cl USING (query_id)""",
+    "fact_delete": f"WITH {FACTS_SQL} SELECT 'fact' AS kind, row_id FROM f WHERE row_id % 7 <> 0 UNION ALL SELECT 'vector', row_id FROM vec_facts WHERE row_id NOT IN (SELECT row_id FROM f WHERE row_id % 7 = 0)",
+    "fact_archive": f"WITH {FACTS_SQL} SELECT row_id FROM vec_facts WHERE row_id NOT IN (SELECT row_id FROM f WHERE archived)",
+    "turn_block": f"WITH {TURNS_SQL} SELECT row_id FROM vec_turns WHERE row_id NOT IN (SELECT row_id FROM t WHERE row_id % 9 = 0 AND id IS NOT NULL)",
+    "recurrence": f"WITH {TURNS_SQL}, {vectors_sql('vec_turns', 'vt')}, asked AS (SELECT t.row_id FROM t JOIN (SELECT row_id FROM vec_turns) e USING (row_id) WHERE t.row_id % {QUERY_STEP} = 0), {_recurrence('asked')} SELECT asked.row_id, coalesce(rc.sessions, 0)::BIGINT AS sessions FROM asked LEFT JOIN rc USING (row_id)",
     "cited_antijoin": f"WITH {TURNS_SQL}, {FACTS_SQL}, c AS (SELECT DISTINCT unnest(source_turn_ids) AS id FROM f) SELECT row_id, id FROM t WHERE id IS NULL OR id NOT IN (SELECT id FROM c WHERE id IS NOT NULL)",
     "distill_candidates": f"{_CAND} SELECT row_id, id, project, kind, sessions::BIGINT AS sessions, strong FROM dc",
     "distill_first": f"{_CAND} SELECT row_id, kind, CASE WHEN strong THEN substring(content, 1, {P.SUMMARY_CLIP}) ELSE '' END AS content, true AS extractive FROM dc ORDER BY row_id LIMIT {P.DISTILL_LIMIT}",
