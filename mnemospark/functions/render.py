@@ -24,6 +24,16 @@ def context(rows: DataFrame, budget: int = P.HOOK_CHARS) -> DataFrame:
     return kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "piece"))).alias("p")).select("query_id", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("context"))
 
 
+def snippet_list(rows: DataFrame) -> DataFrame:
+    """query_id and markdown: the results of each query (position, role, ts, project, score, text) as a numbered list."""
+    day = F.coalesce(F.substring("ts", 1, 10), F.lit("unknown date"))
+    where = F.coalesce(F.concat(F.lit(" · "), F.col("project")), F.lit(""))
+    head = F.concat(F.lit("### "), F.col("position").cast("string"), F.lit(". "), F.coalesce("role", F.lit("")), F.lit(" ("), day, where, F.lit(", score "), F.format_string("%.2f", "score"), F.lit(")\n"))
+    piece = F.struct("position", F.concat(head, F.coalesce("text", F.lit(""))).alias("piece"))
+    by = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    return by.select("query_id", F.array_join(F.transform("p", lambda x: x["piece"]), "\n\n").alias("markdown"))
+
+
 def answer(rows: DataFrame, budget: int = 600, pieces_at_most: int = 2, least_room: int = 80) -> DataFrame:
     """query_id and answer: at most two results as sentences without marks, cut where the budget ends."""
     day = F.coalesce(F.date_format(F.substring("ts", 1, 10).try_cast("date"), "MMMM d"), F.lit("an earlier session"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark import params as P
+from mnemospark.storage import materialize
 
 
 def judged(cases: DataFrame, results: DataFrame) -> DataFrame:
@@ -92,3 +93,74 @@ def failures(cases: DataFrame, items: DataFrame, k: int = 3) -> DataFrame:
     late = first_hits(cases, items).where(F.col("first").isNull() | (F.col("first") > k))
     got = items.where(F.col("rank") <= k).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", "session_id"))).alias("got"))
     return late.join(got, "case_id", "left").select("case_id", F.coalesce(F.array_join(F.transform("got", lambda x: F.coalesce(x["session_id"], F.lit(""))), ","), F.lit("")).alias("got"))
+
+
+def ordinal_ids(turns: DataFrame, prefix: str = "fx") -> DataFrame:
+    """row_id and id of turns of a fixture: prefix, session and the turn's number in it, from 1 by arrival.
+
+    Sessions of any size: turns are counted in ranges of (session, row_id), and the ranges of a session added up.
+    """
+    rows = turns.where("session_id IS NOT NULL").select("row_id", "session_id")
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(rows.repartitionByRange(parts, "session_id", "row_id").withColumn("range", F.spark_partition_id()), "fixture-ranges")
+    sizes = placed.groupBy("session_id", "range").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("session_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("session_id", "range").orderBy("row_id"))
+    out = placed.withColumn("place", place).join(before.where("before > 0").select("session_id", "range", "before"), ["session_id", "range"], "left")
+    number = (F.col("place") + F.coalesce("before", F.lit(0))).cast("string")
+    return out.select("row_id", F.concat_ws(":", F.lit(prefix), F.col("session_id"), number).alias("id"))
+
+
+def sample(turns: DataFrame, n: int, seed: int = 0, low: int = P.SEED_MIN, high: int = P.SEED_MAX) -> DataFrame:
+    """n of the user's turns of a fitting length, to make cases of: those with the smallest hashes, the same whenever asked."""
+    rows = turns.where((F.col("role") == "user") & F.length("content").between(low, high))
+    return rows.orderBy(F.xxhash64(F.lit(seed), "row_id"), "row_id").limit(n)
+
+
+def expected_ids(cases: DataFrame) -> DataFrame:
+    """case_id and ids: the sessions and turns that a case expects, each once in order."""
+    none = F.array().cast("array<string>")
+    return cases.select("case_id", F.array_distinct(F.concat(F.coalesce("expected_session_ids", none), F.coalesce("expected_turn_ids", none))).alias("ids"))
+
+
+def write_lines(rows: DataFrame, path: str, append: bool = True) -> None:
+    """Labels, candidates or cases as lines of JSON below path; a null value is left out."""
+    rows.write.mode("append" if append else "overwrite").json(path)
+
+
+def report(cases: DataFrame, items: DataFrame, queries: DataFrame | None = None, point: tuple[float, int] = (P.HOOK_MIN_SCORE, P.HOOK_LIMIT)) -> dict:
+    """All measures of a run as plain values: a fixed number of them, besides the failures, which cases bound.
+
+    queries (case_id, query) give the failures their text.
+    """
+    items = materialize(items, "judged")
+    at = sweep(cases, items, [point[0]], point[1]).first().asDict()
+    best_row = best(sweep(cases, items, THRESHOLDS, point[1])).first().asDict()
+    lost = failures(cases, items)
+    lost = lost.join(queries, "case_id", "left") if queries is not None else lost.withColumn("query", F.lit(""))
+    return {
+        "cases": cases.count(),
+        **{f"hit_at_{r['k']}": r["hit_rate"] for r in hit_at(cases, items, [1, 3, 5]).collect()},
+        "mrr": mean_reciprocal_rank(cases, items).first()["mrr"],
+        "point": at,
+        "recommended": best_row,
+        "histogram": [r.asDict() for r in histogram(items).orderBy("bucket").collect()],
+        "failures": [r.asDict() for r in lost.orderBy("case_id").collect()],
+    }
+
+
+def render(found: dict, markdown: bool = False) -> str:
+    """A report as plain text or Markdown."""
+    measures = {f"hit@{k}": f"{found[f'hit_at_{k}']:.1%}" for k in (1, 3, 5)} | {"MRR": f"{found['mrr']:.3f}"}
+    measures |= {name: f"{found['point'][key]:.1%}" for name, key in (("precision", "precision"), ("noise rate", "noise_rate"), ("injection rate", "injection_rate"), ("case hit rate", "case_hit_rate"))}
+    title, section = ("## ", "### ") if markdown else ("", "")
+    if markdown:
+        table = ["| measure | value |", "|---|---|", *(f"| {k} | {v} |" for k, v in measures.items())]
+    else:
+        table = [f"{k:<18}{v}" for k, v in measures.items()]
+    r = found["recommended"]
+    choice = f"recommended minimum score: {r['threshold']:.2f} (precision {r['precision']:.1%}, case hit rate {r['case_hit_rate']:.1%}, injection rate {r['injection_rate']:.1%})"
+    bars = [f"  {b['bucket']}  {b['hits'] * '#'} {b['hits']} / {b['misses']}" for b in found["histogram"] if b["hits"] or b["misses"]]
+    lost = [f"  [{x['case_id']}] {(x['query'] or '')[:70]!r} got {x['got'] or 'nothing'}" for x in found["failures"]]
+    out = [f"{title}Evaluation of {found['cases']} cases", "", *table, "", choice, "", f"{section}scores (hits / misses)", *bars]
+    return "\n".join([*out, "", f"{section}no hit among the first 3", *lost] if lost else out)

@@ -121,3 +121,44 @@ def membership(records: DataFrame) -> DataFrame:
     rows = records.where("kind IN ('genesis', 'member_add', 'member_revoke') AND member IS NOT NULL")
     last = rows.groupBy("member").agg(F.max_by("kind", "seq").alias("kind"), F.min("seq").alias("since"))
     return last.select("member", F.when(F.col("kind") == "member_revoke", "revoked").otherwise("active").alias("status"), "since")
+
+
+def pending_labels(labels: DataFrame, member: str) -> DataFrame:
+    """The member's own labels (fact_id, member, verdict, ts, version, synced_version) with a version that wasn't sent."""
+    return labels.where((F.col("member") == member) & (F.col("version") > F.coalesce("synced_version", F.lit(-1))))
+
+
+def mark_synced(rows: DataFrame, sent: DataFrame, key: str = "id") -> DataFrame:
+    """rows with synced_version set to the version that was sent (key, version), unless a later one was sent before."""
+    s = sent.groupBy(F.col(key).alias("__key")).agg(F.max("version").alias("__sent"))
+    both = rows.join(s, F.col(key) == F.col("__key"), "left")
+    synced = F.greatest(F.col("synced_version"), F.col("__sent")).cast(rows.schema["synced_version"].dataType)
+    return both.select(*((synced if c == "synced_version" else F.col(c)).alias(c) for c in rows.columns))
+
+
+def merge_labels(stored: DataFrame, received: DataFrame) -> DataFrame:
+    """stored labels (fact_id, member, verdict, ts, version) after received ones: of a pair only a strictly newer one counts."""
+    key = ["fact_id", "member"]
+    rest = [c for c in stored.columns if c not in key]
+    last = received.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("ts", "version", "verdict")).alias("r"))
+    both = stored.select(*key, F.struct(*rest).alias("s")).join(last, key, "full_outer")
+    newer = F.col("s").isNull() | F.coalesce(F.col("r.ts") > F.col("s.ts"), F.lit(False))
+    return both.select(*key, F.when(newer, F.col("r")).otherwise(F.col("s")).alias("x")).select(*key, "x.*").select(*stored.columns)
+
+
+def ops_since(ops: DataFrame, after: int, limit: int = 500) -> DataFrame:
+    """One page of a log: the first operations after a position, in order. An empty page ends a pull."""
+    return ops.where(F.col("seq") > after).orderBy("seq", "op_id").limit(limit)
+
+
+def pull(local: DataFrame, ops: DataFrame, device: str, cursor: int) -> tuple[DataFrame, int]:
+    """(changes, cursor) of applying operations (seq, fact_id, version, updated_at, device, content) beyond a cursor.
+
+    The device's own operations and those that couldn't be opened (without a fact_id) change nothing, but the cursor
+    passes them. changes is merge() with copy, the text kept of an edit that lost, at most P.FACT_CLIP characters.
+    """
+    fresh = ops.where(F.col("seq") > cursor)
+    last = fresh.agg(F.max("seq")).first()[0]
+    foreign = fresh.where(F.col("fact_id").isNotNull() & ~F.coalesce(F.col("device") == device, F.lit(False))).drop("seq")
+    won = newest(foreign, "fact_id", [F.col("version"), F.col("updated_at"), F.col("device")])
+    return merge(local, won), int(cursor if last is None else last)

@@ -97,6 +97,17 @@ def redact_stored(turns: DataFrame, vectors: DataFrame) -> tuple[DataFrame, Data
     return out.select(*turns.columns), work
 
 
+def redact_log(log: DataFrame) -> DataFrame:
+    """The activity log with its queries redacted again. Written to a new place; removing the old files removes the plain text."""
+    return redact(log, "query").drop("redactions", "by_rule").select(*log.columns)
+
+
+def log_results(log: DataFrame) -> DataFrame:
+    """One row for each result of each entry (results is an array of structs): query_id, ts, position, id, kind, score."""
+    rows = log.select("query_id", "ts", F.explode("results").alias("r"))
+    return rows.select("query_id", "ts", "r.position", "r.id", "r.kind", "r.score")
+
+
 def log_entries(queries: DataFrame, results: DataFrame, source: str, now: str) -> DataFrame:
     """One row of the activity log for each query, those without results too.
 

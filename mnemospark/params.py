@@ -22,6 +22,9 @@ RECURRENCE_K = 8
 RECURRENCE_SESSIONS = 2
 DISTILL_MIN, DISTILL_MAX = 80, 4000
 DISTILL_LIMIT = 50
+SEED_MIN, SEED_MAX = 40, 400
+SESSION_PAGE = 50
+CATCH_UP_DAYS = 7
 SUMMARY_CLIP = 480
 LOW_USER, LOW_OTHER, LOW_NARRATION = 25, 100, 300
 HOOK_LIMIT, HOOK_MIN_SCORE, HOOK_CHARS, HOOK_SNIPPET = 3, 0.75, 2000, 700

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemospark import params as P
 from mnemospark.operators import evaluation
 from mnemospark.operators.knn import knn
 from mnemospark.plans.base import TURNS_SQL, knn_sql, stored_turns, vectors_sql
@@ -75,6 +76,33 @@ def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.failures(_expected(spark, sf_dir), _items(spark, sf_dir))
 
 
+def fixture_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.ordinal_ids(stored_turns(spark, sf_dir))
+
+
+def seed_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user's turns that cases may be made of, all of them."""
+    t = stored_turns(spark, sf_dir)
+    return t.where((F.col("role") == "user") & F.length("content").between(P.SEED_MIN, P.SEED_MAX)).select("row_id")
+
+
+def case_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty of them, always the same."""
+    return evaluation.sample(stored_turns(spark, sf_dir), 20).select("row_id", "id")
+
+
+def expected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = table(spark, sf_dir, "eval_cases").where("id IS NOT NULL").withColumnRenamed("id", "case_id")
+    return evaluation.expected_ids(cases).select("case_id", F.array_join("ids", ",").alias("ids"))
+
+
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole evaluation as Markdown."""
+    queries = table(spark, sf_dir, "eval_cases").select(F.col("id").alias("case_id"), "query")
+    found = evaluation.report(_expected(spark, sf_dir), _items(spark, sf_dir), queries)
+    return spark.createDataFrame([(evaluation.render(found, True),)], "report string")
+
+
 _BASE = f"""WITH {vectors_sql('vec_turns', 'vt')}, {TURNS_SQL},
 c0 AS (SELECT id AS case_id, expected_turn_ids, expected_session_ids, forbidden_turn_ids, exclude_session_id, regexp_extract(id, '([0-9]+)$', 1)::BIGINT * 7 + 1 AS asked_row FROM eval_cases WHERE id IS NOT NULL),
 c AS (SELECT c0.* REPLACE (coalesce(expected_session_ids, []) || CASE WHEN n.session_id IS NULL THEN [] ELSE [n.session_id] END AS expected_session_ids) FROM c0 LEFT JOIN turns n ON n.row_id = c0.asked_row + 1),
@@ -111,6 +139,11 @@ QUERIES = {
     "best_f05": best_f05,
     "score_histogram": score_histogram,
     "eval_failures": eval_failures,
+    "eval_report": eval_report,
+    "fixture_ids": fixture_ids,
+    "seed_band": seed_band,
+    "case_sample": case_sample,
+    "expected_ids": expected_ids,
 }
 SQL = {
     "hit_at_k": f"{_BASE} SELECT k::BIGINT AS k, round(avg(CASE WHEN first <= k THEN 1.0::DOUBLE ELSE 0::DOUBLE END), 6) AS hit_rate FROM fh, (SELECT unnest([1, 3, 5]) AS k) GROUP BY 1",
@@ -121,4 +154,8 @@ SQL = {
     "score_histogram": f"""{_BASE}, b AS (SELECT greatest(0, least(9, floor((score - 0.5) / 0.05)))::BIGINT AS number, hit FROM r)
 SELECT printf('%.2f-%.2f', 0.5 + n.number * 0.05, 0.55 + n.number * 0.05) AS bucket, count_if(b.hit)::BIGINT AS hits, count_if(NOT b.hit)::BIGINT AS misses FROM (SELECT unnest(range(10)) AS number) n LEFT JOIN b USING (number) GROUP BY n.number""",
     "eval_failures": f"""{_BASE} SELECT fh.case_id, coalesce((SELECT string_agg(coalesce(session_id, ''), ',' ORDER BY rank) FROM r WHERE r.case_id = fh.case_id AND rank <= 3), '') AS got FROM fh WHERE first IS NULL OR first > 3""",
+    "fixture_ids": f"WITH {TURNS_SQL} SELECT row_id, 'fx:' || session_id || ':' || row_number() OVER (PARTITION BY session_id ORDER BY row_id) AS id FROM t WHERE session_id IS NOT NULL",
+    "seed_band": f"WITH {TURNS_SQL} SELECT row_id FROM t WHERE role = 'user' AND length(content) BETWEEN {P.SEED_MIN} AND {P.SEED_MAX}",
+    "expected_ids": """WITH u AS (SELECT id AS case_id, unnest(coalesce(expected_session_ids, []) || coalesce(expected_turn_ids, [])) AS x, generate_subscripts(coalesce(expected_session_ids, []) || coalesce(expected_turn_ids, []), 1) AS i FROM eval_cases WHERE id IS NOT NULL),
+d AS (SELECT case_id, x, min(i) AS i FROM u GROUP BY 1, 2) SELECT e.id AS case_id, coalesce(string_agg(d.x, ',' ORDER BY d.i), '') AS ids FROM eval_cases e LEFT JOIN d ON d.case_id = e.id WHERE e.id IS NOT NULL GROUP BY 1""",
 }

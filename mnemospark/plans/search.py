@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark import params as P
+from mnemospark.functions.render import snippet_list as snippet_markdown
 from mnemospark.functions.rules import clip, self_markers
 from mnemospark.operators import retrieval
 from mnemospark.operators.knn import knn
@@ -152,6 +153,12 @@ def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.within_budget(rows, "piece", 700).select("query_id", "position", "source", "used", F.md5("piece").alias("piece"))
 
 
+def snippet_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best turn of each session as a list in Markdown, one for each query; how the list looks is fixed."""
+    s = retrieval.snippets(_found(spark, sf_dir), _turns(spark, sf_dir), P.LIMIT, MIN)
+    return snippet_markdown(s.withColumn("score", F.round("score", 6))).select("query_id", F.md5("markdown").alias("markdown"))
+
+
 _MERGED = f"""{_Q}, {_candidates_sql(P.turn_pool(P.LIMIT))}, {_PAIRED}, {_FACTS},
 fs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC, row_id) AS position FROM fm WHERE score >= {MIN - P.FACT_RELIEF}::DOUBLE QUALIFY position <= {P.LIMIT - 1}),
 used AS (SELECT DISTINCT query_id, unnest(source_turn_ids) AS turn_id FROM fs),
@@ -172,6 +179,7 @@ QUERIES = {
     "fact_scored": fact_scored,
     "merged_ranking": merged_ranking,
     "char_budget": char_budget,
+    "snippet_list": snippet_list,
 }
 SQL = {
     "knn_topk": f"WITH {vectors_sql('vec_turns', 'vt')}, q AS (SELECT row_id AS query_id, v FROM vt ORDER BY row_id LIMIT 1), {knn_sql('vt', 'q', 24)} SELECT query_id, row_id, round(similarity, 6) AS similarity, rank FROM k",
@@ -185,4 +193,6 @@ SQL = {
     "merged_ranking": f"WITH {_MERGED} SELECT query_id, p AS position, source, id, session_id, round(score, 6) AS score, md5(text) AS text FROM m",
     "char_budget": f"""WITH {_MERGED}, pc AS (SELECT query_id, p AS position, source, '- ' || CASE WHEN source = 'fact' THEN '* ' ELSE '' END || CASE WHEN length(text) > {P.HOOK_SNIPPET} THEN substring(text, 1, {P.HOOK_SNIPPET}) || '…' ELSE text END || chr(10) AS piece FROM m WHERE p <= {P.HOOK_LIMIT})
 SELECT query_id, position, source, used, md5(piece) AS piece FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY query_id ORDER BY position ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM pc) WHERE used <= 700""",
+    "snippet_list": f"""WITH {_Q}, {_candidates_sql(30)}, {_PAIRED}, {_snippets_sql('c', P.LIMIT, MIN)}, x AS (SELECT sn.query_id, sn.position, '### ' || sn.position || '. ' || coalesce(c.role, '') || ' (' || coalesce(substring(c.ts, 1, 10), 'unknown date') || coalesce(' · ' || c.project, '') || ', score ' || printf('%.2f', round(sn.score, 6)) || ')' || chr(10) || coalesce(sn.text, '') AS piece
+FROM sn JOIN c ON c.query_id = sn.query_id AND c.row_id = sn.row_id) SELECT query_id, md5(string_agg(piece, chr(10) || chr(10) ORDER BY position)) AS markdown FROM x GROUP BY 1""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemospark import params as P
 from mnemospark.functions.text import instant
 from mnemospark.operators.store import retained_log
 from mnemospark.plans.base import FACTS_SQL, TURNS_SQL, stored_facts, stored_turns
@@ -72,6 +73,15 @@ def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", "project", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"), F.round(F.coalesce("turns", F.lit(0)) / F.lit(most), 6).alias("bar"))
 
 
+def session_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty sessions of the commonest project that were seen last, with the number of their turns."""
+    s = table(spark, sf_dir, "sessions")
+    top = s.where("project IS NOT NULL").groupBy("project").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "project").limit(1).select("project")
+    n = stored_turns(spark, sf_dir).where("session_id IS NOT NULL").groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("turns"))
+    page = s.join(F.broadcast(top), "project", "left_semi").join(n, "id", "left")
+    return page.orderBy(F.desc_nulls_last("last_seen_at"), "id").limit(P.SESSION_PAGE).select("id", "project", "last_seen_at", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"))
+
+
 def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of the session seen first, in order of arrival, embedded or not."""
     t = stored_turns(spark, sf_dir).where("session_id IS NOT NULL")
@@ -148,6 +158,7 @@ QUERIES = {
     "hook_stats_7d": hook_stats_7d,
     "recent_sessions": recent_sessions,
     "session_list": session_list,
+    "session_page": session_page,
     "session_turns": session_turns,
     "facts_list": facts_list,
     "fact_search": fact_search,
@@ -177,4 +188,6 @@ SQL = {
     "session_spans": f"""WITH {TURNS_SQL}, a AS (SELECT session_id, row_id, epoch_us(TRY_CAST(CASE WHEN regexp_matches(ts, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN ts ELSE ts || 'Z' END AS TIMESTAMPTZ)) AS us FROM t WHERE session_id IS NOT NULL AND regexp_matches(ts, '^[0-9]{{4}}-')),
 g AS (SELECT *, us - lag(us) OVER (PARTITION BY session_id ORDER BY us, row_id) AS gap FROM a WHERE us IS NOT NULL) SELECT session_id, (max(us) - min(us)) / 1e6::DOUBLE AS seconds, coalesce(max(gap), 0) / 1e6::DOUBLE AS pause, count(*) AS turns FROM g GROUP BY 1""",
     "session_join": f"WITH {TURNS_SQL} SELECT s.source_agent, t.role, count(*) AS n, sum(length(content))::BIGINT AS chars FROM t LEFT JOIN sessions s ON s.id = t.session_id GROUP BY 1, 2",
+    "session_page": f"""WITH {TURNS_SQL}, p AS (SELECT project FROM sessions WHERE project IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, project LIMIT 1), n AS (SELECT session_id, count(*) AS turns FROM t WHERE session_id IS NOT NULL GROUP BY 1)
+SELECT s.id, s.project, s.last_seen_at, coalesce(n.turns, 0) AS turns FROM sessions s JOIN p USING (project) LEFT JOIN n ON n.session_id = s.id ORDER BY s.last_seen_at DESC NULLS LAST, s.id LIMIT {P.SESSION_PAGE}""",
 }

@@ -64,7 +64,31 @@ def membership_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of the log after a position, as a client asks for it."""
-    return table(spark, sf_dir, "wire_facts").where("seq > 500").orderBy("seq", "op_id").limit(500).select("seq", "op_id", "op_kind")
+    return R.ops_since(table(spark, sf_dir, "wire_facts"), 500).select("seq", "op_id", "op_kind")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as the operations of the feed stand for them: the last of each pair, those of some facts sent already."""
+    w = table(spark, sf_dir, "wire_facts").where("factid IS NOT NULL AND device IS NOT NULL")
+    by = w.groupBy(F.col("factid").alias("fact_id"), F.col("device").alias("member")).agg(F.max_by("pinned", "seq").alias("p"), F.max("seq").alias("ts"), (F.count("*") - 1).alias("version"))
+    sent = F.when(F.substring("fact_id", -1, 1) < "8", F.col("version")).otherwise(F.col("version") - 1)
+    return by.select("fact_id", "member", F.when(F.col("p"), "useful").otherwise("noise").alias("verdict"), "ts", "version", sent.alias("synced_version"))
+
+
+def pending_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that each member still has to send."""
+    rows = _labels(spark, sf_dir)
+    one = rows.agg(F.min("member")).first()[0]
+    return R.pending_labels(rows, one or "").select("fact_id", "member", "verdict", "version")
+
+
+def label_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the first half of the feed after those of the second were received, some of them older on purpose."""
+    w = table(spark, sf_dir, "wire_facts").where("factid IS NOT NULL AND device IS NOT NULL")
+    cut = (w.agg(F.max("seq")).first()[0] or 0) // 2
+    rows = w.select(F.col("factid").alias("fact_id"), F.col("device").alias("member"), F.when(F.col("pinned"), "useful").otherwise("noise").alias("verdict"), F.when(F.col("seq") % 3 == 0, F.col("seq") - cut).otherwise(F.col("seq")).alias("ts"), F.col("version"), "seq")
+    old = rows.where(F.col("seq") <= cut).groupBy("fact_id", "member").agg(F.max_by(F.struct("verdict", "ts", "version"), "seq").alias("r")).select("fact_id", "member", "r.*")
+    return R.merge_labels(old, rows.where(F.col("seq") > cut).drop("seq"))
 
 
 _T = "CAST(CASE WHEN regexp_matches({0}, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN {0} ELSE {0} || 'Z' END AS TIMESTAMPTZ)"
@@ -78,6 +102,8 @@ QUERIES = {
     "chain_links": chain_links,
     "membership_fold": membership_fold,
     "op_page": op_page,
+    "pending_labels": pending_labels,
+    "label_merge": label_merge,
 }
 SQL = {
     "lww_merge": f"""WITH {_WIN},
@@ -97,4 +123,11 @@ SELECT team, seq, CASE WHEN seq <> coalesce(lag(seq) OVER (PARTITION BY team ORD
     "membership_fold": """WITH k AS (SELECT seq, CASE WHEN op_kind = 'fact_archive' THEN 'member_revoke' WHEN pinned THEN 'rotate' ELSE 'member_add' END AS kind, factid AS member FROM wire_facts)
 SELECT member, CASE WHEN arg_max(kind, seq) = 'member_revoke' THEN 'revoked' ELSE 'active' END AS status, min(seq) AS since FROM k WHERE kind <> 'rotate' AND member IS NOT NULL GROUP BY 1""",
     "op_page": "SELECT seq, op_id, op_kind FROM wire_facts WHERE seq > 500 ORDER BY seq, op_id LIMIT 500",
+    "pending_labels": """WITH l AS (SELECT factid AS fact_id, device AS member, arg_max(pinned, seq) AS p, count(*) - 1 AS version FROM wire_facts WHERE factid IS NOT NULL AND device IS NOT NULL GROUP BY 1, 2)
+SELECT fact_id, member, CASE WHEN p THEN 'useful' ELSE 'noise' END AS verdict, version FROM l WHERE member = (SELECT min(device) FROM wire_facts WHERE factid IS NOT NULL) AND version > CASE WHEN right(fact_id, 1) < '8' THEN version ELSE version - 1 END""",
+    "label_merge": """WITH c AS (SELECT max(seq) // 2 AS cut FROM wire_facts WHERE factid IS NOT NULL AND device IS NOT NULL),
+r AS (SELECT factid AS fact_id, device AS member, CASE WHEN pinned THEN 'useful' ELSE 'noise' END AS verdict, CASE WHEN seq % 3 = 0 THEN seq - cut ELSE seq END AS ts, version, seq, seq > cut AS late FROM wire_facts, c WHERE factid IS NOT NULL AND device IS NOT NULL),
+o AS (SELECT * FROM r WHERE NOT late QUALIFY row_number() OVER (PARTITION BY fact_id, member ORDER BY seq DESC) = 1), n AS (SELECT * FROM r WHERE late QUALIFY row_number() OVER (PARTITION BY fact_id, member ORDER BY ts DESC, version DESC, verdict DESC) = 1)
+SELECT coalesce(o.fact_id, n.fact_id) AS fact_id, coalesce(o.member, n.member) AS member, CASE WHEN o.fact_id IS NULL OR n.ts > o.ts THEN n.verdict ELSE o.verdict END AS verdict, CASE WHEN o.fact_id IS NULL OR n.ts > o.ts THEN n.ts ELSE o.ts END AS ts, CASE WHEN o.fact_id IS NULL OR n.ts > o.ts THEN n.version ELSE o.version END AS version
+FROM o FULL OUTER JOIN n ON o.fact_id = n.fact_id AND o.member = n.member""",
 }

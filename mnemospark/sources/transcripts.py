@@ -101,6 +101,11 @@ def meetings(notes: DataFrame) -> DataFrame:
     return rows.select(F.lit(None).cast("string").alias("path"), F.monotonically_increasing_id().alias("offset"), F.col("__sid").alias("session_id"), session.cast(_SESSION).alias("session"), turn.cast(_TURN).alias("turn"), "title")
 
 
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """id, title, ts, content of meeting notes in files that hold one JSON array each; notes of another form are left out."""
+    return spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema("id string, title string, ts string, content string").json(path).where("id IS NOT NULL")
+
+
 @dataclass(frozen=True)
 class Adapter:
     """name, the files it reads below a folder, how it parses lines, and whether it is on unless configured."""

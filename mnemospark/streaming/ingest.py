@@ -5,17 +5,19 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark import params as P
 from mnemospark.functions.embedding import embed
 from mnemospark.functions.redaction import redact
 from mnemospark.functions.rules import low_signal
 from mnemospark.operators.store import ensure_sessions, insert_new, upsert_sessions
 from mnemospark.schemas import SESSIONS, TURNS, VECTORS
 from mnemospark.sources.tail import TailSource
-from mnemospark.sources.transcripts import ADAPTERS, Adapter, Roots
+from mnemospark.sources.transcripts import ADAPTERS, Adapter, Roots, meetings, read_lines, read_notes
 from mnemospark.storage import commit_file
 
 #: Row ids leave room for so many ids a batch.
@@ -96,6 +98,18 @@ def ingest(store: Store, parsed: DataFrame, agent: str, batch: int, embedder: Ca
     return {"turns": kept.count(), "embedded": worth.count()}
 
 
+def ingest_notes(store: Store, path: str, embedder: Callable | None = None) -> dict[str, int]:
+    """Ingest meeting notes as one batch: a session each, of which only title and time are set anew, and one turn."""
+    return ingest(store, meetings(read_notes(store.spark, path)), "granola", store.manifest()["batch"] + 1, embedder)
+
+
+def catch_up(spark: SparkSession, folder: str, store: Store, now: datetime, adapter: Adapter = ADAPTERS["claude-code"], roots: Roots = (), days: int = P.CATCH_UP_DAYS) -> dict[str, int]:
+    """Ingest the files below folder that changed in the last days as one batch, before a stream takes over."""
+    since = (now - timedelta(days=days)).strftime("%Y-%m-%dT%H:%M:%S")
+    lines = read_lines(spark, folder, adapter.glob, since)
+    return ingest(store, adapter.parse(lines, list(roots)), adapter.name, store.manifest()["batch"] + 1)
+
+
 def watch(spark: SparkSession, folder: str, store: Store, checkpoint: str, adapter: Adapter = ADAPTERS["claude-code"], roots: Roots = (), once: bool = True, every: str = "2 seconds"):
     """Start a stream that ingests lines as they are appended to the files of folder; once takes what is there and ends."""
     spark.dataSource.register(TailSource)

@@ -383,3 +383,40 @@ def test_delete_and_hide(spark):
     left, kept = curation.delete_facts(facts, vectors, spark.createDataFrame([("a",), ("zz",), (None,)], "id string"))
     assert {r.row_id for r in left.collect()} == {2, 3} and {r.row_id for r in kept.collect()} == {2, 3, 9}
     assert {r.row_id for r in curation.hide(facts, vectors, spark.createDataFrame([("b",)], "id string")).collect()} == {1, 3, 9}
+
+
+def test_report_and_sinks(spark, tmp_path):
+    cases = spark.createDataFrame([("c1", ["t1"], ["s9"], None), ("c2", ["t2"], None, ["t3"])], "case_id string, expected_turn_ids array<string>, expected_session_ids array<string>, forbidden_turn_ids array<string>")
+    results = spark.createDataFrame([("c1", 1, "t1", "s1", 0.9), ("c1", 2, "t4", "s9", 0.8), ("c2", 1, "t3", "s2", 0.76), ("c2", 2, "t5", None, 0.2)], "case_id string, rank long, turn_id string, session_id string, score double")
+    queries = spark.createDataFrame([("c1", "first"), ("c2", "second 'one'")], "case_id string, query string")
+    found = evaluation.report(cases, evaluation.judged(cases, results), queries)
+    assert (found["cases"], found["hit_at_1"], found["mrr"]) == (2, 0.5, 0.5) and [x["case_id"] for x in found["failures"]] == ["c2"]
+    plain, marked = evaluation.render(found), evaluation.render(found, True)
+    assert plain.startswith("Evaluation of 2 cases\n\nhit@1             50.0%") and "[c2]" in plain and "s2," in plain and "| hit@1 | 50.0% |" in marked and "## " in marked
+    empty = evaluation.report(cases.limit(0), evaluation.judged(cases, results).limit(0))
+    assert empty["cases"] == 0 and "0 cases" in evaluation.render(empty)
+    path = f"{tmp_path}/labels"
+    evaluation.write_lines(results.limit(2), path)
+    evaluation.write_lines(results.limit(1), path)
+    assert spark.read.json(path).count() == 3
+    turns = spark.createDataFrame([(i, "user", "x" * (30 + i)) for i in range(40)] + [(99, "assistant", "x" * 50), (100, "user", None)], "row_id long, role string, content string")
+    once = [r.row_id for r in evaluation.sample(turns, 5).collect()]
+    assert once == [r.row_id for r in evaluation.sample(turns.repartition(3), 5).collect()] and len(once) == 5 and min(once) >= 10 and evaluation.sample(turns.limit(0), 5).count() == 0
+
+
+def test_pull_push_and_logs(spark):
+    local = spark.createDataFrame([("f1", 2, 10, "a", "mine", 1), ("f2", 1, 10, "a", "same", 1)], "fact_id string, version long, updated_at long, device string, content string, synced_version long")
+    ops = spark.createDataFrame([(1, "f2", 9, 99, "b", "old"), (5, "f1", 3, 20, "b", "theirs"), (6, "f9", 1, 1, "me", "own"), (7, None, 1, 1, "b", None), (8, "f3", 1, 5, "b", "new"), (9, "f3", 1, 5, "b", "new")], "seq long, fact_id string, version long, updated_at long, device string, content string")
+    changes, cursor = replication.pull(local, ops, "me", 4)
+    got = {r.fact_id: r.action for r in changes.collect()}
+    assert got == {"f1": "conflict", "f2": "local", "f3": "applied"} and cursor == 9
+    assert replication.pull(local, ops, "me", 9)[1] == 9
+    facts = spark.createDataFrame([("a", 3, 1), ("b", 2, 2), ("c", 1, None)], "id string, version int, synced_version int")
+    done = replication.mark_synced(facts, spark.createDataFrame([("a", 3), ("a", 2), ("c", 1)], "id string, version int"))
+    assert {r.id: r.synced_version for r in done.collect()} == {"a": 3, "b": 2, "c": 1}
+    labels = spark.createDataFrame([("f", "me", "useful", 1, 2, 1), ("g", "me", "useful", 1, 0, None), ("f", "you", "useful", 1, 2, 1), ("h", "me", "noise", 1, 1, 1)], "fact_id string, member string, verdict string, ts long, version long, synced_version long")
+    assert {r.fact_id for r in replication.pending_labels(labels, "me").collect()} == {"f", "g"}
+    log = store.log_entries(spark.createDataFrame([("q", "find sk-ant-" + "a1B2" * 12)], "query_id string, query string"), spark.createDataFrame([("q", 1, "t", "turn", 0.51239)], "query_id string, position long, id string, source string, score double"), "hook", "now")
+    assert [tuple(r) for r in store.log_results(log).collect()] == [("q", "now", 1, "t", "turn", 0.5124)]
+    raw = log.withColumn("query", F.lit("key ghp_" + "a1B2c3D4" * 5))
+    assert "ghp_a1B2" not in store.redact_log(raw).first()["query"] and store.redact_log(raw).columns == raw.columns

@@ -120,3 +120,27 @@ def test_offsets_follow_the_lines_of_files_read_in_many_splits(spark, tmp_path):
     for name, n in [("a", 3000), ("b", 17), ("c", 5000)]:
         mine = sorted((r.offset, r.line) for r in rows if r.path.endswith(f"/{name}.jsonl"))
         assert [int(line[:5]) for _, line in mine] == list(range(n))
+
+
+def test_notes_and_files_changed_lately(spark, tmp_path):
+    import os
+    import time
+    from datetime import datetime
+
+    from mnemospark.streaming.ingest import Store, catch_up, ingest_notes
+
+    (tmp_path / "notes.json").write_text(json.dumps([{"id": "m1", "title": "Plan", "ts": "2025-01-01", "content": " we decided to split the queue in two and to keep the older one for a week "}, {"id": "m2", "content": "  "}, {"title": "no id", "content": "x"}], indent=1))
+    notes = Store(spark, f"file://{tmp_path}/a")
+    assert ingest_notes(notes, str(tmp_path / "notes.json"))["turns"] == 1
+    assert [(r.id, r.title) for r in notes.read("sessions").collect()] == [("granola:m1", "Plan")] and notes.read("turns").first()["role"] == "note"
+    assert ingest_notes(notes, str(tmp_path / "notes.json"))["turns"] == 0
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for name, age in [("new", 1), ("old", 9)]:
+        path = logs / f"{name}.jsonl"
+        path.write_text(json.dumps({"sessionId": name, "type": "user", "uuid": name, "message": {"content": "hello there, can you look at this?"}, "timestamp": "2025-01-01T00:00:00Z"}) + "\n")
+        at = time.time() - age * 86400
+        os.utime(path, (at, at))
+    live = Store(spark, f"file://{tmp_path}/b")
+    assert catch_up(spark, str(logs), live, datetime.fromtimestamp(time.time()))["turns"] == 1
+    assert [r.id for r in live.read("turns").collect()] == ["new"]
