@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark import params as P
 from mnemospark.functions import rules
-from mnemospark.functions.redaction import RULES, redact
+from mnemospark.functions.redaction import MIN_ENTROPY, NO_SECRET, RULES, redact
 from mnemospark.operators import store
 from mnemospark.plans.base import INJECT, TOOL, TURNS_SQL, stored_turns
 from mnemospark.storage import table
@@ -125,13 +127,45 @@ def redact_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns whose vector must be made anew after stored text was redacted again, with their added-up counts."""
     t = stored_turns(spark, sf_dir)
     turns, work = store.redact_stored(t, table(spark, sf_dir, "vec_turns"))
-    return work.join(turns.select("row_id", "redaction_count", F.md5("content").alias("text")), "row_id")
+    return work.join(turns.select("row_id", F.md5("content").alias("text")), "row_id")
 
 
 def redact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule, those with groups and checks too, on turns: the text, the number of redactions and their rules."""
+    """Every rule, those with groups and checks too, on turns: the texts that change, and how many marks they have then."""
     t = stored_turns(spark, sf_dir).select("row_id", "content")
-    return redact(t, "content").where("redactions > 0").select("row_id", "content", "redactions", F.to_json("by_rule").alias("by_rule"))
+    marks = (F.size(F.split("content", r"\[REDACTED:")) - 1).cast("long")
+    return redact(t, "content").where("redactions > 0").select("row_id", F.md5("content").alias("text"), marks.alias("marks"))
+
+
+#: The rules with a group, as SQL has them: what stands before the group, the group, and what stands behind it.
+GROUPED = {
+    "aws-secret-key": (r"((?:aws|amazon)[\w\s]{0,20}?(?:secret|sk)[\w\s]{0,20}?['\"])([0-9A-Za-z/+=]{40})(['\"])", "gi"),
+    "connection-string": (r"(\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)s?://[^\s:@'\"]{1,64}:)([^\s'\"]{4,})(@)", "g"),
+}
+
+
+def _all_rules() -> str:
+    """CTEs that apply each rule to the result of the one before; the last is named done, with the original as o."""
+    steps, last = ["r0 AS (SELECT row_id, content AS o, content AS c FROM t WHERE content IS NOT NULL)"], "r0"
+    for i, r in enumerate(RULES, 1):
+        mark = f"[REDACTED:{r.id}]"
+        quote = lambda p: p.replace("'", "''")
+        if r.id in GROUPED:
+            pattern, flags = GROUPED[r.id]
+            new = rf"regexp_replace(c, '{quote(pattern)}', '\1{mark}\3', '{flags}')"
+        elif r.checked:
+            # Each match beside its value, folded into the text one after the other.
+            found = f"list_transform(list_zip(regexp_extract_all(c, '{quote(r.pattern)}', 0, 'i'), regexp_extract_all(c, '{quote(r.pattern)}', 1, 'i')), lambda x: x[1] || chr(1) || x[2])"
+            value, match = "split_part(x, chr(1), 2)", "split_part(x, chr(1), 1)"
+            bits = f"list_sum(list_transform(list_distinct(string_split({value}, '')), lambda ch: -((length({value}) - length(replace({value}, ch, ''))) / length({value})::DOUBLE) * log2((length({value}) - length(replace({value}, ch, ''))) / length({value})::DOUBLE)))"
+            none = " AND ".join(f"NOT regexp_matches({value}, '{quote(p.pattern)}', '{'i' if p.flags & re.I else 'c'}')" for p in NO_SECRET)
+            good = f"list_filter({found}, lambda x: {none} AND {bits} > {MIN_ENTROPY})"
+            new = f"list_reduce({good}, lambda acc, x: replace(acc, {match}, replace({match}, {value}, '{mark}')), c)"
+        else:
+            new = f"regexp_replace(c, '{quote(r.pattern)}', '{mark}', 'g')"
+        steps.append(f"r{i} AS (SELECT row_id, o, {new} AS c FROM {last})")
+        last = f"r{i}"
+    return ", ".join([*steps, f"done AS (SELECT row_id, o, c FROM {last})"])
 
 
 def _nested() -> str:
@@ -208,4 +242,6 @@ md5(trim(regexp_replace(regexp_replace(content, '[#*`_>|-]+', ' ', 'g'), '{SPACE
 t AS (SELECT row_id, sum(n) AS total FROM n GROUP BY 1), e AS (SELECT n.row_id, -sum(n / total * log2(n / total)) AS bits FROM n JOIN t USING (row_id) GROUP BY 1) SELECT row_id, round(bits, 6) AS bits, bits > 3.8 AS high FROM e""",
     "redact_rules": f"WITH {TURNS_SQL}, x AS (SELECT row_id, {_nested()} AS c FROM t WHERE content IS NOT NULL) SELECT row_id, md5(c) AS text, (len(string_split(c, '[REDACTED:')) - 1)::BIGINT AS marks FROM x",
     "redact_counts": f"WITH {TURNS_SQL}, x AS ({_counts()}) SELECT rule, n FROM x WHERE n > 0",
+    "redact_all": f"WITH {TURNS_SQL}, {_all_rules()} SELECT row_id, md5(c) AS text, (len(string_split(c, '[REDACTED:')) - 1)::BIGINT AS marks FROM done WHERE c <> o",
+    "redact_backfill": f"WITH {TURNS_SQL}, {_all_rules()} SELECT row_id, md5(c) AS text FROM done WHERE c <> o AND row_id IN (SELECT row_id FROM vec_turns)",
 }
