@@ -131,18 +131,24 @@ def near(index: Index, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def alike(index: Index, grams: np.ndarray, inside: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def located(index: Index, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the shingles stand among those of the items, and whether they are there."""
+    if not len(index.keys):
+        return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+    at = np.minimum(np.searchsorted(index.keys, grams), len(index.keys) - 1)
+    return at, index.keys[at] == grams
+
+
+def alike(index: Index, grams: np.ndarray, inside: np.ndarray, threshold: float, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first shingle, indexed window) of all windows whose weighted overlap may reach the threshold; none that does is missed.
 
-    inside has the first shingles of windows that lie in one text. The overlap is at most the weight of the shingles
+    inside has the first shingles of windows that lie in one text; at and known are those of located(). The overlap is at most the weight of the shingles
     that are found in the other window, over the weight of the heavier window.
     """
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(inside) or not len(index.keys) or not len(index.grams):
         return none
     run = index.window - index.size + 1
-    at = np.minimum(np.searchsorted(index.keys, grams), len(index.keys) - 1)
-    known = index.keys[at] == grams
     w = np.where(known, index.weights[at], MAX_WEIGHT).astype(np.int64)
     total, shared = np.concatenate(([0], np.cumsum(w))), np.concatenate(([0], np.cumsum(w * known)))
     weight = total[inside + run] - total[inside]
@@ -207,13 +213,19 @@ def scan(texts: list[str], index: Index, shingler: Shingler, threshold: float) -
             return
         words = np.concatenate(held)
         grams = shingler.shingles(words)
-        fp = fingerprints(grams, _weigh(grams, index.keys, index.weights), run)
         ends = np.cumsum(lengths)
         begins = ends - np.asarray(lengths)
-        owner = np.searchsorted(ends, np.arange(len(fp)), side="right")
-        inside = np.flatnonzero(np.arange(len(fp)) + index.window <= ends[np.minimum(owner, len(ends) - 1)])
-        query, other = near(index, fp[inside])
-        more, windows = alike(index, grams, inside, threshold)
+        at, known = located(index, grams)
+        windows = max(0, len(grams) - run + 1)
+        owner = np.searchsorted(ends, np.arange(windows), side="right")
+        # A window without a shingle of any item is like no item's window, whatever its fingerprint.
+        count = np.concatenate(([0], np.cumsum(known)))
+        inside = np.flatnonzero((np.arange(windows) + index.window <= ends[np.minimum(owner, len(ends) - 1)]) & (count[run:] > count[:windows]) if windows else [])
+        edges = np.bincount(inside, minlength=len(grams) + 1)[: len(grams) + 1] - np.bincount(inside + run, minlength=len(grams) + 1)[: len(grams) + 1]
+        needed = np.cumsum(edges)[: len(grams)] > 0
+        fp = fingerprints(grams[needed], np.where(known, index.weights[at], MAX_WEIGHT)[needed].astype(np.int32), run) if len(inside) else np.zeros(0, np.uint64)
+        query, other = near(index, fp[(np.cumsum(needed) - 1)[inside]] if len(inside) else fp)
+        more, windows = alike(index, grams, inside, threshold, at, known)
         pairs = np.unique(np.concatenate((inside[query] << 32 | other, more << 32 | windows)))
         query, other = pairs >> 32, pairs & 0xFFFFFFFF
         if len(query):
