@@ -64,10 +64,11 @@ def fingerprints(grams: np.ndarray, weights: np.ndarray, run: int) -> np.ndarray
     n = len(grams) - run + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1)
-    signed = np.where(bits, weights[:, None], -weights[:, None]).astype(np.int32)
-    total = np.zeros((len(grams) + 1, 64), np.int32)
-    np.cumsum(signed, axis=0, out=total[1:])
+    bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1).view(bool)
+    w = weights.astype(np.int16)[:, None]
+    # Running sums may pass the ends of 16 bits; what a run adds up to doesn't, so differences are right.
+    total = np.zeros((len(grams) + 1, 64), np.int16)
+    np.cumsum(np.where(bits, w, -w), axis=0, dtype=np.int16, out=total[1:])
     return np.packbits(total[run:] - total[:-run] > 0, axis=1).view(np.uint64).ravel()
 
 

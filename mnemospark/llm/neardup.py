@@ -38,27 +38,28 @@ LIST, POSTS_A_TASK = 2_000, 1_000_000
 COPIES = 32
 
 
+class WordHashes(dict):
+    """The hash of each word, worked out once."""
+
+    def __missing__(self, word: str) -> int:
+        raw = word.encode("utf-8", "surrogatepass")
+        h = self[word] = zlib.crc32(raw) | (zlib.crc32(raw, 0x9E3779B9) ^ len(raw)) << 32
+        return h
+
+
 class Shingler:
     """Sets of hashed shingles of texts; hashes of words are kept between texts."""
 
     LIMIT = 1_000_000
 
     def __init__(self, size: int, seed: int = 0, bits: int = 64):
-        self.size, self.seed, self.bits, self.known = size, seed, bits, {}
+        self.size, self.seed, self.bits, self.known = size, seed, bits, WordHashes()
 
     def words(self, text: str) -> np.ndarray:
         found = WORD.findall(text.lower())
-        known = self.known
-        if len(known) > self.LIMIT:
-            known.clear()
-        out = np.empty(len(found), np.uint64)
-        for i, w in enumerate(found):
-            h = known.get(w)
-            if h is None:
-                raw = w.encode("utf-8", "surrogatepass")
-                h = known[w] = zlib.crc32(raw) | (zlib.crc32(raw, 0x9E3779B9) ^ len(raw)) << 32
-            out[i] = h
-        return out
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
 
     def shingles(self, words: np.ndarray) -> np.ndarray:
         """The hash of every run of size words, in order."""
