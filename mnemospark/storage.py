@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -57,6 +58,13 @@ def commit_file(spark: SparkSession, path: str, text: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf).rename(beside, target, options)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cluster delete the shuffles of plans that nothing refers to any more: it does so when the driver's heap is
+    collected, which may otherwise come long after the disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.
 
