@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.conversations import pointer_jump
 from mnemospark.llm.prose import WORD
-from mnemospark.storage import materialize
+from mnemospark.storage import materialize, release
 
 #: There are 2**COUNTER_BITS counters, whatever the input, kept as logarithms in SCALE steps a nat: however full they
 #: are, what many texts hold stands out. Collisions cost time, never a pair.
@@ -244,10 +244,13 @@ def similar_classes(sets: DataFrame, threshold: float, sketch: int = SKETCH, blo
     once = (F.col("a.block") == -1) | (F.col("a.block") != F.col("b.block"))
     joined = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.cls") < F.col("b.cls")) & once & fits)
     pairs = materialize(joined.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct(), "candidates")
+    del joined, posts, a, b
+    release(spark)
     # Only the sets that some candidate needs are moved, each once.
     needed = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     bodies = sets.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("grams").alias("grams"))
     bodies = materialize(bodies, "sets-compared")
+    release(spark)
     both = pairs.join(bodies.select(F.col("cls").alias("cls_a"), F.col("grams").alias("grams_a")), "cls_a").join(
         bodies.select(F.col("cls").alias("cls_b"), F.col("grams").alias("grams_b")), "cls_b"
     )
