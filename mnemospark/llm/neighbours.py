@@ -29,6 +29,10 @@ PIVOTS_A_ROOT, MIN_PIVOTS, MAX_PIVOTS, MAX_SAMPLE = 1.2, 32, 16_384, 32_768
 LENGTH, LENGTH_ROWS = 5, 30_000
 #: Vectors that a block of an inverted file should hold, and rows whose postings are packed together.
 BLOCK, PACK = 6_000, 10_000
+#: Products held at once, and pairs of a file that are held before only the best of each row are kept.
+PRODUCTS, PAIRS = 1 << 21, 1 << 20
+#: Bytes of postings that a task hands over at once.
+HANDED = 8_000_000
 #: Rows dropped by the caller go with the tasks up to this number, beyond it by a join on both sides.
 MAX_BROADCAST_ROWS = 2_000_000
 
@@ -59,14 +63,20 @@ def units(values: np.ndarray) -> np.ndarray:
 def permutation(u: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest pivots of each unit vector, nearest first."""
     out = np.empty((len(u), min(length, len(pivots))), np.int16)
-    for i in range(0, len(u), 2048):
-        s = u[i : i + 2048] @ pivots.T
+    step = _step(2048, len(pivots))
+    for i in range(0, len(u), step):
+        s = u[i : i + step] @ pivots.T
         near = np.argpartition(-s, out.shape[1] - 1, axis=1)[:, : out.shape[1]] if out.shape[1] < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
         order = np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable")
-        out[i : i + 2048] = np.take_along_axis(near, order, 1)
+        out[i : i + step] = np.take_along_axis(near, order, 1)
     return out
 
 
+def _step(most: int, columns: int) -> int:
+    """Rows whose products with so many columns are held at once."""
+    return max(16, min(most, PRODUCTS // max(1, columns)))
+
+
 def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Induced footrule distance of truncated permutations, a row each: a pivot that one lacks counts as one place past its end."""
     length = a.shape[1]
@@ -191,15 +201,22 @@ def _postings(vectors: DataFrame, pivots: Pivots, dims: int, copies: int) -> Dat
         block = (ids[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % blocks
         order = np.lexsort((owner, block, pivot))
         edges = np.flatnonzero(np.concatenate(([True], (np.diff(pivot[order]) != 0) | (np.diff(block[order]) != 0), [True])))
-        rows = []
+        rows, size = [], 0
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             members = owner[order[a:b]]
             p, k = int(pivot[order[a]]), int(block[order[a]])
             parts = (ids[members].tobytes(), perms[members].tobytes(), packer.rows_of(members))
             for other in range(int(index.blocks[p])):
                 rows.append((p, min(k, other), max(k, other), k, len(members), *parts))
+                size += sum(map(len, parts))
+                if size >= HANDED:
+                    yield _batch(rows)
+                    rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = blob.value
@@ -234,11 +251,12 @@ def _best_of_all(u: np.ndarray, ids: np.ndarray, block: np.ndarray, perms: np.nd
     rows, others, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     # The k-th of the greatest of groups is no more than the k-th of all.
     wide = max(1, min(16, n // (4 * k)))
-    for i in range(0, n, 512):
-        s = u[i : i + 512] @ u.T
+    step = _step(512, n)
+    for i in range(0, n, step):
+        s = u[i : i + step] @ u.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
         if across:
-            s[block[i : i + 512, None] == block[None, :]] = -np.inf
+            s[block[i : i + step, None] == block[None, :]] = -np.inf
         low = np.full(len(s), -2, np.float32)
         if candidates is None and n // wide > k:
             most = s[:, : n // wide * wide].reshape(len(s), wide, -1).max(1)
@@ -268,11 +286,26 @@ def compare(ids: np.ndarray, block: np.ndarray, perms: np.ndarray, values: np.nd
     u = units(values)
     if floor is None:
         return _best_of_all(u, ids, block, perms, values, across, k, candidates, digits)
-    left, right, n = [], [], len(ids)
-    for i in range(0, n, 512):
-        s = u[i : i + 512] @ u[i:].T
+    n, norm = len(ids), np.sqrt(np.einsum("ij,ij->i", values, values, dtype=np.float64))
+
+    def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sim = np.empty(len(a))
+        for i in range(0, len(a), 4096):
+            x, y = a[i : i + 4096], b[i : i + 4096]
+            sim[i : i + 4096] = np.einsum("ij,ij->i", values[x], values[y], dtype=np.float64) / (norm[x] * norm[y])
+        return np.round(sim, digits)
+
+    # Every pair is looked at, but only the best of each row so far are held, however many pairs a file has.
+    best = _Best(n, k, ids, floor)
+    later, earlier = (_Best(n, candidates or 0, np.arange(n), -np.inf) for _ in range(2))
+    step = _step(512, n)
+    for i in range(0, n, step):
+        s = u[i : i + step] @ u[i:].T
         a, b = np.nonzero(s >= floor - 1e-5)
         keep = b > a
+        if candidates is None:
+            near = s[a, b] + np.float32(1e-5)
+            keep &= (near >= best.low[a + i]) | (near >= best.low[b + i])
         a, b = a[keep] + i, b[keep] + i
         if across:
             keep = block[a] != block[b]
@@ -286,25 +319,63 @@ def compare(ids: np.ndarray, block: np.ndarray, perms: np.ndarray, values: np.nd
                 hit |= px == perms[b, y]
             shared = np.where(hit, np.minimum(shared, px), shared)
         keep = shared == pivot
-        left.append(a[keep])
-        right.append(b[keep])
-    a, b = np.concatenate(left), np.concatenate(right)
-    if candidates is not None and len(a):
-        apart = -footrule(perms[a], perms[b]).astype(np.float64)
-        both = np.concatenate((_best(a, b, apart, candidates), _best(b, a, apart, candidates)))
-        both = np.unique(both)
-        a, b = a[both], b[both]
-    sim = np.empty(len(a))
-    norm = np.sqrt(np.einsum("ij,ij->i", values, values, dtype=np.float64))
-    for i in range(0, len(a), 4096):
-        x, y = a[i : i + 4096], b[i : i + 4096]
-        sim[i : i + 4096] = np.einsum("ij,ij->i", values[x], values[y], dtype=np.float64) / (norm[x] * norm[y])
-    sim = np.round(sim, digits)
-    keep = sim >= floor
-    a, b, sim = a[keep], b[keep], sim[keep]
-    row, other, both = np.concatenate((ids[a], ids[b])), np.concatenate((ids[b], ids[a])), np.concatenate((sim, sim))
-    best = _best(row, other, both, k)
-    return row[best], other[best], both[best]
+        a, b = a[keep], b[keep]
+        for j in range(0, len(a), PAIRS):
+            x, y = a[j : j + PAIRS], b[j : j + PAIRS]
+            if candidates is None:
+                best.add_both(x, y, cosine(x, y))
+            else:
+                apart = -footrules(perms, x, y).astype(np.float64)
+                later.add(x, y, apart)
+                earlier.add(y, x, apart)
+    if candidates is not None:
+        (a, b, _), (d, c, _) = later.all(), earlier.all()
+        both = np.unique(np.concatenate((a * n + b, c * n + d)))
+        for j in range(0, len(both), PAIRS):
+            x, y = both[j : j + PAIRS] // n, both[j : j + PAIRS] % n
+            best.add_both(x, y, cosine(x, y))
+    row, other, sim = best.all()
+    return ids[row], ids[other], sim
+
+
+def footrules(perms: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """footrule of the rows a and b of perms, in blocks to bound memory."""
+    parts = [footrule(perms[a[i : i + 16384]], perms[b[i : i + 16384]]) for i in range(0, len(a), 16384)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+class _Best:
+    """The k pairs of each of n rows with the greatest scores from least on; ties go to the smaller name of the other row."""
+
+    def __init__(self, n: int, k: int, names: np.ndarray, least: float):
+        self.k, self.names, self.low = k, names, np.full(n, least)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, row: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
+        keep = score >= self.low[row]
+        self.new.append((row[keep], other[keep], score[keep]))
+        self.size += int(keep.sum())
+        if self.size >= PAIRS:
+            self._reduce()
+
+    def add_both(self, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> None:
+        self.add(a, b, score)
+        self.add(b, a, score)
+
+    def _reduce(self) -> None:
+        row, other, score = (np.concatenate(c) for c in zip(self.kept, *self.new, strict=True))
+        self.new, self.size = [], 0
+        at = _best(row, self.names[other], score, self.k)
+        row, other, score = self.kept = row[at], other[at], score[at]
+        # A row's places are in order, so a row with k of them has the least at its last.
+        full = np.flatnonzero(row[self.k - 1 :] == row[: max(0, len(row) - self.k + 1)]) + self.k - 1
+        self.low[row[full]] = score[full]
+
+    def all(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self._reduce()
+        return self.kept
 
 
 def nearest(vectors: DataFrame, k: int = 10, dims: int = 384, floor: float | None = 0.6, skip: DataFrame | None = None, candidates: int | None = None, digits: int = 9, pivots_a_root: float = PIVOTS_A_ROOT, length: int | None = None) -> DataFrame:
@@ -333,7 +404,8 @@ def nearest(vectors: DataFrame, k: int = 10, dims: int = 384, floor: float | Non
         values = np.concatenate([_unpack(x, n) for x, n in zip(group["body"], group["n"], strict=True)])
         block = np.repeat(group["block"].to_numpy(), group["n"].to_numpy())
         keep = np.sort(_first_copies(ids, _hashes(values), k + 1))
-        row, other, sim = compare(ids[keep], block[keep], perms[keep], values[keep], key[0], key[1] != key[2], k, floor, candidates, digits)
+        ids, block, perms, values = ids[keep], block[keep], perms[keep], values[keep]
+        row, other, sim = compare(ids, block, perms, values, key[0], key[1] != key[2], k, floor, candidates, digits)
         return pd.DataFrame({"row_id": row, "other": other, "similarity": sim})
 
     posts = _postings(vectors, pivots, dims, k + 1)

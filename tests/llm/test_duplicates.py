@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -242,6 +243,31 @@ def test_a_third_of_the_vectors_are_equal(spark):
     assert all(by[1000 + i] == set([1000 + k for k in range(7) if k != i][:5]) for i in range(60))
 
 
+@pytest.mark.parametrize("candidates", [None, 20])
+def test_a_file_of_similar_vectors_takes_little_memory(candidates):
+    """4,000 vectors of one file, nearly all pairs above the floor: what is held are the best of each row."""
+    rng = np.random.default_rng(5)
+    n = 4000
+    values = (rng.normal(size=384) + 0.6 * rng.normal(size=(n, 384))).astype(np.float32)
+    values[1::400] = values[::400]
+    ids, perms = rng.permutation(n).astype(np.int64), np.argsort(rng.random((n, 5)), 1).astype(np.int16)
+    perms[:, 0], perms[:, 1:] = 0, perms[:, 1:] + 1
+    tracemalloc.start()
+    row, other, sim = neighbours.compare(ids, np.zeros(n, int), perms, values, 0, False, 10, 0.6, candidates, 9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and len(row) == 10 * n if candidates is None else peak < 300e6 and len(row) >= 0.99 * 10 * n
+    if candidates is None:
+        wide = values.astype(np.float64)[np.argsort(ids)]
+        wide /= np.sqrt((wide * wide).sum(1))[:, None]
+        exact = np.round(wide @ wide.T, 9)
+        np.fill_diagonal(exact, -2)
+        best = np.lexsort((np.tile(np.arange(n), (n, 1)), -exact))[:, :10]
+        order = np.lexsort((other, -sim, row))
+        assert (row[order].reshape(n, 10)[:, 0] == np.arange(n)).all() and (other[order].reshape(n, 10) == best).mean() > 0.9999
+        assert np.abs(sim[order].reshape(n, 10) - np.take_along_axis(exact, best, 1)).max() < 1e-6
+
+
 def test_packing_loses_nothing():
     rng = np.random.default_rng(5)
     for values in (rng.normal(size=(40, 16)).astype("f4"), (rng.integers(-50, 50, (40, 16)) / 64).astype("f4")):
