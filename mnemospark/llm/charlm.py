@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 
-from mnemospark.llm.prose import prose_words, sentences
+from mnemospark.llm.prose import SentenceWords, prose_words, sentences
 
 START, END = 2, 3
 #: Everyday words of each language. A few dozen samples lack most of what a short question is made of, and
@@ -29,6 +31,8 @@ EVERYDAY = {
 }
 #: How often each of them counts as seen.
 EVERYDAY_COUNT = 4
+#: Words whose n-grams are worked out at once.
+WORDS_AT_ONCE = 50_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +66,27 @@ def _keys(codes: np.ndarray, n: int, shift: int = 0) -> np.ndarray:
     return h
 
 
+def _gram_sets(words: Counter, order: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n the different n-grams: sorted keys, their contexts, the n-grams one shorter, how often they occur.
+
+    Words are taken in parts, so that memory is held for different n-grams and not for every word.
+    """
+    held: dict[int, tuple[np.ndarray, ...]] = {}
+    items = iter(words.items())
+    while (part := list(islice(items, WORDS_AT_ONCE))) or not held:
+        codes, of, predicted = _codes([w for w, _ in part], order)
+        weight = np.fromiter((n for _, n in part), np.float64, len(part))[of][predicted]
+        shorter = _keys(codes, 0)[predicted]
+        for n in range(1, order + 1):
+            gram = _keys(codes, n)[predicted]
+            new = (gram, _keys(codes, n - 1, 1)[predicted], shorter, weight)
+            shorter = gram
+            merged = tuple(np.concatenate(x) for x in zip(held[n], new, strict=True)) if n in held else new
+            keys, first, inverse = np.unique(merged[0], return_index=True, return_inverse=True)
+            held[n] = (keys, merged[1][first], merged[2][first], np.bincount(inverse, weights=merged[3], minlength=len(keys)))
+    return held
+
+
 @dataclass
 class CharModel:
     languages: list[str]
@@ -76,30 +101,16 @@ class CharModel:
         languages = sorted(words)
         per: list[list[tuple]] = [[] for _ in range(order)]
         for lang in languages:
-            vocabulary = list(words[lang])
-            counts = np.fromiter((words[lang][w] for w in vocabulary), dtype=np.float64, count=len(vocabulary))
-            codes, of, predicted = _codes(vocabulary, order)
-            weight = counts[of][predicted]
-            below = None
+            sets = _gram_sets(words[lang], order)
             for n in range(order, 0, -1):
-                gram, context = _keys(codes, n)[predicted], _keys(codes, n - 1, 1)[predicted]
-                if n == order:
-                    keys, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-                    c = np.bincount(inverse, weights=weight)
-                else:  # how many different characters precede it
-                    longer = _keys(codes, n + 1)[predicted]
-                    _, one = np.unique(longer, return_index=True)
-                    keys, first, inverse = np.unique(gram[one], return_index=True, return_inverse=True)
-                    c = np.bincount(inverse).astype(np.float64)
-                    first = one[first]
-                ctx = context[first]
+                keys, ctx, _, c = sets[n]
+                if n < order:  # how many different characters precede it
+                    c = np.unique(sets[n + 1][2], return_counts=True)[1].astype(np.float64)
                 n1, n2 = (c == 1).sum(), (c == 2).sum()
                 d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
                 hist, inv = np.unique(ctx, return_inverse=True)
                 total, kinds = np.bincount(inv, weights=c), np.bincount(inv)
                 per[n - 1].append((keys, np.maximum(c - d, 0) / total[inv], hist, d * kinds / total))
-                below = n
-            assert below == 1
         grams, histories = [], []
         for n in range(order):
             keys = np.unique(np.concatenate([p[0] for p in per[n]]))
@@ -197,41 +208,93 @@ def train_calibrated(samples: list[tuple[str, str]], order: int = 5, folds: int
     return model
 
 
-def adapt(model: CharModel, samples: list[tuple[str, str]], texts: list[str], rounds: int = 2, text_lead: float = 20.0, sentence_lead: float = 15.0) -> CharModel:
-    """Train again with the words of unlabelled texts of the corpus, as the model so far reads them.
+class LanguageVotes:
+    """How often each word occurs in the texts of each language, as a model reads them.
 
     A text counts for its best language if that leads by text_lead nats. The first round takes all its sentences: a
     phrase that the samples lack may look foreign, but most texts that hold it are of its language. Later rounds leave
-    out the sentences that another language leads by sentence_lead nats. The ceilings of the first model stay.
+    out the sentences that another language leads by sentence_lead nats.
     """
-    for turn in range(rounds):
-        scores, groups, owner = WordScores(model), [], []
-        for i, text in enumerate(texts):
-            for _, _, sentence, _ in sentences(text or ""):
-                words = prose_words(sentence)
-                if words:
-                    groups.append(words)
-                    owner.append(i)
-        if not groups:
-            return model
-        logp, _, _ = scores.sums(groups)
-        of = np.asarray(owner)
-        whole = np.stack([np.bincount(of, weights=logp[:, j], minlength=len(texts)) for j in range(logp.shape[1])], 1)
+
+    #: Different words, and tokens of texts, that are held at once.
+    LIMIT, TOKENS = 200_000, 500_000
+
+    def __init__(self, model: CharModel, first: bool, text_lead: float = 20.0, sentence_lead: float = 15.0):
+        self.model, self.first, self.text_lead, self.sentence_lead = model, first, text_lead, sentence_lead
+        self.sentences = 0
+        self._start()
+
+    def _start(self) -> None:
+        self.read, self.rows = SentenceWords(), np.zeros((1, len(self.model.languages)))
+        self.counts = np.zeros((len(self.model.languages), 1), np.int64)
+
+    def add(self, texts: list[str]) -> Iterator[tuple[str, str, int]]:
+        """Take texts; what is given back are counts that would take too much room."""
+        codes: list[int] = []
+        edges = []
+        for text in texts:
+            codes += self.read.codes(text)
+            edges.append(len(codes))
+            if len(codes) >= self.TOKENS:
+                self._count(codes, edges)
+                codes, edges = [], []
+                if len(self.read) > self.LIMIT:
+                    yield from self.take()
+        if edges:
+            self._count(codes, edges)
+        if len(self.read) > self.LIMIT:
+            yield from self.take()
+
+    def take(self) -> Iterator[tuple[str, str, int]]:
+        """(language, word, n) of what was counted, which starts anew."""
+        words, counts = self.read.words, self.counts
+        self._start()
+        for j, i in zip(*np.nonzero(counts), strict=True):
+            yield self.model.languages[j], words[i], int(counts[j, i])
+
+    def _count(self, codes: list[int], edges: list[int]) -> None:
+        token = np.array(codes, np.int64)
+        ends = (token & 2) > 0
+        for i in np.flatnonzero((token & 3) == 2):  # one mark only: it ends no sentence that it begins
+            ends[i] = i > 0 and not ends[i - 1]
+        new, wide = self.read.words[len(self.rows) :], len(self.read.words)
+        self.rows = np.concatenate([self.rows, *(self.model.score(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
+        at = np.flatnonzero(token >> 2)
+        if not len(at):
+            return
+        word = token[at] >> 2
+        sentence = (np.cumsum(ends) - ends)[at]
+        begins = np.concatenate(([True], sentence[1:] != sentence[:-1]))
+        sentence = np.cumsum(begins) - 1
+        owner = np.searchsorted(np.asarray(edges), at[begins], side="right")
+        n = len(owner)
+        logp = np.stack([np.bincount(sentence, weights=self.rows[word, j], minlength=n) for j in range(self.rows.shape[1])], 1)
+        whole = np.stack([np.bincount(owner, weights=logp[:, j], minlength=len(edges)) for j in range(logp.shape[1])], 1)
+        main = whole.argmax(1)
         ranked = np.sort(whole, 1)
-        main, sure = whole.argmax(1), ranked[:, -1] - ranked[:, -2] >= text_lead
-        words_of = {lang: language_words(lang, [t for x, t in samples if x == lang and t]) for lang in model.languages}
-        for k, group in enumerate(groups):
-            j = main[of[k]]
-            if sure[of[k]] and (turn == 0 or logp[k].max() - logp[k, j] < sentence_lead):
-                words_of[model.languages[j]].update(group)
-        for counts in words_of.values():
-            for word, n in list(counts.items()):
-                bare = without_accents(word)
-                if bare != word:
-                    counts[bare] += max(1, n // 4)
-        ceiling, model = model.ceiling, CharModel.train(words_of, model.order, model.alphabet)
-        model.ceiling = ceiling
-    return model
+        taken = ranked[:, -1] - ranked[:, -2] >= self.text_lead if whole.shape[1] > 1 else np.ones(len(whole), bool)
+        lang, taken = main[owner], taken[owner]
+        if not self.first:
+            taken = taken & (logp.max(1) - logp[np.arange(n), lang] < self.sentence_lead)
+        of = taken[sentence]
+        found = np.bincount(lang[sentence[of]] * wide + word[of], minlength=len(self.counts) * wide).reshape(-1, wide)
+        found[:, : self.counts.shape[1]] += self.counts
+        self.counts = found
+        self.sentences += n
+
+
+def retrain(model: CharModel, samples: list[tuple[str, str]], votes: dict[str, dict[str, int]]) -> CharModel:
+    """Train again with samples and the words that LanguageVotes found. The ceilings of the model stay."""
+    words_of = {lang: language_words(lang, [t for x, t in samples if x == lang and t]) for lang in model.languages}
+    for lang, counts in words_of.items():
+        counts.update(votes.get(lang, {}))
+        for word, n in list(counts.items()):
+            bare = without_accents(word)
+            if bare != word:
+                counts[bare] += max(1, n // 4)
+    out = CharModel.train(words_of, model.order, model.alphabet)
+    out.ceiling = model.ceiling
+    return out
 
 
 class WordScores:

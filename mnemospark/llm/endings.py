@@ -65,6 +65,8 @@ CUT_SIGN = re.compile(
     rf"\s*(?:(?<=\n)[-=*#~_<>\[(!]{{2,}} ?[^\n]{{0,50}}(?:{CUT_WORDS}|{BROKEN})[^\n]{{0,50}}[-=*#~_<>\])!]{{2,}}|[\[(<{{]\s*(?:\.{{3}}|…)\s*[\])>}}]|[\[(<{{][^\[\](){{}}<>\n]{{0,60}}(?:{CUT_WORDS})[^\[\](){{}}<>\n]{{0,60}}[\])>}}]|…|\.{{3,}})\s*$", re.I
 )
 SIGN_LENGTH = 240
+#: What the last character of a sign can be.
+_SIGN_ENDS = frozenset("-=*#~_<>[])}!….")
 CLOSERS = "\"'»”’)]}*_`"
 #: Symbols: a name, path or code phrase; a closed code block; the start of a text; a word that isn't common.
 NAME, BLOCK, BEGIN, RARE = "\x01", "\x02", "\x03", "\x04"
@@ -74,6 +76,7 @@ _KEY_BLOCK = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]+-----")
 _PHRASE = re.compile(r"`[^`\n]+`")
 _NAMELIKE = re.compile(r"[\d_/\\@#=<>{}\[\]|$%^+~]|\w[.:(-]\w|[a-zа-яß-öø-ÿ][A-ZА-Я]|\(\)|--?\w")
 _MARKED = re.compile(r"[.!?。！？]+[\"'»”’)\]}*_`]*(?:\s*[^\w\s.,;:!?…\"'`(){}\[\]<>/\\|=+*#&%$@~^-]+)?\s*$")
+_MARKS = ".!?。！？"
 _TAIL = re.compile(r"[\s.!?…\"'»”’)\]}*_`]+$")
 _END = re.compile(r"[.!?…]+[\"'»”’)\]}*_`]*(?=\s|$)")
 
@@ -170,7 +173,7 @@ def strip_sign(text: str) -> tuple[str, int]:
     # A single full stop or question mark is no sign, and none can stand before it.
     if text[-1:] in (".", "?") and text[-2:-1] not in (".", "…"):
         return text, 0
-    while True:
+    while text[-1:] in _SIGN_ENDS:
         # A sign is shorter than what is looked at.
         at = max(0, len(text) - SIGN_LENGTH)
         m = CUT_SIGN.search(text, at)
@@ -178,6 +181,7 @@ def strip_sign(text: str) -> tuple[str, int]:
             return text, sign
         mark = m[0].strip()
         text, sign = text[: m.start()].rstrip(), max(sign, 3 if mark[0] in "[(<{-=*#~_!" else 2 if mark[0] == "…" else 1)
+    return text, sign
 
 
 def inside_block(text: str) -> bool:
@@ -245,7 +249,9 @@ def question(text: str) -> tuple[str, bool | None, int]:
     if not bare:
         return "", False, signed
     line = bare[bare.rfind("\n") + 1 :]
-    marked = bool(_MARKED.search(bare))
+    # Where any match begins, one begins at the last mark as well.
+    last = max(map(bare.rfind, _MARKS))
+    marked = last >= 0 and bool(_MARKED.match(bare, last))
     if inside_block(bare) and not (marked and len(prose_words(line)) >= 4):
         return "", True, signed
     if marked or bare.endswith("```") or (not signed and CODE_LINE.search(line)):
@@ -628,21 +634,15 @@ def train(texts: DataFrame, samples: DataFrame, rows: int | None = None) -> tupl
     """The end model with its thresholds and limits, and the language models, from texts (tbl, id, content).
 
     Words, contexts, thresholds and limits are counted over all texts; the language models come from samples and from
-    the words of language.MAX_TEXTS texts. Equal contents count once, those of a few words once an id, so that copies
-    don't vouch for their own ends. Texts with a sign of a cut other than three dots, or that stop inside a block,
+    the words of all texts. Equal contents count once, those of a few words once an id, so that copies don't vouch for
+    their own ends. Texts with a sign of a cut other than three dots, or that stop inside a block,
     don't teach where texts end.
     """
     n = texts.count() if rows is None else rows
     labelled = language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES)
-    languages = language.adapt(language.train_calibrated(labelled), labelled, [r[2] for r in language._bounded(texts, ["tbl", "id", "content"], language.MAX_TEXTS, by=["tbl", "id"], rows=n)])
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(word_counts(batch["content"].tolist()).items(), columns=["word", "n"])
-
-    counted = texts.select("content").mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    languages, counted = language.adapt(language.train_calibrated(labelled), labelled, texts.select("content"), word_counts, max(5, 0.0005 * n))
     # At most (words a text) / share of them, whatever the number of texts.
-    vocabulary = frequent({r[0]: r[1] for r in counted.where(F.col("n") >= max(5, 0.0005 * n)).collect()}, n)
+    vocabulary = frequent(counted, n)
     hashed, different = _hashed(texts), contents(texts)
     copies = materialize(different.where("n > 1").select("tbl", "h", "n"), "copies")
     few = copies.count() <= MAX_BROADCAST_ROWS

@@ -82,8 +82,8 @@ class ProseWords(dict):
     LIMIT = 200_000
 
     def __missing__(self, token: str) -> str:
-        m = PROSE_TOKEN.fullmatch(token)
-        word = m[1].lower() if m and not CAMEL.search(m[1]) else ""
+        core = token if token.isalpha() else m[1] if (m := PROSE_TOKEN.fullmatch(token)) else ""
+        word = core.lower() if not CAMEL.search(core) else ""
         if len(self) > self.LIMIT:
             self.clear()
         self[token] = word
@@ -103,3 +103,52 @@ class ProseWords(dict):
                 line = QUOTED.sub(_blank_out, line)
             out += [w for w in [self[t] for t in line.split()] if w]
         return out
+
+
+#: A final mark at the end of a token.
+_FINAL = re.compile(r"[.!?…]+[\"'»”)\]]*\Z")
+_LAST = frozenset(".!?…\"'»”)]")
+
+
+class SentenceWords(dict):
+    """The prose words of the sentences of whole texts as numbers, each token worked out once.
+
+    A token's code is twice twice the number of its word (0: none), and tells whether a sentence ends behind it: 2 within
+    a sentence, 1 as its first token, where the first character isn't looked at.
+    """
+
+    #: The code behind each line.
+    LINE = 3
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words, self.number = [""], {"": 0}
+
+    def __missing__(self, token: str) -> int:
+        core = token if token.isalpha() else m[1] if (m := PROSE_TOKEN.fullmatch(token)) else ""
+        word = core.lower() if not CAMEL.search(core) else ""
+        n = self.number.get(word)
+        if n is None:
+            n = self.number[word] = len(self.words)
+            self.words.append(word)
+        code = n << 2
+        if token[-1] in _LAST and _FINAL.search(token):
+            code |= 3 if _FINAL.search(token, 1) else 2
+        self[token] = code
+        return code
+
+    def codes(self, text: str) -> list[int]:
+        """The codes of the tokens that sentences() reads, line by line."""
+        out: list[int] = []
+        if formatted(text):
+            lines = [INLINE_CODE.sub(_blank_out, line) if "`" in line else line for _, line, heading in plain_lines(text) if not heading]
+            lines = [QUOTED.sub(_blank_out, line) if _QUOTE.search(line) else line for line in lines]
+        else:
+            lines = text.split("\n")
+        for line in lines:
+            # Only what starts with a space, a mark or a number may be an entry of a list.
+            if not line[:1].isalpha() and (mark := LIST_MARK.match(line)):
+                line = line[mark.end() :]
+            out += [self[t] for t in line.split()]
+            out.append(self.LINE)
+        return out

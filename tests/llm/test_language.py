@@ -1,9 +1,12 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from language_samples import DE, EN, RU, SAMPLES
 from pyspark.sql import functions as F
 
 from mnemospark.llm import charlm, language
-from mnemospark.llm.prose import prose_words, sentences
+from mnemospark.llm.prose import SentenceWords, prose_words, sentences
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +70,51 @@ def test_bounded_sample_is_bounded(spark):
     df = spark.range(1000).select(F.col("id").cast("string").alias("x"))
     got = language._bounded(df, ["x"], 50)
     assert len(got) == 50 and got == language._bounded(df.repartition(7), ["x"], 50)
+
+
+def _name(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "qz"
+
+
+def _grams(model, words):
+    codes, _, predicted = charlm._codes(words, model.order)
+    return charlm._keys(codes, model.order)[predicted]
+
+
+def _same(a, b):
+    return a.languages == b.languages and all(np.array_equal(x, y) for p, q in zip(a.grams + a.histories, b.grams + b.histories, strict=True) for x, y in zip(p, q, strict=True))
+
+
+def test_every_text_of_the_corpus_adapts_the_models(spark, samples, monkeypatch):
+    names = [_name(7 * i) for i in range(3500)]
+    corpus = spark.createDataFrame([(f"{EN[i % 4]} The {w} came back.",) for i, w in enumerate(names)] + [(None,), ("",)], "text string")
+    model = language.train(samples, corpus.repartition(3))
+    assert np.isin(_grams(model, names), model.grams[-1][0]).all()
+    assert not np.isin(_grams(model, ["xkcdvw"]), model.grams[-1][0]).all()
+    monkeypatch.setattr(charlm.LanguageVotes, "LIMIT", 50)
+    monkeypatch.setattr(charlm.LanguageVotes, "TOKENS", 100)
+    monkeypatch.setattr(charlm, "WORDS_AT_ONCE", 91)
+    assert _same(model, language.train(samples, corpus.repartition(7)))
+
+
+def test_words_are_counted_beside_the_languages(spark, samples):
+    rows = [(lang, t) for _, lang, t in SAMPLES]
+    corpus = spark.createDataFrame([(t,) for t in [EN[0]] * 3 + [DE[0], "```\ncode\n```"]], "content string").repartition(3)
+    _, counted = language.adapt(charlm.train_calibrated(rows), rows, corpus, lambda texts: Counter(w for t in texts for w in t.split()), 3)
+    assert counted == {w: n for w, n in Counter(w for t in [EN[0]] * 3 + [DE[0], "```\ncode\n```"] for w in t.split()).items() if n >= 3}
+    plain = charlm.train_calibrated(rows)
+    assert language.adapt(plain, rows, corpus.where("content LIKE '`%'"))[0] is plain
+
+
+def test_codes_of_tokens_are_the_words_of_sentences():
+    odd = ["", " . a b.", "- ... x y. z", "a. . b.", "1. foo! bar", "…", ".) x", "a .b c.", "\x1c a\x0bb. c", "# h\nx y", '"q" a. "b c" d?', "İX a’b.", "* one.\n    code. x\ntwo `b. c` three! four"]
+    reader = SentenceWords()
+    for text in odd + [t for _, _, t in SAMPLES]:
+        codes, found, begins = reader.codes(text), [[]], True
+        for code in codes:
+            if code >> 2:
+                found[-1].append(reader.words[code >> 2])
+            begins = bool(code & (1 if begins else 2))
+            if begins:
+                found.append([])
+        assert [x for x in found if x] == [w for _, _, s, _ in sentences(text) if (w := prose_words(s))], text
