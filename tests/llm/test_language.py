@@ -5,7 +5,7 @@ import pytest
 from language_samples import DE, EN, RU, SAMPLES
 from pyspark.sql import functions as F
 
-from mnemospark.llm import charlm, language
+from mnemospark.llm import charlm, endings, language
 from mnemospark.llm.prose import SentenceWords, prose_words, sentences
 
 
@@ -97,6 +97,13 @@ def test_every_text_of_the_corpus_adapts_the_models(spark, samples, monkeypatch)
     assert _same(model, language.train(samples, corpus.repartition(7)))
 
 
+def test_every_text_adapts_the_models_of_cuts_and_pairs(spark, samples):
+    names = [_name(11 * i) for i in range(3300)]
+    rows = [("turns", str(i), f"{EN[i % 4]} The {w} came back.") for i, w in enumerate(names)]
+    _, languages = endings.train(spark.createDataFrame(rows, "tbl string, id string, content string").repartition(5), samples)
+    assert np.isin(_grams(languages, names), languages.grams[-1][0]).all()
+
+
 def test_words_are_counted_beside_the_languages(spark, samples):
     rows = [(lang, t) for _, lang, t in SAMPLES]
     corpus = spark.createDataFrame([(t,) for t in [EN[0]] * 3 + [DE[0], "```\ncode\n```"]], "content string").repartition(3)
