@@ -24,7 +24,9 @@ _WRAP = r"[\s\p{Z}\p{Cf}\[\](){}<>\"'`*_.:;!-]"
 def is_blank(text: Column) -> Column:
     """True where text is null, has no letter or digit, or only says that there is nothing."""
     core = F.regexp_replace(F.lower(text), rf"^{_WRAP}+|{_WRAP}+$", "")
-    return F.coalesce(~text.rlike(r"[\p{L}\p{N}]") | ((F.length(text) < 60) & core.isin(*STAND_INS)), F.lit(True))
+    # Nearly always one of the first characters decides, without the whole text.
+    solid = F.substring(text, 1, 32).rlike(r"[\p{L}\p{N}]") | text.rlike(r"[\p{L}\p{N}]")
+    return F.coalesce(~solid | ((F.length(text) < 60) & core.isin(*STAND_INS)), F.lit(True))
 
 
 def speaker(role: Column) -> Column:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
 
-from mnemospark.llm.prose import SentenceWords, prose_words, sentences
+from mnemospark.llm.prose import SentenceWords, WordNumbers, formatted, prose_tokens, prose_words, sentences
 
 START, END = 2, 3
 #: Everyday words of each language. A few dozen samples lack most of what a short question is made of, and
@@ -222,43 +222,69 @@ class LanguageVotes:
     def __init__(self, model: CharModel, first: bool, text_lead: float = 20.0, sentence_lead: float = 15.0):
         self.model, self.first, self.text_lead, self.sentence_lead = model, first, text_lead, sentence_lead
         self.sentences = 0
+        self.packed: list[tuple[str, bytes]] = []
+        #: Of the texts that came last the formatted ones; what the tokens of all others give, if asked for.
+        self.formed: list[str] = []
+        self.token_words: Callable[[dict[str, int]], Counter] | None = None
+        self.other: Counter = Counter()
         self._start()
 
     def _start(self) -> None:
         self.read, self.rows = SentenceWords(), np.zeros((1, len(self.model.languages)))
-        self.counts = np.zeros((len(self.model.languages), 1), np.int64)
+        self.counts, self.seen = np.zeros((len(self.model.languages), 1), np.int64), np.zeros(1, np.int64)
 
     def add(self, texts: list[str]) -> Iterator[tuple[str, str, int]]:
-        """Take texts; what is given back are counts that would take too much room."""
-        codes: list[int] = []
-        edges = []
+        """Take texts; what is given back are counts that would take too much room. packed gets what was read of them."""
+        ids: list[int] = []
+        edges, forms = [], []
+        self.formed = []
         for text in texts:
-            codes += self.read.codes(text)
-            edges.append(len(codes))
-            if len(codes) >= self.TOKENS:
-                self._count(codes, edges)
-                codes, edges = [], []
+            form = formatted(text)
+            ids += self.read.ids(text, form)
+            edges.append(len(ids))
+            forms.append(form)
+            if form:
+                self.formed.append(text)
+            if len(ids) >= self.TOKENS:
+                self._count(ids, edges, forms)
+                ids, edges, forms = [], [], []
                 if len(self.read) > self.LIMIT:
                     yield from self.take()
         if edges:
-            self._count(codes, edges)
+            self._count(ids, edges, forms)
         if len(self.read) > self.LIMIT:
             yield from self.take()
 
+    def add_packed(self, words: str, body: bytes) -> Iterator[tuple[str, str, int]]:
+        """The same for what add packed, without reading the texts again."""
+        n, m = np.frombuffer(body, np.uint32, 2)
+        sizes = np.frombuffer(body, np.uint32, n, 8)
+        of_texts = np.frombuffer(body, np.uint32, m, 8 + 4 * n)
+        own = words.split(" ")
+        word = np.frombuffer(body, _width(len(own)), offset=8 + 4 * (n + m))
+        self._vote(np.array([self.read.of_word(w) for w in own])[word], np.repeat(np.arange(n), sizes), np.repeat(np.arange(m), of_texts), int(m))
+        if len(self.read.words) > self.LIMIT:
+            yield from self.take()
+
     def take(self) -> Iterator[tuple[str, str, int]]:
         """(language, word, n) of what was counted, which starts anew."""
         words, counts = self.read.words, self.counts
+        if self.token_words:
+            self.other.update(self.token_words({t: n for t, n in zip(self.read, self.seen[1:].tolist(), strict=False) if n}))
         self._start()
         for j, i in zip(*np.nonzero(counts), strict=True):
             yield self.model.languages[j], words[i], int(counts[j, i])
 
-    def _count(self, codes: list[int], edges: list[int]) -> None:
-        token = np.array(codes, np.int64)
+    def _count(self, ids: list[int], edges: list[int], forms: list[bool]) -> None:
+        every = np.array(ids, np.int64)
+        if self.token_words:
+            seen = np.bincount(every[np.repeat(~np.array(forms), np.diff(edges, prepend=0))], minlength=len(self.read.code))
+            seen[: len(self.seen)] += self.seen
+            self.seen = seen
+        token = np.array(self.read.code, np.int64)[every]
         ends = (token & 2) > 0
         for i in np.flatnonzero((token & 3) == 2):  # one mark only: it ends no sentence that it begins
             ends[i] = i > 0 and not ends[i - 1]
-        new, wide = self.read.words[len(self.rows) :], len(self.read.words)
-        self.rows = np.concatenate([self.rows, *(self.model.score(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
         at = np.flatnonzero(token >> 2)
         if not len(at):
             return
@@ -267,9 +293,20 @@ class LanguageVotes:
         begins = np.concatenate(([True], sentence[1:] != sentence[:-1]))
         sentence = np.cumsum(begins) - 1
         owner = np.searchsorted(np.asarray(edges), at[begins], side="right")
+        used = np.bincount(word, minlength=len(self.read.words)) > 0
+        own = np.flatnonzero(used)
+        local = (np.cumsum(used) - 1).astype(_width(len(own)))[word]
+        body = (np.uint32([len(owner), len(edges)]), np.bincount(sentence).astype(np.uint32), np.bincount(owner, minlength=len(edges)).astype(np.uint32), local)
+        self.packed.append((" ".join([self.read.words[i] for i in own]), b"".join(x.tobytes() for x in body)))
+        self._vote(word, sentence, owner, len(edges))
+
+    def _vote(self, word: np.ndarray, sentence: np.ndarray, owner: np.ndarray, texts: int) -> None:
+        """Count words of sentences (each word's) of texts (each sentence's)."""
+        new, wide = self.read.words[len(self.rows) :], len(self.read.words)
+        self.rows = np.concatenate([self.rows, *(self.model.score(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
         n = len(owner)
         logp = np.stack([np.bincount(sentence, weights=self.rows[word, j], minlength=n) for j in range(self.rows.shape[1])], 1)
-        whole = np.stack([np.bincount(owner, weights=logp[:, j], minlength=len(edges)) for j in range(logp.shape[1])], 1)
+        whole = np.stack([np.bincount(owner, weights=logp[:, j], minlength=texts) for j in range(logp.shape[1])], 1)
         main = whole.argmax(1)
         ranked = np.sort(whole, 1)
         taken = ranked[:, -1] - ranked[:, -2] >= self.text_lead if whole.shape[1] > 1 else np.ones(len(whole), bool)
@@ -283,6 +320,11 @@ class LanguageVotes:
         self.sentences += n
 
 
+def _width(words: int) -> type:
+    """The narrowest numbers for so many words."""
+    return np.uint8 if words <= 1 << 8 else np.uint16 if words <= 1 << 16 else np.uint32
+
+
 def retrain(model: CharModel, samples: list[tuple[str, str]], votes: dict[str, dict[str, int]]) -> CharModel:
     """Train again with samples and the words that LanguageVotes found. The ceilings of the model stay."""
     words_of = {lang: language_words(lang, [t for x, t in samples if x == lang and t]) for lang in model.languages}
@@ -335,3 +377,41 @@ class WordScores:
         for j in range(total.shape[1]):
             total[:, j] = np.bincount(of, weights=self.rows[ids, j], minlength=len(groups))
         return total, chars, sizes
+
+
+class TextScores:
+    """Sums of whole texts' prose words, each token worked out and each word scored once; starts anew beyond LIMIT tokens."""
+
+    LIMIT = 400_000
+
+    def __init__(self, model: CharModel):
+        self.model = model
+        self._start()
+
+    def _start(self) -> None:
+        self.read, self.rows, self.chars = WordNumbers(), np.zeros((1, len(self.model.languages))), np.zeros(1)
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the prose words of all texts, one after the other, and the text of each; valid until the next call.
+
+        sizes then has how many tokens of each text were looked at.
+        """
+        if len(self.read) > self.LIMIT:
+            self._start()
+        found, sizes, number = [np.zeros(0, np.int32)], [], self.read.__getitem__
+        for text in texts:
+            tokens = prose_tokens(text)
+            sizes.append(len(tokens))
+            found.append(np.fromiter(map(number, tokens), np.int32, len(tokens)))
+        every = np.concatenate(found)
+        at = np.flatnonzero(every)
+        new = self.read.words[len(self.rows) :]
+        self.rows = np.concatenate([self.rows, *(self.model.score(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
+        self.chars = np.concatenate((self.chars, np.fromiter((len(w) + 1 for w in new), np.float64, len(new))))
+        self.sizes = sizes
+        return every[at], np.repeat(np.arange(len(texts)), sizes)[at]
+
+    def sums(self, words: np.ndarray, of: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of so many texts, from numbers(): log probability by language, characters, words."""
+        total = np.stack([np.bincount(of, weights=self.rows[words, j], minlength=texts) for j in range(self.rows.shape[1])], 1)
+        return total, np.bincount(of, weights=self.chars[words], minlength=texts), np.bincount(of, minlength=texts)

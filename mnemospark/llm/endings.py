@@ -20,13 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import is_blank
 from mnemospark.llm import language
-from mnemospark.llm.charlm import CharModel, WordScores
-from mnemospark.llm.prose import ProseWords, prose_words
+from mnemospark.llm.charlm import CharModel, TextScores
+from mnemospark.llm.prose import prose_words
 from mnemospark.storage import materialize
 
 #: Lengths of the contexts, shortest first.
@@ -48,8 +48,8 @@ UNMARKED = 0.5
 BACK = 0.7
 #: Characters of a context that are read; more than the longest order takes.
 WINDOW = 160
-#: Characters counted at once.
-PART = 4_000_000
+#: Characters counted at once, and those whose contexts are worked out at once.
+PART, STRETCH = 4_000_000, 300_000
 #: Words of each training text that are cut to show how such a cut looks.
 CUTS = 4
 #: Weight of all cases beside those of a language and column.
@@ -106,16 +106,19 @@ class Reader(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, token: str) -> str:
-        out = _symbol(token)
-        if self.vocabulary is not None:
-            out = coarse(out, self.vocabulary)
+        if token.isalpha() and token.islower():  # a word as it is, most tokens of prose
+            out = token if self.vocabulary is None or token in self.vocabulary else RARE
+        else:
+            out = _symbol(token)
+            if self.vocabulary is not None and NAME not in out:  # beside a name there are only marks
+                out = coarse(out, self.vocabulary)
         if len(self) > self.LIMIT:
             self.clear()
         self[token] = out
         return out
 
     def read(self, text: str) -> str:
-        lines = (" ".join([self[t] for t in line.split()]) for line in without_code(text).split("\n"))
+        lines = [" ".join([self[t] for t in line.split()]) for line in without_code(text).split("\n")]
         out = BEGIN + "\n".join([line for line in lines if line])
         # Where a language writes a space before its marks.
         for mark in "?!»…":
@@ -140,6 +143,7 @@ def symbols(text: str) -> str:
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_SPLIT = re.compile(rf"({_LETTERS.pattern})")
 #: What may be cut inside in a text of symbols: words, those outside the vocabulary too, and names.
 _WORDS = re.compile(rf"(?<![^\W\d_])[^\W\d_]+|{RARE}|{NAME}")
 
@@ -155,16 +159,26 @@ def word_counts(texts: list[str]) -> Counter:
     tokens: Counter = Counter()
     for text in texts:
         tokens.update(without_code(text).split())
+    return token_words(tokens)
+
+
+def token_words(tokens: dict[str, int]) -> Counter:
+    """How often each word occurs in tokens that occur so often."""
     found: Counter = Counter()
     for token, n in tokens.items():
-        for word in _LETTERS.findall(_symbol(token)):
-            found[word] += n
+        if token.isalpha() and token.islower():
+            found[token] += n
+        elif NAME not in (symbol := _symbol(token)):
+            for word in _LETTERS.findall(symbol):
+                found[word] += n
     return found
 
 
 def coarse(text: str, vocabulary: set[str]) -> str:
     """The text of symbols with every word outside the vocabulary as one symbol; so is the front part of a cut word."""
-    return _LETTERS.sub(lambda m: m[0] if m[0] in vocabulary else RARE, text)
+    parts = _SPLIT.split(text)
+    parts[1::2] = [w if w in vocabulary else RARE for w in parts[1::2]]
+    return "".join(parts)
 
 
 def strip_sign(text: str) -> tuple[str, int]:
@@ -229,9 +243,14 @@ def contents(texts: DataFrame) -> DataFrame:
 
 
 def _hashed(texts: DataFrame) -> DataFrame:
-    """tbl, content, its length, the hash that tells contents apart, and the part of HELD_OUT it belongs to."""
+    """tbl, content, its length, the hash that tells contents apart, and whether it is held out."""
     rows = texts.where("content IS NOT NULL").select("tbl", "id", "content", F.length("content").alias("size"), F.xxhash64("content").alias("plain"))
-    return rows.select("tbl", "content", "size", F.when(F.col("size") < SHORT_TEXT, F.xxhash64("plain", "id")).otherwise(F.col("plain")).alias("h"), F.pmod("plain", F.lit(HELD_OUT)).alias("part"))
+    return rows.select("tbl", "content", "size", F.when(F.col("size") < SHORT_TEXT, F.xxhash64("plain", "id")).otherwise(F.col("plain")).alias("h"), is_held_out(F.col("plain")).alias("held"))
+
+
+def is_held_out(plain: Column) -> Column:
+    """Whether a content calibrates and doesn't train, by its hash."""
+    return F.pmod(plain, F.lit(HELD_OUT)) == HELD_OUT - 1
 
 
 def limits(different: DataFrame) -> set[tuple[str, int]]:
@@ -280,12 +299,15 @@ class EndModel:
         contexts = [coarse(c[-WINDOW:], self.vocabulary) for c in contexts]
         p = np.full(len(contexts), self.prior)
         live = np.ones(len(contexts), dtype=bool)
+        length = np.fromiter(map(len, contexts), np.int64, len(contexts))
+        tails, rolling, done = _tails(contexts), np.zeros(len(contexts), np.uint64), 0
         for order, (keys, ends, total) in zip(ORDERS, self.tables, strict=True):
-            live &= np.fromiter((len(c) >= order for c in contexts), dtype=bool, count=len(contexts))
+            live &= length >= order
             if not live.any() or not len(keys):
                 break
             at = np.flatnonzero(live)
-            h = _bucket(_hash_tails([contexts[i][-order:] for i in at], order))
+            rolling, done = rolling + _rolling(tails, done, order), order
+            h = _bucket(_mix(rolling[at], order))
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[k] == h
             live[at[~hit]] = False
@@ -299,29 +321,45 @@ class EndModel:
 _BASE = np.uint64(0x100000001B3 * 2 + 1)
 
 
-def _powers(n: int) -> np.ndarray:
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The powers of base below n, twice as many at a time."""
+    out, done = np.ones(n, np.uint64), 1
     with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE))))
+        while done < n:
+            np.multiply(out[: n - done][:done], base, out=out[done : 2 * done])
+            base, done = base * base, 2 * done
+    return out
 
 
 def _mix(h: np.ndarray, order: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-        return h * np.uint64(0xBF58476D1CE4E5B9)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h
 
 
 def _hash_tails(tails: list[str], order: int) -> np.ndarray:
-    codes = np.frombuffer("".join(tails).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(tails), order).astype(np.uint64)
+    return _mix(_rolling(_tails(tails), 0, order), order)
+
+
+def _tails(texts: list[str]) -> np.ndarray:
+    """The characters before the end of each text, the last one first, as many as the longest order takes."""
+    n = ORDERS[-1]
+    return _codes("".join([t[-n:].rjust(n) for t in texts])).reshape(len(texts), n)[:, ::-1].astype(np.uint64)
+
+
+def _rolling(tails: np.ndarray, done: int, order: int) -> np.ndarray:
+    """What the characters from done to order add to the hash of each tail."""
     with np.errstate(over="ignore"):
-        h = np.zeros(len(tails), np.uint64)
-        for k in range(order):
-            h = h * _BASE + codes[:, k] + np.uint64(1)
-    return _mix(h, order)
+        return ((tails[:, done:order] + np.uint64(1)) * _powers(_BASE, order)[done:]).sum(1, dtype=np.uint64)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -339,12 +377,20 @@ _SOFT = np.asarray([ord(c) for c in ",;:"], np.uint32)
 def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words of the texts in codes, each with a 0 behind it, end, and in halves whether text or sentence ends there."""
     kind = _CLASS[codes]
-    solid = np.flatnonzero(kind < 2)
-    here, after = solid[:-1], solid[1:]
-    ends = (kind[here] == 0) & (kind[after] == 1)
-    here, after = here[ends], after[ends]
-    marks = np.concatenate(([0], np.cumsum(kind == 2)))
-    marked = marks[after] > marks[here]
+    word, space = kind[:-1] == 0, kind[1:] == 1
+    # Marks between a word and a space: the place of each run of them, which ends where no mark is next.
+    run = np.flatnonzero(word & (kind[1:] > 1))
+    stop = np.flatnonzero((kind[:-1] > 1) & (kind[1:] < 2)) + 1
+    stop = stop[np.searchsorted(stop, run, side="right")] if len(stop) else run
+    closed = kind[stop] == 1
+    run, stop = run[closed], stop[closed]
+    ends = word & space
+    ends[run] = True
+    here = np.flatnonzero(ends)
+    after, marked, far = here + 1, np.zeros(len(here), bool), np.searchsorted(here, run)
+    after[far] = stop
+    marks = np.concatenate(([0], np.cumsum(kind == 2, dtype=np.int32)))
+    marked[far] = marks[stop] > marks[run]
     last = codes[after]
     # What stands before a comma goes on.
     soft = here[np.isin(codes[here], _SOFT)] - 1
@@ -355,10 +401,10 @@ def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _fronts(text: str, seed: int, vocabulary: set[str]) -> list[str]:
     """Contexts that end inside CUTS words of a text as the model reads it, each the next after some place."""
-    out = []
+    out, find, size = [], _WORDS.search, len(text)
     for _ in range(CUTS):
         seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
-        m = _WORDS.search(text, (seed >> 8) % len(text))
+        m = find(text, (seed >> 8) % size)
         if not m:
             continue
         a, b = m.span()
@@ -380,6 +426,7 @@ class EndCounts:
         self.reader, self.vocabulary = Reader(vocabulary), vocabulary
         self.total = np.zeros((len(ORDERS), 1 << BUCKET_BITS))
         self.ends = np.zeros((len(ORDERS), 1 << BUCKET_BITS))
+        self.up = self.down = np.zeros(0, np.uint64)  # powers for the longest block so far
         self.held: list[str] = []
         self.weights: list[float] = []
         self.held_size = 0
@@ -402,12 +449,25 @@ class EndCounts:
         read, weight, self.held, self.weights, self.held_size = self.held, self.weights, [], [], 0
         if not read:
             return
+        whole, blocks, begin, size = all(w == 1 for w in weight), [], 0, 0
+        for i, text in enumerate(read, 1):
+            size += len(text)
+            if size >= STRETCH or i == len(read):
+                blocks.append(self._contexts(read[begin:i], None if whole else np.asarray(weight[begin:i])))
+                begin, size = i, 0
+        for i in range(len(ORDERS)):
+            bucket, weigh, of_ends, ended = zip(*(block[i] for block in blocks), strict=True)
+            self.total[i] += np.bincount(np.concatenate(bucket), weights=None if whole else np.concatenate(weigh), minlength=1 << BUCKET_BITS)
+            self.ends[i] += np.bincount(np.concatenate(of_ends), weights=np.concatenate(ended), minlength=1 << BUCKET_BITS)
+
+    def _contexts(self, read: list[str], weight: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]]:
+        """By order: the counters of the contexts of texts, how much each counts, those where something ends, and how much."""
         fronts, of = [], []
         for i, t in enumerate(read):
             found = _fronts(t, zlib.crc32(t.encode("utf-8", "surrogatepass")), self.vocabulary)
             fronts += found
             of += [i] * len(found)
-        every, each = read + fronts, np.concatenate((np.asarray(weight), np.asarray(weight)[np.asarray(of, np.int64)]))
+        every = read + fronts
         codes = _codes("\0".join(every) + "\0")
         size = np.fromiter((len(t) + 1 for t in every), np.int64, len(every))
         start = np.cumsum(size) - size
@@ -415,21 +475,28 @@ class EndCounts:
         at, ended = _places(codes[:edge])
         inside = start[len(read) :] + size[len(read) :] - 2
         at, ended = np.concatenate((at, inside)), np.concatenate((ended, np.zeros(len(inside), np.int64)))
-        text = np.searchsorted(start, at, side="right") - 1
-        place, weigh = at - start[text] + 1, None if (each == 1).all() else each[text]
-        rolling, done, powers = np.zeros(len(at), np.uint64), 0, _powers(max(ORDERS) + 1)
-        for i, order in enumerate(ORDERS):
-            keep = place >= order
-            at, ended, place, rolling = at[keep], ended[keep], place[keep], rolling[keep]
-            weigh = weigh if weigh is None else weigh[keep]
-            with np.errstate(over="ignore"):
-                for k in range(done, order):
-                    rolling = rolling + (codes[at - k].astype(np.uint64) + np.uint64(1)) * powers[k]
-            done = order
-            bucket = _bucket(_mix(rolling, order))
-            self.total[i] += np.bincount(bucket, weights=weigh, minlength=1 << BUCKET_BITS)
-            some = ended > 0
-            self.ends[i] += np.bincount(bucket[some], weights=ended[some] if weigh is None else ended[some] * weigh[some], minlength=1 << BUCKET_BITS)
+        text = np.repeat(np.arange(len(size), dtype=np.int32), size)[at]
+        place, weigh = at - start[text] + 1, None if weight is None else np.concatenate((weight, weight[np.asarray(of, np.int64)]))[text]
+        some = np.flatnonzero(ended)
+        ended = ended[some] if weigh is None else ended[some] * weigh[some]
+        if len(self.up) < len(codes):
+            self.up, self.down = _powers(_BASE, len(codes)), _powers(_INVERSE, len(codes))
+        out = []
+        with np.errstate(over="ignore"):
+            # What the characters before each place add up to, the first by the highest power of the inverse: the hash of a context
+            # of any length is a difference of two such sums, times a power.
+            sums = np.zeros(len(codes) + 1, np.uint64)
+            np.add(codes, np.uint64(1), out=sums[1:])
+            sums[1:] *= self.down[: len(codes)]
+            np.cumsum(sums[1:], out=sums[1:])
+            upper, power, rolling = sums[at + 1], self.up[at], np.empty(len(at), np.uint64)
+            for order in ORDERS:
+                np.subtract(upper, np.take(sums, at + (1 - order), mode="clip", out=rolling), out=rolling)
+                rolling *= power
+                bucket, long = _bucket(_mix(rolling, order)).astype(np.int32), place >= order
+                also = long[some]
+                out.append((bucket[long], None if weigh is None else weigh[long], bucket[some[also]], ended[also]))
+        return out
 
     def parts(self) -> Iterator[tuple[int, int, bytes]]:
         """(order, chunk, body) of what was counted."""
@@ -611,44 +678,55 @@ def calibrate(held: DataFrame, model: EndModel, languages: CharModel) -> dict[tu
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends, langs = pickle.loads(blob.value)
-        scores = WordScores(langs)
+        scores, found = TextScores(langs), Counter()
         for batch in batches:
-            bare = [_teaching(t) for t in batch["content"]]
-            texts, columns = [t for t in bare if t], [c for c, t in zip(batch["tbl"], bare, strict=True) if t]
-            found = case_scores(texts, columns, text_language(texts, scores), ends)
-            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "tbl", "cut", "step", "n"])
+            found.update(held_scores(batch["content"].tolist(), batch["tbl"].tolist(), ends, scores))
+        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "tbl", "cut", "step", "n"])
+
+    return summed_thresholds(held.select("tbl", "content").mapInPandas(run, "lang string, tbl string, cut boolean, step int, n long"))
+
 
-    rows = held.select("tbl", "content").mapInPandas(run, "lang string, tbl string, cut boolean, step int, n long")
-    return thresholds({(r[0], r[1], r[2], r[3]): r[4] for r in rows.groupBy("lang", "tbl", "cut", "step").agg(F.sum("n")).collect()})
+def held_scores(texts: list[str], columns: list[str], model: EndModel, scores: TextScores, langs: list[str] | None = None) -> Counter:
+    """case_scores of texts left out of training. langs are the whole texts' languages where they are known already."""
+    bare = [_teaching(t) for t in texts]
+    at = [i for i, t in enumerate(bare) if t]
+    # A text without a sign at its end is the same prose.
+    new = [i for i in at if langs is None or len(bare[i]) != len(texts[i].rstrip())]
+    lang = dict(zip(new, text_language([bare[i] for i in new], scores), strict=True))
+    return case_scores([bare[i] for i in at], [columns[i] for i in at], [lang[i] if i in lang else langs[i] for i in at], model)
 
 
-def text_language(texts: list[str], scores: WordScores) -> list[str]:
+def summed_thresholds(cases: DataFrame) -> dict[tuple[str, str], float]:
+    """thresholds() of what tasks counted (lang, tbl, cut, step, n)."""
+    return thresholds({(r[0], r[1], r[2], r[3]): r[4] for r in cases.groupBy("lang", "tbl", "cut", "step").agg(F.sum("n")).collect()})
+
+
+def text_language(texts: list[str], scores: TextScores) -> list[str]:
     """The language of the prose of each text, "" where there is none."""
-    words = ProseWords()
-    logp, chars, n = scores.sums([words.of(t) for t in texts])
-    which, _ = language.best(scores.model, logp, chars, n)
+    which, _ = language.best(scores.model, *scores.sums(*scores.numbers(texts), len(texts)))
     return [scores.model.languages[j] if j >= 0 else "" for j in which]
 
 
-def train(texts: DataFrame, samples: DataFrame, rows: int | None = None) -> tuple[EndModel, CharModel]:
+def train(texts: DataFrame, samples: DataFrame, rows: int | None = None, calibrated: bool = True) -> tuple[EndModel, CharModel]:
     """The end model with its thresholds and limits, and the language models, from texts (tbl, id, content).
 
     Words, contexts, thresholds and limits are counted over all texts; the language models come from samples and from
     the words of all texts. Equal contents count once, those of a few words once an id, so that copies don't vouch for
     their own ends. Texts with a sign of a cut other than three dots, or that stop inside a block,
-    don't teach where texts end.
+    don't teach where texts end. Without calibrated the thresholds are left to the caller, who reads the texts anyway.
     """
     n = texts.count() if rows is None else rows
     labelled = language._bounded(samples, ["lang", "text"], language.MAX_SAMPLES)
-    languages, counted = language.adapt(language.train_calibrated(labelled), labelled, texts.select("content"), word_counts, max(5, 0.0005 * n))
+    languages, counted = language.adapt(language.train_calibrated(labelled), labelled, texts.select("content"), word_counts, max(5, 0.0005 * n), token_words)
     # At most (words a text) / share of them, whatever the number of texts.
     vocabulary = frequent(counted, n)
     hashed, different = _hashed(texts), contents(texts)
     copies = materialize(different.where("n > 1").select("tbl", "h", "n"), "copies")
     few = copies.count() <= MAX_BROADCAST_ROWS
-    weighed = hashed.where(F.col("part") != HELD_OUT - 1).join(F.broadcast(copies) if few else copies, ["tbl", "h"], "left")
+    weighed = hashed.where("NOT held").join(F.broadcast(copies) if few else copies, ["tbl", "h"], "left")
     model = count_contexts(weighed.select("content", (1.0 / F.coalesce("n", F.lit(1))).alias("weight")), vocabulary)
-    model.thresholds = calibrate(hashed.where(F.col("part") == HELD_OUT - 1), model, languages)
+    if calibrated:
+        model.thresholds = calibrate(hashed.where("held"), model, languages)
     model.limits = limits(different)
     return model, languages
 
@@ -658,22 +736,29 @@ def _teaching(text: str) -> str | None:
     return bare if signed <= 1 and bare and not inside_block(bare) else None
 
 
-def judge(texts: list[str], columns: list[str], model: EndModel, scores: WordScores, langs: list[str] | None = None) -> tuple[list[bool], list[float | None]]:
+def judge(texts: list[str], columns: list[str], model: EndModel, scores: TextScores, langs: list[str] | None = None) -> tuple[list[bool], list[float | None]]:
     """Whether each text is cut, and the log-odds of an end where the model was asked. Null and blank are no cases.
 
     langs are the texts' languages where they are known already.
     """
+    cut, odds = shifted_odds(texts, columns, model)
+    open_ = [i for i, x in enumerate(odds) if x is not None]
+    lang = text_language([texts[i] for i in open_], scores) if langs is None else [langs[i] for i in open_]
+    for i, g in zip(open_, lang, strict=True):
+        cut[i] = odds[i] < model.thresholds.get((g, columns[i]), model.thresholds[("", "")])
+    return cut, odds
+
+
+def shifted_odds(texts: list[str], columns: list[str], model: EndModel) -> tuple[list[bool | None], list[float | None]]:
+    """Whether each text is cut where that is known without the model, and what is compared with the threshold where it isn't."""
     asked = [question(t or "") for t in texts]
-    cut = [bool(v) for _, v, _ in asked]
+    cut = [v for _, v, _ in asked]
     odds: list[float | None] = [None] * len(texts)
-    open_ = [i for i, (_, v, _) in enumerate(asked) if v is None]
+    open_ = [i for i, v in enumerate(cut) if v is None]
     if open_:
-        value = model.log_odds([asked[i][0] for i in open_])
-        lang = text_language([texts[i] for i in open_], scores) if langs is None else [langs[i] for i in open_]
-        for i, x, g in zip(open_, value, lang, strict=True):
+        for i, x in zip(open_, model.log_odds([asked[i][0] for i in open_]), strict=True):
             x += (LIMIT_SHIFT if (columns[i], len(texts[i])) in model.limits else 0) + SHIFT[asked[i][2]] + (SHORT_SHIFT if asked[i][2] <= 1 and len(asked[i][0].split()) <= SHORT and "\n" not in asked[i][0] else 0)
-            limit = model.thresholds.get((g, columns[i]), model.thresholds[("", "")])
-            odds[i], cut[i] = float(x), bool(x < limit)
+            odds[i] = float(x)
     return cut, odds
 
 
@@ -688,7 +773,7 @@ def find_cut(texts: DataFrame, samples: DataFrame, extra: tuple[str, ...] = ())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, languages = pickle.loads(blob.value)
-        scores = WordScores(languages)
+        scores = TextScores(languages)
         for batch in batches:
             if not len(batch):
                 continue

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions.text import is_blank, speaker
 from mnemospark.llm import endings, language
-from mnemospark.llm.charlm import CharModel, WordScores, without_accents
+from mnemospark.llm.charlm import CharModel, TextScores, without_accents
 from mnemospark.llm.conversations import order_turns, session_defects
-from mnemospark.llm.prose import CAMEL, WORD, ProseWords, formatted
+from mnemospark.llm.prose import CAMEL, WORD, formatted
 from mnemospark.storage import materialize
 
 #: Nats by which a text's language must lead to be compared.
@@ -190,10 +190,9 @@ def is_copy(question: str, answer: str) -> bool:
     return same >= COPIED * len(q) and changed <= max(1, CHANGED * len(q))
 
 
-def text_languages(words: list[list[str]], scores: WordScores) -> tuple[list[str], list[float]]:
-    """For each text by its prose words: the language or "", and its lead in nats."""
-    logp, chars, n = scores.sums(words)
-    which, lead = language.best(scores.model, logp, chars, n)
+def text_languages(words: np.ndarray, of: np.ndarray, texts: int, scores: TextScores) -> tuple[list[str], list[float]]:
+    """For each of so many texts by the numbers of its prose words: the language or "", and its lead in nats."""
+    which, lead = language.best(scores.model, *scores.sums(words, of, texts))
     return [scores.model.languages[j] if j >= 0 else "" for j in which], lead.tolist()
 
 
@@ -208,57 +207,67 @@ def answered_pairs(turns: DataFrame, sessions: DataFrame | None = None) -> DataF
     return asked.join(dropped, "session_id", "left_anti").select(F.col("row_id").alias("question_row"), F.col("next_row").alias("answer_row"))
 
 
-class _Bits(dict):
-    """The bit of each prose word among BITS, worked out once."""
+class _Bits:
+    """The bit of each prose word among BITS, by its number in scores, worked out once."""
 
-    ALL = (1 << BITS) - 1
+    def __init__(self, scores: TextScores):
+        self.scores, self.words, self.each = scores, scores.read.words, np.zeros((0, 2), np.uint64)
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        bit = self[word] = 1 << zlib.crc32(word.encode("utf-8", "surrogatepass")) % BITS
-        return bit
-
-    def of(self, text: str, words: list[str], answers: bool) -> tuple[int, int]:
-        """The bits of a text's words as two signed numbers; all of them for an answer with words outside plain prose."""
-        found = 0
-        if answers and formatted(text):
-            found = self.ALL
-        else:
-            for w in words:
-                found |= self[w]
-        low, high = found & 0xFFFFFFFFFFFFFFFF, found >> 64
-        return low - (1 << 64) if low >> 63 else low, high - (1 << 64) if high >> 63 else high
+    def of(self, words: np.ndarray, of: np.ndarray, texts: int) -> np.ndarray:
+        """The bits of the words of so many texts, as scores numbers them, in two signed numbers each."""
+        if self.words is not self.scores.read.words:  # it started anew
+            self.words, self.each = self.scores.read.words, self.each[:0]
+        bits = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BITS for w in self.words[len(self.each) :]]
+        self.each = np.concatenate((self.each, np.array([(1 << b, 0) if b < 64 else (0, 1 << b - 64) for b in bits], np.uint64).reshape(-1, 2)))
+        found = np.zeros((texts, 2), np.uint64)
+        if len(words):
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            found[of[first]] = np.bitwise_or.reduceat(self.each[words], first)
+        return found.view(np.int64)
 
 
-TRAITS = "row_id long, id string, blank boolean, lang string, lead double, cut boolean, refused boolean, tokens int, bits1 long, bits2 long"
+TRAITS = "row_id long, id string, answers boolean, blank boolean, lang string, lead double, cut boolean, odds double, refused boolean, tokens int, bits1 long, bits2 long, step int, n long"
 
 
 def traits(turns: DataFrame, model: endings.EndModel, languages: CharModel) -> DataFrame:
     """What the rules need of each speaker's turn, in one pass over the texts and without a shuffle.
 
-    row_id, id, blank, the language of the prose and its lead in nats, whether an answer is cut and whether it is a
-    refusal, the number of tokens and the bits of the prose words.
+    row_id, id (of answers), answers, blank, the language of the prose and its lead in nats, whether an answer is cut, or the log-odds that
+    the threshold decides on, whether it is a refusal, the number of tokens and the bits of the prose words. The same
+    pass calibrates: rows with a step say how many cases (n) of the held-out texts of a language, cut or not, fall into it.
     """
     blob = turns.sparkSession.sparkContext.broadcast(pickle.dumps((model, languages)))
+    names = [x.split()[0] for x in TRAITS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends, langs = pickle.loads(blob.value)
-        scores, bits, prose = WordScores(langs), _Bits(), ProseWords()
+        scores, cases = TextScores(langs), Counter()
+        bits = _Bits(scores)
         for batch in batches:
             texts, answers = batch["content"].fillna("").tolist(), batch["answers"].to_numpy(bool)
             full = ~batch["blank"].to_numpy(bool)
-            words = [prose.of(t) for t in texts]
-            lang, lead = text_languages(words, scores)
-            cut, refused = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+            words, of = scores.numbers(texts)
+            lang, lead = text_languages(words, of, len(texts), scores)
+            found = bits.of(words, of, len(texts))
+            # An answer with words outside plain prose may hold any word.
+            forms = np.fromiter(map(formatted, texts), bool, len(texts))
+            found[answers & forms] = -1
+            tokens = [len(t.split()) if form else n for t, form, n in zip(texts, forms.tolist(), scores.sizes, strict=True)]
+            cut, odds, refused = np.full(len(texts), False, object), np.full(len(texts), np.nan), np.zeros(len(texts), bool)
             asked = np.flatnonzero(answers & full)
-            cut[asked] = endings.judge([texts[i] for i in asked], ["turns"] * len(asked), ends, scores, [lang[i] for i in asked])[0]
+            cut[asked], odds[asked] = endings.shifted_odds([texts[i] for i in asked], ["turns"] * len(asked), ends)
             refused[asked] = [is_refusal(texts[i], lang[i] if lead[i] >= MIN_LEAD else "") for i in asked]
-            low, high = zip(*map(bits.of, texts, words, answers), strict=True) if texts else ((), ())
-            yield batch[["row_id", "id", "blank"]].assign(lang=lang, lead=lead, cut=cut, refused=refused, tokens=[len(t.split()) for t in texts], bits1=low, bits2=high)
-
-    who = speaker(F.col("role"))
-    rows = turns.where(who.isin("user", "assistant")).select("row_id", "id", "content", (who == "assistant").alias("answers"), is_blank(F.col("content")).alias("blank"))
+            held = np.flatnonzero(batch["held"].to_numpy(bool))
+            cases.update(endings.held_scores([texts[i] for i in held], ["turns"] * len(held), ends, scores, [lang[i] for i in held]))
+            none = pd.array([None] * len(texts), "Int64")
+            out = batch[["row_id", "id", "answers", "blank"]].assign(lang=lang, lead=lead, cut=cut, odds=odds, refused=refused, tokens=tokens, bits1=found[:, 0], bits2=found[:, 1], step=none, n=none)
+            yield out[batch["speaks"].to_numpy(bool)]
+        yield pd.DataFrame([(lang, cut, step, n) for (lang, _, cut, step), n in cases.items()], columns=["lang", "cut", "step", "n"]).reindex(columns=names).astype(object)
+
+    who, content = speaker(F.col("role")), F.col("content")
+    blank, speaks = is_blank(content), F.coalesce(who.isin("user", "assistant"), F.lit(False))
+    rows = turns.select("row_id", F.when(who == "assistant", F.col("id")).alias("id"), "content", speaks.alias("speaks"), F.coalesce(who == "assistant", F.lit(False)).alias("answers"), blank.alias("blank"))
+    rows = rows.withColumn("held", ~F.col("blank") & endings.is_held_out(F.xxhash64("content"))).where("speaks OR held")
     return rows.mapInPandas(run, TRAITS)
 
 
@@ -287,16 +296,19 @@ def pair_defects(turns: DataFrame, samples: DataFrame, sessions: DataFrame | Non
     those of pairs that may be copies, by their lengths and the bits of their words, are moved.
     """
     texts = turns.select("row_id", "id", "content", F.lit("turns").alias("tbl")).where(~is_blank(F.col("content")))
-    model, languages = endings.train(texts, samples, rows=turns.count())
-    each = materialize(traits(turns, model, languages), "traits")
-    names = [f.name for f in each.schema]
-    q = each.select(*(F.col(c).alias("question_row" if c == "row_id" else f"q_{c}") for c in names))
-    a = each.select(*(F.col(c).alias("answer_row" if c == "row_id" else f"a_{c}") for c in names))
+    found = materialize(traits(turns, *endings.train(texts, samples, rows=turns.count(), calibrated=False)), "traits")
+    limits = endings.summed_thresholds(found.where("step IS NOT NULL").withColumn("tbl", F.lit("turns")))
+    each = found.where("step IS NULL").drop("step", "n")
+    q = each.where("NOT answers AND NOT blank").select(F.col("row_id").alias("question_row"), *(F.col(c).alias(f"q_{c}") for c in ("lang", "lead", "tokens", "bits1", "bits2")))
+    a = each.where("answers").select(F.col("row_id").alias("answer_row"), *(F.col(c).alias(f"a_{c}") for c in each.columns if c not in ("row_id", "answers")))
     both = materialize(answered_pairs(turns, sessions).join(q, "question_row").join(a, "answer_row"), "pairs")
+    limit = F.lit(limits[("", "")])
+    for (lang, column), x in limits.items():
+        limit = F.when(F.col("a_lang") == lang, x).otherwise(limit) if column == "turns" else limit
     sure = (F.col("q_lang") != "") & (F.col("a_lang") != "") & (F.least("q_lead", "a_lead") >= min_lead)
     rules = {
         "empty_answer": F.col("a_blank"),
-        "truncated_answer": F.col("a_cut") & ~F.col("a_blank"),
+        "truncated_answer": F.coalesce("a_cut", F.col("a_odds") < limit) & ~F.col("a_blank"),
         "refusal": F.col("a_refused") & ~F.col("a_blank"),
         "other_language": sure & (F.col("q_lang") != F.col("a_lang")) & ~F.col("a_blank"),
     }

@@ -76,14 +76,40 @@ def prose_words(sentence: str) -> list[str]:
     return [w.lower() for w in PROSE_TOKEN.findall(sentence) if not CAMEL.search(w)]
 
 
+def _prose_word(token: str) -> str:
+    """The word of a token of prose in lower case, "" for any other token."""
+    if token.isalpha():
+        core = token
+    elif "/" in token or token[0].isdecimal() or not (m := PROSE_TOKEN.fullmatch(token)):
+        return ""
+    else:
+        core = m[1]
+    return core if core.islower() else "" if CAMEL.search(core) else core.lower()
+
+
+def prose_tokens(text: str) -> list[str]:
+    """The tokens of the lines of text that sentences() reads, in order."""
+    if not formatted(text):
+        return text.split()
+    out: list[str] = []
+    for _, line, heading in plain_lines(text):
+        if heading:
+            continue
+        if "`" in line:
+            line = INLINE_CODE.sub(_blank_out, line)
+        if _QUOTE.search(line):
+            line = QUOTED.sub(_blank_out, line)
+        out += line.split()
+    return out
+
+
 class ProseWords(dict):
     """The prose words of whole texts; what a token gives is worked out once, as tokens come again and again."""
 
     LIMIT = 200_000
 
     def __missing__(self, token: str) -> str:
-        core = token if token.isalpha() else m[1] if (m := PROSE_TOKEN.fullmatch(token)) else ""
-        word = core.lower() if not CAMEL.search(core) else ""
+        word = _prose_word(token)
         if len(self) > self.LIMIT:
             self.clear()
         self[token] = word
@@ -91,18 +117,26 @@ class ProseWords(dict):
 
     def of(self, text: str) -> list[str]:
         """The same words, in order, that prose_words gives for the sentences of text."""
-        if not formatted(text):
-            return [w for w in [self[t] for t in text.split()] if w]
-        out: list[str] = []
-        for _, line, heading in plain_lines(text):
-            if heading:
-                continue
-            if "`" in line:
-                line = INLINE_CODE.sub(_blank_out, line)
-            if _QUOTE.search(line):
-                line = QUOTED.sub(_blank_out, line)
-            out += [w for w in [self[t] for t in line.split()] if w]
-        return out
+        return [w for w in [self[t] for t in prose_tokens(text)] if w]
+
+
+class WordNumbers(dict):
+    """The same words as numbers: each token's, 0 for one that isn't prose, and the words by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words, self.number = [""], {"": 0}
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = self.of_word(_prose_word(token))
+        return n
+
+    def of_word(self, word: str) -> int:
+        n = self.number.get(word)
+        if n is None:
+            n = self.number[word] = len(self.words)
+            self.words.append(word)
+        return n
 
 
 #: A final mark at the end of a token.
@@ -110,10 +144,10 @@ _FINAL = re.compile(r"[.!?…]+[\"'»”)\]]*\Z")
 _LAST = frozenset(".!?…\"'»”)]")
 
 
-class SentenceWords(dict):
+class SentenceWords(WordNumbers):
     """The prose words of the sentences of whole texts as numbers, each token worked out once.
 
-    A token's code is twice twice the number of its word (0: none), and tells whether a sentence ends behind it: 2 within
+    Tokens are numbered too, from 1 on, and have a code by number. It is twice twice the number of its word (0: none), and tells whether a sentence ends behind it: 2 within
     a sentence, 1 as its first token, where the first character isn't looked at.
     """
 
@@ -122,25 +156,24 @@ class SentenceWords(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.words, self.number = [""], {"": 0}
+        self.code = [self.LINE]
 
     def __missing__(self, token: str) -> int:
-        core = token if token.isalpha() else m[1] if (m := PROSE_TOKEN.fullmatch(token)) else ""
-        word = core.lower() if not CAMEL.search(core) else ""
-        n = self.number.get(word)
-        if n is None:
-            n = self.number[word] = len(self.words)
-            self.words.append(word)
-        code = n << 2
+        code = self.of_word(_prose_word(token)) << 2
         if token[-1] in _LAST and _FINAL.search(token):
             code |= 3 if _FINAL.search(token, 1) else 2
-        self[token] = code
-        return code
+        n = self[token] = len(self.code)
+        self.code.append(code)
+        return n
 
     def codes(self, text: str) -> list[int]:
         """The codes of the tokens that sentences() reads, line by line."""
+        return [self.code[i] for i in self.ids(text, formatted(text))]
+
+    def ids(self, text: str, form: bool) -> list[int]:
+        """The numbers of these tokens, 0 behind each line. form: whether the text is formatted."""
         out: list[int] = []
-        if formatted(text):
+        if form:
             lines = [INLINE_CODE.sub(_blank_out, line) if "`" in line else line for _, line, heading in plain_lines(text) if not heading]
             lines = [QUOTED.sub(_blank_out, line) if _QUOTE.search(line) else line for line in lines]
         else:
@@ -150,5 +183,5 @@ class SentenceWords(dict):
             if not line[:1].isalpha() and (mark := LIST_MARK.match(line)):
                 line = line[mark.end() :]
             out += [self[t] for t in line.split()]
-            out.append(self.LINE)
+            out.append(0)
         return out
